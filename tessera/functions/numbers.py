@@ -44,4 +44,4 @@ def comma_decimal(c) -> Column:
 
 def to_int_floor(c) -> Column:
     """Parse a number, invalid → null, floor, nullable long (``pd.to_numeric(errors='coerce')`` + floor)."""
-    return F.floor(F.try_cast(_col(c).cast("string"), "double")).cast("bigint")
+    return F.floor(_col(c).cast("string").try_cast("double")).cast("bigint")
