@@ -12,15 +12,14 @@ GROUP_STARTING = "In avvio"
 GROUP_REJECTED = "Rigettato"
 
 
-def latest_run(runs: DataFrame, key: str, ts: str, tie: str, status: str = "status") -> DataFrame:
+def latest_run(runs: DataFrame, key, ts: str, tie: str, status: str = "status") -> DataFrame:
     """Status of the newest run per key (ties on ``ts`` broken by the larger ``tie``).
 
     ``max_by`` over a struct is a plain hash aggregate with partial aggregation, so a key with
     a third of all runs is reduced map-side before the shuffle.
     """
-    return runs.groupBy(key).agg(
-        F.max_by(F.col(status), F.struct(F.col(ts), F.col(tie))).alias(status),
-        F.max(F.col(ts)).alias("last_ts"))
+    keys = [key] if isinstance(key, str) else list(key)
+    return runs.groupBy(*keys).agg(F.max_by(F.col(status), F.struct(F.col(ts), F.col(tie))).alias(status))
 
 
 def status_rollup(statuses: DataFrame, group_cols: list[str], status: str = "status",
