@@ -69,3 +69,11 @@ def local_path(path: str) -> str:
     if path.startswith("file:"):
         return path[len("file:"):]
     return path
+
+
+def arrow_fs(path: str):
+    """(pyarrow filesystem, path) for task-side writers of small files; ``file:`` URIs map to local."""
+    from pyarrow import fs as pafs
+    if path.startswith("file:") or "://" not in path:
+        return pafs.LocalFileSystem(), local_path(path)
+    return pafs.FileSystem.from_uri(path)
