@@ -242,7 +242,7 @@ def refund_candidates_ordinary(spark, sf):
     return J.candidates_ordinary(spark, sf)
 
 
-@register("refund_movements", W(f"""SELECT DISTINCT CA.CustomerNo AS Cliente, round_even(SC.SaldoCliente, 2) AS SaldoCliente,
+MOVEMENTS_SQL = W(f"""SELECT DISTINCT CA.CustomerNo AS Cliente, round_even(SC.SaldoCliente, 2) AS SaldoCliente,
          C.FiscalCode AS CF, {O.fold('COALESCE(C.FullName, C.Name)')} AS Denominazione,
          MV.Nrdocumento, round_even(MV.ImportoResiduoCompleto, 2) AS ImportoResiduoCompleto,
          COALESCE(K.CodiceUnivoco, CA.CustomerNo) AS CodiceUnivoco
@@ -253,7 +253,10 @@ def refund_candidates_ordinary(spark, sf):
   LEFT JOIN ({KEY_MAP_SQL}) K ON K.k = CA.CustomerNo
   WHERE CA.AccountStatus IN (1, 4, 5) AND (SC.SaldoCliente <= -10 AND SC.SaldoCliente >= -6000)
     AND SF.SaldoFornitura < 0 AND LENGTH(C.FiscalCode) = 16
-    AND CA.CustomerNo NOT IN (SELECT CustomerNo FROM x_excluded)"""), double=('SaldoCliente', 'ImportoResiduoCompleto'))
+    AND CA.CustomerNo NOT IN (SELECT CustomerNo FROM x_excluded)""")
+
+
+@register("refund_movements", MOVEMENTS_SQL, double=("SaldoCliente", "ImportoResiduoCompleto"))
 def refund_movements(spark, sf):
     return J.movements_with_codes(spark, sf)
 
