@@ -22,19 +22,25 @@ def ledger_entry_amounts(spark: SparkSession, sf_dir: str):
     return led, L.entry_amounts(led.entries, led.details)
 
 
-def candidates_domiciled(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ledger_summary(spark: SparkSession, sf_dir: str):
+    """Ledger plus its shared (customer, account, document) summary, materialized once."""
     led, ea = ledger_entry_amounts(spark, sf_dir)
-    return L.refund_candidates_domiciled(led.accounts, led.customers, ea, led.excluded)
+    return led, L.ledger_summary(ea)
+
+
+def candidates_domiciled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    led, sm = ledger_summary(spark, sf_dir)
+    return L.refund_candidates_domiciled(led.accounts, led.customers, sm, led.excluded)
 
 
 def candidates_ordinary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    led, ea = ledger_entry_amounts(spark, sf_dir)
-    return L.refund_candidates_ordinary(led.accounts, led.customers, ea)
+    led, sm = ledger_summary(spark, sf_dir)
+    return L.refund_candidates_ordinary(led.accounts, led.customers, sm)
 
 
 def movements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    led, ea = ledger_entry_amounts(spark, sf_dir)
-    return L.refund_movements(led.accounts, led.customers, ea, led.excluded)
+    led, sm = ledger_summary(spark, sf_dir)
+    return L.refund_movements(led.accounts, led.customers, sm, led.excluded)
 
 
 def customer_names(spark: SparkSession, sf_dir: str) -> DataFrame:
