@@ -314,7 +314,8 @@ def stage_supply_point_archives(spark: SparkSession, sf_dir: str) -> str:
     header = ";".join(n for n, _, _ in src)
     dest = S.fresh(spark, "rcu-zips")
     name = "PLT_REP_ELE_" + "0" * 11 + SUPPLY_POINT_PERIOD + "_{tag}.csv"
-    A.write_archives(li.select(line.alias("t")), dest, "t", name, nested=True, header=header,
+    parts = spark.sparkContext.defaultParallelism
+    A.write_archives(li.select(line.alias("t")).repartition(parts), dest, "t", name, nested=True, header=header,
                      archive_prefix="RCU")
     return dest
 

@@ -118,10 +118,11 @@ def scan_fixed_width(spark, sf):
 def sink_movements(spark, sf):
     """Reconciliation table written as Parquet (workbook codec not built) and read back; the keys
     come from the written payment file, as in the reference."""
+    run = J.DomiciledRun(spark, sf)
     lines_dest = S.fresh(spark, "bonifici")
-    FW.sink_fixed_width(J.lines_domiciled(spark, sf), lines_dest)
+    FW.sink_fixed_width(run.lines(), lines_dest)
     keys = spark.read.text(lines_dest).select(F.lit(0).alias("seq"), F.col("value").alias("line"))
-    mv = J.movements_with_codes(spark, sf, lines=keys)
+    mv = run.movements_with_codes(lines=keys)
     dest = S.fresh(spark, "movimenti")
     SK.sink_overwrite(mv, dest)
     return spark.read.parquet(dest)

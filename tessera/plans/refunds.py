@@ -60,7 +60,7 @@ def candidates_unallocated(spark: SparkSession, sf_dir: str, lo=L.CREDIT_LO, hi=
 
 
 def numbered_domiciled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return number_dense(candidates_domiciled(spark, sf_dir), ["Cliente"], out="nr")
+    return DomiciledRun(spark, sf_dir).numbered()
 
 
 def numbered_ordinary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,9 +69,7 @@ def numbered_ordinary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lines_domiciled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = numbered_domiciled(spark, sf_dir)
-    return payment_lines(n, params("domiciled"), nr="nr", amount="SaldoCliente", tax_id="CF",
-                         name="Denominazione", key="Cliente")
+    return DomiciledRun(spark, sf_dir).lines()
 
 
 def lines_ordinary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,11 +91,42 @@ def keys_from_lines(lines: DataFrame, line_col: str = "line") -> DataFrame:
             .select(*cols, F.substring(F.col(line_col), 57, 30).alias("CodiceUnivoco")))
 
 
-def movements_with_codes(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:
+def attach_codes(movs: DataFrame, lines: DataFrame) -> DataFrame:
     """Movements with ``CodiceUnivoco`` looked up by the first 8 characters of each file key;
     an unmatched customer keeps its own code (pandas ``replace`` fallback)."""
-    lines = lines if lines is not None else lines_domiciled(spark, sf_dir)
     # A later key with the same 8-character prefix wins, as in a dict built in file order.
     keys = (keys_from_lines(lines).groupBy(F.left("CodiceUnivoco", F.lit(8)).alias("k"))
             .agg(F.max_by("CodiceUnivoco", "seq").alias("CodiceUnivoco")))
-    return lookup_fallback(movements(spark, sf_dir), "Cliente", keys, "k", "CodiceUnivoco", "CodiceUnivoco")
+    return lookup_fallback(movs, "Cliente", keys, "k", "CodiceUnivoco", "CodiceUnivoco")
+
+
+class DomiciledRun:
+    """One domiciled refund run: the ledger summary is materialized once and shared by the
+    candidates, their numbers, the payment lines and the reconciliation movements."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark = spark
+        self.led, self.summary = ledger_summary(spark, sf_dir)
+        self._numbered = None
+
+    def candidates(self) -> DataFrame:
+        return L.refund_candidates_domiciled(self.led.accounts, self.led.customers, self.summary, self.led.excluded)
+
+    def numbered(self) -> DataFrame:
+        if self._numbered is None:
+            self._numbered = number_dense(self.candidates(), ["Cliente"], out="nr")
+        return self._numbered
+
+    def lines(self) -> DataFrame:
+        return payment_lines(self.numbered(), params("domiciled"), nr="nr", amount="SaldoCliente", tax_id="CF",
+                             name="Denominazione", key="Cliente")
+
+    def movements(self) -> DataFrame:
+        return L.refund_movements(self.led.accounts, self.led.customers, self.summary, self.led.excluded)
+
+    def movements_with_codes(self, lines: DataFrame | None = None) -> DataFrame:
+        return attach_codes(self.movements(), lines if lines is not None else self.lines())
+
+
+def movements_with_codes(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:
+    return DomiciledRun(spark, sf_dir).movements_with_codes(lines)
