@@ -33,7 +33,7 @@ def amount_cents(c) -> Column:
 
     Works on the decimal value (no binary-float formatting), then pads to at least three digits.
     """
-    cents = (F.abs(F.bround(_col(c).cast("decimal(38,2)"), 2)) * 100).cast("decimal(38,0)").cast("string")
+    cents = (F.abs(F.bround(_col(c), 2)) * 100).cast("decimal(38,0)").cast("string")
     return pad_left(cents, "0", 3)
 
 

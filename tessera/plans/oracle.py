@@ -38,7 +38,7 @@ def digits(key_expr: str, n: int) -> str:
 
 
 def cents(expr: str) -> str:
-    return pad_left(f"CAST(CAST(abs(round_even(CAST({expr} AS DECIMAL(38,2)), 2)) * 100 AS DECIMAL(38,0)) AS VARCHAR)",
+    return pad_left(f"CAST(CAST(abs(round_even(CAST({expr} AS DECIMAL(38,6)), 2)) * 100 AS DECIMAL(38,0)) AS VARCHAR)",
                     "0", 3)
 
 
