@@ -160,23 +160,17 @@ def refund_movements(accounts: DataFrame, customers: DataFrame, entry_amts: Data
     """Domiciled candidates fanned out to their open documents (one row per customer and document).
 
     Columns: Cliente, SaldoCliente, CF, Denominazione, Nrdocumento, ImportoResiduoCompleto.
+
+    The reference joins every qualifying *account* to every open document of its customer and
+    then takes DISTINCT, i.e. accounts × documents per customer. All output columns other than
+    the document are per customer, and the account conditions are existential, so the same
+    result is the one-row-per-customer candidate list joined to the customer's documents: no
+    per-customer pair explosion, and the join is 1:N on the customer key.
     """
-    j = accounts_with_balances(accounts, customers, entry_amts, exclude_documents=True)
+    cands = refund_candidates_domiciled(accounts, customers, entry_amts, excluded, lo, hi)
     mv = residual_by_document(entry_amts).withColumnRenamed("CustomerNo", "MvCustomerNo")
-    j = j.join(mv, mv.MvCustomerNo == F.col("CA.CustomerNo"), "inner")
-    j = j.where(F.col("CA.AccountStatus").isin(*DOMICILED_STATUSES)
-                & filter_closed(F.col("SaldoCliente"), lo, hi)
-                & (F.col("SaldoFornitura") < 0)
-                & (F.length(F.col("C.FiscalCode")) == FISCAL_CODE_LEN))
-    j = not_excluded(j, "CA.CustomerNo", excluded)
-    out = j.select(F.col("CA.CustomerNo").alias("Cliente"),
-                   F.col("SaldoCliente"),
-                   F.col("C.FiscalCode").alias("CF"),
-                   fold_name(F.col("C.FullName"), F.col("C.Name")).alias("Denominazione"),
-                   F.col("Nrdocumento"),
-                   F.col("ImportoResiduoCompleto")).distinct()
-    return (out.withColumn("SaldoCliente", round_2("SaldoCliente"))
-            .withColumn("ImportoResiduoCompleto", round_2("ImportoResiduoCompleto")))
+    out = cands.join(mv, cands.Cliente == mv.MvCustomerNo, "inner").drop("MvCustomerNo")
+    return out.withColumn("ImportoResiduoCompleto", round_2("ImportoResiduoCompleto"))
 
 
 def credits_by_code(credits: DataFrame, code: str = "Codice_Cliente", amount: str = "Avere") -> DataFrame:

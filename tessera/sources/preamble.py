@@ -1,9 +1,11 @@
 """Registry files with a preamble line: ``company;zone;…;vat``, then the real header, then rows.
 
-Each file is read whole (``wholetext``: one row per file, files in parallel); its lines are
-exploded with their position, so the preamble and the header of *that* file are joined back to
-its own rows. Rows become ``map(header → value)``, so files whose columns move between months are
-read by name. Quoted line breaks are not supported (lines are split on line breaks).
+Files are read line by line (splittable: a large file is spread over many tasks). The preamble
+and header of a file are the first two lines of the split that starts at offset 0 of that file:
+inside a split lines are scanned in file order, so they are the two smallest row ids of that
+split. Each file's preamble and header are joined back to its own rows, and rows become
+``map(header → value)`` so files whose columns move between months are read by name. Quoted
+line breaks are not supported.
 """
 
 from __future__ import annotations
@@ -12,36 +14,41 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _lines(spark: SparkSession, path: str, encoding: str) -> DataFrame:
+    if encoding.upper().replace("-", "") == "UTF8":
+        raw = spark.read.text(path)
+    else:  # one string column per line in another encoding (no quoting, no field splitting)
+        raw = (spark.read.schema("value string").option("sep", "\u0001").option("quote", "")
+               .option("encoding", encoding).option("header", "false").csv(path))
+    return raw.select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_name").alias("file_name"),
+                      F.col("_metadata.file_block_start").alias("block"),
+                      F.monotonically_increasing_id().alias("rid"), F.col("value").alias("line"))
+
+
 def scan_preamble_csv(spark: SparkSession, path: str, sep: str = ";", encoding: str = "UTF-8",
                       header_keys=None) -> DataFrame:
     """Rows ``(file_name, company, zone, vat, line_no, fields map)``; ``header_keys`` may rewrite the
-    header array (a function Column → Column applied per file) before it becomes the map keys."""
-    # ``text(..., wholetext=True)``: the keyword must be passed, a reader option is overridden by it.
-    if encoding.upper().replace("-", "") in ("UTF8",):
-        raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file_name"),
-                                                           F.col("value"))
-    else:
-        raw = (spark.read.format("binaryFile").load(path)
-               .select(F.col("_metadata.file_name").alias("file_name"), F.decode("content", encoding).alias("value")))
-    lines = raw.select("file_name", F.posexplode(F.split(F.regexp_replace("value", "\r\n", "\n"), "\n")).alias("pos", "line"))
-    lines = lines.where(F.length("line") > 0)
-    pre = (lines.where(F.col("pos") == 0)
-           .select("file_name", F.split("line", sep, -1).alias("pre")))
-    head = lines.where(F.col("pos") == 1).select("file_name", F.split("line", sep, -1).alias("header"))
+    header array (a function Column → Column applied per file) before it becomes the map keys.
+    ``line_no`` orders the rows of a file (not a dense line number). A header-only file gives no rows."""
+    lines = _lines(spark, path, encoding)
+    first_split = lines.where(F.col("block") == 0)
+    pre = (first_split.groupBy("file_path")
+           .agg(F.min("rid").alias("rid0"), F.min_by("line", "rid").alias("pre_line")))
+    head = (first_split.join(pre, "file_path").where(F.col("rid") == F.col("rid0") + 1)
+            .select("file_path", F.split("line", sep, -1).alias("header")))
     if header_keys is not None:
         head = head.withColumn("header", header_keys(F.col("header")))
-    body = lines.where(F.col("pos") >= 2).select("file_name", (F.col("pos") - 1).alias("line_no"),
-                                                  F.split("line", sep, -1).alias("fields"))
-    meta = pre.join(head, "file_name")
-    rows = body.join(meta, "file_name")
+    meta = pre.join(head, "file_path").select("file_path", "rid0", F.split("pre_line", sep, -1).alias("pre"), "header")
+    body = lines.join(meta, "file_path").where(
+        ((F.col("block") > 0) | (F.col("rid") > F.col("rid0") + 1)) & (F.length("line") > 0))
     n = F.size("header")
-    fields = F.slice(F.concat(F.col("fields"), F.array_repeat(F.lit(None).cast("string"), n)), 1, n)
-    return rows.select(
+    fields = F.slice(F.concat(F.split("line", sep, -1), F.array_repeat(F.lit(None).cast("string"), n)), 1, n)
+    return body.select(
         "file_name",
         F.element_at("pre", 1).alias("company"),
         F.element_at("pre", 2).alias("zone"),
         F.element_at("pre", -1).alias("vat"),
-        "line_no",
+        (F.col("block") * F.lit(1 << 20) + F.col("rid") - F.col("rid0")).alias("line_no"),
         F.map_from_arrays(F.col("header"), fields).alias("fields"))
 
 

@@ -124,3 +124,22 @@ def test_preamble_fields_by_name(spark, tmp_dir):
     rows = P.scan_preamble_csv(spark, f"{tmp_dir}/p").orderBy("line_no").collect()
     assert [(r.company, r.zone, r.vat, r.fields.get("A"), r.fields.get("B")) for r in rows] == [
         ("Co", "Z", "V", "1", "2"), ("Co", "Z", "V", None, "3")]
+
+
+def test_preamble_file_split_over_many_tasks(spark, tmp_dir):
+    body = "\n".join(f"{i};{i * 2}" for i in range(3000))
+    write(f"{tmp_dir}/big/202401_a.csv", "Co;Z;V\nA;B\n" + body + "\n")
+    write(f"{tmp_dir}/big/202402_b.csv", "Co2;Z2;V2\nB;A\n" + body + "\n")
+    key = "spark.sql.files.maxPartitionBytes"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "2048")
+    try:
+        df = P.scan_preamble_csv(spark, f"{tmp_dir}/big")
+        assert df.rdd.getNumPartitions() > 4
+        rows = df.select("company", P.field("A").alias("a"), P.field("B").alias("b")).collect()
+    finally:
+        spark.conf.set(key, old)
+    assert len(rows) == 6000
+    a = sorted((int(r.a), int(r.b)) for r in rows if r.company == "Co")
+    b = sorted((int(r.b), int(r.a)) for r in rows if r.company == "Co2")
+    assert a == b == [(i, i * 2) for i in range(3000)]
