@@ -52,17 +52,16 @@ def ledger_summary(entry_amts: DataFrame, materialize: bool = True) -> DataFrame
 
     Customer, account and document balances are all roll-ups of this table (a sum of partial
     sums, null only when every contribution is null, equals the direct sum), so the entry-level
-    join and its shuffle run once for all of them. ``materialize`` writes it with a reliable
-    checkpoint (shared storage): the roll-ups read it instead of recomputing the ledger, and the
+    join and its shuffle run once for all of them. ``materialize`` writes it as a Parquet table in
+    the shared checkpoint folder: the roll-ups read it instead of recomputing the ledger, and the
     lineage is cut so a lost executor does not replay the ledger scan. The result keeps the
     column names of ``entry_amounts`` so every roll-up below accepts either table.
     """
     summary = (entry_amts.groupBy("CustomerNo", "CustomerAccountNo", "DocumentNo")
                .agg(F.sum("detail_sum").alias("detail_sum"), F.sum("detail_sum_open").alias("detail_sum_open")))
     if materialize:
-        from ..session import checkpoint_root
-        checkpoint_root(summary.sparkSession)
-        summary = summary.checkpoint(eager=True)
+        from ..session import materialize as write_back
+        summary = write_back(summary, "ledger-summary")
     return summary
 
 

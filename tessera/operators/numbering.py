@@ -2,9 +2,9 @@
 
 Plan: a global sort (range partitioning from a sample of the sort keys, so a hot customer is
 split across partitions by the tie-breaker), the position of each row inside its partition, a
-reliable checkpoint so both uses of the sorted rows see the same partition assignment, per-
-partition counts (one row per partition), their prefix sums, and a broadcast join of those
-offsets. The broadcast side has exactly one row per partition, so its size is bounded by the
+written table in the shared checkpoint folder so both uses of the sorted rows see the same
+partition assignment, per-partition counts (one row per partition), their prefix sums, and a
+broadcast join of those offsets. The broadcast side has exactly one row per partition, so its size is bounded by the
 partition count, not by the data.
 """
 
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_root
+from ..session import materialize
 
 _LOCAL_MASK = (1 << 33) - 1
 
@@ -23,12 +23,10 @@ def number_dense(df: DataFrame, order_cols: list, out: str = "nr", start: int =
 
     ``order_cols`` must define a total order (add a tie-breaker) for the numbers to be stable.
     """
-    spark = df.sparkSession
-    checkpoint_root(spark)  # make sure a reliable checkpoint folder is registered
     ordered = (df.orderBy(*order_cols)
                .withColumn("__pid", F.spark_partition_id())
                .withColumn("__local", F.monotonically_increasing_id().bitwiseAND(F.lit(_LOCAL_MASK))))
-    ordered = ordered.checkpoint(eager=True)
+    ordered = materialize(ordered, "numbered")
     counts = ordered.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
     w = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("__pid", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__off"))

@@ -18,6 +18,7 @@ from ..functions.dates import filename_period_next, parse_dayfirst
 from ..functions.numbers import comma_decimal, round_3, to_int_floor
 from ..functions.text import pad_left, truncate_id
 from ..operators.reshape import pad_id_columns, unpivot_zones
+from ..session import materialize
 from ..sinks import tables as SK
 from ..sources import archives as A
 from ..sources import csv as CSV
@@ -250,10 +251,10 @@ def supply_point_cast(df: DataFrame) -> DataFrame:
 def supply_point_import(spark: SparkSession, archive_folder: str, extract_to: str, load_ts: str = LOAD_TS) -> DataFrame:
     """Nested zips → extracted register files → 73-column table.
 
-    The listing of extracted members is checkpointed (reliably) so the extraction runs once; the
+    The listing of extracted members is written as a table so the extraction runs exactly once; the
     batch period comes from the last ``REP_ELE`` name; rows with too many fields are dropped.
     """
-    listing = A.extract_archives(spark, archive_folder, extract_to).checkpoint(eager=True)
+    listing = materialize(A.extract_archives(spark, archive_folder, extract_to), "extracted-listing")
     period = LS.period_of_batch(listing.select(F.element_at(F.split("member", "/"), -1).alias("name")))
     raw = CSV.scan_csv_bad_rows(spark, extract_to, sep=";", encoding=CSV.LATIN1)
     raw = raw.withColumn("COD_POD", truncate_id("COD_POD", POD_LEN))

@@ -54,12 +54,9 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared checkpoint root (never reused between calls)."""
+    """A fresh, not yet existing folder name under the shared checkpoint root (never reused)."""
     root = checkpoint_root(spark)
-    path = f"{root}/tessera-scratch/{name}-{uuid.uuid4().hex[:12]}"
-    if "://" not in path or path.startswith("file:"):
-        os.makedirs(path.replace("file:", "", 1), exist_ok=True)
-    return path
+    return f"{root}/tessera-scratch/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def local_path(path: str) -> str:
@@ -77,3 +74,14 @@ def arrow_fs(path: str):
     if path.startswith("file:") or "://" not in path:
         return pafs.LocalFileSystem(), local_path(path)
     return pafs.FileSystem.from_uri(path)
+
+
+def materialize(df, name: str):
+    """Write ``df`` as a Parquet table in the shared checkpoint folder and read it back.
+
+    Cuts the lineage (a lost executor re-reads the table instead of replaying the plan), lets two
+    consumers share one computation, and gives AQE real sizes and column pruning on read-back.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
