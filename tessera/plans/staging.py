@@ -19,8 +19,11 @@ def write_text_files(df: DataFrame, dest: str, key_col: str, head_col: str, text
                      name_fmt: str = "{key}_{tag}.csv", encoding: str = "UTF-8") -> int:
     """In every partition, write one file per ``key_col`` value: its ``head_col`` text (one or more
     lines, same for all rows of the key), then the ``text_col`` lines of its rows. Returns rows written."""
+    import uuid
+    call_tag = uuid.uuid4().hex[:8]  # one per call; file names are then fixed per partition
+
     def write(batches):
-        import uuid
+        from pyspark import TaskContext
         from tessera.session import arrow_fs
         filesystem, root = arrow_fs(dest)
         filesystem.create_dir(root, recursive=True)
@@ -29,7 +32,8 @@ def write_text_files(df: DataFrame, dest: str, key_col: str, head_col: str, text
             yield pd.DataFrame({"n": []})
             return
         pdf = pd.concat(frames, ignore_index=True)
-        tag = uuid.uuid4().hex[:10]
+        # Same names on a task retry: a re-run overwrites its own files instead of adding copies.
+        tag = f"{call_tag}_{TaskContext.get().partitionId():05d}"
         total = 0
         for key, grp in pdf.groupby(key_col, sort=True):
             body = [grp[head_col].iloc[0]] + grp[text_col].tolist()
