@@ -81,7 +81,7 @@ def registry_import(spark: SparkSession, folder: str, load_ts: str = LOAD_TS) ->
             cols[f"F{b}_{m}"] = f(f"F{b}_{m}").cast("double")
     for c in ("CONSUMO_TOT", "CONSUMO_F1", "CONSUMO_F2", "CONSUMO_F3"):
         cols[c] = comma_decimal(f(c))
-    cols["DateUp"] = F.to_timestamp(F.lit(load_ts))
+    cols["DateUp"] = F.lit(load_ts).cast("timestamp_ntz")
     return rows.select(*[v.alias(k) for k, v in cols.items()])
 
 
@@ -189,7 +189,7 @@ def price_import(spark: SparkSession, folder: str, start: str, end: str, load_ts
     long = unpivot_zones(rows, ["Data", "Ora"], "Zona", "Prezzo")
     return long.select(F.to_date("Data", "yyyyMMdd").alias("Data"), F.col("Ora").cast("int").alias("Ora"),
                        F.col("Zona").cast("string").alias("Zona"), comma_decimal("Prezzo").alias("Prezzo"),
-                       F.to_timestamp(F.lit(load_ts)).alias("DateUp"))
+                       F.lit(load_ts).cast("timestamp_ntz").alias("DateUp"))
 
 
 _PRICE_BASE = """FROM events GROUP BY CAST(ts AS DATE), hour(ts)"""
@@ -258,7 +258,7 @@ def supply_point_import(spark: SparkSession, archive_folder: str, extract_to: st
     period = LS.period_of_batch(listing.select(F.element_at(F.split("member", "/"), -1).alias("name")))
     raw = CSV.scan_csv_bad_rows(spark, extract_to, sep=";", encoding=CSV.LATIN1)
     raw = raw.withColumn("COD_POD", truncate_id("COD_POD", POD_LEN))
-    raw = raw.crossJoin(F.broadcast(period)).withColumn("DateUp", F.to_timestamp(F.lit(load_ts)))
+    raw = raw.crossJoin(F.broadcast(period)).withColumn("DateUp", F.lit(load_ts).cast("timestamp_ntz"))
     return supply_point_cast(raw.select(*SUPPLY_POINT_COLUMNS))
 
 
