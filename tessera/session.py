@@ -28,6 +28,10 @@ def build_session(master: str | None = None, app_name: str = "tessera", shuffle_
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
+        # HotSpot does not JIT methods over 8000 bytecode bytes: wide projections (70+ cleaned CSV
+        # columns) then run interpreted inside whole-stage codegen. At 8000 such a stage falls back
+        # to per-expression compiled projections (measured 2x faster on the register import).
+        "spark.sql.codegen.hugeMethodLimit": "8000",
     }
     if shuffle_partitions is not None:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
