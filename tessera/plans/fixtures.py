@@ -61,10 +61,13 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One entry per distinct (order, line); customer from the order; document kind by line number."""
     li = read_table(spark, sf_dir, "lineitem")
     o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    pairs = li.select("l_orderkey", "l_linenumber").distinct()
+    # Distinct entries keyed by EntryNo (which determines the order and line), so the entries are
+    # hash-partitioned like the per-entry detail sums they are joined to.
+    pairs = (li.groupBy(entry_no().alias("EntryNo"))
+             .agg(F.max("l_orderkey").alias("l_orderkey"), F.max("l_linenumber").alias("l_linenumber")))
     doc_kind = (F.when(F.col("l_linenumber") == 7, "CRP").when(F.col("l_linenumber") == 6, "CRN").otherwise("FT"))
     return (pairs.join(o, pairs.l_orderkey == o.o_orderkey, "inner")
-            .select(entry_no().alias("EntryNo"),
+            .select("EntryNo",
                     customer_code("o_custkey").alias("CustomerNo"),
                     F.col("l_orderkey").cast("string").alias("CustomerAccountNo"),
                     F.concat(doc_kind, F.col("l_orderkey").cast("string")).alias("DocumentNo")))

@@ -255,10 +255,11 @@ def supply_point_import(spark: SparkSession, archive_folder: str, extract_to: st
     batch period comes from the last ``REP_ELE`` name; rows with too many fields are dropped.
     """
     listing = materialize(A.extract_archives(spark, archive_folder, extract_to), "extracted-listing")
-    period = LS.period_of_batch(listing.select(F.element_at(F.split("member", "/"), -1).alias("name")))
+    # The batch period is one value for the whole batch (one aggregate row), applied as constants.
+    period = LS.period_of_batch(listing.select(F.element_at(F.split("member", "/"), -1).alias("name"))).first()
     raw = CSV.scan_csv_bad_rows(spark, extract_to, sep=";", encoding=CSV.LATIN1)
-    raw = raw.withColumn("COD_POD", truncate_id("COD_POD", POD_LEN))
-    raw = raw.crossJoin(F.broadcast(period)).withColumn("DateUp", F.lit(load_ts).cast("timestamp_ntz"))
+    raw = raw.withColumns({"COD_POD": truncate_id("COD_POD", POD_LEN), "Anno": F.lit(period.Anno),
+                           "Mese": F.lit(period.Mese), "DateUp": F.lit(load_ts).cast("timestamp_ntz")})
     return supply_point_cast(raw.select(*SUPPLY_POINT_COLUMNS))
 
 

@@ -52,9 +52,11 @@ def record_count(spark, sf):
     n = J.numbered_domiciled(spark, sf)
     lines = R.payment_lines(n, J.params("domiciled"), nr="nr", amount="SaldoCliente", tax_id="CF",
                             name="Denominazione", key="Cliente")
-    counted = lines.agg(F.count(F.lit(1)).alias("n_lines"))
-    expected = n.agg((F.count(F.lit(1)) * R.LINES_PER_PAYMENT + 2).alias("record_count"))
-    return counted.crossJoin(expected)
+    # one aggregate over both inputs: physical lines, and 7 per payment + header + trailer
+    both = (lines.select(F.lit(1).alias("is_line"), F.lit(0).alias("is_payment"))
+            .unionByName(n.select(F.lit(0).alias("is_line"), F.lit(1).alias("is_payment"))))
+    return both.agg(F.sum("is_line").cast("bigint").alias("n_lines"),
+                    (F.sum("is_payment") * R.LINES_PER_PAYMENT + 2).cast("bigint").alias("record_count"))
 
 
 @register("distinct_rows", W("SELECT DISTINCT CustomerNo AS Cliente FROM ca_account WHERE AccountStatus IN (1, 4, 5)"))
