@@ -7,10 +7,6 @@ partition, so part files ``part-00000…`` are in file order and no single task
 
 from __future__ import annotations
 
-import glob
-import os
-import shutil
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,18 +26,27 @@ def scan_fixed_width(spark: SparkSession, path: str, prefix: str = " 70", offset
             .select(F.substring("value", offset + 1, length).alias("CodiceUnivoco")))
 
 
-def merge_parts(folder: str, dest: str, drop_final_newline: bool = True) -> None:
-    """Concatenate ``part-*`` files of a local folder in name order into ``dest`` (the bank file)."""
-    parts = sorted(glob.glob(os.path.join(folder, "part-*")))
-    with open(dest, "wb") as out:
+def merge_parts(folder: str, dest: str, drop_final_newline: bool = True, chunk: int = 8 << 20) -> None:
+    """Concatenate the ``part-*`` files of ``folder`` in name order into the single file ``dest``
+    (the bank file), streaming fixed-size chunks; works on any filesystem pyarrow can open."""
+    from ..session import arrow_fs
+    from pyarrow import fs as pafs
+    src_fs, src = arrow_fs(folder)
+    dst_fs, dst = arrow_fs(dest)
+    parts = sorted((i.path for i in src_fs.get_file_info(pafs.FileSelector(src))
+                    if i.type == pafs.FileType.File and i.base_name.startswith("part-")))
+    last = b""
+    with dst_fs.open_output_stream(dst) as out:
         for p in parts:
-            with open(p, "rb") as fh:
-                shutil.copyfileobj(fh, out)
-    if drop_final_newline and parts:
-        with open(dest, "rb+") as out:
-            out.seek(0, os.SEEK_END)
-            if out.tell() > 0:
-                out.seek(-1, os.SEEK_END)
-                if out.read(1) == b"\n":
-                    out.seek(-1, os.SEEK_END)
-                    out.truncate()
+            with src_fs.open_input_stream(p) as fh:
+                while True:
+                    block = fh.read(chunk)
+                    if not block:
+                        break
+                    if last:
+                        out.write(last)
+                    last = block
+        if last:
+            if drop_final_newline and last.endswith(b"\n"):
+                last = last[:-1]
+            out.write(last)

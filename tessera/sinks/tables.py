@@ -26,7 +26,27 @@ def _save(w, target: str, as_table: bool) -> None:
         w.save(target)
 
 
-def sink_append(df: DataFrame, target: str, as_table: bool = False, fmt: str = "parquet") -> None:
+def _target_columns(spark: SparkSession, target: str, as_table: bool, fmt: str) -> list[str] | None:
+    try:
+        t = spark.table(target) if as_table else spark.read.format(fmt).load(target)
+        return t.columns
+    except Exception:  # noqa: BLE001 - target does not exist yet
+        return None
+
+
+def sink_append(df: DataFrame, target: str, as_table: bool = False, fmt: str = "parquet",
+                by_position: bool = False) -> None:
+    """Append rows. ``by_position`` maps columns to the existing target's columns by position (a
+    headerless file loaded into a table); otherwise columns are matched by name."""
+    if by_position:
+        cols = _target_columns(df.sparkSession, target, as_table, fmt)
+        if cols is not None:
+            if len(cols) != len(df.columns):
+                raise ValueError(f"{len(df.columns)} columns for a target with {len(cols)}")
+            df = df.toDF(*cols)
+        if as_table and cols is not None:
+            df.write.insertInto(target)
+            return
     _save(_writer(df, "append", fmt), target, as_table)
 
 

@@ -59,3 +59,10 @@ def test_stream_ingest_exactly_once(spark, tmp_dir):
     ingest_stream(spark, land, schema, out, ck)
     got = sorted((r.a, r.b, r.file_name) for r in spark.read.parquet(out).collect())
     assert got == [("1", "x", "f1.csv"), ("2", None, "f1.csv"), ("3", "y", "f2.csv")]
+
+
+def test_append_by_position(spark, tmp_dir):
+    SK.sink_append(spark.createDataFrame([(1, "a")], "Data int, Zona string"), f"{tmp_dir}/p")
+    SK.sink_append(spark.createDataFrame([(2, "b")], "_c0 int, _c1 string"), f"{tmp_dir}/p", by_position=True)
+    got = sorted(tuple(r) for r in spark.read.parquet(f"{tmp_dir}/p").collect())
+    assert got == [(1, "a"), (2, "b")]
