@@ -112,3 +112,34 @@ def test_validate_range(spark):
     ok, reason = S.validate_range(F.col("a"), F.col("b"))
     got = [r.ok for r in df.select(ok.alias("ok")).collect()]
     assert got == [False, True, False]
+
+
+codes = st.sampled_from(["cl1", "CL1", "Cl2", "cl3", None])
+amounts = st.one_of(st.none(), st.decimals(min_value=-100, max_value=7000, places=2, allow_nan=False))
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.tuples(codes, amounts), min_size=1, max_size=25))
+def test_credits_by_code_matches_pandas(spark, rows):
+    from tessera.operators.ledger import credits_by_code
+    df = spark.createDataFrame(rows, "Codice_Cliente string, Avere decimal(18,2)")
+    got = {r.Codice_Cliente: r.Avere for r in credits_by_code(df).collect()}
+    pdf = pd.DataFrame(rows, columns=["Codice Cliente", "Avere"])
+    pdf["Codice Cliente"] = pdf["Codice Cliente"].str.upper()
+    want = pdf.groupby("Codice Cliente").agg(Avere=("Avere", "sum")).reset_index()
+    assert got == {k: Decimal(str(v)).quantize(Decimal("0.01")) for k, v in zip(want["Codice Cliente"], want["Avere"])}
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 5), st.one_of(st.none(), st.floats(-1e3, 1e3, allow_nan=False)),
+                          st.one_of(st.none(), st.floats(-1e3, 1e3, allow_nan=False))), min_size=1, max_size=15))
+def test_unpivot_matches_melt(spark, rows):
+    from tessera.operators.reshape import unpivot_zones
+    rows = [(i, h, a, b) for i, (h, a, b) in enumerate(rows)]
+    df = spark.createDataFrame(rows, "Data long, Ora long, NORD double, SUD double")
+    got = sorted((r.Data, r.Ora, r.Zona, r.Prezzo) for r in unpivot_zones(df, ["Data", "Ora"]).collect())
+    pdf = pd.DataFrame(rows, columns=["Data", "Ora", "NORD", "SUD"])
+    melt = pd.melt(pdf, id_vars=["Data", "Ora"], value_vars=["NORD", "SUD"], var_name="Zona",
+                   value_name="Prezzo").dropna(axis=0, how="any")
+    want = sorted((int(a), int(b), c, float(d)) for a, b, c, d in melt.itertuples(index=False))
+    assert got == want
