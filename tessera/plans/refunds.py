@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import ledger as L
 from ..operators.joins import left_join_suffixed, lookup_fallback
 from ..operators.numbering import number_dense
-from ..operators.records import FileParams, payment_lines
+from ..operators.records import FileParams, payment_key, payment_lines
 from ..functions.text import coalesce_id, fold_name
 from . import fixtures as X
 
@@ -91,11 +91,13 @@ def keys_from_lines(lines: DataFrame, line_col: str = "line") -> DataFrame:
             .select(*cols, F.substring(F.col(line_col), 57, 30).alias("CodiceUnivoco")))
 
 
-def attach_codes(movs: DataFrame, lines: DataFrame) -> DataFrame:
-    """Movements with ``CodiceUnivoco`` looked up by the first 8 characters of each file key;
-    an unmatched customer keeps its own code (pandas ``replace`` fallback)."""
+def attach_codes(movs: DataFrame, lines: DataFrame | None = None, keys: DataFrame | None = None) -> DataFrame:
+    """Movements with ``CodiceUnivoco`` looked up by the first 8 characters of each payment key;
+    an unmatched customer keeps its own code (pandas ``replace`` fallback). The keys come from the
+    written file's lines, or directly as ``(seq, CodiceUnivoco)`` rows."""
+    keys = keys if keys is not None else keys_from_lines(lines)
     # A later key with the same 8-character prefix wins, as in a dict built in file order.
-    keys = (keys_from_lines(lines).groupBy(F.left("CodiceUnivoco", F.lit(8)).alias("k"))
+    keys = (keys.groupBy(F.left("CodiceUnivoco", F.lit(8)).alias("k"))
             .agg(F.max_by("CodiceUnivoco", "seq").alias("CodiceUnivoco")))
     return lookup_fallback(movs, "Cliente", keys, "k", "CodiceUnivoco", "CodiceUnivoco")
 
@@ -124,8 +126,18 @@ class DomiciledRun:
     def movements(self) -> DataFrame:
         return L.refund_movements(self.led.accounts, self.led.customers, self.summary, self.led.excluded)
 
+    def payment_keys(self) -> DataFrame:
+        """The record-70 keys of the file, straight from the candidates: a key depends only on the
+        run id and the customer, so no numbering or line building is needed to know them."""
+        return self.candidates().select(F.lit(0).alias("seq"),
+                                        payment_key(params("domiciled"), F.col("Cliente")).alias("CodiceUnivoco"))
+
     def movements_with_codes(self, lines: DataFrame | None = None) -> DataFrame:
-        return attach_codes(self.movements(), lines if lines is not None else self.lines())
+        """Movements with their payment keys: read back from written ``lines`` when given (the
+        file round trip), else derived from the candidates (same keys, fewer jobs)."""
+        if lines is not None:
+            return attach_codes(self.movements(), lines=lines)
+        return attach_codes(self.movements(), keys=self.payment_keys())
 
 
 def movements_with_codes(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:
