@@ -141,9 +141,10 @@ def replace_flow15(spark: SparkSession, folder: str, target: str) -> str:
     return JB.flow15_replace(spark, folder, target)
 
 
-def share(spark: SparkSession, target: str, sql: str | None = None, table: str | None = None) -> str:
-    """Table or SQL result → ``;`` CSV with ``PDR`` identifiers zero-padded to 14."""
-    return JB.share_export(spark, target, sql=sql, table=table)
+def share(spark: SparkSession, target: str, sql: str | None = None, table: str | None = None,
+          single_file: str | None = None) -> str:
+    """Table or SQL result → ``;`` CSV with ``PDR`` identifiers zero-padded to 14 (one file if asked)."""
+    return JB.share_export(spark, target, sql=sql, table=table, single_file=single_file)
 
 
 def pipeline_status(runs: DataFrame, pipeline: str = "pipeline", ts: str = "ts", tie: str = "run_id",

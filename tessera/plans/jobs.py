@@ -377,8 +377,18 @@ def flow15_replace(spark: SparkSession, folder: str, target: str) -> str:
     return "loaded"
 
 
-def share_export(spark: SparkSession, target: str, sql: str | None = None, table: str | None = None) -> str:
-    """Table or SQL result → identifiers of ``PDR`` columns zero-padded to 14 → ``;`` CSV with header."""
-    df = spark.sql(sql) if sql else spark.table(table)
-    SK.sink_csv(pad_id_columns(df, "PDR", 14), target, sep=";", header=True, encoding="UTF-8")
-    return target
+def share_export(spark: SparkSession, target: str, sql: str | None = None, table: str | None = None,
+                 single_file: str | None = None) -> str:
+    """Table or SQL result → identifiers of ``PDR`` columns zero-padded to 14 → ``;`` CSV with header.
+
+    ``target`` receives the part files (each with the header). With ``single_file`` the parts are
+    written without header and streamed into that one file behind a single header line.
+    """
+    from ..sinks.fixed_width import merge_parts
+    df = pad_id_columns(spark.sql(sql) if sql else spark.table(table), "PDR", 14)
+    if single_file is None:
+        SK.sink_csv(df, target, sep=";", header=True, encoding="UTF-8")
+        return target
+    SK.sink_csv(df, target, sep=";", header=False, encoding="UTF-8")
+    merge_parts(target, single_file, drop_final_newline=False, header=";".join(df.columns))
+    return single_file

@@ -26,9 +26,11 @@ def scan_fixed_width(spark: SparkSession, path: str, prefix: str = " 70", offset
             .select(F.substring("value", offset + 1, length).alias("CodiceUnivoco")))
 
 
-def merge_parts(folder: str, dest: str, drop_final_newline: bool = True, chunk: int = 8 << 20) -> None:
+def merge_parts(folder: str, dest: str, drop_final_newline: bool = True, chunk: int = 8 << 20,
+                header: str | None = None) -> None:
     """Concatenate the ``part-*`` files of ``folder`` in name order into the single file ``dest``
-    (the bank file), streaming fixed-size chunks; works on any filesystem pyarrow can open."""
+    (the bank file), streaming fixed-size chunks; works on any filesystem pyarrow can open.
+    ``header`` (one line, no newline) is written first, e.g. for CSV parts written without one."""
     from ..session import arrow_fs
     from pyarrow import fs as pafs
     src_fs, src = arrow_fs(folder)
@@ -37,6 +39,8 @@ def merge_parts(folder: str, dest: str, drop_final_newline: bool = True, chunk:
                     if i.type == pafs.FileType.File and i.base_name.startswith("part-")))
     last = b""
     with dst_fs.open_output_stream(dst) as out:
+        if header is not None:
+            out.write((header + "\n").encode("utf-8"))
         for p in parts:
             with src_fs.open_input_stream(p) as fh:
                 while True:
