@@ -150,13 +150,12 @@ def payment_lines(numbered: DataFrame, params: FileParams, nr: str, amount: str,
     totals = numbered.agg(F.count(F.lit(1)).alias("n"),
                           F.coalesce(F.sum(total_of or amount), F.lit(0)).alias("total"),
                           F.max(F.col(nr).cast("bigint")).alias("max_nr"))
-    head = totals.select(F.lit(0).cast("bigint").alias("seq"), F.lit(0).alias("sub"),
-                         rec_head(params).alias("line"))
-    tail = totals.select((F.coalesce(F.col("max_nr"), F.lit(0)) + 1).cast("bigint").alias("seq"),
-                         F.lit(0).alias("sub"),
-                         rec_tail(params, F.col("n"), F.col("total"),
-                                  F.col("n") * LINES_PER_PAYMENT + 2).alias("line"))
-    return head.unionByName(body).unionByName(tail)
+    # header and trailer from the same single totals row (one global aggregate, computed once)
+    head = F.struct(F.lit(0).cast("bigint").alias("seq"), F.lit(0).alias("sub"), rec_head(params).alias("line"))
+    tail = F.struct((F.coalesce(F.col("max_nr"), F.lit(0)) + 1).cast("bigint").alias("seq"), F.lit(0).alias("sub"),
+                    rec_tail(params, F.col("n"), F.col("total"), F.col("n") * LINES_PER_PAYMENT + 2).alias("line"))
+    frame = totals.select(F.explode(F.array(head, tail)).alias("r")).select("r.seq", "r.sub", "r.line")
+    return frame.unionByName(body)
 
 
 def refund_totals(numbered: DataFrame, amount: str) -> DataFrame:
