@@ -58,9 +58,10 @@ def _totals(numbered: DataFrame, amount: str) -> tuple[int, str, int]:
     return int(t.n_payments), str(t.total_amount), int(t.record_count)
 
 
-def domiciled_refund_file(ledger: Ledger, out_dir: str, params: FileParams) -> RefundOutput:
+def domiciled_refund_file(ledger: Ledger, out_dir: str, params: FileParams,
+                          movements_format: str = "parquet") -> RefundOutput:
     """Domiciled refunds: candidates → numbers → payment file; movements with their payment keys,
-    read back from the written file, as a reconciliation table."""
+    read back from the written file, as a reconciliation table (Parquet, or ``csv`` with header)."""
     summary = ledger.summary()
     cands = L.refund_candidates_domiciled(ledger.accounts, ledger.customers, summary, ledger.excluded)
     numbered = number_dense(cands, ["Cliente"], out="nr")
@@ -72,7 +73,10 @@ def domiciled_refund_file(ledger: Ledger, out_dir: str, params: FileParams) -> R
                .select(F.lit(0).alias("seq"), F.col("value").alias("line")))
     movements = attach_codes(L.refund_movements(ledger.accounts, ledger.customers, summary, ledger.excluded), written)
     mv_path = f"{out_dir}/movements"
-    SK.sink_overwrite(movements, mv_path)
+    if movements_format == "csv":
+        SK.sink_csv(movements, mv_path, sep=";", header=True)
+    else:
+        SK.sink_overwrite(movements, mv_path)
     n, total, records = _totals(numbered, "SaldoCliente")
     return RefundOutput(lines_path, n, total, records, mv_path)
 
