@@ -64,7 +64,7 @@ def registry_header_keys(header: Column) -> Column:
     return F.transform(header, key)
 
 
-def registry_import(spark: SparkSession, folder: str, load_ts: str = LOAD_TS) -> DataFrame:
+def registry_import(spark: SparkSession, folder, load_ts: str = LOAD_TS) -> DataFrame:
     """Registry files → 52-column table. Period = file month + 1 (from the ``YYYYMM`` name); the
     preamble gives company (first value), zone (second) and VAT (last). POD is cut to 14."""
     rows = P.scan_preamble_csv(spark, folder, header_keys=registry_header_keys)

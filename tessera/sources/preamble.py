@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _lines(spark: SparkSession, path: str, encoding: str) -> DataFrame:
+def _lines(spark: SparkSession, path, encoding: str) -> DataFrame:
     if encoding.upper().replace("-", "") == "UTF8":
         raw = spark.read.text(path)
     else:  # one string column per line in another encoding (no quoting, no field splitting)
@@ -25,7 +25,7 @@ def _lines(spark: SparkSession, path: str, encoding: str) -> DataFrame:
                       F.monotonically_increasing_id().alias("rid"), F.col("value").alias("line"))
 
 
-def scan_preamble_csv(spark: SparkSession, path: str, sep: str = ";", encoding: str = "UTF-8",
+def scan_preamble_csv(spark: SparkSession, path, sep: str = ";", encoding: str = "UTF-8",
                       header_keys=None) -> DataFrame:
     """Rows ``(file_name, company, zone, vat, line_no, fields map)``; ``header_keys`` may rewrite the
     header array (a function Column → Column applied per file) before it becomes the map keys.

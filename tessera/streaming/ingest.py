@@ -41,3 +41,31 @@ def ingest_stream(spark: SparkSession, folder: str, schema: T.StructType, target
     q.awaitTermination()
     progress = q.lastProgress or {}
     return {"id": q.id, "numInputRows": progress.get("numInputRows", 0)}
+
+
+def ingest_files(spark: SparkSession, folder: str, job: Callable[[SparkSession, list[str]], DataFrame], target: str,
+                 checkpoint: str, pattern: str | None = None, max_files_per_trigger: int = 1000,
+                 fmt: str = "parquet") -> None:
+    """Run a file-level batch ``job(spark, paths) -> DataFrame`` over every new file of ``folder``.
+
+    The folder is a streaming ``binaryFile`` listing (only the path column is read); each micro-batch
+    holds at most ``max_files_per_trigger`` new files, whose paths are handed to the job (a bounded
+    list of names, never file contents, passes through the driver). Each batch is written to
+    ``target/batch_id=<id>`` with overwrite, so a replayed batch rewrites its own output: together
+    with the checkpoint, every file is loaded exactly once.
+    """
+    r = (spark.readStream.format("binaryFile")
+         .schema("path string, modificationTime timestamp, length long, content binary")
+         .option("maxFilesPerTrigger", max_files_per_trigger))
+    if pattern:
+        r = r.option("pathGlobFilter", pattern)
+    listing = r.load(folder).select("path")
+
+    def run_batch(batch: DataFrame, batch_id: int) -> None:
+        paths = [row.path for row in batch.collect()]
+        if paths:
+            job(spark, paths).write.mode("overwrite").format(fmt).save(f"{target}/batch_id={batch_id}")
+
+    q = (listing.writeStream.foreachBatch(run_batch).option("checkpointLocation", checkpoint)
+         .trigger(availableNow=True).start())
+    q.awaitTermination()

@@ -66,3 +66,19 @@ def test_append_by_position(spark, tmp_dir):
     SK.sink_append(spark.createDataFrame([(2, "b")], "_c0 int, _c1 string"), f"{tmp_dir}/p", by_position=True)
     got = sorted(tuple(r) for r in spark.read.parquet(f"{tmp_dir}/p").collect())
     assert got == [(1, "a"), (2, "b")]
+
+
+def test_file_job_stream_exactly_once(spark, tmp_dir):
+    from tessera.plans import jobs as JB
+    from tessera.streaming.ingest import ingest_files
+    from test_sources import registry_text
+    land, out, ck = f"{tmp_dir}/land", f"{tmp_dir}/out", f"{tmp_dir}/ck"
+    os.makedirs(land)
+    open(f"{land}/202401_a.csv", "w").write(registry_text(JB.MONTH_ORDER))
+    job = lambda s, paths: JB.registry_import(s, paths, "2024-11-25 06:30:00")
+    ingest_files(spark, land, job, out, ck, pattern="*.csv")
+    ingest_files(spark, land, job, out, ck, pattern="*.csv")  # nothing new
+    open(f"{land}/202402_b.csv", "w").write(registry_text(list(reversed(JB.MONTH_ORDER))))
+    ingest_files(spark, land, job, out, ck, pattern="*.csv")
+    got = sorted((r.Anno, r.Mese) for r in spark.read.parquet(out).collect())
+    assert got == [(2024, 2), (2024, 3)]
