@@ -14,11 +14,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names as N
-from ..functions.dates import filename_period_next, parse_dayfirst
+from ..functions.dates import filename_period_fixed, filename_period_next, parse_dayfirst
 from ..functions.numbers import comma_decimal, round_3, to_int_floor
 from ..functions.text import pad_left, truncate_id
 from ..operators.reshape import pad_id_columns, unpivot_zones
-from ..session import materialize
 from ..sinks import tables as SK
 from ..sources import archives as A
 from ..sources import csv as CSV
@@ -251,15 +250,19 @@ def supply_point_cast(df: DataFrame) -> DataFrame:
 def supply_point_import(spark: SparkSession, archive_folder: str, extract_to: str, load_ts: str = LOAD_TS) -> DataFrame:
     """Nested zips → extracted register files → 73-column table.
 
-    The listing of extracted members is written as a table so the extraction runs exactly once; the
-    batch period comes from the last ``REP_ELE`` name; rows with too many fields are dropped.
+    One action extracts every member to shared storage (in the tasks) and aggregates what the
+    load needs from the batch: the period of the last ``REP_ELE`` name ((0, 0) without one) and the
+    header line. The register files are then read in parallel; rows with too many fields are
+    dropped, short rows are null-padded. All files of a batch share the register layout.
     """
-    listing = materialize(A.extract_archives(spark, archive_folder, extract_to), "extracted-listing")
-    # The batch period is one value for the whole batch (one aggregate row), applied as constants.
-    period = LS.period_of_batch(listing.select(F.element_at(F.split("member", "/"), -1).alias("name"))).first()
-    raw = CSV.scan_csv_bad_rows(spark, extract_to, sep=";", encoding=CSV.LATIN1)
-    raw = raw.withColumns({"COD_POD": truncate_id("COD_POD", POD_LEN), "Anno": F.lit(period.Anno),
-                           "Mese": F.lit(period.Mese), "DateUp": F.lit(load_ts).cast("timestamp_ntz")})
+    members = A.extract_archives(spark, archive_folder, extract_to).select(
+        F.element_at(F.split("member", "/"), -1).alias("name"), "head")
+    y, m = filename_period_fixed(F.max(F.when(F.col("name").contains(LS.SUPPLY_POINT_MARK), F.col("name"))))
+    batch = members.agg(F.coalesce(y, F.lit(0)).alias("Anno"), F.coalesce(m, F.lit(0)).alias("Mese"),
+                        F.max_by(F.decode("head", CSV.LATIN1), F.col("name")).alias("header")).first()
+    raw = CSV.scan_csv_bad_rows(spark, extract_to, sep=";", encoding=CSV.LATIN1, names=(batch.header or "").split(";"))
+    raw = raw.withColumns({"COD_POD": truncate_id("COD_POD", POD_LEN), "Anno": F.lit(batch.Anno).cast("int"),
+                           "Mese": F.lit(batch.Mese).cast("int"), "DateUp": F.lit(load_ts).cast("timestamp_ntz")})
     return supply_point_cast(raw.select(*SUPPLY_POINT_COLUMNS))
 
 

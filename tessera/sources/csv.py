@@ -46,7 +46,7 @@ def scan_csv_text(spark: SparkSession, path: str, sep: str = ";", encoding: str
 
 
 def scan_csv_bad_rows(spark: SparkSession, path: str, sep: str = ";", encoding: str = LATIN1,
-                      tokens: list[str] | None = None) -> DataFrame:
+                      tokens: list[str] | None = None, names: list[str] | None = None) -> DataFrame:
     """All-string read that drops rows with too many fields and keeps short rows null-padded.
 
     The schema is the header plus one sentinel column: a row that fills the sentinel had more
