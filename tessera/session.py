@@ -89,3 +89,18 @@ def materialize(df, name: str):
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def drop_scratch(spark: SparkSession) -> bool:
+    """Delete this application's ``tessera-scratch`` folder (materialized intermediates, staging).
+
+    Only the folder under the application's own checkpoint subdirectory is removed; call it when
+    the run's outputs have been written and no DataFrame of the run is used any more.
+    """
+    root = spark.sparkContext.getCheckpointDir()
+    if not root:
+        return False
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/tessera-scratch")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(fs.delete(path, True))

@@ -15,6 +15,8 @@ def spark():
     from tessera.session import build_session
     s = build_session("local[*]", app_name="tessera-tests", shuffle_partitions=8)
     yield s
+    from tessera.session import drop_scratch
+    drop_scratch(s)
     s.stop()
 
 
