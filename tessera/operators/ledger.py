@@ -1,8 +1,9 @@
 """Ledger balances and refund-candidate selection.
 
 Shared plan: details are aggregated by entry once (map-side partial aggregation collapses a hot
-entry before the shuffle), joined 1:1 to entries, and that entry-level table is rolled up to
-customers, accounts and (customer, document). The correlated scalar subquery of the reference
+entry before the shuffle), joined 1:1 to entries, aggregated once more to (customer, account,
+document) — the ledger summary, written back as a table — and rolled up from there to customers,
+accounts and (customer, document). The correlated scalar subquery of the reference
 (``SUM((SELECT SUM(amount) … WHERE no = entry AND NOT doc LIKE …))``) becomes a left join plus a
 ``when`` on the outer-row predicate, so an excluded entry contributes null while its customer
 still gets a group (trap T14).
