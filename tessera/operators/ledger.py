@@ -156,7 +156,7 @@ def refund_candidates_ordinary(accounts: DataFrame, customers: DataFrame, entry_
 
 
 def refund_movements(accounts: DataFrame, customers: DataFrame, entry_amts: DataFrame,
-                     excluded: DataFrame, lo=RANGE_LO, hi=RANGE_HI) -> DataFrame:
+                     excluded: DataFrame, lo=RANGE_LO, hi=RANGE_HI, candidates: DataFrame | None = None) -> DataFrame:
     """Domiciled candidates fanned out to their open documents (one row per customer and document).
 
     Columns: Cliente, SaldoCliente, CF, Denominazione, Nrdocumento, ImportoResiduoCompleto.
@@ -165,9 +165,11 @@ def refund_movements(accounts: DataFrame, customers: DataFrame, entry_amts: Data
     then takes DISTINCT, i.e. accounts × documents per customer. All output columns other than
     the document are per customer, and the account conditions are existential, so the same
     result is the one-row-per-customer candidate list joined to the customer's documents: no
-    per-customer pair explosion, and the join is 1:N on the customer key.
+    per-customer pair explosion, and the join is 1:N on the customer key. ``candidates`` may pass
+    the already built domiciled candidate list of the same run.
     """
-    cands = refund_candidates_domiciled(accounts, customers, entry_amts, excluded, lo, hi)
+    cands = candidates if candidates is not None else refund_candidates_domiciled(
+        accounts, customers, entry_amts, excluded, lo, hi)
     mv = residual_by_document(entry_amts).withColumnRenamed("CustomerNo", "MvCustomerNo")
     out = cands.join(mv, cands.Cliente == mv.MvCustomerNo, "inner").drop("MvCustomerNo")
     return out.withColumn("ImportoResiduoCompleto", round_2("ImportoResiduoCompleto"))

@@ -110,9 +110,13 @@ class DomiciledRun:
         self.spark = spark
         self.led, self.summary = ledger_summary(spark, sf_dir)
         self._numbered = None
+        self._candidates = None
 
     def candidates(self) -> DataFrame:
-        return L.refund_candidates_domiciled(self.led.accounts, self.led.customers, self.summary, self.led.excluded)
+        if self._candidates is None:
+            self._candidates = L.refund_candidates_domiciled(self.led.accounts, self.led.customers, self.summary,
+                                                             self.led.excluded)
+        return self._candidates
 
     def numbered(self) -> DataFrame:
         if self._numbered is None:
@@ -124,7 +128,8 @@ class DomiciledRun:
                              name="Denominazione", key="Cliente")
 
     def movements(self) -> DataFrame:
-        return L.refund_movements(self.led.accounts, self.led.customers, self.summary, self.led.excluded)
+        return L.refund_movements(self.led.accounts, self.led.customers, self.summary, self.led.excluded,
+                                  candidates=self.candidates())
 
     def payment_keys(self) -> DataFrame:
         """The record-70 keys of the file, straight from the candidates: a key depends only on the
