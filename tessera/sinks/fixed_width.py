@@ -27,20 +27,32 @@ def scan_fixed_width(spark: SparkSession, path: str, prefix: str = " 70", offset
 
 
 def merge_parts(folder: str, dest: str, drop_final_newline: bool = True, chunk: int = 8 << 20,
-                header: str | None = None) -> None:
+                header: str | None = None, encoding: str = "utf-8") -> None:
     """Concatenate the ``part-*`` files of ``folder`` in name order into the single file ``dest``
     (the bank file), streaming fixed-size chunks; works on any filesystem pyarrow can open.
-    ``header`` (one line, no newline) is written first, e.g. for CSV parts written without one."""
-    from ..session import arrow_fs
+    ``header`` (one line, no newline) is written first, e.g. for CSV parts written without one.
+    ``encoding`` transcodes the UTF-8 parts (e.g. ``latin-1`` so each record's byte width equals
+    its character width); a character that does not exist in it raises.
+    """
+    import codecs
+
     from pyarrow import fs as pafs
+
+    from ..session import arrow_fs
     src_fs, src = arrow_fs(folder)
     dst_fs, dst = arrow_fs(dest)
     parts = sorted((i.path for i in src_fs.get_file_info(pafs.FileSelector(src))
                     if i.type == pafs.FileType.File and i.base_name.startswith("part-")))
+    same = codecs.lookup(encoding).name == "utf-8"
+    decoder = codecs.getincrementaldecoder("utf-8")()
+
+    def recode(block: bytes, final: bool = False) -> bytes:
+        return block if same else decoder.decode(block, final).encode(encoding)
+
     last = b""
     with dst_fs.open_output_stream(dst) as out:
         if header is not None:
-            out.write((header + "\n").encode("utf-8"))
+            out.write((header + "\n").encode(encoding))
         for p in parts:
             with src_fs.open_input_stream(p) as fh:
                 while True:
@@ -48,9 +60,8 @@ def merge_parts(folder: str, dest: str, drop_final_newline: bool = True, chunk:
                     if not block:
                         break
                     if last:
-                        out.write(last)
+                        out.write(recode(last))
                     last = block
-        if last:
-            if drop_final_newline and last.endswith(b"\n"):
-                last = last[:-1]
-            out.write(last)
+        if drop_final_newline and last.endswith(b"\n"):
+            last = last[:-1]
+        out.write(recode(last, final=True))

@@ -129,3 +129,16 @@ def test_dense_numbering_hot_key_spreads(spark):
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
+
+
+def test_merge_latin1_keeps_byte_width(spark, tmp_dir):
+    from decimal import Decimal
+    rows = [("CL000001", Decimal("-15.00"), "D" * 16, "ÉLAN PERÙ")]
+    n = number_dense(cands(spark, rows), ["Cliente"], out="nr")
+    lines = R.payment_lines(n, P, nr="nr", amount="SaldoCliente", tax_id="CF", name="Denominazione", key="Cliente")
+    FW.sink_fixed_width(lines, os.path.join(tmp_dir, "f"), partitions=2)
+    FW.merge_parts(os.path.join(tmp_dir, "f"), os.path.join(tmp_dir, "b.txt"), encoding="latin-1")
+    raw = open(os.path.join(tmp_dir, "b.txt"), "rb").read()
+    recs = raw.split(b"\n")
+    assert len(recs) == 9 and all(len(r) == 120 for r in recs)
+    assert "ÉLAN PERÙ".encode("latin-1") in raw
