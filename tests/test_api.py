@@ -55,3 +55,24 @@ def test_pipeline_status(spark):
     latest, group = api.pipeline_status(runs)
     assert {r.pipeline: r.status for r in latest.collect()} == {"a": "RUNNING", "b": "COMPLETED"}
     assert group.first().status == "In esecuzione"
+
+
+def test_command_line_domiciled(spark, tmp_dir):
+    import json
+    import os
+    import subprocess
+    import sys
+    for name, df in (("acc", X.accounts(spark, SF_SMALL)), ("cus", X.customers(spark, SF_SMALL)),
+                     ("ent", X.entries(spark, SF_SMALL)), ("det", X.details(spark, SF_SMALL)),
+                     ("exc", X.excluded(spark, SF_SMALL))):
+        df.write.parquet(f"{tmp_dir}/{name}")
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    cmd = [sys.executable, "-m", "tessera", "domiciled", "--out", f"{tmp_dir}/refund", "--run-id", "r1",
+           "--run-date", "2024-11-25", "--payer-name", "Servizi Energia S.p.A. Benefit",
+           "--accounts", f"{tmp_dir}/acc", "--customers", f"{tmp_dir}/cus", "--entries", f"{tmp_dir}/ent",
+           "--details", f"{tmp_dir}/det", "--excluded", f"{tmp_dir}/exc"]
+    res = subprocess.run(cmd, cwd=root, capture_output=True, text=True, timeout=600)
+    assert res.returncode == 0, res.stderr[-2000:]
+    out = json.loads(res.stdout.strip().splitlines()[-1])
+    assert out["n_payments"] == 82 and out["record_count"] == 7 * 82 + 2
+    assert spark.read.text(out["lines_path"]).count() == out["record_count"]
