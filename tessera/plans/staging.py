@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import scratch_path, ship_package
 
 
 def write_text_files(df: DataFrame, dest: str, key_col: str, head_col: str, text_col: str,
@@ -20,6 +20,7 @@ def write_text_files(df: DataFrame, dest: str, key_col: str, head_col: str, text
     """In every partition, write one file per ``key_col`` value: its ``head_col`` text (one or more
     lines, same for all rows of the key), then the ``text_col`` lines of its rows. Returns rows written."""
     import uuid
+    ship_package(df.sparkSession)
     call_tag = uuid.uuid4().hex[:8]  # one per call; file names are then fixed per partition
 
     def write(batches):

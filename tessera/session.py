@@ -104,3 +104,27 @@ def drop_scratch(spark: SparkSession) -> bool:
     path = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/tessera-scratch")
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     return bool(fs.delete(path, True))
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``tessera`` importable in the Python workers of this application (``--py-files``).
+
+    Python tasks (``mapInPandas``) unpickle functions of this package, so the workers must be able
+    to import it even when it is not installed on the executors. The package is zipped once per
+    application and distributed with ``SparkContext.addPyFile``.
+    """
+    import shutil
+
+    import tessera
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(tessera.__file__))
+    out = tempfile.mkdtemp(prefix="tessera-pyfiles-")
+    archive = shutil.make_archive(os.path.join(out, "tessera"), "zip", root_dir=os.path.dirname(pkg),
+                                  base_dir="tessera")
+    spark.sparkContext.addPyFile(archive)
+    _SHIPPED.add(app)
