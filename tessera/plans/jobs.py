@@ -41,10 +41,14 @@ def union_files(spark: SparkSession, folders: list[str], sep: str = ";") -> Data
 
 # Output layout of the registry table (52 columns).
 MONTH_ORDER = ["06", "07", "08", "09", "10", "11", "12", "01", "02", "03", "04", "05"]
-REGISTRY_COLUMNS = (["Anno", "Mese", "Piva_Distributore", "Ragione_Sociale_Distributore", "Zona", "POD", "CF", "PIVA",
-                     "Tipo_Misuratore", "Trattamento_m1", "Trattamento_m"]
-                    + [f"F{b}_{m}" for m in MONTH_ORDER for b in (1, 2, 3)]
-                    + ["CONSUMO_TOT", "CONSUMO_F1", "CONSUMO_F2", "CONSUMO_F3", "DateUp"])
+REGISTRY_COLUMNS = [
+    "Anno", "Mese", "Piva_Distributore", "Ragione_Sociale_Distributore", "Zona", "POD", "CF", "PIVA",
+    "Tipo_Misuratore", "Trattamento_m1", "Trattamento_m",
+    "F1_06", "F2_06", "F3_06", "F1_07", "F2_07", "F3_07", "F1_08", "F2_08", "F3_08", "F1_09", "F2_09", "F3_09",
+    "F1_10", "F2_10", "F3_10", "F1_11", "F2_11", "F3_11", "F1_12", "F2_12", "F3_12", "F1_01", "F2_01", "F3_01",
+    "F1_02", "F2_02", "F3_02", "F1_03", "F2_03", "F3_03", "F1_04", "F2_04", "F3_04", "F1_05", "F2_05", "F3_05",
+    "CONSUMO_TOT", "CONSUMO_F1", "CONSUMO_F2", "CONSUMO_F3", "DateUp",
+]
 REGISTRY_EXTRA = ["REGIME_COMPENSAZIONE", "DISALIMENTABILITA", "DATA_INIZIO_BONUS", "DATA_TERMINE_BONUS",
                   "MESE_RINNOVO", "ALTRE_COMUNICAZIONI"]
 POD_LEN = 14
