@@ -76,3 +76,19 @@ def test_command_line_domiciled(spark, tmp_dir):
     out = json.loads(res.stdout.strip().splitlines()[-1])
     assert out["n_payments"] == 82 and out["record_count"] == 7 * 82 + 2
     assert spark.read.text(out["lines_path"]).count() == out["record_count"]
+
+
+def test_python_tasks_work_from_another_directory(tmp_dir):
+    """mapInPandas tasks must import the package even when Spark starts outside the repository."""
+    import os
+    import subprocess
+    import sys
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = ("import sys; sys.path.insert(0, %r)\n"
+            "import __spark_entry__ as E\n"
+            "from pyspark.sql import SparkSession\n"
+            "spark = SparkSession.builder.master('local[2]').getOrCreate()\n"
+            "print('ROWS', E.queries()['expand_archives'](spark, %r).count())\n" % (root, SF_SMALL))
+    res = subprocess.run([sys.executable, "-c", code], cwd=tmp_dir, capture_output=True, text=True, timeout=600)
+    assert res.returncode == 0, res.stderr[-2000:]
+    assert "ROWS 150" in res.stdout
