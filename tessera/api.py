@@ -157,3 +157,19 @@ def pipeline_status(runs: DataFrame, pipeline: str = "pipeline", ts: str = "ts",
     latest = ST.latest_run(runs, pipeline, ts, tie, status)
     group = ST.status_rollup(latest.withColumn("__g", F.lit(1)), ["__g"], status=status, out="status").drop("__g")
     return latest, group
+
+
+def write_bucketed_ledger(ledger: Ledger, location: str, buckets: int, prefix: str = "") -> Ledger:
+    """Store entries and details bucketed (and sorted) on the entry key, as external catalog tables.
+
+    The per-entry detail aggregate and the entries ⋈ detail-sums join then read co-partitioned
+    buckets: no shuffle of the two largest tables on recurring runs. Accounts, customers and the
+    exclusion list are small next to them and stay as they are.
+    """
+    spark = ledger.entries.sparkSession
+    (ledger.entries.write.mode("overwrite").option("path", f"{location}/entries").bucketBy(buckets, "EntryNo")
+     .sortBy("EntryNo").saveAsTable(f"{prefix}CustLedgerEntry"))
+    (ledger.details.write.mode("overwrite").option("path", f"{location}/details")
+     .bucketBy(buckets, "CustLedgerEntryNo").sortBy("CustLedgerEntryNo").saveAsTable(f"{prefix}DetailedCustLedgEntry"))
+    return Ledger(ledger.accounts, ledger.customers, spark.table(f"{prefix}CustLedgerEntry"),
+                  spark.table(f"{prefix}DetailedCustLedgEntry"), ledger.excluded)

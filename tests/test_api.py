@@ -92,3 +92,20 @@ def test_python_tasks_work_from_another_directory(tmp_dir):
     res = subprocess.run([sys.executable, "-c", code], cwd=tmp_dir, capture_output=True, text=True, timeout=600)
     assert res.returncode == 0, res.stderr[-2000:]
     assert "ROWS 150" in res.stdout
+
+
+def test_bucketed_ledger_join_without_shuffle(spark, tmp_dir):
+    from tessera.operators import ledger as L
+    b = api.write_bucketed_ledger(ledger(spark), tmp_dir, buckets=4, prefix="t_")
+    ea = L.entry_amounts(b.entries, b.details)
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        plan = ea._jdf.queryExecution().executedPlan().toString()
+        rows = sorted(tuple(r) for r in ea.collect())
+    finally:
+        spark.conf.set(key, old)
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    want = sorted(tuple(r) for r in L.entry_amounts(X.entries(spark, SF_SMALL), X.details(spark, SF_SMALL)).collect())
+    assert rows == want
