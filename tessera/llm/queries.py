@@ -77,3 +77,48 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .licenses import detect, license_digest
     return license_digest(detect(table(spark, sf_dir, "documents")))
+
+
+@query
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import crc_rest, score_texts
+    labels = table(spark, sf_dir, "labels").filter(crc_rest("doc_id", 4) != 2)
+    scored = score_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), labels, sample_rows=20_000, cut=0.3)
+    return scored.select("doc_id", (crc_rest("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
+
+
+@query
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import judge
+    found = judge(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import archive_round_trip
+    return archive_round_trip(spark, table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLE["op2_warc"] = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, CAST(octet_length(b) AS BIGINT) AS payload_bytes, sha1(b) AS payload_digest FROM p),
+g AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS m FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> m THEN 'revisit' ELSE 'response' END AS record_type,
+       CAST(CASE WHEN payload_bytes >= 1000 AND page_id <> m THEN m END AS BIGINT) AS refers_to
+FROM g
+"""
+
+
+@query
+def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm import score_texts
+    from .toxicity import crc_rest
+    return score_texts(table(spark, sf_dir, "documents"), train=crc_rest("doc_id", 7) != 2)
