@@ -122,3 +122,9 @@ def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lm import score_texts
     from .toxicity import crc_rest
     return score_texts(table(spark, sf_dir, "documents"), train=crc_rest("doc_id", 7) != 2)
+
+
+@query
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substrings import repeated_passages
+    return repeated_passages(table(spark, sf_dir, "documents"), words=50, similarity=0.8)
