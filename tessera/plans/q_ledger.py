@@ -19,19 +19,19 @@ W = O.with_ledger
 
 # ---- aggregations ------------------------------------------------------------------------------
 
-@register("balance_by_customer", W("SELECT Nrcliente, SaldoCliente FROM sc_open"), double=('SaldoCliente',))
+@register("balance_by_customer", W("SELECT CustomerNo AS Nrcliente, counted AS SaldoCliente FROM by_customer"), double=('SaldoCliente',))
 def balance_by_customer(spark, sf):
     _, ea = J.ledger_entry_amounts(spark, sf)
     return L.balance_by_customer(ea)
 
 
-@register("balance_by_account", W("SELECT Utenza, SaldoFornitura FROM sf_open"), double=('SaldoFornitura',))
+@register("balance_by_account", W("SELECT CustomerAccountNo AS Utenza, counted AS SaldoFornitura FROM by_account"), double=('SaldoFornitura',))
 def balance_by_account(spark, sf):
     _, ea = J.ledger_entry_amounts(spark, sf)
     return L.balance_by_account(ea)
 
 
-@register("residual_by_document", W("SELECT CustomerNo, Nrdocumento, ImportoResiduoCompleto FROM mv_open"), double=('ImportoResiduoCompleto',))
+@register("residual_by_document", W("SELECT CustomerNo, DocumentNo AS Nrdocumento, counted AS ImportoResiduoCompleto FROM by_document WHERE counted <> 0"), double=('ImportoResiduoCompleto',))
 def residual_by_document(spark, sf):
     _, ea = J.ledger_entry_amounts(spark, sf)
     return L.residual_by_document(ea)
@@ -67,20 +67,20 @@ def distinct_rows(spark, sf):
 
 # ---- filters -----------------------------------------------------------------------------------
 
-@register("filter_half_open", W("SELECT Utenza, SaldoFornitura FROM sf_all WHERE SaldoFornitura < -10 AND SaldoFornitura >= -6000"), double=('SaldoFornitura',))
+@register("filter_half_open", W("SELECT CustomerAccountNo AS Utenza, every AS SaldoFornitura FROM by_account WHERE every >= -6000 AND every < -10"), double=('SaldoFornitura',))
 def filter_half_open(spark, sf):
     _, ea = J.ledger_entry_amounts(spark, sf)
     b = L.balance_by_account(ea, exclude_documents=False)
     return b.where(L.filter_half_open(F.col("SaldoFornitura"), L.RANGE_LO, L.RANGE_HI))
 
 
-@register("filter_closed", W("SELECT Nrcliente, SaldoCliente FROM sc_open WHERE SaldoCliente <= -10 AND SaldoCliente >= -6000"), double=('SaldoCliente',))
+@register("filter_closed", W("SELECT CustomerNo AS Nrcliente, counted AS SaldoCliente FROM by_customer WHERE counted BETWEEN -6000 AND -10"), double=('SaldoCliente',))
 def filter_closed(spark, sf):
     _, ea = J.ledger_entry_amounts(spark, sf)
     return L.balance_by_customer(ea).where(L.filter_closed(F.col("SaldoCliente"), L.RANGE_LO, L.RANGE_HI))
 
 
-@register("filter_negative", W("SELECT Utenza, SaldoFornitura FROM sf_open WHERE SaldoFornitura < 0"), double=('SaldoFornitura',))
+@register("filter_negative", W("SELECT CustomerAccountNo AS Utenza, counted AS SaldoFornitura FROM by_account WHERE counted < 0"), double=('SaldoFornitura',))
 def filter_negative(spark, sf):
     _, ea = J.ledger_entry_amounts(spark, sf)
     return L.balance_by_account(ea).where(F.col("SaldoFornitura") < 0)
@@ -115,10 +115,7 @@ def filter_length(spark, sf):
     return c.where(F.length("FiscalCode") == L.FISCAL_CODE_LEN).select("No", "FiscalCode")
 
 
-@register("filter_having", W("""SELECT CLE.CustomerNo AS Nrcliente,
-       SUM((SELECT SUM(d.Amount) FROM dcle_detail d WHERE d.CustLedgerEntryNo = CLE.EntryNo
-            AND NOT (CLE.DocumentNo LIKE '%CRP%' OR CLE.DocumentNo LIKE '%CRN%'))) AS Saldo
-       FROM cle_entry CLE GROUP BY CLE.CustomerNo HAVING Saldo != 0"""), double=('Saldo',))
+@register("filter_having", W("SELECT CustomerNo AS Nrcliente, counted AS Saldo FROM by_customer WHERE counted <> 0"), double=('Saldo',))
 def filter_having(spark, sf):
     _, ea = J.ledger_entry_amounts(spark, sf)
     return (ea.groupBy(F.col("CustomerNo").alias("Nrcliente")).agg(F.sum("detail_sum_open").alias("Saldo"))
@@ -127,15 +124,15 @@ def filter_having(spark, sf):
 
 # ---- joins -------------------------------------------------------------------------------------
 
-@register("join_account_customer", W("""SELECT CA.No, CA.CustomerNo, CA.AccountStatus, C.FiscalCode, C.FullName
-       FROM ca_account CA JOIN c_customer C ON C.No = CA.CustomerNo"""), bigint=('AccountStatus',))
+@register("join_account_customer", W("""SELECT a.No, a.CustomerNo, a.AccountStatus, k.FiscalCode, k.FullName
+       FROM c_customer k JOIN ca_account a ON a.CustomerNo = k.No"""), bigint=('AccountStatus',))
 def join_account_customer(spark, sf):
     a, c = X.accounts(spark, sf), X.customers(spark, sf).withColumnRenamed("No", "CNo")
     return a.join(c, c.CNo == a.CustomerNo, "inner").select("No", "CustomerNo", "AccountStatus", "FiscalCode", "FullName")
 
 
-@register("join_left_customer_balance", W("""SELECT CA.No, CA.CustomerNo, SC.SaldoCliente
-       FROM ca_account CA LEFT JOIN sc_open SC ON CA.CustomerNo = SC.Nrcliente"""), double=('SaldoCliente',))
+@register("join_left_customer_balance", W("""SELECT a.No, a.CustomerNo, b.counted AS SaldoCliente
+       FROM ca_account a LEFT JOIN by_customer b USING (CustomerNo)"""), double=('SaldoCliente',))
 def join_left_customer_balance(spark, sf):
     _, ea = J.ledger_entry_amounts(spark, sf)
     a = X.accounts(spark, sf)
@@ -143,8 +140,8 @@ def join_left_customer_balance(spark, sf):
     return a.join(sc, a.CustomerNo == sc.Nrcliente, "left").select("No", "CustomerNo", "SaldoCliente")
 
 
-@register("join_left_account_balance", W("""SELECT CA.No, CA.CustomerNo, SF.SaldoFornitura
-       FROM ca_account CA LEFT JOIN sf_open SF ON CA.No = SF.Utenza"""), double=('SaldoFornitura',))
+@register("join_left_account_balance", W("""SELECT a.No, a.CustomerNo, s.counted AS SaldoFornitura
+       FROM ca_account a LEFT JOIN by_account s ON s.CustomerAccountNo = a.No"""), double=('SaldoFornitura',))
 def join_left_account_balance(spark, sf):
     _, ea = J.ledger_entry_amounts(spark, sf)
     a = X.accounts(spark, sf)
@@ -152,43 +149,34 @@ def join_left_account_balance(spark, sf):
     return a.join(b, a.No == b.Utenza, "left").select("No", "CustomerNo", "SaldoFornitura")
 
 
-@register("join_movements_fanout", W("""SELECT DISTINCT c.Cliente, m.Nrdocumento, m.ImportoResiduoCompleto
-       FROM cand_dom c JOIN mv_open m ON m.CustomerNo = c.Cliente"""), double=('ImportoResiduoCompleto',))
+@register("join_movements_fanout", W("""SELECT c.Cliente, d.DocumentNo AS Nrdocumento, d.counted AS ImportoResiduoCompleto
+       FROM cand_dom c JOIN by_document d ON d.CustomerNo = c.Cliente AND d.counted <> 0"""), double=('ImportoResiduoCompleto',))
 def join_movements_fanout(spark, sf):
-    mv = J.movements(spark, sf)
+    mv = J.movements_with_codes(spark, sf)
     return mv.select("Cliente", "Nrdocumento", "ImportoResiduoCompleto").distinct()
 
 
-CORRELATED_ALL = """
-SELECT CLE.CustomerNo AS Nrcliente,
-       SUM((SELECT SUM(d.Amount) FROM {detail} d WHERE d.CustLedgerEntryNo = CLE.EntryNo)) AS SaldoCliente
-FROM {entry} CLE GROUP BY CLE.CustomerNo"""
+def entry_sum(details, *conditions):
+    """Correlated scalar subquery: the summed details of the outer row's entry."""
+    own = details.where(F.col("CustLedgerEntryNo") == F.col("EntryNo").outer())
+    for c in conditions:
+        own = own.where(c)
+    return own.select(F.sum("Amount")).scalar()
 
-CORRELATED_OUTER = """
-SELECT CLE.CustomerAccountNo AS Utenza,
-       SUM((SELECT SUM(d.Amount) FROM {detail} d WHERE d.CustLedgerEntryNo = CLE.EntryNo
-            AND NOT (CLE.DocumentNo LIKE '%CRP%' OR CLE.DocumentNo LIKE '%CRN%'))) AS SaldoFornitura
-FROM {entry} CLE GROUP BY CLE.CustomerAccountNo"""
 
-
-def _ledger_views(spark, sf):
-    import uuid
-    tag = uuid.uuid4().hex[:8]
-    X.entries(spark, sf).createOrReplaceTempView(f"cle_{tag}")
-    X.details(spark, sf).createOrReplaceTempView(f"dcle_{tag}")
-    return {"entry": f"cle_{tag}", "detail": f"dcle_{tag}"}
-
-
-@register("correlated_detail_sum", W("SELECT Nrcliente, SaldoCliente FROM sc_all"), double=('SaldoCliente',))
+@register("correlated_detail_sum", W("SELECT CustomerNo AS Nrcliente, every AS SaldoCliente FROM by_customer"), double=('SaldoCliente',))
 def correlated_detail_sum(spark, sf):
-    """The reference's correlated scalar subquery run as written; Catalyst decorrelates it."""
-    return spark.sql(CORRELATED_ALL.format(**_ledger_views(spark, sf)))
+    """A scalar subquery for each entry, summed by customer; Catalyst decorrelates it to a left join."""
+    e = X.entries(spark, sf).select(F.col("CustomerNo").alias("Nrcliente"), entry_sum(X.details(spark, sf)).alias("v"))
+    return e.groupBy("Nrcliente").agg(F.sum("v").alias("SaldoCliente"))
 
 
-@register("correlated_detail_sum_outer_pred", W("SELECT Utenza, SaldoFornitura FROM sf_open"), double=('SaldoFornitura',))
+@register("correlated_detail_sum_outer_pred", W("SELECT CustomerAccountNo AS Utenza, counted AS SaldoFornitura FROM by_account"), double=('SaldoFornitura',))
 def correlated_detail_sum_outer_pred(spark, sf):
-    """Correlated subquery with an outer-row-only predicate: excluded entries give null, groups survive."""
-    return spark.sql(CORRELATED_OUTER.format(**_ledger_views(spark, sf)))
+    """The same with a condition on the outer row alone: excluded entries give null, their groups stay."""
+    kept = not_like_any(F.col("DocumentNo").outer(), *L.EXCLUDED_DOC_MARKS)
+    e = X.entries(spark, sf).select(F.col("CustomerAccountNo").alias("Utenza"), entry_sum(X.details(spark, sf), kept).alias("v"))
+    return e.groupBy("Utenza").agg(F.sum("v").alias("SaldoFornitura"))
 
 
 @register("join_left_unmatched", W("SELECT Codice_Cliente, Avere, CF_PIVA, Name FROM credit_sums s LEFT JOIN cust_names n ON s.Codice_Cliente = n.Cliente"), double=('Avere',))
@@ -203,8 +191,7 @@ KEY_MAP_SQL = f"SELECT Cliente AS k, Cliente || '00' || {O.alnum('Cliente', 20)}
 @register("map_lookup_fallback", W(f"""SELECT s.Codice_Cliente, COALESCE(m.CodiceUnivoco, s.Codice_Cliente) AS CodiceUnivoco
        FROM credit_sums s LEFT JOIN ({KEY_MAP_SQL}) m ON s.Codice_Cliente = m.k"""))
 def map_lookup_fallback(spark, sf):
-    keys = J.keys_from_lines(J.lines_domiciled(spark, sf)).select(F.left("CodiceUnivoco", F.lit(8)).alias("k"),
-                                                                  "CodiceUnivoco")
+    keys = J.keys_from_lines(J.lines_domiciled(spark, sf)).select(F.col("Cliente").alias("k"), "CodiceUnivoco")
     credits = L.credits_by_code(X.credits(spark, sf)).select("Codice_Cliente")
     return lookup_fallback(credits, "Codice_Cliente", keys, "k", "CodiceUnivoco", "CodiceUnivoco")
 
@@ -244,18 +231,10 @@ def refund_candidates_ordinary(spark, sf):
     return J.candidates_ordinary(spark, sf)
 
 
-MOVEMENTS_SQL = W(f"""SELECT DISTINCT CA.CustomerNo AS Cliente, round_even(SC.SaldoCliente, 2) AS SaldoCliente,
-         C.FiscalCode AS CF, {O.fold('COALESCE(C.FullName, C.Name)')} AS Denominazione,
-         MV.Nrdocumento, round_even(MV.ImportoResiduoCompleto, 2) AS ImportoResiduoCompleto,
-         COALESCE(K.CodiceUnivoco, CA.CustomerNo) AS CodiceUnivoco
-  FROM ca_account CA JOIN c_customer C ON C.No = CA.CustomerNo
-  LEFT JOIN sc_open SC ON CA.CustomerNo = SC.Nrcliente
-  LEFT JOIN sf_open SF ON CA.No = SF.Utenza
-  JOIN mv_open MV ON MV.CustomerNo = CA.CustomerNo
-  LEFT JOIN ({KEY_MAP_SQL}) K ON K.k = CA.CustomerNo
-  WHERE CA.AccountStatus IN (1, 4, 5) AND (SC.SaldoCliente <= -10 AND SC.SaldoCliente >= -6000)
-    AND SF.SaldoFornitura < 0 AND LENGTH(C.FiscalCode) = 16
-    AND CA.CustomerNo NOT IN (SELECT CustomerNo FROM x_excluded)""")
+MOVEMENTS_SQL = W(f"""SELECT c.Cliente, c.SaldoCliente, c.CF, c.Denominazione, d.DocumentNo AS Nrdocumento,
+         round_even(d.counted, 2) AS ImportoResiduoCompleto, c.Cliente || '00' || {O.alnum('c.Cliente', 20)} AS CodiceUnivoco
+  FROM cand_dom c JOIN by_document d ON d.CustomerNo = c.Cliente
+  WHERE d.counted <> 0""")
 
 
 @register("refund_movements", MOVEMENTS_SQL, double=("SaldoCliente", "ImportoResiduoCompleto"))

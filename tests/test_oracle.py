@@ -7,9 +7,11 @@ import pytest
 
 import __spark_entry__ as E
 from conftest import SF_SMALL
+from tessera.plans import registry
 
-KEYS = sorted(E.queries())
-SQL = E.oracle_sql()
+registry.load_all()
+KEYS = sorted(registry.QUERIES)
+SQL = registry.ORACLE
 
 
 def _norm(v):
@@ -34,7 +36,7 @@ def test_every_key_has_oracle():
 
 @pytest.mark.parametrize("key", KEYS)
 def test_matches_duckdb(spark, duck, key):
-    df = E.queries()[key](spark, SF_SMALL)
+    df = registry.QUERIES[key](spark, SF_SMALL)
     rows = [tuple(r) for r in df.collect()]
     rel = duck.sql(SQL[key])
     drows = rel.fetchall()
