@@ -1,39 +1,10 @@
-"""Join helpers: size-checked broadcast, left join with suffixes, lookup with fallback."""
+"""Join helpers: left join with suffixes, lookup with fallback. Spark picks the strategy from measured sizes."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Broadcast only when the small side is proven to have at most this many rows (counted) and
-# the optimizer's estimate is under this many bytes.
-BROADCAST_MAX_ROWS = 1_000_000
-BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
-
-
-def plan_size_bytes(df: DataFrame) -> int | None:
-    """Catalyst's size estimate of ``df`` (file sizes for scans, bounded by them through filters/projections)."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # pragma: no cover - defensive: stats unavailable
-        return None
-
-
-def checked_broadcast(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Hint a broadcast only for a side proven small: at most ``max_rows`` rows, counted with an
-    early-stopping ``limit(max_rows + 1).count()``, and an optimizer estimate under ``limit`` bytes.
-
-    Otherwise the side is returned unchanged and the join stays a shuffle join; AQE may still
-    switch to a broadcast at run time from measured shuffle sizes.
-    """
-    size = plan_size_bytes(df)
-    if size is None or size > limit:
-        return df
-    if df.limit(max_rows + 1).count() > max_rows:
-        return df
-    return F.broadcast(df)
-
-
 def left_join_suffixed(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
                        rsuffix: str = "cliente_") -> DataFrame:
     """Left join keeping unmatched left rows; right columns that clash with left names get ``rsuffix``.

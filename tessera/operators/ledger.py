@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import round_2
 from ..functions.text import fold_name, not_like_any
-from .joins import checked_broadcast
 
 # Fixed values of the selection rules.
 EXCLUDED_DOC_MARKS = ("CRP", "CRN")
@@ -48,18 +47,20 @@ def _amount_col(exclude_documents: bool) -> str:
     return "detail_sum_open" if exclude_documents else "detail_sum"
 
 
-def ledger_summary(entry_amts: DataFrame, materialize: bool = True) -> DataFrame:
-    """One aggregate at (customer, account, document) grain holding both sums.
+def ledger_summary(entry_amts: DataFrame, documents: bool = True, open_documents: bool = True, materialize: bool = True) -> DataFrame:
+    """One aggregate at (customer, account) grain, with ``documents`` at (customer, account, document) grain.
 
     Customer, account and document balances are all roll-ups of this table (a sum of partial
     sums, null only when every contribution is null, equals the direct sum), so the entry-level
-    join and its shuffle run once for all of them. ``materialize`` writes it as a Parquet table in
-    the shared checkpoint folder: the roll-ups read it instead of recomputing the ledger, and the
-    lineage is cut so a lost executor does not replay the ledger scan. The result keeps the
-    column names of ``entry_amounts`` so every roll-up below accepts either table.
+    join and its shuffle run once for all of them. Near entry grain with documents, so jobs that
+    give no movements leave them out; the ordinary job also leaves out the sum it does not use
+    (``open_documents=False``). ``materialize`` writes the table to the shared checkpoint folder:
+    the roll-ups read it instead of recomputing the ledger, and a lost executor does not replay it. The result keeps
+    the column names of ``entry_amounts`` so every roll-up below accepts either table.
     """
-    summary = (entry_amts.groupBy("CustomerNo", "CustomerAccountNo", "DocumentNo")
-               .agg(F.sum("detail_sum").alias("detail_sum"), F.sum("detail_sum_open").alias("detail_sum_open")))
+    keys = ["CustomerNo", "CustomerAccountNo", *(["DocumentNo"] if documents else [])]
+    sums = [F.sum("detail_sum").alias("detail_sum"), *([F.sum("detail_sum_open").alias("detail_sum_open")] if open_documents else [])]
+    summary = entry_amts.groupBy(*keys).agg(*sums)
     if materialize:
         from ..session import materialize as write_back
         summary = write_back(summary, "ledger-summary")
@@ -108,8 +109,8 @@ def filter_half_open(c: Column, lo, hi) -> Column:
 
 
 def not_excluded(df: DataFrame, key: str, excluded: DataFrame, excluded_key: str = "CustomerNo") -> DataFrame:
-    """``key NOT IN (excluded)`` as a left-anti join; the exclusion side is broadcast only when small."""
-    ex = checked_broadcast(excluded.select(F.col(excluded_key).alias("__ex")).distinct())
+    """``key NOT IN (excluded)`` as a left-anti join; Spark broadcasts the exclusion side when its size allows."""
+    ex = excluded.select(F.col(excluded_key).alias("__ex")).distinct()
     return df.join(ex, df[key] == ex["__ex"], "left_anti")
 
 
@@ -155,23 +156,17 @@ def refund_candidates_ordinary(accounts: DataFrame, customers: DataFrame, entry_
                     F.col("C.FullName").alias("Denominazione"))
 
 
-def refund_movements(accounts: DataFrame, customers: DataFrame, entry_amts: DataFrame,
-                     excluded: DataFrame, lo=RANGE_LO, hi=RANGE_HI, candidates: DataFrame | None = None) -> DataFrame:
+def refund_movements(candidates: DataFrame, entry_amts: DataFrame) -> DataFrame:
     """Domiciled candidates fanned out to their open documents (one row per customer and document).
 
     Columns: Cliente, SaldoCliente, CF, Denominazione, Nrdocumento, ImportoResiduoCompleto.
 
-    The reference joins every qualifying *account* to every open document of its customer and
-    then takes DISTINCT, i.e. accounts × documents per customer. All output columns other than
-    the document are per customer, and the account conditions are existential, so the same
-    result is the one-row-per-customer candidate list joined to the customer's documents: no
-    per-customer pair explosion, and the join is 1:N on the customer key. ``candidates`` may pass
-    the already built domiciled candidate list of the same run.
+    All output columns other than the document are per customer, and the account conditions of a
+    candidate are existential, so the one-row-per-customer candidates are joined to the customer's
+    documents: no accounts × documents expansion, and the join is 1:N on the customer key.
     """
-    cands = candidates if candidates is not None else refund_candidates_domiciled(
-        accounts, customers, entry_amts, excluded, lo, hi)
     mv = residual_by_document(entry_amts).withColumnRenamed("CustomerNo", "MvCustomerNo")
-    out = cands.join(mv, cands.Cliente == mv.MvCustomerNo, "inner").drop("MvCustomerNo")
+    out = candidates.join(mv, candidates.Cliente == mv.MvCustomerNo, "inner").drop("MvCustomerNo")
     return out.withColumn("ImportoResiduoCompleto", round_2("ImportoResiduoCompleto"))
 
 

@@ -33,6 +33,8 @@ COUNTER_WIDTH = 7
 AMOUNT_WIDTH = 13
 TOTAL_WIDTH = 15
 LINES_PER_PAYMENT = 7
+KEY_OFFSET = 56                # record 70: the key, then blanks to the end of the line
+KEY_FIELD = 64
 
 
 @dataclass(frozen=True)
@@ -67,8 +69,14 @@ def line_code(params: FileParams) -> Column:
                     spaces(2))
 
 
+def _fitting(text: Column, width: int, what: str) -> Column:
+    """``text``, or an error when it is wider than its field: a misaligned line is never written."""
+    return F.when(F.length(text) > width, F.raise_error(F.concat(F.lit(f"{what} wider than {width} characters: "), text)).cast("string")).otherwise(text)
+
+
 def _nr(nr) -> Column:
-    return pad_left(F.col(nr).cast("string") if isinstance(nr, str) else nr.cast("string"), "0", COUNTER_WIDTH)
+    number = F.col(nr).cast("string") if isinstance(nr, str) else nr.cast("string")
+    return _fitting(pad_left(number, "0", COUNTER_WIDTH), COUNTER_WIDTH, "payment number")
 
 
 def rec_head(params: FileParams) -> Column:
@@ -80,7 +88,7 @@ def rec_head(params: FileParams) -> Column:
 def rec_10(params: FileParams, nr, amount, tax_id) -> Column:
     """Amount in cents (13), line code, then the fiscal code or VAT number (empty when unknown)."""
     return F.concat(spaces(1), F.lit("10"), _nr(nr), spaces(12), _d(params, "ddMMyy"), F.lit(TRANSFER_KIND),
-                    pad_left(amount_cents(amount), "0", AMOUNT_WIDTH), F.lit("+"), line_code(params),
+                    _fitting(pad_left(amount_cents(amount), "0", AMOUNT_WIDTH), AMOUNT_WIDTH, "amount"), F.lit("+"), line_code(params),
                     F.lit(BANK_CODE), spaces(22), F.lit("3"), F.coalesce(_c(tax_id), F.lit("")), spaces(6),
                     F.lit(CURRENCY))
 
@@ -117,15 +125,16 @@ def payment_key(params: FileParams, key) -> Column:
 
 
 def rec_70(params: FileParams, nr, key) -> Column:
-    return F.concat(spaces(1), F.lit("70"), _nr(nr), spaces(46), payment_key(params, key), spaces(34))
+    """The key field takes the 30 characters of a usual key and the blanks behind it, so longer customer codes keep the line at 120."""
+    return F.concat(spaces(1), F.lit("70"), _nr(nr), spaces(46), _fitting(pad_right(payment_key(params, key), " ", KEY_FIELD), KEY_FIELD, "payment key"))
 
 
 def rec_tail(params: FileParams, count, total, record_count) -> Column:
     blank = 21 if params.ordinary else 14
     return F.concat(spaces(1), F.lit(TRAILER_TYPE), F.lit(SENDER), F.lit(RECEIVER), _d(params, "ddMMyy"),
-                    flow_code(params), spaces(blank), pad_left(_c(count).cast("string"), "0", COUNTER_WIDTH),
-                    spaces(15), pad_left(amount_cents(_c(total)), "0", TOTAL_WIDTH),
-                    pad_left(_c(record_count).cast("string"), "0", COUNTER_WIDTH), spaces(24), F.lit(CURRENCY),
+                    flow_code(params), spaces(blank), _nr(_c(count)), spaces(15),
+                    _fitting(pad_left(amount_cents(_c(total)), "0", TOTAL_WIDTH), TOTAL_WIDTH, "total"),
+                    _fitting(pad_left(_c(record_count).cast("string"), "0", COUNTER_WIDTH), COUNTER_WIDTH, "record count"), spaces(24), F.lit(CURRENCY),
                     spaces(6))
 
 
@@ -133,31 +142,40 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def payment_lines(numbered: DataFrame, params: FileParams, nr: str, amount: str, tax_id: str | None,
-                  name: str | None, key: str, total_of: str | None = None) -> DataFrame:
-    """Header, seven lines per payment and trailer as rows ``(seq, sub, line)``.
+def payment_blocks(numbered: DataFrame, params: FileParams, nr: str, amount: str, tax_id: str | None,
+                   name: str | None, key: str, total_of: str | None = None) -> DataFrame:
+    """One row ``(seq, lines)`` per payment with its seven lines, and one each for header and trailer.
 
     ``total_of`` names the amount summed into the trailer (the rounded amount by default; the
-    unallocated variant passes the raw one). The totals are one global aggregate row, joined to
-    nothing: header and trailer are projected from it.
+    unallocated variant passes the raw one). Header and trailer come from one global aggregate row.
     """
     sixty_a, sixty_b = rec_60(params, nr)
     body_recs = [rec_10(params, nr, amount, tax_id if tax_id else F.lit(None).cast("string")),
                  rec_20(params, nr), rec_30(params, nr, name), rec_40(params, nr), sixty_a, sixty_b,
                  rec_70(params, nr, key)]
-    body = (numbered.select(F.col(nr).cast("bigint").alias("seq"), F.posexplode(F.array(*body_recs)))
-            .select("seq", (F.col("pos") + 1).cast("int").alias("sub"), F.col("col").alias("line")))
+    body = numbered.select(F.col(nr).cast("bigint").alias("seq"), F.array(*body_recs).alias("lines"))
     totals = numbered.agg(F.count(F.lit(1)).alias("n"),
                           F.coalesce(F.sum(total_of or amount), F.lit(0)).alias("total"),
                           F.max(F.col(nr).cast("bigint")).alias("max_nr"))
-    # header and trailer from the same single totals row (one global aggregate, computed once)
-    head = F.struct(F.lit(0).cast("bigint").alias("seq"), F.lit(0).alias("sub"), rec_head(params).alias("line"))
-    tail = F.struct((F.coalesce(F.col("max_nr"), F.lit(0)) + 1).cast("bigint").alias("seq"), F.lit(0).alias("sub"),
-                    rec_tail(params, F.col("n"), F.col("total"), F.col("n") * LINES_PER_PAYMENT + 2).alias("line"))
-    frame = totals.select(F.explode(F.array(head, tail)).alias("r")).select("r.seq", "r.sub", "r.line")
+    head = F.struct(F.lit(0).cast("bigint").alias("seq"), F.array(rec_head(params)).alias("lines"))
+    tail = F.struct((F.coalesce(F.col("max_nr"), F.lit(0)) + 1).cast("bigint").alias("seq"),
+                    F.array(rec_tail(params, F.col("n"), F.col("total"), F.col("n") * LINES_PER_PAYMENT + 2)).alias("lines"))
+    frame = totals.select(F.explode(F.array(head, tail)).alias("r")).select("r.seq", "r.lines")
     return frame.unionByName(body)
 
 
+def lines_of_blocks(blocks: DataFrame) -> DataFrame:
+    """Rows ``(seq, sub, line)``: sub 1 to 7 within a payment, 0 for header and trailer."""
+    sub = F.when(F.size("lines") == 1, 0).otherwise(F.col("pos") + 1).cast("int")
+    return blocks.select("seq", "lines", F.posexplode("lines")).select("seq", sub.alias("sub"), F.col("col").alias("line"))
+
+
+def payment_lines(numbered: DataFrame, params: FileParams, nr: str, amount: str, tax_id: str | None,
+                  name: str | None, key: str, total_of: str | None = None) -> DataFrame:
+    """Header, seven lines per payment and trailer as rows ``(seq, sub, line)``."""
+    return lines_of_blocks(payment_blocks(numbered, params, nr, amount, tax_id, name, key, total_of))
+
+
 def refund_totals(numbered: DataFrame, amount: str) -> DataFrame:
     """Payment count, total amount (as summed) and the physical record count ``7n + 2``."""
     return numbered.agg(F.count(F.lit(1)).alias("n_payments"),

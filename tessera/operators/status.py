@@ -12,14 +12,15 @@ GROUP_STARTING = "In avvio"
 GROUP_REJECTED = "Rigettato"
 
 
-def latest_run(runs: DataFrame, key, ts: str, tie: str, status: str = "status") -> DataFrame:
-    """Status of the newest run per key (ties on ``ts`` broken by the larger ``tie``).
+def latest_run(runs: DataFrame, key, ts: str, tie: str, status: str = "status", keep: tuple = ()) -> DataFrame:
+    """Status of the newest run per key (ties on ``ts`` broken by the larger ``tie``), and its ``keep`` columns.
 
     ``max_by`` over a struct is a plain hash aggregate with partial aggregation, so a key with
     a third of all runs is reduced map-side before the shuffle.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    return runs.groupBy(*keys).agg(F.max_by(F.col(status), F.struct(F.col(ts), F.col(tie))).alias(status))
+    newest = F.max_by(F.struct(status, *keep), F.struct(F.col(ts), F.col(tie))).alias("__run")
+    return runs.groupBy(*keys).agg(newest).select(*keys, *[F.col(f"__run.{c}").alias(c) for c in (status, *keep)])
 
 
 def status_rollup(statuses: DataFrame, group_cols: list[str], status: str = "status",

@@ -1,15 +1,19 @@
-"""Composite refund jobs: candidates → numbers → payment lines → reconciliation."""
+"""Composite refund jobs: candidates → numbers → payment lines → reconciliation.
+
+The user jobs (``tessera.api``) and the checked queries run the same functions: each takes the ledger
+tables (any object with accounts, customers, entries, details and excluded) and the run's parameters.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import coalesce_id, fold_name
 from ..operators import ledger as L
 from ..operators.joins import left_join_suffixed, lookup_fallback
-from ..operators.numbering import number_dense
-from ..operators.records import FileParams, payment_key, payment_lines
-from ..functions.text import coalesce_id, fold_name
+from ..operators.numbering import number_dense, number_gapped
+from ..operators.records import KEY_FIELD, KEY_OFFSET, FileParams, payment_blocks, payment_key, payment_lines
 from . import fixtures as X
 
 
@@ -22,128 +26,128 @@ def ledger_entry_amounts(spark: SparkSession, sf_dir: str):
     return led, L.entry_amounts(led.entries, led.details)
 
 
-def ledger_summary(spark: SparkSession, sf_dir: str):
-    """Ledger plus its shared (customer, account, document) summary, materialized once."""
-    led, ea = ledger_entry_amounts(spark, sf_dir)
-    return led, L.ledger_summary(ea)
+class DomiciledRun:
+    """One domiciled refund run. Candidates need balances by (customer, account) only; a run that also
+    gives movements (``documents``) summarises by document, once for both."""
 
+    def __init__(self, ledger, run: FileParams, documents: bool = False):
+        self.ledger, self.run = ledger, run
+        self.summary = L.ledger_summary(L.entry_amounts(ledger.entries, ledger.details), documents=documents)
+        self._candidates = None
+        self._numbered = None
 
-def candidates_domiciled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    led, sm = ledger_summary(spark, sf_dir)
-    return L.refund_candidates_domiciled(led.accounts, led.customers, sm, led.excluded)
+    def candidates(self) -> DataFrame:
+        if self._candidates is None:
+            self._candidates = L.refund_candidates_domiciled(self.ledger.accounts, self.ledger.customers, self.summary,
+                                                             self.ledger.excluded)
+        return self._candidates
+
+    def numbered(self) -> DataFrame:
+        """Candidates with their payment numbers, a written table."""
+        if self._numbered is None:
+            self._numbered = number_dense(self.candidates(), ["Cliente"], out="nr")
+        return self._numbered
 
+    def blocks(self) -> DataFrame:
+        return payment_blocks(self.numbered(), self.run, nr="nr", amount="SaldoCliente", tax_id="CF",
+                              name="Denominazione", key="Cliente")
 
-def candidates_ordinary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    led, sm = ledger_summary(spark, sf_dir)
-    return L.refund_candidates_ordinary(led.accounts, led.customers, sm)
+    def lines(self) -> DataFrame:
+        return payment_lines(self.numbered(), self.run, nr="nr", amount="SaldoCliente", tax_id="CF",
+                             name="Denominazione", key="Cliente")
 
+    def movements(self, lines: DataFrame | None = None) -> DataFrame:
+        """Open documents of the candidates with their payment keys (read back from written ``lines`` when given)."""
+        cands = self._numbered.drop("nr") if self._numbered is not None else self.candidates()
+        return attach_codes(L.refund_movements(cands, self.summary), self.run, lines)
 
-def movements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    led, sm = ledger_summary(spark, sf_dir)
-    return L.refund_movements(led.accounts, led.customers, sm, led.excluded)
 
+def keys_from_lines(lines: DataFrame, line_col: str = "line") -> DataFrame:
+    """``(Cliente, CodiceUnivoco)`` of the record-70 lines of a payment file that was read back: the whole
+    key field, and the customer as everything before the key's last 22 characters (``00`` and 20 of code)."""
+    key = F.rtrim(F.substring(F.col(line_col), KEY_OFFSET + 1, KEY_FIELD))
+    keys = lines.where(F.col(line_col).startswith(" 70")).select(key.alias("CodiceUnivoco"))
+    return keys.select(F.expr("left(CodiceUnivoco, length(CodiceUnivoco) - 22)").alias("Cliente"), "CodiceUnivoco")
+
+
+def attach_codes(movs: DataFrame, run: FileParams, lines: DataFrame | None = None) -> DataFrame:
+    """Movements with ``CodiceUnivoco``. The key is a function of run and customer, so it is a column;
+    with ``lines`` (a written file read back) it is looked up there by the whole customer code, and a
+    customer without a payment keeps its own code."""
+    if lines is None:
+        return movs.withColumn("CodiceUnivoco", payment_key(run, F.col("Cliente")))
+    keys = keys_from_lines(lines).withColumnRenamed("Cliente", "k")
+    return lookup_fallback(movs, "Cliente", keys, "k", "CodiceUnivoco", "CodiceUnivoco")
 
-def customer_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+
+def ordinary_candidates(ledger) -> DataFrame:
+    summary = L.ledger_summary(L.entry_amounts(ledger.entries, ledger.details), documents=False, open_documents=False)
+    return L.refund_candidates_ordinary(ledger.accounts, ledger.customers, summary)
+
+
+def ordinary_numbered(ledger) -> DataFrame:
+    # Ties on the customer are broken by the account number (trap T17).
+    return number_dense(ordinary_candidates(ledger), ["Cliente", "Fornitura"], out="nr")
+
+
+def ordinary_layout() -> dict:
+    return {"nr": "nr", "amount": "SaldoFornitura", "tax_id": "CF", "name": None, "key": "Fornitura"}
+
+
+def names_of(customers: DataFrame) -> DataFrame:
     """Customer code, fiscal code or VAT number, folded name (the unallocated job's customer query)."""
-    c = X.customers(spark, sf_dir)
-    return c.select(F.col("No").alias("Cliente"), coalesce_id("FiscalCode", "VATRegistrationNo").alias("CF_PIVA"),
-                    fold_name("FullName", "Name").alias("Name"))
+    return customers.select(F.col("No").alias("Cliente"), coalesce_id("FiscalCode", "VATRegistrationNo").alias("CF_PIVA"),
+                            fold_name("FullName", "Name").alias("Name"))
 
 
-def candidates_unallocated(spark: SparkSession, sf_dir: str, lo=L.CREDIT_LO, hi=L.CREDIT_HI) -> DataFrame:
+def unallocated_numbered(credits: DataFrame, customers: DataFrame, lo=L.CREDIT_LO, hi=L.CREDIT_HI) -> DataFrame:
     """Credits summed by upper-cased code, left-joined to customers, numbered in code order before the
     closed-range filter on the credit (numbers keep gaps). Unmatched codes stay with null CF and name."""
-    credits = L.credits_by_code(X.credits(spark, sf_dir))
-    joined = left_join_suffixed(credits, customer_names(spark, sf_dir), "Codice_Cliente", "Cliente")
-    numbered = number_dense(joined, ["Codice_Cliente", "CF_PIVA", "Name"], out="nr")
-    return numbered.where(L.filter_closed(F.col("Avere"), lo, hi))
+    joined = left_join_suffixed(L.credits_by_code(credits), names_of(customers), "Codice_Cliente", "Cliente")
+    return number_gapped(joined, ["Codice_Cliente", "CF_PIVA", "Name"], L.filter_closed(F.col("Avere"), lo, hi), out="nr")
 
 
-def numbered_domiciled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return DomiciledRun(spark, sf_dir).numbered()
+def unallocated_layout() -> dict:
+    return {"nr": "nr", "amount": "Avere", "tax_id": "CF_PIVA", "name": "Name", "key": "Codice_Cliente", "total_of": "Avere"}
 
 
-def numbered_ordinary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Ties on the customer are broken by the account number (trap T17).
-    return number_dense(candidates_ordinary(spark, sf_dir), ["Cliente", "Fornitura"], out="nr")
+# ---- the same on the driver tables, for the checked queries --------------------------------------
 
+def domiciled_run(spark: SparkSession, sf_dir: str, documents: bool = False) -> DomiciledRun:
+    return DomiciledRun(X.ledger(spark, sf_dir), params("domiciled"), documents)
 
-def lines_domiciled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return DomiciledRun(spark, sf_dir).lines()
 
+def candidates_domiciled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return domiciled_run(spark, sf_dir).candidates()
 
-def lines_ordinary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = numbered_ordinary(spark, sf_dir)
-    return payment_lines(n, params("ordinary"), nr="nr", amount="SaldoFornitura", tax_id="CF",
-                         name=None, key="Fornitura")
 
+def candidates_ordinary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordinary_candidates(X.ledger(spark, sf_dir))
 
-def lines_unallocated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = candidates_unallocated(spark, sf_dir)
-    return payment_lines(n, params("unallocated"), nr="nr", amount="Avere", tax_id="CF_PIVA", name="Name",
-                         key="Codice_Cliente", total_of="Avere")
 
+def movements_with_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return domiciled_run(spark, sf_dir, documents=True).movements()
 
-def keys_from_lines(lines: DataFrame, line_col: str = "line") -> DataFrame:
-    """Reconciliation keys of record-70 lines: the 30 characters at offset 56 (trap T12)."""
-    cols = [F.col("seq")] if "seq" in lines.columns else [F.lit(0).alias("seq")]
-    return (lines.where(F.col(line_col).startswith(" 70"))
-            .select(*cols, F.substring(F.col(line_col), 57, 30).alias("CodiceUnivoco")))
-
-
-def attach_codes(movs: DataFrame, lines: DataFrame | None = None, keys: DataFrame | None = None) -> DataFrame:
-    """Movements with ``CodiceUnivoco`` looked up by the first 8 characters of each payment key;
-    an unmatched customer keeps its own code (pandas ``replace`` fallback). The keys come from the
-    written file's lines, or directly as ``(seq, CodiceUnivoco)`` rows."""
-    keys = keys if keys is not None else keys_from_lines(lines)
-    # A later key with the same 8-character prefix wins, as in a dict built in file order.
-    keys = (keys.groupBy(F.left("CodiceUnivoco", F.lit(8)).alias("k"))
-            .agg(F.max_by("CodiceUnivoco", "seq").alias("CodiceUnivoco")))
-    return lookup_fallback(movs, "Cliente", keys, "k", "CodiceUnivoco", "CodiceUnivoco")
 
+def customer_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names_of(X.customers(spark, sf_dir))
 
-class DomiciledRun:
-    """One domiciled refund run: the ledger summary is materialized once and shared by the
-    candidates, their numbers, the payment lines and the reconciliation movements."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark = spark
-        self.led, self.summary = ledger_summary(spark, sf_dir)
-        self._numbered = None
-        self._candidates = None
+def candidates_unallocated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unallocated_numbered(X.credits(spark, sf_dir), X.customers(spark, sf_dir))
 
-    def candidates(self) -> DataFrame:
-        if self._candidates is None:
-            self._candidates = L.refund_candidates_domiciled(self.led.accounts, self.led.customers, self.summary,
-                                                             self.led.excluded)
-        return self._candidates
 
-    def numbered(self) -> DataFrame:
-        if self._numbered is None:
-            self._numbered = number_dense(self.candidates(), ["Cliente"], out="nr")
-        return self._numbered
+def numbered_domiciled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return domiciled_run(spark, sf_dir).numbered()
 
-    def lines(self) -> DataFrame:
-        return payment_lines(self.numbered(), params("domiciled"), nr="nr", amount="SaldoCliente", tax_id="CF",
-                             name="Denominazione", key="Cliente")
 
-    def movements(self) -> DataFrame:
-        return L.refund_movements(self.led.accounts, self.led.customers, self.summary, self.led.excluded,
-                                  candidates=self.candidates())
+def lines_domiciled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return domiciled_run(spark, sf_dir).lines()
 
-    def payment_keys(self) -> DataFrame:
-        """The record-70 keys of the file, straight from the candidates: a key depends only on the
-        run id and the customer, so no numbering or line building is needed to know them."""
-        return self.candidates().select(F.lit(0).alias("seq"),
-                                        payment_key(params("domiciled"), F.col("Cliente")).alias("CodiceUnivoco"))
 
-    def movements_with_codes(self, lines: DataFrame | None = None) -> DataFrame:
-        """Movements with their payment keys: read back from written ``lines`` when given (the
-        file round trip), else derived from the candidates (same keys, fewer jobs)."""
-        if lines is not None:
-            return attach_codes(self.movements(), lines=lines)
-        return attach_codes(self.movements(), keys=self.payment_keys())
+def lines_ordinary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return payment_lines(ordinary_numbered(X.ledger(spark, sf_dir)), params("ordinary"), **ordinary_layout())
 
 
-def movements_with_codes(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:
-    return DomiciledRun(spark, sf_dir).movements_with_codes(lines)
+def lines_unallocated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return payment_lines(candidates_unallocated(spark, sf_dir), params("unallocated"), **unallocated_layout())

@@ -1,34 +1,51 @@
 """Ordered text output of payment lines and reading it back.
 
-Lines carry ``(seq, sub)``. The write range-partitions on that key and sorts inside each
-partition, so part files ``part-00000…`` are in file order and no single task holds the file.
-``merge_parts`` concatenates the parts into one file outside Spark (streamed, never loaded whole).
+The write range-partitions on the file order and sorts inside each partition, so part files
+``part-00000…`` are in file order and no single task holds the file. Whole payments are shuffled and
+become their lines in the write task. The number of parts follows the data (adaptive coalescing)
+unless it is given. ``merge_parts`` concatenates the parts into one file outside Spark (streamed,
+never loaded whole; one process, so its time grows with the file).
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.records import KEY_FIELD, KEY_OFFSET, lines_of_blocks
+
+
+def sink_payment_blocks(blocks: DataFrame, target: str, partitions: int | None = None, mode: str = "overwrite") -> None:
+    """Write ``(seq, lines)`` rows as an ordered text file of many parts."""
+    ranged = blocks.repartitionByRange(partitions, "seq") if partitions else blocks.repartitionByRange("seq")
+    lines_of_blocks(ranged.sortWithinPartitions("seq")).select("line").write.mode(mode).text(target)
+
 
 def sink_fixed_width(lines: DataFrame, target: str, partitions: int | None = None, mode: str = "overwrite") -> None:
-    spark = lines.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    (lines.repartitionByRange(n, "seq", "sub").sortWithinPartitions("seq", "sub")
-     .select("line").write.mode(mode).text(target))
+    """Write ``(seq, sub, line)`` rows as an ordered text file of many parts."""
+    ranged = lines.repartitionByRange(partitions, "seq", "sub") if partitions else lines.repartitionByRange("seq", "sub")
+    ranged.sortWithinPartitions("seq", "sub").select("line").write.mode(mode).text(target)
 
 
-def scan_fixed_width(spark: SparkSession, path: str, prefix: str = " 70", offset: int = 56,
-                     length: int = 30) -> DataFrame:
-    """Keys of the lines starting with ``prefix``: ``length`` characters at 0-based ``offset``."""
+def scan_fixed_width(spark: SparkSession, path: str, prefix: str = " 70", offset: int = KEY_OFFSET,
+                     length: int = KEY_FIELD) -> DataFrame:
+    """Keys of the lines starting with ``prefix``: the field of ``length`` characters at 0-based ``offset``, without its trailing blanks."""
     text = spark.read.text(path)
     return (text.where(F.col("value").startswith(prefix))
-            .select(F.substring("value", offset + 1, length).alias("CodiceUnivoco")))
+            .select(F.rtrim(F.substring("value", offset + 1, length)).alias("CodiceUnivoco")))
+
+
+def part_number(name: str) -> tuple[int, str]:
+    """Order of part files: by their number (names as text go wrong from 100,000 parts on)."""
+    found = re.match(r"part-(\d+)", name)
+    return (int(found[1]) if found else -1, name)
 
 
 def merge_parts(folder: str, dest: str, drop_final_newline: bool = True, chunk: int = 8 << 20,
                 header: str | None = None, encoding: str = "utf-8") -> None:
-    """Concatenate the ``part-*`` files of ``folder`` in name order into the single file ``dest``
+    """Concatenate the ``part-*`` files of ``folder`` in the order of their numbers into the single file ``dest``
     (the bank file), streaming fixed-size chunks; works on any filesystem pyarrow can open.
     ``header`` (one line, no newline) is written first, e.g. for CSV parts written without one.
     ``encoding`` transcodes the UTF-8 parts (e.g. ``latin-1`` so each record's byte width equals
@@ -38,11 +55,11 @@ def merge_parts(folder: str, dest: str, drop_final_newline: bool = True, chunk:
 
     from pyarrow import fs as pafs
 
-    from ..session import arrow_fs
-    src_fs, src = arrow_fs(folder)
-    dst_fs, dst = arrow_fs(dest)
-    parts = sorted((i.path for i in src_fs.get_file_info(pafs.FileSelector(src))
-                    if i.type == pafs.FileType.File and i.base_name.startswith("part-")))
+    from ..session import arrow_fs, qualified
+    src_fs, src = arrow_fs(qualified(folder))
+    dst_fs, dst = arrow_fs(qualified(dest))
+    found = [i for i in src_fs.get_file_info(pafs.FileSelector(src)) if i.type == pafs.FileType.File and i.base_name.startswith("part-")]
+    parts = [i.path for i in sorted(found, key=lambda i: part_number(i.base_name))]
     same = codecs.lookup(encoding).name == "utf-8"
     decoder = codecs.getincrementaldecoder("utf-8")()
 
@@ -50,11 +67,11 @@ def merge_parts(folder: str, dest: str, drop_final_newline: bool = True, chunk:
         return block if same else decoder.decode(block, final).encode(encoding)
 
     last = b""
-    with dst_fs.open_output_stream(dst) as out:
+    with dst_fs.open_output_stream(dst, compression=None) as out:
         if header is not None:
             out.write((header + "\n").encode(encoding))
         for p in parts:
-            with src_fs.open_input_stream(p) as fh:
+            with src_fs.open_input_stream(p, compression=None) as fh:
                 while True:
                     block = fh.read(chunk)
                     if not block:

@@ -78,13 +78,13 @@ def sink_csv(df: DataFrame, target: str, sep: str = ";", header: bool = True, en
 
 
 def load_with_metrics(spark: SparkSession, df: DataFrame, target: str, mode: str = "append",
-                      fmt: str = "parquet") -> DataFrame:
+                      fmt: str = "parquet", as_table: bool = False) -> DataFrame:
     """Write ``df`` and return one row: rows loaded by this write and total rows in the target after it.
 
     The loaded count is observed during the write itself (no second pass over the input).
     """
     obs = Observation("load")
-    _writer(df.observe(obs, F.count(F.lit(1)).alias("rows_loaded")), mode, fmt).save(target)
+    _save(_writer(df.observe(obs, F.count(F.lit(1)).alias("rows_loaded")), mode, fmt), target, as_table)
     loaded = obs.get["rows_loaded"]
-    total = spark.read.format(fmt).load(target)
+    total = spark.table(target) if as_table else spark.read.format(fmt).load(target)
     return total.agg(F.lit(loaded).cast("bigint").alias("rows_loaded"), F.count(F.lit(1)).alias("total_rows"))

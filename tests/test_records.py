@@ -142,3 +142,55 @@ def test_merge_latin1_keeps_byte_width(spark, tmp_dir):
     recs = raw.split(b"\n")
     assert len(recs) == 9 and all(len(r) == 120 for r in recs)
     assert "ÉLAN PERÙ".encode("latin-1") in raw
+
+
+def test_part_files_in_the_order_of_their_numbers(tmp_dir):
+    for n in (9999, 10000, 99999, 100000, 100001):
+        with open(os.path.join(tmp_dir, f"part-{n:05d}-x.txt"), "w") as fh:
+            fh.write(f"{n}\n")
+    FW.merge_parts(tmp_dir, os.path.join(tmp_dir, "all.txt"))
+    assert open(os.path.join(tmp_dir, "all.txt")).read().split() == ["9999", "10000", "99999", "100000", "100001"]
+
+
+def test_blocks_are_shuffled_whole_and_parts_follow_the_data(spark, tmp_dir):
+    from decimal import Decimal
+    rows = [(f"CL{i:06d}", Decimal("-15.00"), "D" * 16, f"NOME {i}") for i in range(1, 200)]
+    n = number_dense(cands(spark, rows), ["Cliente"], out="nr")
+    blocks = R.payment_blocks(n, P, nr="nr", amount="SaldoCliente", tax_id="CF", name="Denominazione", key="Cliente")
+    FW.sink_payment_blocks(blocks, os.path.join(tmp_dir, "few"))
+    FW.sink_payment_blocks(blocks, os.path.join(tmp_dir, "many"), partitions=4)
+    assert len([f for f in os.listdir(os.path.join(tmp_dir, "few")) if f.startswith("part-")]) == 1
+    for name in ("few", "many"):
+        FW.merge_parts(os.path.join(tmp_dir, name), os.path.join(tmp_dir, f"{name}.txt"))
+    want = [r.line for r in R.lines_of_blocks(blocks).orderBy("seq", "sub").collect()]
+    assert open(os.path.join(tmp_dir, "few.txt")).read().split("\n") == want == open(os.path.join(tmp_dir, "many.txt")).read().split("\n")
+
+
+def test_fields_too_wide_raise(spark):
+    from decimal import Decimal
+    df = spark.createDataFrame([(10_000_000, Decimal("-20.00"))], "nr long, a decimal(38,2)")
+    with pytest.raises(Exception, match="payment number wider"):
+        df.select(R.rec_40(P, "nr")).collect()
+    wide = spark.createDataFrame([(1, Decimal("-200000000000.00"))], "nr long, a decimal(38,2)")
+    with pytest.raises(Exception, match="amount wider"):
+        wide.select(R.rec_10(P, "nr", "a", F.lit("X" * 16))).collect()
+    with pytest.raises(Exception, match="record count wider"):
+        df.select(R.rec_tail(P, F.lit(1), F.lit(Decimal("1.00")), F.lit(70_000_002))).collect()
+
+
+def test_keys_of_customers_that_are_prefixes_of_each_other(spark, tmp_dir):
+    from decimal import Decimal
+
+    from tessera.plans.refunds import attach_codes, keys_from_lines
+    codes = ["CL100000", "CL1000000", "CL1000007", "CL10000077"]
+    rows = [(c, Decimal("-15.00"), "D" * 16, "N") for c in codes]
+    n = number_dense(cands(spark, rows), ["Cliente"], out="nr")
+    lines = R.payment_lines(n, P, nr="nr", amount="SaldoCliente", tax_id="CF", name="Denominazione", key="Cliente")
+    assert {len(r.line) for r in lines.collect()} == {120}
+    movements = spark.createDataFrame([(c,) for c in [*codes, "CL999999"]], "Cliente string")
+    want = {r.Cliente: r.CodiceUnivoco for r in attach_codes(movements, P).collect()}
+    FW.sink_fixed_width(lines, os.path.join(tmp_dir, "f"))
+    read = spark.read.text(os.path.join(tmp_dir, "f")).select(F.col("value").alias("line"))
+    assert {r.Cliente: r.CodiceUnivoco for r in keys_from_lines(read).collect()} == {c: want[c] for c in codes}
+    assert {r.Cliente: r.CodiceUnivoco for r in attach_codes(movements, P, read).collect()} == {**{c: want[c] for c in codes}, "CL999999": "CL999999"}
+    assert sorted(r.CodiceUnivoco for r in FW.scan_fixed_width(spark, os.path.join(tmp_dir, "f")).collect()) == sorted(want[c] for c in codes)
