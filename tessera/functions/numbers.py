@@ -42,6 +42,12 @@ def comma_decimal(c) -> Column:
     return F.replace(_col(c).cast("string"), F.lit(","), F.lit(".")).cast("double")
 
 
+_NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+
+
 def to_int_floor(c) -> Column:
-    """Parse a number, invalid → null, floor, nullable long (``pd.to_numeric(errors='coerce')`` + floor)."""
-    return F.floor(_col(c).cast("string").try_cast("double")).cast("bigint")
+    """Parse a decimal number and floor it to a nullable long; anything else (type suffixes, NaN, infinities,
+    values a long cannot hold) is null."""
+    text = _col(c).cast("string")
+    value = F.floor(F.when(text.rlike(_NUMBER), text.try_cast("double")).otherwise(F.lit(None).cast("double")))
+    return F.when(F.abs(text.try_cast("double")) < 9.2e18, value).cast("bigint")

@@ -51,6 +51,8 @@ def checkpoint_root(spark: SparkSession) -> str:
         return current.rstrip("/")
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: intermediates need a folder that driver and executors share")
         configured = tempfile.mkdtemp(prefix="tessera-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
     sc.setCheckpointDir(configured)
@@ -72,8 +74,20 @@ def local_path(path: str) -> str:
     return path
 
 
+def qualified(path: str) -> str:
+    """``path`` as Spark resolves it: with the scheme of the default filesystem where it has none (driver only)."""
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        return path
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return str(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString())
+
+
 def arrow_fs(path: str):
-    """(pyarrow filesystem, path) for task-side writers of small files; ``file:`` URIs map to local."""
+    """(pyarrow filesystem, path) for task-side reading and writing of files.
+
+    The driver hands tasks ``qualified`` paths; one without a scheme is local here.
+    """
     from pyarrow import fs as pafs
     if path.startswith("file:") or "://" not in path:
         return pafs.LocalFileSystem(), local_path(path)

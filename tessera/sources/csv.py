@@ -1,22 +1,30 @@
 """Delimited-file scans: all-string reads, declared types, the long-row policy and null tokens.
 
-Files are read by Spark's CSV source (splittable, parallel, column-pruned); no inference unless
-asked for (``sink_schema_mode``).
+Files are read by Spark's CSV source (splittable, parallel); no inference unless asked for
+(``sink_schema_mode``). Every file is read by its own header: one pass over the first lines finds
+the distinct headers, each group of files is one scan, and the scans are joined by column name. A row with more
+fields than its header (separators outside quotes are counted) is never cut: ``long_rows`` says
+whether it raises, is dropped, or is kept apart (``scan_long_rows``). A shorter row has nulls at its end.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .listing import first_lines
+
 LATIN1 = "ISO-8859-1"
 
 # Textual null tokens recognised by default (pandas' default NA strings).
 DEFAULT_NULL_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
                        "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 
-_EXTRA = "__extra_field"
+LONG_ROWS = ("raise", "drop", "quarantine")
+_RAW = "__raw_row"
 _NO_NULL = "\u0001"  # so that empty fields stay empty strings until null_tokens runs
 
 
@@ -25,9 +33,61 @@ def _reader(spark: SparkSession, sep: str, encoding: str, header: bool = True):
             .option("nullValue", _NO_NULL).option("mode", "PERMISSIVE"))
 
 
-def header_of(spark: SparkSession, path: str, sep: str = ";", encoding: str = LATIN1) -> list[str]:
-    """Column titles from the first line (Spark reads one line of the files to resolve them)."""
-    return _reader(spark, sep, encoding).csv(path).columns
+def split_header(line: str, sep: str) -> list[str]:
+    """Titles of a header line (quotes respected)."""
+    import csv
+    return next(csv.reader([line.lstrip("\ufeff")], delimiter=sep), [])
+
+
+def headers_of(spark: SparkSession, path, sep: str = ";", encoding: str = LATIN1) -> list[tuple[list[str], list[str] | None]]:
+    """``(titles, paths)`` of each distinct header, the most frequent first. With a single header, the
+    usual case, paths is None and no file name passes the driver."""
+    heads = first_lines(spark, path, 1, encoding).where(F.size("lines") > 0).select("path", F.col("lines")[0].alias("line"))
+    distinct = heads.groupBy("line").count().orderBy(F.desc("count"), "line").collect()
+    if len(distinct) <= 1:
+        return [(split_header(r["line"], sep), None) for r in distinct]
+    heads = heads.groupBy("line").agg(F.collect_list("path").alias("paths")).collect()
+    by_line = {r["line"]: sorted(r["paths"]) for r in heads}
+    return [(split_header(r["line"], sep), by_line[r["line"]]) for r in distinct]
+
+
+def separators(line, sep: str):
+    """Separators of a raw row that stand outside quotes."""
+    bare = F.regexp_replace(line, '"[^"]*"', "")
+    return (F.length(bare) - F.length(F.replace(bare, F.lit(sep), F.lit("")))) / len(sep)
+
+
+def is_long(titles: list[str], sep: str):
+    """Condition on ``__raw_row`` (set for rows whose field count differs from the titles'): more fields than titles.
+
+    Spark refuses a scan that reads nothing but the raw row (a plain count), so the first title is read too.
+    """
+    read = F.length(F.coalesce(F.col(f"`{titles[0]}`"), F.lit(""))) >= 0
+    return F.col(_RAW).isNotNull() & (separators(F.col(_RAW), sep) >= len(titles)) & read
+
+
+def with_raw(titles: list[str]) -> T.StructType:
+    twice = sorted({t for t in titles if titles.count(t) > 1})
+    if twice:
+        raise ValueError(f"titles that stand twice in a header: {twice}")
+    return T.StructType([T.StructField(t, T.StringType()) for t in [*titles, _RAW]])
+
+
+def _raw_scan(spark: SparkSession, titles: list[str], paths, sep: str, encoding: str) -> DataFrame:
+    # the raw row is kept for rows whose field count differs; without pruning the parser sees every field
+    return (_reader(spark, sep, encoding).option("recursiveFileLookup", "true").option("columnNameOfCorruptRecord", _RAW).option("columnPruning", "false")
+            .option("enforceSchema", "true").schema(with_raw(titles)).csv(paths))
+
+
+def apply_long_rows(df: DataFrame, titles: list[str], sep: str, long_rows: str) -> DataFrame:
+    """Rows of a scan with ``__raw_row`` under the policy; the column is gone afterwards."""
+    if long_rows not in LONG_ROWS:
+        raise ValueError(f"long_rows is one of {LONG_ROWS}")
+    long = is_long(titles, sep)
+    if long_rows == "raise":
+        error = F.raise_error(F.concat(F.lit("row with more fields than its header: "), F.col(_RAW))).cast("boolean")
+        return df.where(F.when(long, error).otherwise(True)).drop(_RAW)
+    return df.where(~long).drop(_RAW)
 
 
 def null_tokens(df: DataFrame, tokens: list[str] | None = None, columns: list[str] | None = None) -> DataFrame:
@@ -38,40 +98,40 @@ def null_tokens(df: DataFrame, tokens: list[str] | None = None, columns: list[st
                            .otherwise(F.col(f"`{c}`")) for c in cols})
 
 
-def scan_csv_text(spark: SparkSession, path: str, sep: str = ";", encoding: str = LATIN1,
-                  tokens: list[str] | None = None) -> DataFrame:
-    """Header row, every column a string, separator chosen by the caller, null tokens applied."""
-    df = _reader(spark, sep, encoding).csv(path)
-    return null_tokens(df, tokens)
+def scan_csv_text(spark: SparkSession, path, sep: str = ";", encoding: str = LATIN1,
+                  tokens: list[str] | None = None, long_rows: str = "raise") -> DataFrame:
+    """Header row, every column a string, separator chosen by the caller, null tokens applied.
 
+    Columns come in the order of the most frequent header; a column a file lacks is null there.
+    """
+    parts = [apply_long_rows(_raw_scan(spark, titles, paths or path, sep, encoding), titles, sep, long_rows)
+             for titles, paths in headers_of(spark, path, sep, encoding)]
+    if not parts:
+        return _reader(spark, sep, encoding).csv(path)
+    return null_tokens(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts), tokens)
 
-def scan_csv_bad_rows(spark: SparkSession, path: str, sep: str = ";", encoding: str = LATIN1,
-                      tokens: list[str] | None = None, names: list[str] | None = None) -> DataFrame:
-    """All-string read that drops rows with too many fields and keeps short rows null-padded.
 
-    The schema is the header plus one sentinel column: a row that fills the sentinel had more
-    fields than the header and is dropped; a short row leaves trailing columns null.
-    """
-    names = header_of(spark, path, sep, encoding)
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names] + [T.StructField(_EXTRA, T.StringType())])
-    df = _reader(spark, sep, encoding).schema(schema).option("enforceSchema", "true").csv(path)
-    kept = df.where(F.col(_EXTRA).isNull()).drop(_EXTRA)
-    return null_tokens(kept, tokens)
+def scan_long_rows(spark: SparkSession, path, sep: str = ";", encoding: str = LATIN1) -> DataFrame:
+    """``(file_name, row)``: the raw rows that have more fields than their file's header (to count or to keep apart)."""
+    parts = [_raw_scan(spark, titles, paths or path, sep, encoding).where(is_long(titles, sep))
+             .select(F.col("_metadata.file_name").alias("file_name"), F.col(_RAW).alias("row")) for titles, paths in headers_of(spark, path, sep, encoding)]
+    return reduce(lambda a, b: a.unionByName(b), parts) if parts else spark.createDataFrame([], "file_name string, row string")
+
+
+def scan_csv_bad_rows(spark: SparkSession, path, sep: str = ";", encoding: str = LATIN1,
+                      tokens: list[str] | None = None) -> DataFrame:
+    """All-string read that drops rows with too many fields and keeps short rows null-padded."""
+    return scan_csv_text(spark, path, sep, encoding, tokens, long_rows="drop")
 
 
-def scan_csv_typed(spark: SparkSession, path: str, types: dict[str, str], sep: str = ";", encoding: str = LATIN1,
-                   drop_long_rows: bool = True, tokens: list[str] | None = None) -> DataFrame:
+def scan_csv_typed(spark: SparkSession, path, types: dict[str, str], sep: str = ";", encoding: str = LATIN1,
+                   long_rows: str = "drop", tokens: list[str] | None = None) -> DataFrame:
     """Read by header names, then cast the declared columns (strict cast: bad values raise);
     undeclared columns stay strings (identifiers keep their leading zeros)."""
-    df = (scan_csv_bad_rows(spark, path, sep, encoding, tokens) if drop_long_rows
-          else scan_csv_text(spark, path, sep, encoding, tokens))
+    df = scan_csv_text(spark, path, sep, encoding, tokens, long_rows)
     return df.withColumns({c: F.col(f"`{c}`").cast(t) for c, t in types.items() if c in df.columns})
 
 
 def scan_csv_inferred(spark: SparkSession, path: str, sep: str = ";", encoding: str = "UTF-8") -> DataFrame:
     """Autodetected types (the warehouse's autodetect load mode)."""
     return spark.read.options(sep=sep, header="true", encoding=encoding, inferSchema="true").csv(path)
-
-
-def with_file_name(df: DataFrame, out: str = "file_name") -> DataFrame:
-    return df.withColumn(out, F.col("_metadata.file_name"))

@@ -6,9 +6,12 @@ classification and selection rules are column expressions that run where the lis
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship_package
 from ..functions.dates import filename_period_fixed
 
 # Name markers that route dropped files to a job.
@@ -36,6 +39,29 @@ def list_folder(spark: SparkSession, folder: str, pattern: str = "*") -> DataFra
     return df.select(F.col("path"), F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length"))
 
 
+def first_lines(spark: SparkSession, path, lines: int = 1, encoding: str = "ISO-8859-1") -> DataFrame:
+    """``(path, name, lines array<string>)``: the first lines of every file, read by tasks that open no more of it."""
+    ship_package(spark)
+    paths = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
+
+    def read(batches):
+        import io
+
+        import pandas as pd
+
+        from tessera.session import arrow_fs
+        for pdf in batches:
+            rows = []
+            for p in pdf["path"]:
+                fs, local = arrow_fs(p)
+                with fs.open_input_file(local) as f:
+                    text = io.TextIOWrapper(io.BufferedReader(f, 1 << 16), encoding=encoding, newline="")
+                    rows.append((p, p.rsplit("/", 1)[-1], [line.rstrip("\r\n") for line in itertools.islice(text, lines)]))
+            yield pd.DataFrame(rows, columns=["path", "name", "lines"])
+
+    return paths.mapInPandas(read, "path string, name string, lines array<string>")
+
+
 def period_of_batch(listing: DataFrame, name: str = "name") -> DataFrame:
     """(Anno, Mese) of a supply-point batch: the last matching name (by name order) wins; (0, 0) if none."""
     hits = listing.where(F.col(name).contains(SUPPLY_POINT_MARK))

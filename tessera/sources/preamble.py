@@ -1,11 +1,10 @@
 """Registry files with a preamble line: ``company;zone;…;vat``, then the real header, then rows.
 
-Files are read line by line (splittable: a large file is spread over many tasks). The preamble
-and header of a file are the first two lines of the split that starts at offset 0 of that file:
-inside a split lines are scanned in file order, so they are the two smallest row ids of that
-split. Each file's preamble and header are joined back to its own rows, and rows become
-``map(header → value)`` so files whose columns move between months are read by name. Quoted
-line breaks are not supported.
+One pass opens every file for its first two lines only; this gives one row a file (preamble values and
+titles). The bodies are one text scan (splittable: a large file is spread over many tasks), joined to
+the file rows by path; a file's preamble and header lines are recognised by their text. Rows are parsed as quoted CSV and read by
+their own file's titles, so files whose columns move between months load by name. Quoted line
+breaks are not supported. A row with more fields than its header raises or is dropped, never cut.
 """
 
 from __future__ import annotations
@@ -13,43 +12,82 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import materialize
+from .csv import LONG_ROWS, separators
+from .listing import first_lines
+
 
 def _lines(spark: SparkSession, path, encoding: str) -> DataFrame:
     if encoding.upper().replace("-", "") == "UTF8":
-        raw = spark.read.text(path)
+        raw = spark.read.option("recursiveFileLookup", "true").text(path)
     else:  # one string column per line in another encoding (no quoting, no field splitting)
-        raw = (spark.read.schema("value string").option("sep", "\u0001").option("quote", "")
+        raw = (spark.read.schema("value string").option("sep", "\u0001").option("quote", "").option("recursiveFileLookup", "true")
                .option("encoding", encoding).option("header", "false").csv(path))
     return raw.select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_name").alias("file_name"),
-                      F.col("_metadata.file_block_start").alias("block"),
-                      F.monotonically_increasing_id().alias("rid"), F.col("value").alias("line"))
+                      F.monotonically_increasing_id().alias("line_no"), F.col("value").alias("line"))
+
+
+def _fields(line, sep: str, n: int) -> Column:
+    """The first n fields of a quoted line (null where the line is shorter)."""
+    schema = ", ".join(f"c{i} string" for i in range(n))
+    parsed = F.from_csv(line, F.lit(schema), {"sep": sep, "mode": "PERMISSIVE", "nullValue": "\u0001"})
+    return F.array(*[parsed[f"c{i}"] for i in range(n)])
+
+
+def file_heads(spark: SparkSession, path, sep: str, encoding: str, header_keys=None) -> DataFrame:
+    """One written row a file: its path, first two lines, preamble values and titles. A title that stands
+    twice in a file raises and names the file."""
+    heads = first_lines(spark, path, 2, encoding).where(F.size("lines") == 2)
+    heads = heads.select(F.col("path").alias("file"), F.regexp_replace(F.col("lines")[0], "^﻿", "").alias("first"), F.col("lines")[1].alias("second"))
+    widest = materialize(heads, "registry-heads")
+    n = widest.agg(F.max(F.greatest(separators(F.col("first"), sep), separators(F.col("second"), sep)))).first()[0]
+    n = int(n or 0) + 1
+    cut = lambda c: F.slice(_fields(F.col(c), sep, n), F.lit(1), (separators(F.col(c), sep) + 1).cast("int"))
+    header = cut("second") if header_keys is None else header_keys(cut("second"))
+    out = widest.select("file", "first", "second", cut("first").alias("pre"), header.alias("header"))
+    twice = F.size(F.array_distinct("header")) < F.size("header")
+    error = F.raise_error(F.concat(F.lit("titles that stand twice in "), F.col("file"))).cast("array<string>")
+    return materialize(out.withColumn("header", F.when(twice, error).otherwise(F.col("header"))), "registry-files")
+
+
+def scan_preamble_rows(spark: SparkSession, path, sep: str = ";", encoding: str = "UTF-8", header_keys=None,
+                       long_rows: str = "raise", wanted: list[str] | None = None) -> DataFrame:
+    """``(file_name, company, zone, vat, line_no, header, values)`` for every body row.
+
+    With ``wanted`` titles, ``values`` has one entry for each of them in that order (their positions
+    are found once a file); else the fields in file order, as many as titles.
+    """
+    if long_rows not in LONG_ROWS[:2]:
+        raise ValueError("long_rows is 'raise' or 'drop' for registry files")
+    heads = file_heads(spark, path, sep, encoding, header_keys)
+    widest = heads.agg(F.max(F.size("header"))).first()[0] or 1
+    if wanted is not None:
+        places = F.array(*[F.array_position("header", w).cast("int") for w in wanted])
+        heads = heads.withColumn("places", places)
+    body = _lines(spark, path, encoding).where(F.length("line") > 0).join(heads, F.col("file_path") == F.col("file"))
+    body = body.where(~F.col("line").isin(F.col("first"), F.col("second")) & (F.regexp_replace("line", "^﻿", "") != F.col("first")))
+    long = separators(F.col("line"), sep) >= F.size("header")
+    if long_rows == "raise":
+        error = F.raise_error(F.concat(F.lit("row with more fields than its header in "), F.col("file"), F.lit(": "), F.col("line"))).cast("boolean")
+        body = body.where(F.when(long, error).otherwise(True))
+    else:
+        body = body.where(~long)
+    body = body.withColumn("fields_read", _fields(F.col("line"), sep, widest))
+    if wanted is not None:
+        values = F.transform("places", lambda i: F.when(i > 0, F.get("fields_read", i - 1)))
+    else:
+        values = F.slice("fields_read", F.lit(1), F.size("header"))
+    return body.select("file_name", F.element_at("pre", 1).alias("company"), F.element_at("pre", 2).alias("zone"),
+                       F.element_at("pre", -1).alias("vat"), "line_no", "header", values.alias("values"))
 
 
 def scan_preamble_csv(spark: SparkSession, path, sep: str = ";", encoding: str = "UTF-8",
-                      header_keys=None) -> DataFrame:
+                      header_keys=None, long_rows: str = "raise") -> DataFrame:
     """Rows ``(file_name, company, zone, vat, line_no, fields map)``; ``header_keys`` may rewrite the
     header array (a function Column → Column applied per file) before it becomes the map keys.
     ``line_no`` orders the rows of a file (not a dense line number). A header-only file gives no rows."""
-    lines = _lines(spark, path, encoding)
-    first_split = lines.where(F.col("block") == 0)
-    pre = (first_split.groupBy("file_path")
-           .agg(F.min("rid").alias("rid0"), F.min_by("line", "rid").alias("pre_line")))
-    head = (first_split.join(pre, "file_path").where(F.col("rid") == F.col("rid0") + 1)
-            .select("file_path", F.split("line", sep, -1).alias("header")))
-    if header_keys is not None:
-        head = head.withColumn("header", header_keys(F.col("header")))
-    meta = pre.join(head, "file_path").select("file_path", "rid0", F.split("pre_line", sep, -1).alias("pre"), "header")
-    body = lines.join(meta, "file_path").where(
-        ((F.col("block") > 0) | (F.col("rid") > F.col("rid0") + 1)) & (F.length("line") > 0))
-    n = F.size("header")
-    fields = F.slice(F.concat(F.split("line", sep, -1), F.array_repeat(F.lit(None).cast("string"), n)), 1, n)
-    return body.select(
-        "file_name",
-        F.element_at("pre", 1).alias("company"),
-        F.element_at("pre", 2).alias("zone"),
-        F.element_at("pre", -1).alias("vat"),
-        (F.col("block") * F.lit(1 << 20) + F.col("rid") - F.col("rid0")).alias("line_no"),
-        F.map_from_arrays(F.col("header"), fields).alias("fields"))
+    rows = scan_preamble_rows(spark, path, sep, encoding, header_keys, long_rows)
+    return rows.select("file_name", "company", "zone", "vat", "line_no", F.map_from_arrays("header", "values").alias("fields"))
 
 
 def field(name: str) -> Column:

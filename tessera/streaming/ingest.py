@@ -8,32 +8,38 @@ files and a failed run resumes without loading a file twice (exactly-once file p
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.csv import LATIN1, null_tokens
+from ..session import qualified
+from ..sources.csv import _RAW, LATIN1, apply_long_rows, null_tokens
 
 
 def csv_stream(spark: SparkSession, folder: str, schema: T.StructType, sep: str = ";", encoding: str = LATIN1,
-               pattern: str | None = None, max_files_per_trigger: int | None = None) -> DataFrame:
-    r = (spark.readStream.schema(schema).option("sep", sep).option("header", "true").option("encoding", encoding)
-         .option("nullValue", "\u0001"))
+               pattern: str | None = None, max_files_per_trigger: int | None = None, long_rows: str = "raise") -> DataFrame:
+    """Rows of the folder's files under the declared schema. A file whose header does not have the declared
+    titles in their order raises; ``long_rows`` is the policy of the batch scans for rows with too many fields."""
+    r = (spark.readStream.schema(T.StructType([*schema.fields, T.StructField(_RAW, T.StringType())])).option("sep", sep).option("header", "true").option("encoding", encoding)
+         .option("nullValue", "\u0001").option("columnNameOfCorruptRecord", _RAW).option("columnPruning", "false")
+         .option("enforceSchema", "false"))
     if pattern:
         r = r.option("pathGlobFilter", pattern)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    df = r.csv(folder)
-    return null_tokens(df).withColumn("file_name", F.col("_metadata.file_name"))
+    df = r.csv(folder).withColumn("file_name", F.col("_metadata.file_name"))
+    df = apply_long_rows(df, schema.names, sep, long_rows)
+    return null_tokens(df, columns=[f.name for f in schema.fields if isinstance(f.dataType, T.StringType)])
 
 
 def ingest_stream(spark: SparkSession, folder: str, schema: T.StructType, target: str, checkpoint: str,
                   transform: Callable[[DataFrame], DataFrame] | None = None, sep: str = ";",
-                  encoding: str = LATIN1, pattern: str | None = None, fmt: str = "parquet") -> dict:
+                  encoding: str = LATIN1, pattern: str | None = None, fmt: str = "parquet", long_rows: str = "raise") -> dict:
     """Load every new file of ``folder`` into ``target`` (append) and stop; returns the last progress."""
-    df = csv_stream(spark, folder, schema, sep, encoding, pattern)
+    df = csv_stream(spark, folder, T.StructType(list(schema.fields)), sep, encoding, pattern, long_rows=long_rows)
     if transform is not None:
         df = transform(df)
     q = (df.writeStream.format(fmt).option("path", target).option("checkpointLocation", checkpoint)
@@ -51,8 +57,9 @@ def ingest_files(spark: SparkSession, folder: str, job: Callable[[SparkSession,
     The folder is a streaming ``binaryFile`` listing (only the path column is read); each micro-batch
     holds at most ``max_files_per_trigger`` new files, whose paths are handed to the job (a bounded
     list of names, never file contents, passes through the driver). Each batch is written to
-    ``target/batch_id=<id>`` with overwrite, so a replayed batch rewrites its own output: together
-    with the checkpoint, every file is loaded exactly once.
+    ``target/source_id=<id>/batch_id=<id>`` with overwrite, so a replayed batch rewrites its own output:
+    together with the checkpoint, every file is loaded exactly once. The source id is a digest of the checkpoint's
+    place, so several ingests may share a target.
     """
     r = (spark.readStream.format("binaryFile")
          .schema("path string, modificationTime timestamp, length long, content binary")
@@ -60,11 +67,12 @@ def ingest_files(spark: SparkSession, folder: str, job: Callable[[SparkSession,
     if pattern:
         r = r.option("pathGlobFilter", pattern)
     listing = r.load(folder).select("path")
+    source_id = hashlib.sha256(qualified(checkpoint).rstrip("/").encode()).hexdigest()[:16]
 
     def run_batch(batch: DataFrame, batch_id: int) -> None:
         paths = [row.path for row in batch.collect()]
         if paths:
-            job(spark, paths).write.mode("overwrite").format(fmt).save(f"{target}/batch_id={batch_id}")
+            job(spark, paths).write.mode("overwrite").format(fmt).save(f"{target}/source_id={source_id}/batch_id={batch_id}")
 
     q = (listing.writeStream.foreachBatch(run_batch).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())

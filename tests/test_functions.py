@@ -8,6 +8,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tessera.functions.dates import parse_dayfirst
+from tessera.functions.numbers import to_int_floor
+
 from tessera.functions import names as N
 from tessera.functions import numbers as M
 from tessera.functions import text as T
@@ -143,3 +146,19 @@ def test_unpivot_matches_melt(spark, rows):
                    value_name="Prezzo").dropna(axis=0, how="any")
     want = sorted((int(a), int(b), c, float(d)) for a, b, c, d in melt.itertuples(index=False))
     assert got == want
+
+
+def test_lenient_integers_like_pandas(spark):
+    values = ["3", "3.9", " 4 ", "-2.5", "1e3", "3d", "2F", "NaN", "Infinity", "-Infinity", "x", "", None, "1e30", ".5", "5."]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string")
+    got = {r.i: r.k for r in df.select("i", to_int_floor("v").alias("k")).collect()}
+    assert [got[i] for i in range(len(values))] == [3, 3, 4, -3, 1000] + [None] * 8 + [None, 0, 5]
+
+
+def test_dayfirst_chain_is_tried_once(spark):
+    df = spark.createDataFrame([("05/01/2024",), ("2024-01-05",), (" ",), (None,)], "v string")
+    assert [str(r.d) for r in df.select(parse_dayfirst("v").alias("d")).collect()] == ["2024-01-05", "2024-01-05", "None", "None"]
+    plan = df.select(parse_dayfirst("v").alias("d"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("dd.MM.yyyy") == 1
+    with pytest.raises(Exception, match="unparseable"):
+        spark.createDataFrame([("soon",)], "v string").select(parse_dayfirst("v").alias("d")).collect()

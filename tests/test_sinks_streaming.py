@@ -4,10 +4,12 @@ import glob
 import os
 
 import pyarrow.parquet as pq
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.sinks import tables as SK
+from tessera.sources import csv as CSV
 from tessera.streaming.ingest import ingest_stream
 
 
@@ -82,3 +84,31 @@ def test_file_job_stream_exactly_once(spark, tmp_dir):
     ingest_files(spark, land, job, out, ck, pattern="*.csv")
     got = sorted((r.Anno, r.Mese) for r in spark.read.parquet(out).collect())
     assert got == [(2024, 2), (2024, 3)]
+
+
+def test_two_sources_into_one_target_keep_all_rows(spark, tmp_dir):
+    from tessera.streaming.ingest import ingest_files
+    for name in ("one", "two"):
+        os.makedirs(f"{tmp_dir}/{name}")
+        open(f"{tmp_dir}/{name}/a.csv", "w").write(f"A;B\n{name};1\n")
+    job = lambda s, paths: CSV.scan_csv_text(s, paths)
+    for name in ("one", "two", "one"):
+        ingest_files(spark, f"{tmp_dir}/{name}", job, f"{tmp_dir}/target", f"{tmp_dir}/ckpt-{name}")
+    assert sorted(r.A for r in spark.read.parquet(f"{tmp_dir}/target").collect()) == ["one", "two"]
+
+
+def test_stream_refuses_long_rows_and_other_headers(spark, tmp_dir):
+    from pyspark.sql import types as T
+
+    from tessera.streaming.ingest import ingest_stream
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in ("A", "B")])
+    os.makedirs(f"{tmp_dir}/in")
+    open(f"{tmp_dir}/in/a.csv", "w").write("A;B\n1;2\n3;4;5\n")
+    with pytest.raises(Exception, match="more fields"):
+        ingest_stream(spark, f"{tmp_dir}/in", schema, f"{tmp_dir}/t1", f"{tmp_dir}/c1")
+    ingest_stream(spark, f"{tmp_dir}/in", schema, f"{tmp_dir}/t2", f"{tmp_dir}/c2", long_rows="drop")
+    assert [(r.A, r.B) for r in spark.read.parquet(f"{tmp_dir}/t2").collect()] == [("1", "2")]
+    os.makedirs(f"{tmp_dir}/in2")
+    open(f"{tmp_dir}/in2/b.csv", "w").write("B;A\n2;1\n")
+    with pytest.raises(Exception, match="header"):
+        ingest_stream(spark, f"{tmp_dir}/in2", schema, f"{tmp_dir}/t3", f"{tmp_dir}/c3")

@@ -4,6 +4,7 @@ import io
 import os
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import dates as D
@@ -68,7 +69,7 @@ def test_registry_import_december_and_month_order(spark, tmp_dir):
 def test_nested_archives(spark, tmp_dir):
     inner = io.BytesIO()
     with zipfile.ZipFile(inner, "w") as z:
-        z.writestr("deep/PLT_REP_ELE_00000000000202411_x.csv", "A;B\n1;2\n")
+        z.writestr("deep/RCU_REP_ELE_00000000000202411_x.csv", "A;B\n1;2\n")
     outer = io.BytesIO()
     with zipfile.ZipFile(outer, "w") as z:
         z.writestr("inner.zip", inner.getvalue())
@@ -76,7 +77,7 @@ def test_nested_archives(spark, tmp_dir):
     os.makedirs(f"{tmp_dir}/zips")
     open(f"{tmp_dir}/zips/batch.ZIP", "wb").write(outer.getvalue())
     members = sorted((r.member, bytes(r.content)) for r in A.expand_archives(spark, f"{tmp_dir}/zips").collect())
-    assert members == [("inner.zip!/deep/PLT_REP_ELE_00000000000202411_x.csv", b"A;B\n1;2\n"), ("top.csv", b"A;B\n3;4\n")]
+    assert members == [("inner.zip!/deep/RCU_REP_ELE_00000000000202411_x.csv", b"A;B\n1;2\n"), ("top.csv", b"A;B\n3;4\n")]
     listing = A.extract_archives(spark, f"{tmp_dir}/zips", f"{tmp_dir}/out").collect()
     assert len(listing) == 2 and all(os.path.exists(r.path) for r in listing)
     names = spark.createDataFrame([(r.member.split("/")[-1],) for r in listing], "name string")
@@ -100,15 +101,22 @@ def test_xml_rows_and_price_import(spark, tmp_dir):
            "<Prezzi><Data>20240105</Data><Mercato>MGP</Mercato><Ora>1</Ora><NORD>45,5</NORD><SUD>40</SUD></Prezzi>"
            "<Prezzi><Data>20240105</Data><Mercato>MGP</Mercato><Ora>2</Ora><NORD>46,25</NORD></Prezzi>"
            "</NewDataSet>")
-    write(f"{tmp_dir}/px/file=20240105MGPPrezzi.xml/part-0.xml", xml)
-    write(f"{tmp_dir}/px/file=20240109MGPPrezzi.xml/part-0.xml", xml.replace("20240105", "20240109"))
-    rows = XML.scan_xml_rows(spark, f"{tmp_dir}/px").drop("file")
+    write(f"{tmp_dir}/px/20240105MGPPrezzi.xml", xml)
+    write(f"{tmp_dir}/px/20240109MGPPrezzi.xml", xml.replace("20240105", "20240109"))
+    rows = XML.scan_xml_rows(spark, f"{tmp_dir}/px")
     assert sorted(rows.columns) == ["Data", "NORD", "Ora", "SUD"] and rows.count() == 4
+    # files of other days are not opened: this one is no XML at all
+    write(f"{tmp_dir}/px/20300101MGPPrezzi.xml", "<NewDataSet><Prezzi><Data>20300101</Data><ALTRO>1</AL")
     out = JB.price_import(spark, f"{tmp_dir}/px", "2024-01-04", "2024-01-06").orderBy("Ora", "Zona").collect()
     assert [(str(r.Data), r.Ora, r.Zona, r.Prezzo) for r in out] == [
         ("2024-01-05", 1, "NORD", 45.5), ("2024-01-05", 1, "SUD", 40.0), ("2024-01-05", 2, "NORD", 46.25)]
 
 
+def test_price_import_without_files(spark, tmp_dir):
+    os.makedirs(f"{tmp_dir}/px")
+    assert JB.price_import(spark, f"{tmp_dir}/px", "2024-01-04", "2024-01-06").count() == 0
+
+
 def test_route_and_date_range(spark):
     names = spark.createDataFrame([("a.zip",), ("x_REP_ELE_1.csv",), ("flusso_15.csv",), ("libreria_gas.xlsx",),
                                    ("libreria_ee.xlsx",)], "name string")
@@ -143,3 +151,59 @@ def test_preamble_file_split_over_many_tasks(spark, tmp_dir):
     a = sorted((int(r.a), int(r.b)) for r in rows if r.company == "Co")
     b = sorted((int(r.b), int(r.a)) for r in rows if r.company == "Co2")
     assert a == b == [(i, i * 2) for i in range(3000)]
+
+
+def test_long_rows_raise_drop_or_stay_apart(spark, tmp_dir):
+    write(f"{tmp_dir}/in/a.csv", 'a;b\n1;2\n3;4;5\n4;5;\n7;8;;x\n"x;y";z\n9\n', "latin-1")
+    with pytest.raises(Exception, match="more fields than its header"):
+        CSV.scan_csv_text(spark, f"{tmp_dir}/in").collect()
+    kept = [tuple(r) for r in CSV.scan_csv_text(spark, f"{tmp_dir}/in", long_rows="drop").collect()]
+    assert kept == [("1", "2"), ("x;y", "z"), ("9", None)]
+    assert CSV.scan_csv_text(spark, f"{tmp_dir}/in", long_rows="drop").count() == 3
+    apart = CSV.scan_long_rows(spark, f"{tmp_dir}/in")
+    assert apart.count() == 3 and {tuple(r) for r in apart.collect()} == {("a.csv", "3;4;5"), ("a.csv", "4;5;"), ("a.csv", "7;8;;x")}
+    # a scan of few columns sees the same rows
+    assert CSV.scan_csv_text(spark, f"{tmp_dir}/in", long_rows="drop").select("b").count() == 3
+
+
+def test_files_read_by_their_own_header(spark, tmp_dir):
+    write(f"{tmp_dir}/in/a.csv", "a;b;c\n1;2;3\n", "latin-1")
+    write(f"{tmp_dir}/in/sub/b.csv", "c;b;a\n33;22;11\n", "latin-1")
+    write(f"{tmp_dir}/in/c.csv", "a;d\n7;8\n", "latin-1")
+    got = {(r.a, r.b, r.c, r.d) for r in CSV.scan_csv_text(spark, f"{tmp_dir}/in").collect()}
+    assert got == {("1", "2", "3", None), ("11", "22", "33", None), ("7", None, None, "8")}
+
+
+def test_registry_quotes_empty_cells_and_long_rows(spark, tmp_dir):
+    text = registry_text(JB.MONTH_ORDER).split("\n")
+    row = text[2].split(";")
+    row[3], row[10], row[-2] = '"ORARIO; notte"', "", "NA"
+    write(f"{tmp_dir}/reg/202403_a.csv", "\n".join(['"IT; SPA";NORD;-;9', text[1], ";".join(row), ""]))
+    r = JB.registry_import(spark, f"{tmp_dir}/reg").collect()
+    assert len(r) == 1 and r[0].Ragione_Sociale_Distributore == "IT; SPA" and r[0].Tipo_Misuratore == "ORARIO; notte"
+    assert r[0].CONSUMO_F3 is None and [c for c in JB.REGISTRY_COLUMNS if r[0][c] is None] == ["F2_07", "CONSUMO_F3"]
+    write(f"{tmp_dir}/reg/202404_b.csv", "\n".join(["Co;Z;-;1", text[1], text[2] + ";more", ""]))
+    with pytest.raises(Exception, match="202404_b.csv"):
+        JB.registry_import(spark, f"{tmp_dir}/reg").collect()
+    assert JB.registry_import(spark, f"{tmp_dir}/reg", long_rows="drop").count() == 1
+
+
+def test_registry_titles_twice_name_the_file(spark, tmp_dir):
+    write(f"{tmp_dir}/p/202401_a.csv", "Co;Z;V\nB;A;A\n2;1;3\n")
+    with pytest.raises(Exception, match="202401_a.csv"):
+        P.scan_preamble_csv(spark, f"{tmp_dir}/p").collect()
+
+
+def test_archives_keep_equal_names(spark, tmp_dir):
+    for folder, n in (("one", 1), ("two", 2)):
+        os.makedirs(f"{tmp_dir}/zips/{folder}")
+        with zipfile.ZipFile(f"{tmp_dir}/zips/{folder}/a.zip", "w") as z:
+            z.writestr("d1/x.csv", f"A\n{n}\n")
+            z.writestr("d2/x.csv", f"A\n{n + 10}\n")
+    listing = A.extract_archives(spark, f"{tmp_dir}/zips", f"{tmp_dir}/out").collect()
+    assert len({r.path for r in listing}) == 4
+    assert sorted(r.A for r in CSV.scan_csv_text(spark, f"{tmp_dir}/out").collect()) == ["1", "11", "12", "2"]
+    lines = A.archive_lines(spark, f"{tmp_dir}/zips").where("pos > 0").collect()
+    assert sorted(r.line for r in lines) == ["1", "11", "12", "2"]
+    plan = A.archive_lines(spark, f"{tmp_dir}/zips")._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan
