@@ -12,16 +12,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.text import coalesce_id, fold_name
-from .operators import ledger as L
-from .operators.joins import left_join_suffixed
-from .operators.numbering import number_dense
-from .operators.records import FileParams, payment_lines, refund_totals
+from .operators import status as ST
+from .operators.records import FileParams, payment_blocks, refund_totals
 from .plans import jobs as JB
-from .plans.refunds import attach_codes
+from .plans import refunds as RF
 from .sinks import fixed_width as FW
 from .sinks import tables as SK
-from .operators import status as ST
 
 
 @dataclass
@@ -39,10 +35,6 @@ class Ledger:
         return cls(spark.table(accounts), spark.table(customers), spark.table(entries), spark.table(details),
                    spark.table(excluded))
 
-    def summary(self) -> DataFrame:
-        """(customer, account, document) balances, materialized once per run."""
-        return L.ledger_summary(L.entry_amounts(self.entries, self.details))
-
 
 @dataclass
 class RefundOutput:
@@ -60,36 +52,23 @@ def _totals(numbered: DataFrame, amount: str) -> tuple[int, str, int]:
 
 def domiciled_refund_file(ledger: Ledger, out_dir: str, params: FileParams,
                           movements_format: str = "parquet") -> RefundOutput:
-    """Domiciled refunds: candidates → numbers → payment file; movements with their payment keys,
-    read back from the written file, as a reconciliation table (Parquet, or ``csv`` with header)."""
-    summary = ledger.summary()
-    cands = L.refund_candidates_domiciled(ledger.accounts, ledger.customers, summary, ledger.excluded)
-    numbered = number_dense(cands, ["Cliente"], out="nr")
-    lines = payment_lines(numbered, params, nr="nr", amount="SaldoCliente", tax_id="CF", name="Denominazione",
-                          key="Cliente")
-    lines_path = f"{out_dir}/payments"
-    FW.sink_fixed_width(lines, lines_path)
-    written = (lines.sparkSession.read.text(lines_path)
-               .select(F.lit(0).alias("seq"), F.col("value").alias("line")))
-    movements = attach_codes(L.refund_movements(ledger.accounts, ledger.customers, summary, ledger.excluded), written)
-    mv_path = f"{out_dir}/movements"
+    """Domiciled refunds: candidates → numbers → payment file; open documents with their payment keys
+    as a reconciliation table (Parquet, or ``csv`` with header)."""
+    run = RF.DomiciledRun(ledger, params, documents=True)
+    path, mv_path = f"{out_dir}/payments", f"{out_dir}/movements"
+    FW.sink_payment_blocks(run.blocks(), path)
+    movements = run.movements()
     if movements_format == "csv":
         SK.sink_csv(movements, mv_path, sep=";", header=True)
     else:
         SK.sink_overwrite(movements, mv_path)
-    n, total, records = _totals(numbered, "SaldoCliente")
-    return RefundOutput(lines_path, n, total, records, mv_path)
+    return RefundOutput(path, *_totals(run.numbered(), "SaldoCliente"), mv_path)
 
 
 def ordinary_refund_file(ledger: Ledger, out_dir: str, params: FileParams) -> RefundOutput:
     """Ordinary refunds per account (ties on the customer broken by account number)."""
-    summary = ledger.summary()
-    cands = L.refund_candidates_ordinary(ledger.accounts, ledger.customers, summary)
-    numbered = number_dense(cands, ["Cliente", "Fornitura"], out="nr")
-    lines = payment_lines(numbered, params, nr="nr", amount="SaldoFornitura", tax_id="CF", name=None,
-                          key="Fornitura")
-    path = f"{out_dir}/payments"
-    FW.sink_fixed_width(lines, path)
+    numbered, path = RF.ordinary_numbered(ledger), f"{out_dir}/payments"
+    FW.sink_payment_blocks(payment_blocks(numbered, params, **RF.ordinary_layout()), path)
     return RefundOutput(path, *_totals(numbered, "SaldoFornitura"))
 
 
@@ -97,52 +76,53 @@ def unallocated_refund_file(credits: DataFrame, customers: DataFrame, out_dir: s
                             code: str = "Codice_Cliente", amount: str = "Avere") -> RefundOutput:
     """Unallocated payments: credits summed by upper-cased code, left-joined to customers,
     numbered before the 10..6000 filter (gaps kept); the trailer totals the raw credits."""
-    sums = L.credits_by_code(credits.select(F.col(code).alias("Codice_Cliente"), F.col(amount).alias("Avere")))
-    names = customers.select(F.col("No").alias("Cliente"), coalesce_id("FiscalCode", "VATRegistrationNo").alias("CF_PIVA"),
-                             fold_name("FullName", "Name").alias("Name"))
-    joined = left_join_suffixed(sums, names, "Codice_Cliente", "Cliente")
-    numbered = number_dense(joined, ["Codice_Cliente", "CF_PIVA", "Name"], out="nr")
-    kept = numbered.where(L.filter_closed(F.col("Avere"), L.CREDIT_LO, L.CREDIT_HI))
-    lines = payment_lines(kept, params, nr="nr", amount="Avere", tax_id="CF_PIVA", name="Name", key="Codice_Cliente",
-                          total_of="Avere")
+    kept = RF.unallocated_numbered(credits.select(F.col(code).alias("Codice_Cliente"), F.col(amount).alias("Avere")), customers)
     path = f"{out_dir}/payments"
-    FW.sink_fixed_width(lines, path)
+    FW.sink_payment_blocks(payment_blocks(kept, params, **RF.unallocated_layout()), path)
     return RefundOutput(path, *_totals(kept, "Avere"))
 
 
-def load_registry_files(spark: SparkSession, folder: str, target: str, load_ts: str) -> DataFrame:
+def load_registry_files(spark: SparkSession, folder: str, target: str, load_ts: str, as_table: bool = False,
+                        long_rows: str = "raise") -> DataFrame:
     """Distributor registry files → append to the registry table; returns the load metrics row."""
-    return SK.load_with_metrics(spark, JB.registry_import(spark, folder, load_ts), target, mode="append")
+    return SK.load_with_metrics(spark, JB.registry_import(spark, folder, load_ts, long_rows), target, mode="append", as_table=as_table)
 
 
 def load_supply_points(spark: SparkSession, archive_folder: str, extract_to: str, target: str,
-                       load_ts: str) -> DataFrame:
+                       load_ts: str, as_table: bool = False, long_rows: str = "drop") -> DataFrame:
     """Zipped supply-point registers → append to the register table; returns the load metrics row."""
-    return SK.load_with_metrics(spark, JB.supply_point_import(spark, archive_folder, extract_to, load_ts), target,
-                                mode="append")
+    return SK.load_with_metrics(spark, JB.supply_point_import(spark, archive_folder, extract_to, load_ts, long_rows), target,
+                                mode="append", as_table=as_table)
 
 
-def load_prices(spark: SparkSession, folder: str, start: str, end: str, target: str, load_ts: str) -> DataFrame:
+def load_prices(spark: SparkSession, folder: str, start: str, end: str, target: str, load_ts: str, as_table: bool = False) -> DataFrame:
     """Day-ahead price files of ``start``..``end`` → append (no de-duplication: re-loading a day doubles it)."""
-    return SK.load_with_metrics(spark, JB.price_import(spark, folder, start, end, load_ts), target, mode="append")
+    return SK.load_with_metrics(spark, JB.price_import(spark, folder, start, end, load_ts), target, mode="append", as_table=as_table)
 
 
-def last_loaded_date(spark: SparkSession, target: str, column: str = "Data") -> DataFrame:
-    return spark.read.parquet(target).agg(F.max(column).alias("max_date"))
+def last_loaded_date(spark: SparkSession, target: str, column: str = "Data", as_table: bool = False) -> DataFrame:
+    return (spark.table(target) if as_table else spark.read.parquet(target)).agg(F.max(column).alias("max_date"))
 
 
-def load_offer_library(spark: SparkSession, sheet: DataFrame, name: str, target: str) -> None:
+def load_offer_library(spark: SparkSession, sheet: DataFrame, name: str, target: str, as_table: bool = False) -> None:
     """Gas (name contains ``gas``) or electricity offer library → replace the table."""
-    SK.sink_overwrite(JB.offer_library(sheet, name), target)
+    SK.sink_overwrite(JB.offer_library(sheet, name), target, as_table=as_table)
+
+
+def load_offer_libraries(spark: SparkSession, folder: str, gas_target: str, electricity_target: str, sep: str = ";",
+                         as_table: bool = False) -> dict[str, int]:
+    """Every offer library of a folder → its table by file name; the number of files each table got."""
+    return JB.offer_libraries(spark, folder, gas_target, electricity_target, sep, as_table)
 
 
-def load_csv_table(spark: SparkSession, path: str, target: str, sep: str = ";") -> tuple[bool, str]:
+def load_csv_table(spark: SparkSession, path: str, target: str, sep: str = ";", as_table: bool = False,
+                   long_rows: str = "raise") -> tuple[bool, str]:
     """Any Latin-1 CSV → new all-string table with cleaned headers; fails (as a value) if it exists."""
-    return JB.table_from_csv(spark, path, target, sep)[1]
+    return JB.table_from_csv(spark, path, target, sep, as_table, long_rows)[1]
 
 
-def replace_flow15(spark: SparkSession, folder: str, target: str) -> str:
-    return JB.flow15_replace(spark, folder, target)
+def replace_flow15(spark: SparkSession, folder: str, target: str, as_table: bool = False, long_rows: str = "raise") -> str:
+    return JB.flow15_replace(spark, folder, target, as_table, long_rows)
 
 
 def share(spark: SparkSession, target: str, sql: str | None = None, table: str | None = None,

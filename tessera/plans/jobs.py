@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 from ..functions import names as N
 from ..functions.dates import filename_period_fixed, filename_period_next, parse_dayfirst
-from ..functions.numbers import comma_decimal, round_3, to_int_floor
+from ..functions.numbers import comma_decimal, round_3
 from ..functions.text import pad_left, truncate_id
-from ..operators.reshape import pad_id_columns, unpivot_zones
+from ..operators.reshape import SUPPLY_POINT_RULES, apply_by_name_pattern, pad_id_columns, unpivot_zones
 from ..sinks import tables as SK
 from ..sources import archives as A
 from ..sources import csv as CSV
@@ -67,27 +67,32 @@ def registry_header_keys(header: Column) -> Column:
     return F.transform(header, key)
 
 
-def registry_import(spark: SparkSession, folder, load_ts: str = LOAD_TS) -> DataFrame:
+def registry_import(spark: SparkSession, folder, load_ts: str = LOAD_TS, long_rows: str = "raise") -> DataFrame:
     """Registry files → 52-column table. Period = file month + 1 (from the ``YYYYMM`` name); the
-    preamble gives company (first value), zone (second) and VAT (last). POD is cut to 14."""
-    rows = P.scan_preamble_csv(spark, folder, header_keys=registry_header_keys)
+    preamble gives company (first value), zone (second) and VAT (last). POD is cut to 14. Null tokens and
+    empty cells are null; other text that is no number raises."""
+    bands = [f"F{b}_{m}" for m in MONTH_ORDER for b in (1, 2, 3)]
+    totals = ["CONSUMO_TOT", "CONSUMO_F1", "CONSUMO_F2", "CONSUMO_F3"]
+    texts = ["POD", "CF", "PIVA", "Tipo_Misuratore", "Trattamento_m1", "Trattamento_m"]
+    wanted = [*texts, *bands, *totals]
+    rows = P.scan_preamble_rows(spark, folder, header_keys=registry_header_keys, long_rows=long_rows, wanted=wanted)
+    cells = F.transform("values", lambda v: F.when(~v.isin(*CSV.DEFAULT_NULL_TOKENS), v))
+    rows = rows.withColumn("cells", cells)
+    f = {w: F.col("cells")[i] for i, w in enumerate(wanted)}
     anno, mese = filename_period_next(F.col("file_name"))
-    f = P.field
     cols = {
         "Anno": anno.cast("int"), "Mese": mese.cast("int"),
         "Piva_Distributore": F.col("vat"), "Ragione_Sociale_Distributore": F.col("company"), "Zona": F.col("zone"),
-        "POD": truncate_id(f("POD"), POD_LEN), "CF": f("CF"), "PIVA": f("PIVA"), "Tipo_Misuratore": f("Tipo_Misuratore"),
-        "Trattamento_m1": f("Trattamento_m1"), "Trattamento_m": f("Trattamento_m"),
+        "POD": truncate_id(f["POD"], POD_LEN), **{t: f[t] for t in texts[1:]},
+        **{c: f[c].cast("double") for c in bands}, **{c: comma_decimal(f[c]) for c in totals},
+        "DateUp": F.lit(load_ts).cast("timestamp_ntz"),
     }
-    for m in MONTH_ORDER:
-        for b in (1, 2, 3):
-            cols[f"F{b}_{m}"] = f(f"F{b}_{m}").cast("double")
-    for c in ("CONSUMO_TOT", "CONSUMO_F1", "CONSUMO_F2", "CONSUMO_F3"):
-        cols[c] = comma_decimal(f(c))
-    cols["DateUp"] = F.lit(load_ts).cast("timestamp_ntz")
     return rows.select(*[v.alias(k) for k, v in cols.items()])
 
 
+EMPTY_CELL = (2, "09")  # band and month left empty for some customers
+
+
 def _band_text(b: int, m: str) -> Column:
     return (F.col("c_acctbal").cast("decimal(12,2)") + F.lit(b * 100 + int(m))).cast("decimal(14,2)").cast("string")
 
@@ -112,9 +117,10 @@ def stage_registry_files(spark: SparkSession, sf_dir: str) -> str:
         vals = [F.concat(F.lit("IT001E"), pad_left(F.col("c_custkey").cast("string"), "0", 9)),
                 F.left(F.upper(F.md5(F.col("c_custkey").cast("string"))), F.lit(16)),
                 pad_left(F.col("c_custkey").cast("string"), "0", 11),
-                F.col("c_mktsegment"), F.lit("MONORARIO"),
+                F.concat(F.lit('"'), F.col("c_mktsegment"), F.lit('; x"')), F.lit("MONORARIO"),
                 F.when(F.col("c_acctbal") > 0, F.lit("ORARIO")).otherwise(F.lit("FASCE"))]
-        vals += [_band_text(b, m) for b, m in months]
+        # every seventh customer has an empty cell
+        vals += [F.when(F.col("c_custkey") % 7 == 0, F.lit("")).otherwise(_band_text(b, m)) if (b, m) == EMPTY_CELL else _band_text(b, m) for b, m in months]
         acct = F.col("c_acctbal").cast("decimal(12,2)")
         vals += [F.replace((acct * 3).cast("string"), F.lit("."), F.lit(","))]
         vals += [F.replace((acct + b).cast("decimal(14,2)").cast("string"), F.lit("."), F.lit(",")) for b in (1, 2, 3)]
@@ -146,9 +152,9 @@ REGISTRY_SQL = ("SELECT CAST(CASE WHEN n_nationkey % 12 = 11 THEN 2025 ELSE 2024
                 "'Distributore ' || n_name AS Ragione_Sociale_Distributore, r_name AS Zona, "
                 f"left('IT001E' || {O.pad_left('CAST(c_custkey AS VARCHAR)', '0', 9)}, 14) AS POD, "
                 "left(upper(md5(CAST(c_custkey AS VARCHAR))), 16) AS CF, "
-                f"{O.pad_left('CAST(c_custkey AS VARCHAR)', '0', 11)} AS PIVA, c_mktsegment AS Tipo_Misuratore, "
+                f"{O.pad_left('CAST(c_custkey AS VARCHAR)', '0', 11)} AS PIVA, c_mktsegment || '; x' AS Tipo_Misuratore, "
                 "'MONORARIO' AS Trattamento_m1, CASE WHEN c_acctbal > 0 THEN 'ORARIO' ELSE 'FASCE' END AS Trattamento_m, "
-                + ", ".join(f"CAST(CAST(CAST(c_acctbal AS DECIMAL(12,2)) + {b * 100 + int(m)} AS DECIMAL(14,2)) AS DOUBLE) AS F{b}_{m}"
+                + ", ".join(f"CAST({'CASE WHEN c_custkey % 7 <> 0 THEN ' if (b, m) == EMPTY_CELL else '('}CAST(CAST(c_acctbal AS DECIMAL(12,2)) + {b * 100 + int(m)} AS DECIMAL(14,2)){' END' if (b, m) == EMPTY_CELL else ')'} AS DOUBLE) AS F{b}_{m}"
                             for m in MONTH_ORDER for b in (1, 2, 3))
                 + ", CAST(CAST(c_acctbal AS DECIMAL(12,2)) * 3 AS DOUBLE) AS CONSUMO_TOT, "
                 + ", ".join(f"CAST(CAST(CAST(c_acctbal AS DECIMAL(12,2)) + {b} AS DECIMAL(14,2)) AS DOUBLE) AS CONSUMO_F{b}"
@@ -164,32 +170,33 @@ PRICE_START, PRICE_END = "2024-01-03", "2024-01-20"
 
 
 def stage_price_files(spark: SparkSession, sf_dir: str) -> str:
-    """One XML file per day (``yyyymmddMGPPrezzi.xml`` partition folder): rows per hour with one
-    element per zone (decimal comma); a zone without events that hour is absent."""
+    """One XML file per day (``yyyymmddMGPPrezzi.xml``): rows per hour with one element per zone (decimal
+    comma); a zone without events that hour is absent."""
     e = X.read_table(spark, sf_dir, "events")
     g = (e.groupBy(F.to_date("ts").alias("day"), F.hour("ts").alias("h"))
          .pivot("event_type", ZONES).agg(F.sum(F.col("value").cast("decimal(12,2)"))))
-    rows = g.select(F.date_format("day", "yyyyMMdd").alias("Data"), F.lit("MGP").alias("Mercato"),
-                    (F.col("h") + 1).cast("string").alias("Ora"),
-                    *[F.replace(F.col(z).cast("string"), F.lit("."), F.lit(",")).alias(z.upper()) for z in ZONES],
-                    F.concat(F.date_format("day", "yyyyMMdd"), F.lit(LS.PRICE_SUFFIX)).alias("file"))
+    element = lambda tag, v: F.when(v.isNotNull(), F.concat(F.lit(f"<{tag}>"), v, F.lit(f"</{tag}>"))).otherwise("")
+    day = F.date_format("day", "yyyyMMdd")
+    cells = [element("Data", day), F.lit("<Mercato>MGP</Mercato>"), element("Ora", (F.col("h") + 1).cast("string")),
+             *[element(z.upper(), F.replace(F.col(z).cast("string"), F.lit("."), F.lit(","))) for z in ZONES]]
+    rows = g.select(day.alias("k"), F.lit("<NewDataSet>").alias("h"), F.concat(F.lit("<Prezzi>"), *cells, F.lit("</Prezzi>")).alias("t"))
     dest = S.fresh(spark, "prices")
-    (rows.write.mode("overwrite").partitionBy("file").format("xml").option("rowTag", "Prezzi")
-     .option("rootTag", "NewDataSet").save(dest))
+    S.write_text_files(rows.repartition("k"), dest, "k", "h", "t", name_fmt="{key}" + LS.PRICE_SUFFIX, tail="</NewDataSet>")
     return dest
 
 
 def price_import(spark: SparkSession, folder: str, start: str, end: str, load_ts: str = LOAD_TS) -> DataFrame:
     """Prices of the days ``start``..``end`` → long hourly table (Data, Ora, Zona, Prezzo, DateUp).
 
-    The day files are chosen by name before reading: the generated day list (bounded by the range
-    length) prunes the ``file`` partition folders, so other days are never opened.
+    The generated day names are joined to the folder's listing, and only those files (one a day of the
+    range) are opened; columns come from them too. Days without a file are left out.
     """
-    import datetime as dt
-    d0, d1 = dt.date.fromisoformat(start), dt.date.fromisoformat(end)
-    names = [(d0 + dt.timedelta(days=i)).strftime("%Y%m%d") + LS.PRICE_SUFFIX for i in range((d1 - d0).days + 1)]
-    rows = XML.scan_xml_rows(spark, folder).where(F.col("file").isin(names)).drop("file")
-    long = unpivot_zones(rows, ["Data", "Ora"], "Zona", "Prezzo")
+    listing = LS.list_folder(spark, folder, "*" + LS.PRICE_SUFFIX)
+    wanted = LS.day_names(spark, start, end)
+    paths = sorted(r.path for r in listing.join(wanted.select("name"), "name", "left_semi").select("path").collect())
+    if not paths:
+        return spark.createDataFrame([], "Data date, Ora int, Zona string, Prezzo double, DateUp timestamp_ntz")
+    long = unpivot_zones(XML.scan_xml_rows(spark, paths), ["Data", "Ora"], "Zona", "Prezzo")
     return long.select(F.to_date("Data", "yyyyMMdd").alias("Data"), F.col("Ora").cast("int").alias("Ora"),
                        F.col("Zona").cast("string").alias("Zona"), comma_decimal("Prezzo").alias("Prezzo"),
                        F.lit(load_ts).cast("timestamp_ntz").alias("DateUp"))
@@ -209,67 +216,97 @@ GROUP BY CAST(ts AS DATE), hour(ts), event_type"""
 
 # ---- supply-point registers (zipped, Latin-1) ---------------------------------------------------
 
-# Output layout of the supply-point table (73 columns) with each column's kind.
-SUPPLY_POINT_LAYOUT = [
-    ("Anno", "period"), ("Mese", "period"), ("COD_POD", "pod"), ("AREA_RIF", "str"), ("RAGIONE_SOCIALE_DISTR", "str"),
-    ("PIVA_DISTR", "id"), ("DP", "str"), ("RAGIONE_SOCIALE_UDD", "str"), ("PIVA_UDD", "id"),
-    ("RAGIONE_SOCIALE_CC", "str"), ("PIVA_CC", "id"), ("TIPO_MERCATO", "str"), ("TIPO_POD", "str"),
-    ("FINE_TIPO_POD", "date"), ("DATA_INIZIO_FORNITURA", "date"), ("DATA_FINE_FORNITURA", "date_opt"),
-    ("DATA_DECORRENZA_RET", "date"), ("DATA_INIZIO_DISPACCIAMENTO", "date"), ("CF", "id"), ("PIVA", "id"),
-    ("CF_STRANIERO", "str"), ("NOME", "str"), ("COGNOME", "str"), ("RAGIONE_SOCIALE_DENOMINAZIONE", "str"),
-    ("EMAIL_REFERENTE", "str"), ("TELEFONO_CLIENTE", "id"), ("EMAIL_CLIENTE", "email"), ("RESIDENZA", "accent"),
-    ("SERVIZIO_TUTELA", "str"), ("SETT_MERCEOLOGICO", "id"), ("COD_OFFERTA", "id"), ("AUTOCERTIFICAZIONE", "str"),
-    ("CODICE_UFFICIO", "str"), ("PAGAMENTO_IVA", "str"), ("IVA", "str"), ("IMPOSTE", "str"), ("TENSIONE", "str"),
-    ("DISALIMENTABILITA", "str"), ("TARIFFA_DISTRIBUZIONE", "str"), ("TIPO_MISURATORE", "str"),
-    ("DATA_MESSA_REGIME", "date"), ("MOTIVAZIONE", "str"), ("POTCONTRIMP", "str"), ("POTDISP", "str"),
-    ("CONSUMO", "str"), ("TRATTAMENTO", "str"), ("TRATTAMENTO_SUCC", "str"), ("NUM_CIFRE_EA", "nc"),
-    ("NUM_CIFRE_ER", "nc"), ("K_TRASFOR_ATT", "k_x"), ("K_TRASFOR_REA", "k"), ("K_TRASFOR_POT", "k"),
-    ("MAT_MISURATORE_ATT", "id"), ("MAT_MISURATORE_REA", "id"), ("MAT_MISURATORE_POT", "id"),
-    ("INST_MISURATOR_ATT", "date"), ("INST_MISURATOR_REA", "date"), ("INST_MISURATOR_POT", "date"),
-    ("NUM_CIFRE_ATT", "nc"), ("NUM_CIFRE_REA", "nc"), ("NUM_CIFRE_POT", "nc"), ("PRESENZA_MIS", "str"),
-    ("GEST_FORFAIT", "str"), ("PMA", "pma"), ("REGIME_COMPENSAZIONE", "str"), ("BF_DATA_INIZIO", "date"),
-    ("BF_DATA_FINE", "date"), ("BF_DATA_RINNOVO", "date"), ("BE_ANNO_VALIDITA", "str"), ("BE_DATA_INIZIO", "date"),
-    ("BE_DATA_FINE", "date"), ("BE_DATA_CESSAZIONE", "date_last"), ("DateUp", "load"),
+# Output layout of the supply-point table (73 columns).
+SUPPLY_POINT_COLUMNS = [
+    "Anno", "Mese", "COD_POD", "AREA_RIF", "RAGIONE_SOCIALE_DISTR", "PIVA_DISTR", "DP", "RAGIONE_SOCIALE_UDD",
+    "PIVA_UDD", "RAGIONE_SOCIALE_CC", "PIVA_CC", "TIPO_MERCATO", "TIPO_POD", "FINE_TIPO_POD",
+    "DATA_INIZIO_FORNITURA", "DATA_FINE_FORNITURA", "DATA_DECORRENZA_RET", "DATA_INIZIO_DISPACCIAMENTO", "CF",
+    "PIVA", "CF_STRANIERO", "NOME", "COGNOME", "RAGIONE_SOCIALE_DENOMINAZIONE", "EMAIL_REFERENTE",
+    "TELEFONO_CLIENTE", "EMAIL_CLIENTE", "RESIDENZA", "SERVIZIO_TUTELA", "SETT_MERCEOLOGICO", "COD_OFFERTA",
+    "AUTOCERTIFICAZIONE", "CODICE_UFFICIO", "PAGAMENTO_IVA", "IVA", "IMPOSTE", "TENSIONE", "DISALIMENTABILITA",
+    "TARIFFA_DISTRIBUZIONE", "TIPO_MISURATORE", "DATA_MESSA_REGIME", "MOTIVAZIONE", "POTCONTRIMP", "POTDISP",
+    "CONSUMO", "TRATTAMENTO", "TRATTAMENTO_SUCC", "NUM_CIFRE_EA", "NUM_CIFRE_ER", "K_TRASFOR_ATT", "K_TRASFOR_REA",
+    "K_TRASFOR_POT", "MAT_MISURATORE_ATT", "MAT_MISURATORE_REA", "MAT_MISURATORE_POT", "INST_MISURATOR_ATT",
+    "INST_MISURATOR_REA", "INST_MISURATOR_POT", "NUM_CIFRE_ATT", "NUM_CIFRE_REA", "NUM_CIFRE_POT", "PRESENZA_MIS",
+    "GEST_FORFAIT", "PMA", "REGIME_COMPENSAZIONE", "BF_DATA_INIZIO", "BF_DATA_FINE", "BF_DATA_RINNOVO",
+    "BE_ANNO_VALIDITA", "BE_DATA_INIZIO", "BE_DATA_FINE", "BE_DATA_CESSAZIONE", "DateUp",
 ]
-SUPPLY_POINT_COLUMNS = [n for n, _ in SUPPLY_POINT_LAYOUT]
-SUPPLY_POINT_NAME = "PLT_REP_ELE_{key}_{tag}.csv"
 SUPPLY_POINT_PERIOD = "202411"
 
 
 def supply_point_cast(df: DataFrame) -> DataFrame:
-    """Register cleaning by column name: DATA*/INST_MISURATOR_* day-first dates (invalid raises),
-    K_TRASFOR_*/NUM_CIFRE* lenient floor to nullable long, FINE_TIPO_POD date, PMA rounded to 3."""
-    out = {}
-    for c in df.columns:
-        col = F.col(c)
-        if "DATA" in c or "INST_MISURATOR_" in c:
-            out[c] = parse_dayfirst(col)
-        elif "K_TRASFOR_" in c or "NUM_CIFRE" in c:
-            out[c] = to_int_floor(col)
-    out["FINE_TIPO_POD"] = parse_dayfirst(F.col("FINE_TIPO_POD"))
-    out["PMA"] = round_3(F.col("PMA").cast("double"))
-    return df.withColumns(out)
-
-
-def supply_point_import(spark: SparkSession, archive_folder: str, extract_to: str, load_ts: str = LOAD_TS) -> DataFrame:
+    """Register cleaning by column name (``reshape.SUPPLY_POINT_RULES``), FINE_TIPO_POD date, PMA rounded to 3."""
+    df = apply_by_name_pattern(df, SUPPLY_POINT_RULES)
+    return df.withColumns({"FINE_TIPO_POD": parse_dayfirst(F.col("FINE_TIPO_POD")), "PMA": round_3(F.col("PMA").cast("double"))})
+
+
+def supply_point_import(spark: SparkSession, archive_folder: str, extract_to: str, load_ts: str = LOAD_TS,
+                        long_rows: str = "drop") -> DataFrame:
     """Nested zips → extracted register files → 73-column table.
 
-    One action extracts every member to shared storage (in the tasks) and aggregates what the
-    load needs from the batch: the period of the last ``REP_ELE`` name ((0, 0) without one) and the
-    header line. The register files are then read in parallel; rows with too many fields are
-    dropped, short rows are null-padded. All files of a batch share the register layout.
+    One action extracts every member to shared storage (in the tasks) and finds the batch's period:
+    that of the last ``REP_ELE`` name ((0, 0) without one). The register files are then read in
+    parallel, each by its own header; rows with too many fields are dropped (or raise), short rows are
+    null-padded.
     """
-    members = A.extract_archives(spark, archive_folder, extract_to).select(
-        F.element_at(F.split("member", "/"), -1).alias("name"), "head")
+    members = A.extract_archives(spark, archive_folder, extract_to).select(F.element_at(F.split("member", "/"), -1).alias("name"))
     y, m = filename_period_fixed(F.max(F.when(F.col("name").contains(LS.SUPPLY_POINT_MARK), F.col("name"))))
-    batch = members.agg(F.coalesce(y, F.lit(0)).alias("Anno"), F.coalesce(m, F.lit(0)).alias("Mese"),
-                        F.max_by(F.decode("head", CSV.LATIN1), F.col("name")).alias("header")).first()
-    raw = CSV.scan_csv_bad_rows(spark, extract_to, sep=";", encoding=CSV.LATIN1, names=(batch.header or "").split(";"))
+    batch = members.agg(F.coalesce(y, F.lit(0)).alias("Anno"), F.coalesce(m, F.lit(0)).alias("Mese")).first()
+    raw = CSV.scan_csv_text(spark, extract_to, sep=";", encoding=CSV.LATIN1, long_rows=long_rows)
     raw = raw.withColumns({"COD_POD": truncate_id("COD_POD", POD_LEN), "Anno": F.lit(batch.Anno).cast("int"),
                            "Mese": F.lit(batch.Mese).cast("int"), "DateUp": F.lit(load_ts).cast("timestamp_ntz")})
     return supply_point_cast(raw.select(*SUPPLY_POINT_COLUMNS))
 
 
+# Kind of text each column holds in the staged fixture (plain text where it is not listed).
+SUPPLY_POINT_KINDS = {
+    "period": (
+        "Anno", "Mese",
+    ),
+    "pod": (
+        "COD_POD",
+    ),
+    "id": (
+        "PIVA_DISTR", "PIVA_UDD", "PIVA_CC", "CF", "PIVA", "TELEFONO_CLIENTE", "SETT_MERCEOLOGICO",
+        "COD_OFFERTA", "MAT_MISURATORE_ATT", "MAT_MISURATORE_REA", "MAT_MISURATORE_POT",
+    ),
+    "date": (
+        "FINE_TIPO_POD", "DATA_INIZIO_FORNITURA", "DATA_DECORRENZA_RET", "DATA_INIZIO_DISPACCIAMENTO",
+        "DATA_MESSA_REGIME", "INST_MISURATOR_ATT", "INST_MISURATOR_REA", "INST_MISURATOR_POT", "BF_DATA_INIZIO",
+        "BF_DATA_FINE", "BF_DATA_RINNOVO", "BE_DATA_INIZIO", "BE_DATA_FINE",
+    ),
+    "date_opt": (
+        "DATA_FINE_FORNITURA",
+    ),
+    "email": (
+        "EMAIL_CLIENTE",
+    ),
+    "accent": (
+        "RESIDENZA",
+    ),
+    "nc": (
+        "NUM_CIFRE_EA", "NUM_CIFRE_ER", "NUM_CIFRE_ATT", "NUM_CIFRE_REA", "NUM_CIFRE_POT",
+    ),
+    "k_x": (
+        "K_TRASFOR_ATT",
+    ),
+    "k": (
+        "K_TRASFOR_REA", "K_TRASFOR_POT",
+    ),
+    "pma": (
+        "PMA",
+    ),
+    "date_last": (
+        "BE_DATA_CESSAZIONE",
+    ),
+    "load": (
+        "DateUp",
+    ),
+}
+KIND_OF = {n: k for k, names in SUPPLY_POINT_KINDS.items() for n in names}
+SUPPLY_POINT_LAYOUT = [(n, KIND_OF.get(n, "str")) for n in SUPPLY_POINT_COLUMNS]
+
+
 def _sp_text(name: str, kind: str, i: int) -> Column:
     ln = F.col("l_linenumber")
     base = F.concat(F.col("l_returnflag"), F.col("l_linestatus"), (ln + i).cast("string"))
@@ -311,8 +348,8 @@ def _sp_sql(name: str, kind: str, i: int) -> str:
 
 
 def stage_supply_point_archives(spark: SparkSession, sf_dir: str) -> str:
-    """Register rows from lineitem in nested zips; line 7 rows carry an extra field (dropped on
-    load), line 6 rows miss the last field (null-padded), line 3 has ``x`` in K_TRASFOR_ATT."""
+    """Register rows from lineitem in nested zips, in two column orders; line 7 rows carry extra fields, an
+    empty one first in half of the files (dropped on load), line 6 rows lack the last register field, line 3 has ``x`` in K_TRASFOR_ATT."""
     li = X.read_table(spark, sf_dir, "lineitem")
     src = [(n, k, i) for i, (n, k) in enumerate(SUPPLY_POINT_LAYOUT) if k not in ("period", "load")]
     vals = [_sp_text(n, k, i) for n, k, i in src]
@@ -321,11 +358,15 @@ def stage_supply_point_archives(spark: SparkSession, sf_dir: str) -> str:
             .when(ln == 6, F.concat_ws(";", *vals[:-1]))
             .otherwise(F.concat_ws(";", *vals)))
     header = ";".join(n for n, _, _ in src)
+    # the registers of odd orders have their columns in reverse order
+    back = [n for n, _, _ in reversed(src)]
+    reverse = F.when(ln == 7, F.concat_ws(";", *reversed(vals), F.lit(""), F.lit("EXTRA"))).otherwise(F.concat_ws(";", F.when(ln == 6, F.lit("")).otherwise(vals[-1]), *reversed(vals[:-1])))
     dest = S.fresh(spark, "rcu-zips")
-    name = "PLT_REP_ELE_" + "0" * 11 + SUPPLY_POINT_PERIOD + "_{tag}.csv"
+    name = "RCU_REP_ELE_" + "0" * 11 + SUPPLY_POINT_PERIOD + "_{tag}.csv"
     parts = spark.sparkContext.defaultParallelism
-    A.write_archives(li.select(line.alias("t")).repartition(parts), dest, "t", name, nested=True, header=header,
-                     archive_prefix="RCU")
+    odd = F.col("l_orderkey") % 2 == 1
+    for rows, text, head, prefix in ((li.where(~odd), line, header, "RCU"), (li.where(odd), reverse, ";".join(back), "RCV")):
+        A.write_archives(rows.select(text.alias("t")).repartition(parts), dest, "t", name, nested=True, header=head, archive_prefix=prefix)
     return dest
 
 
@@ -348,6 +389,27 @@ def offer_library(sheet: DataFrame, name: str) -> DataFrame:
     return N.sheet_columns(sheet, ELECTRICITY_RANGE)
 
 
+def offer_libraries(spark: SparkSession, folder: str, gas_target: str, electricity_target: str, sep: str = ";",
+                    as_table: bool = False) -> dict[str, int]:
+    """Route every file of a folder by its name and replace the gas and the electricity table; files a table got.
+
+    Sheets arrive as delimited files (or Parquet, by their suffix). Several files of one kind are appended by name; a kind without a file
+    leaves its table as it is.
+    """
+    # a sheet is a delimited file, or a folder ending in .parquet; one row each
+    sheet = F.coalesce(F.nullif(F.regexp_extract("path", r"^(.*?\.parquet)(/|$)", 1), F.lit("")), F.col("path"))
+    files = LS.list_folder(spark, folder).select(sheet.alias("path")).distinct().withColumn("name", F.element_at(F.split("path", "/"), -1))
+    files = files.select("path", "name", LS.route(F.col("name")).alias("kind")).collect()
+    out = {}
+    for kind, target in (("gas_library", gas_target), ("electricity_library", electricity_target)):
+        own = sorted((f.path, f.name) for f in files if f.kind == kind)
+        sheets = [offer_library(spark.read.parquet(p) if p.endswith(".parquet") else CSV.scan_csv_text(spark, p, sep=sep, encoding="UTF-8"), n) for p, n in own]
+        if sheets:
+            SK.sink_overwrite(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), sheets), target, as_table=as_table)
+        out[kind] = len(sheets)
+    return out
+
+
 def gas_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = X.read_table(spark, sf_dir, "orders")
     cols = [F.col("o_orderkey"), F.col("o_custkey"), F.col("o_orderstatus"), F.col("o_orderpriority"),
@@ -357,6 +419,14 @@ def gas_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(*cols)
 
 
+def electricity_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = X.read_table(spark, sf_dir, "orders")
+    cols = [F.concat(F.lit(f"e{i}_"), F.col("o_orderkey").cast("string")).alias(f"E{i:02d}") for i in range(2, 56)]
+    return o.select("o_orderkey", *cols)
+
+
+ELECTRICITY_LIBRARY_SQL = ("SELECT o_orderkey, " + ", ".join(f"'e{i}_' || CAST(o_orderkey AS VARCHAR) AS E{i:02d}" for i in range(2, 51)) + " FROM orders")
+
 GAS_LIBRARY_SQL = ("SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority, strftime(o_orderdate, '%m/%d/%Y') AS Inizio_Validit__, "
                    "strftime(CAST(o_orderdate AS DATE) + 365, '%m/%d/%Y') AS Fine_Validit__, "
                    + ", ".join(f"'v{i}_' || CAST(o_orderkey AS VARCHAR) AS C{i:02d}" for i in range(7, 28)) + " FROM orders")
@@ -364,23 +434,25 @@ GAS_LIBRARY_SQL = ("SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority
 
 # ---- generic CSV → new table, flow 15, export ---------------------------------------------------
 
-def table_from_csv(spark: SparkSession, path: str, target: str, sep: str = ";") -> tuple[DataFrame, tuple[bool, str]]:
+def table_from_csv(spark: SparkSession, path: str, target: str, sep: str = ";", as_table: bool = False,
+                   long_rows: str = "raise") -> tuple[DataFrame, tuple[bool, str]]:
     """Any CSV (Latin-1) → all-string table with cleaned headers, created only if absent."""
-    df = N.sanitise_headers(CSV.scan_csv_text(spark, path, sep=sep, encoding=CSV.LATIN1))
-    outcome = SK.sink_create_only(df, target)
+    df = N.sanitise_headers(CSV.scan_csv_text(spark, path, sep=sep, encoding=CSV.LATIN1, long_rows=long_rows))
+    outcome = SK.sink_create_only(df, target, as_table=as_table)
     return df, outcome
 
 
 FLOW15_MISSING = "file Acusim 15 non trovato"
 
 
-def flow15_replace(spark: SparkSession, folder: str, target: str) -> str:
+def flow15_replace(spark: SparkSession, folder: str, target: str, as_table: bool = False, long_rows: str = "raise") -> str:
     """Replace the target table with the flow-15 files of the folder (name holds ``15`` and ``.csv``)."""
     listing = LS.list_folder(spark, folder)
+    # names of the matching files only; their contents are read by the scan
     paths = [r.path for r in listing.where(LS.route(F.col("name")) == "flow15").select("path").collect()]
     if not paths:
         return FLOW15_MISSING
-    SK.sink_overwrite(CSV.scan_csv_text(spark, paths, sep=";", encoding=CSV.LATIN1), target)
+    SK.sink_overwrite(CSV.scan_csv_text(spark, paths, sep=";", encoding=CSV.LATIN1, long_rows=long_rows), target, as_table=as_table)
     return "loaded"
 
 

@@ -38,9 +38,7 @@ ROLLUP_CASE = """CASE WHEN bool_or(status = 'COMPLETED') AND NOT bool_or(status
 SELECT user_id, status, event_id AS last_event_id FROM runs
 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1""")
 def latest_run(spark, sf):
-    r = runs(spark, sf)
-    out = r.groupBy("user_id").agg(F.max_by(F.struct("status", "event_id"), F.struct("ts", "event_id")).alias("m"))
-    return out.select("user_id", F.col("m.status").alias("status"), F.col("m.event_id").alias("last_event_id"))
+    return S.latest_run(runs(spark, sf), "user_id", "ts", "event_id", keep=("event_id",)).select("user_id", "status", F.col("event_id").alias("last_event_id"))
 
 
 @register("status_rollup", f"""WITH {RUNS_SQL}
@@ -148,13 +146,13 @@ def max_date(spark, sf):
 
 @register("filename_period_fixed", f"""SELECT COALESCE(CAST(substr(max(name), 24, 4) AS BIGINT), 0) AS Anno,
        COALESCE(CAST(substr(max(name), 28, 2) AS BIGINT), 0) AS Mese
-FROM (SELECT 'PLT_' || CASE WHEN o_orderstatus = 'P' THEN 'REP_GAS_' ELSE 'REP_ELE_' END
+FROM (SELECT 'RCU_' || CASE WHEN o_orderstatus = 'P' THEN 'REP_GAS_' ELSE 'REP_ELE_' END
              || {O.pad_left('CAST(o_orderkey AS VARCHAR)', '0', 11)} || strftime(o_orderdate, '%Y%m') || '.csv' AS name
       FROM orders) WHERE contains(name, 'REP_ELE')""")
 def filename_period_fixed(spark, sf):
     from ..functions.text import pad_left
     o = _t(spark, sf, "orders")
-    names = o.select(F.concat(F.lit("PLT_"), F.when(F.col("o_orderstatus") == "P", "REP_GAS_").otherwise("REP_ELE_"),
+    names = o.select(F.concat(F.lit("RCU_"), F.when(F.col("o_orderstatus") == "P", "REP_GAS_").otherwise("REP_ELE_"),
                               pad_left(F.col("o_orderkey").cast("string"), "0", 11),
                               F.date_format("o_orderdate", "yyyyMM"), F.lit(".csv")).alias("name"))
     return LS.period_of_batch(names)

@@ -75,8 +75,13 @@ def sink_create_only(spark, sf):
 def sink_chunked(spark, sf):
     dest = S.fresh(spark, "sink-chunked")
     li = _t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag")
-    SK.sink_chunked(li, dest, chunk_rows=SK.LOAD_CHUNK_ROWS)
-    return spark.read.parquet(dest)
+    chunk = max(1, li.count() // 25)  # several files for every task, whatever the table's size
+    SK.sink_chunked(li, dest, chunk_rows=chunk)
+    written = spark.read.parquet(dest)
+    largest = written.groupBy(F.col("_metadata.file_path")).count().agg(F.max("count")).first()[0]
+    if largest > chunk:
+        raise AssertionError(f"a file holds {largest} rows, more than {chunk}")
+    return written
 
 
 @register("sink_schema_mode", """SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, CAST(o_custkey AS BIGINT) AS o_custkey, o_orderstatus,
@@ -103,7 +108,7 @@ DOM_LINES_SQL = QL._w_lines(QL.DOM_N, f"SELECT line AS value FROM ({QL.DOM_LINES
 @register("sink_fixed_width", DOM_LINES_SQL)
 def sink_fixed_width(spark, sf):
     dest = S.fresh(spark, "bonifici")
-    FW.sink_fixed_width(J.lines_domiciled(spark, sf), dest)
+    FW.sink_payment_blocks(J.domiciled_run(spark, sf).blocks(), dest)
     return spark.read.text(dest)
 
 
@@ -118,11 +123,10 @@ def scan_fixed_width(spark, sf):
 def sink_movements(spark, sf):
     """Reconciliation table written as Parquet (workbook codec not built) and read back; the keys
     come from the written payment file, as in the reference."""
-    run = J.DomiciledRun(spark, sf)
+    run = J.domiciled_run(spark, sf, documents=True)
     lines_dest = S.fresh(spark, "bonifici")
-    FW.sink_fixed_width(run.lines(), lines_dest)
-    keys = spark.read.text(lines_dest).select(F.lit(0).alias("seq"), F.col("value").alias("line"))
-    mv = run.movements_with_codes(lines=keys)
+    FW.sink_payment_blocks(run.blocks(), lines_dest)
+    mv = run.movements(lines=spark.read.text(lines_dest).select(F.col("value").alias("line")))
     dest = S.fresh(spark, "movimenti")
     SK.sink_overwrite(mv, dest)
     return spark.read.parquet(dest)
@@ -130,11 +134,23 @@ def sink_movements(spark, sf):
 
 # ---- jobs ---------------------------------------------------------------------------------------
 
+def offer_library_tables(spark, sf):
+    """A folder with a sheet of each kind, routed to its table; the two targets."""
+    folder, gas, electricity = S.fresh(spark, "librerie"), S.fresh(spark, "libreria-gas"), S.fresh(spark, "libreria-ee")
+    JB.gas_sheet(spark, sf).write.parquet(f"{folder}/libreria_offerte_gas.parquet")
+    JB.electricity_sheet(spark, sf).write.parquet(f"{folder}/libreria_offerte_ee.parquet")
+    JB.offer_libraries(spark, folder, gas, electricity)
+    return gas, electricity
+
+
 @register("job_offer_library", JB.GAS_LIBRARY_SQL)
 def job_offer_library(spark, sf):
-    dest = S.fresh(spark, "libreria-gas")
-    SK.sink_overwrite(JB.offer_library(JB.gas_sheet(spark, sf), "libreria_offerte_gas"), dest)
-    return spark.read.parquet(dest)
+    return spark.read.parquet(offer_library_tables(spark, sf)[0])
+
+
+@register("job_offer_library_electricity", JB.ELECTRICITY_LIBRARY_SQL)
+def job_offer_library_electricity(spark, sf):
+    return spark.read.parquet(offer_library_tables(spark, sf)[1])
 
 
 MESSY = {"c_custkey": "Cod. Cliente", "c_name": "Ragione Sociale (Nome)", "c_nationkey": "Nazione/Paese",

@@ -48,3 +48,36 @@ def test_share_pads_pdr_columns(spark, tmp_dir):
     lines = open(f"{tmp_dir}/export.csv").read().split("\n")
     assert lines[0] == "PDR;v" and lines[-1] == ""
     assert sorted(lines[1:-1]) == sorted(["00000000000123;x", ";y", "123456789012345;z"])
+
+
+def test_offer_libraries_of_a_folder(spark, tmp_dir):
+    head = ";".join(["Inizio_Validit__", "Fine_Validit__", *[f"c{i}" for i in range(60)]])
+    row = ";".join(["2024-03-05", "2025-03-05", *["x"] * 60])
+    os.makedirs(f"{tmp_dir}/in")
+    for name in ("libreria_gas_1.csv", "libreria_gas_2.csv", "libreria_ee.csv"):
+        open(f"{tmp_dir}/in/{name}", "w").write(f"{head}\n{row}\n")
+    assert JB.offer_libraries(spark, f"{tmp_dir}/in", f"{tmp_dir}/gas", f"{tmp_dir}/ee") == {"gas_library": 2, "electricity_library": 1}
+    gas, ee = spark.read.parquet(f"{tmp_dir}/gas"), spark.read.parquet(f"{tmp_dir}/ee")
+    assert (len(gas.columns), gas.count(), gas.first().Inizio_Validit__) == (27, 2, "03/05/2024")
+    assert (len(ee.columns), ee.count(), ee.first().Inizio_Validit__) == (50, 1, "2024-03-05")
+
+
+def test_catalog_targets(spark, tmp_dir):
+    from tessera import api
+    os.makedirs(f"{tmp_dir}/in")
+    open(f"{tmp_dir}/in/flusso_15.csv", "w").write("A;B\n1;2\n")
+    names = [f"t_{os.path.basename(tmp_dir).lower()}_{k}".replace("-", "_") for k in ("flow", "csv", "px")]
+    try:
+        assert api.replace_flow15(spark, f"{tmp_dir}/in", names[0], as_table=True) == "loaded"
+        assert [tuple(r) for r in spark.table(names[0]).collect()] == [("1", "2")]
+        assert api.load_csv_table(spark, f"{tmp_dir}/in", names[1], as_table=True)[0]
+        assert not api.load_csv_table(spark, f"{tmp_dir}/in", names[1], as_table=True)[0]
+        os.makedirs(f"{tmp_dir}/px")
+        open(f"{tmp_dir}/px/20240105MGPPrezzi.xml", "w").write("<N><Prezzi><Data>20240105</Data><Ora>1</Ora><SUD>4,5</SUD></Prezzi></N>")
+        for n in (1, 2):
+            m = api.load_prices(spark, f"{tmp_dir}/px", "2024-01-05", "2024-01-05", names[2], "2024-11-25 06:30:00", as_table=True).first()
+            assert (m.rows_loaded, m.total_rows) == (1, n)
+        assert str(api.last_loaded_date(spark, names[2], as_table=True).first().max_date) == "2024-01-05"
+    finally:
+        for n in names:
+            spark.sql(f"DROP TABLE IF EXISTS {n}")
