@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.session import arrow_fs, materialize, scratch_path, ship_package
+from tessera.session import arrow_fs, materialize, qualified, scratch_path, ship_package
 
 DICTIONARY_MAGIC = 0x184D2A5D
 NAMES = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
@@ -147,7 +147,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, revisit_bytes: i
     spark = pages.sparkSession
     ship_package(spark)
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    folder = folder or scratch_path(spark, "archives")
+    folder = qualified(folder or scratch_path(spark, "archives"))
     learnt = build_dictionary(pages, date=date, **dictionary)
     large = F.octet_length("html") >= revisit_bytes
     digest = F.unhex(F.sha1(F.col("html").cast("binary")))
