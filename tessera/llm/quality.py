@@ -96,7 +96,8 @@ def fences(signals: DataFrame, group_rows: int, width: float) -> DataFrame:
     merged = [F.kll_merge_agg_double(s, F.lit(SKETCH_K)).alias(s) for s in SIGNALS]
     langs = groups.groupBy("lang").agg(F.sum("n").alias("n"), *merged)
     langs = langs.select(*[F.col(c).alias(f"l_{c}") for c in langs.columns])
-    whole = groups.agg(*merged).select(*[F.kll_sketch_get_quantile_double(s, F.lit(q)).alias(f"{s}_{q}") for s in SIGNALS for q in (0.25, 0.5, 0.75)]).first()
+    some = lambda s, q: F.when(F.col("n") > 0, F.kll_sketch_get_quantile_double(s, F.lit(q)))
+    whole = groups.agg(F.sum("n").alias("n"), *merged).select(*[some(s, q).alias(f"{s}_{q}") for s in SIGNALS for q in (0.25, 0.5, 0.75)]).first()
     g, ln = F.col("n") >= group_rows, F.col("l_n") >= group_rows
     every = groups.join(langs, F.col("lang").eqNullSafe(F.col("l_lang")))
     out = [F.col("lang").alias("f_lang"), F.col("source").alias("f_source")]
