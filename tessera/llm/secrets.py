@@ -52,7 +52,7 @@ def corpus_samples(docs: DataFrame, sample_docs: int) -> DataFrame:
     return values.select("sample", F.lit(1).alias("label")).unionByName(words.select("sample", F.lit(0).alias("label")))
 
 
-def fit(samples: DataFrame, smoothing: float = 0.3) -> list[float]:
+def fit(samples: DataFrame, smoothing: float = 4.0) -> list[float]:
     """Log-likelihood ratios (random against ordinary) of a character after another, as a flat 128 x 128 table.
 
     Row 0 is the start of a string. ``samples`` has sample and label; characters beyond ASCII count as 0.
@@ -64,13 +64,16 @@ def fit(samples: DataFrame, smoothing: float = 0.3) -> list[float]:
     n = [[0.0] * (SIDE * SIDE) for _ in range(2)]
     for r in counts:
         n[1 if r["label"] else 0][r["p"] * SIDE + r["c"]] += r["count"]
-    letters = 64
+    # a pair's estimate leans on how often its second character stands anywhere
+    alone = [[sum(k[c::SIDE]) for c in range(SIDE)] for k in n]
+    alone = [[(x + 0.5) / (sum(k) + 0.5 * SIDE) for x in k] for k in alone]
     llr = [0.0] * (SIDE * SIDE)
     for p in range(SIDE):
         row = [sum(k[p * SIDE:(p + 1) * SIDE]) for k in n]
         for c in range(SIDE):
             i = p * SIDE + c
-            llr[i] = math.log((n[1][i] + smoothing) / (row[1] + smoothing * letters)) - math.log((n[0][i] + smoothing) / (row[0] + smoothing * letters))
+            ordinary, random = (math.log((n[j][i] + smoothing * alone[j][c]) / (row[j] + smoothing)) for j in (0, 1))
+            llr[i] = random - ordinary
     return llr
 
 
