@@ -1,8 +1,8 @@
 """Toxicity by noisy-channel deobfuscation: Viterbi decoding of character lattices, then scoring the restored text.
 
 Fitting uses a bounded sample of labelled rows (``sample_rows``). Distributed counts give the words
-and word beginnings that stand in toxic texts almost only; a greedy cover keeps those that explain
-toxic texts no earlier one explains, so the other words of copied toxic texts get no weight. The
+and word beginnings that stand in toxic texts mostly; near copies among the toxic texts are grouped by
+min-hashes and count once, so the other words of a copied toxic text get no weight. The
 character trigram model is counted over all texts and mixed with one of the kept words.
 
 Scoring: a word written plainly is its own restoration. A word with look-alike signs, inner
@@ -22,6 +22,7 @@ import heapq
 import itertools
 import math
 import re
+import zlib
 from collections import defaultdict
 
 import numpy as np
@@ -31,9 +32,9 @@ from pyspark.sql import functions as F
 
 from tessera.session import ship_package
 
-from .text import pieces
+from .text import mix, pieces, seeded
 
-PREFIXES = (4, 5, 6)
+PREFIXES = (4, 5, 6, 7)
 EDGE = " \t\n.,;:!?\"'()[]{}<>|/\\#*&%~`^=+-_"
 # Signs and the letters they stand for.
 LOOKALIKES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i"}
@@ -68,7 +69,7 @@ def _sample(docs: DataFrame, labels: DataFrame, sample_rows: int) -> DataFrame:
     return docs.join(F.broadcast(some), "doc_id")  # about sample_rows rows of two numbers
 
 
-def fit_words(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, least: int = 4, purity: float = 0.9) -> tuple[dict[str, float], float]:
+def fit_words(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, least: int = 4, evidence: float = 12.0, purity: float = 0.85) -> tuple[dict[str, float], float]:
     """Kept words and word beginnings with their chance of a toxic text, and the base rate without them."""
     rows = _sample(docs, labels, sample_rows)
 
@@ -85,17 +86,33 @@ def fit_words(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, lea
             yield _counted(seen)
 
     labelled = rows.select("text", "toxic")
-    pure = labelled.mapInArrow(count, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    pure = {r["feature"]: (r["clean"], r["toxic"]) for r in pure.filter((F.col("toxic") >= least) & (F.col("toxic") >= purity * (F.col("toxic") + F.col("clean")))).collect()}
     totals = dict.fromkeys((0, 1), 0) | {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counted = labelled.mapInArrow(count, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    wanted = ((F.col("toxic") >= least) & (F.col("toxic") >= F.col("clean"))) | (F.col("clean") + F.col("toxic") >= 0.02 * sum(totals.values()))
+    seen = {r["feature"]: (r["clean"], r["toxic"]) for r in counted.filter(wanted).collect()}  # of a bounded sample
+    common = {f for f, (c, t) in seen.items() if c + t >= 0.02 * sum(totals.values())}
+    pure = {f: ct for f, ct in seen.items() if ct[1] >= least and ct[1] >= ct[0]}
 
     def holders(batches):
         for batch, _, _ in pieces(batches, "text"):
-            found = [sorted({f for w in set(plain_words(t or "")) for f in features(w) if f in pure}) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(found, type=pa.list_(pa.string()))], names=["found"])
+            found, marks = [], []
+            for t in batch.column(0).to_pylist():
+                words = set(plain_words(t or ""))
+                found.append(sorted({f for w in words for f in features(w) if f in pure}))
+                marks.append(_marks([w for w in words if w not in common]))
+            yield pa.RecordBatch.from_arrays([pa.array(found, type=pa.list_(pa.string())), pa.array(marks, type=pa.list_(pa.int64()))], names=["found", "marks"])
 
-    texts = [set(r["found"]) for r in labelled.filter("toxic = 1").select("text").mapInArrow(holders, "found array<string>").collect()]  # the sample's toxic rows
-    return cover(texts, pure, totals, least)
+    texts = labelled.filter("toxic = 1").select("text").mapInArrow(holders, "found array<string>, marks array<long>").collect()  # the sample's toxic rows
+    return select([(r["found"], r["marks"]) for r in texts], pure, totals, evidence, purity)
+
+
+def _marks(words: list[str]) -> list[int]:
+    """Eight hashes of three min-hashes each of the rarer words; near copies share one or more."""
+    if len(words) < 5:
+        return []
+    h = np.array([zlib.crc32(w.encode()) for w in words], dtype=np.uint64)
+    low = np.array([seeded(h, 50 + k).min() for k in range(24)], dtype=np.uint64).reshape(8, 3)
+    return mix(low[:, 0] + low[:, 1] * np.uint64(3) + low[:, 2] * np.uint64(7) + np.arange(8, dtype=np.uint64)).view(np.int64).tolist()
 
 
 def _counted(seen: dict) -> pa.RecordBatch:
@@ -103,30 +120,38 @@ def _counted(seen: dict) -> pa.RecordBatch:
                                       names=["feature", "clean", "toxic"])
 
 
-def cover(texts: list[set[str]], pure: dict[str, tuple[int, int]], totals: dict[int, int], least: int) -> tuple[dict[str, float], float]:
-    """Features by the toxic texts they explain and no earlier one does, most first, and the toxic share of texts with none."""
-    left: dict[str, set[int]] = defaultdict(set)
-    for i, t in enumerate(texts):
-        for f in t:
-            left[f].add(i)
-    worth = lambda f: len(left[f]) - 3 * pure[f][0]
-    heap = [(-worth(f), -len(f), f) for f in left]
-    heapq.heapify(heap)
-    done: set[int] = set()
+def select(texts: list[tuple[list[str], list[int]]], pure: dict[str, tuple[int, int]], totals: dict[int, int], evidence: float, purity: float) -> tuple[dict[str, float], float]:
+    """Features whose toxic texts, near copies counted once, are too many for chance, and the toxic share of texts with none.
+
+    ``evidence`` is the log-likelihood ratio asked for against the sample's toxic share, about the
+    logarithm of the number of features tried; ``purity`` is the least share of toxic texts.
+    """
+    root = list(range(len(texts)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    first: dict[int, int] = {}
+    for i, (_, marks) in enumerate(texts):
+        for m in marks:
+            root[find(i)] = find(first.setdefault(m, i))
+    holders: dict[str, set[int]] = defaultdict(set)
+    for i, (found, _) in enumerate(texts):
+        for f in found:
+            holders[f].add(find(i))
+    share = totals[1] / max(1, sum(totals.values()))
     kept: dict[str, float] = {}
-    while heap:
-        old, _, f = heapq.heappop(heap)
-        left[f] -= done
-        if worth(f) < least:
-            continue
-        if -old != worth(f):
-            heapq.heappush(heap, (-worth(f), -len(f), f))
-            continue
-        clean, toxic = pure[f]
-        kept[f] = (toxic + 0.1) / (toxic + clean + 1.0)
-        done |= left[f]
-    clean = totals[0] + len(texts) - len(done)
-    return kept, (len(texts) - len(done)) / max(1, clean) if texts else 0.0
+    for f, groups in holders.items():
+        toxic, clean = len(groups), pure[f][0]
+        p = toxic / (toxic + clean)
+        gain = toxic * math.log(p / share) + (clean * math.log((1 - p) / (1 - share)) if clean else 0.0)
+        if p > share and p >= purity and gain >= evidence:
+            kept[f] = (toxic + share) / (toxic + clean + 1.0)
+    missed = sum(1 for found, _ in texts if not any(f in kept for f in found))
+    return kept, missed / max(1, totals[0] + missed) if texts else 0.0
 
 
 def char_counts(docs: DataFrame) -> np.ndarray:
