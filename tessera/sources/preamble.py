@@ -9,6 +9,8 @@ breaks are not supported. A row with more fields than its header raises or is dr
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,10 +30,13 @@ def _lines(spark: SparkSession, path, encoding: str) -> DataFrame:
 
 
 def _fields(line, sep: str, n: int) -> Column:
-    """The first n fields of a quoted line (null where the line is shorter)."""
+    """The first n fields of a line (null where the line is shorter). Only lines with quotes need the CSV parser."""
     schema = ", ".join(f"c{i} string" for i in range(n))
     parsed = F.from_csv(line, F.lit(schema), {"sep": sep, "mode": "PERMISSIVE", "nullValue": "\u0001"})
-    return F.array(*[parsed[f"c{i}"] for i in range(n)])
+    # bound once by the lambda: a struct's fields taken one by one would parse the line n times
+    quoted = F.element_at(F.transform(F.array(parsed), lambda p: F.array(*[p[f"c{i}"] for i in range(n)])), 1)
+    plain = F.slice(F.concat(F.split(line, re.escape(sep), -1), F.array_repeat(F.lit(None).cast("string"), n)), 1, n)
+    return F.when(line.contains('"'), quoted).otherwise(plain)
 
 
 def file_heads(spark: SparkSession, path, sep: str, encoding: str, header_keys=None) -> DataFrame:
