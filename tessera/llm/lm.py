@@ -9,7 +9,7 @@ Counts cover every training text and live in no single place. Texts are packed i
 of bounded size (their distinct words, and each text as numbers of them). Each chunk sends its
 distinct words and bigrams with its own training counts to the hash range they belong to, as sorted
 packed lists; each range adds them up and answers every chunk with the totals of what it sent. A
-chunk then builds the part of the automaton its texts can reach and reads them. A frequent n-gram is
+chunk then builds the parts of the automaton its texts can reach and reads them. A frequent n-gram is
 one entry a chunk, and ranges are as many as their entries ask for.
 
 Defined results: a null text is empty, that is, its end alone; a row with a null id is not learnt
@@ -40,7 +40,9 @@ SENT = "bucket int, chunk long, kind int, keys binary, counts binary"
 TOTALS = "chunk long, bucket int, kind int, totals binary, tokens long, types long"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 #: Entries a hash range should hold.
-RANGE_ENTRIES = 2_000_000
+RANGE_ENTRIES = 1_500_000
+#: Tokens one automaton is built for (or one text, if that is longer).
+READ_TOKENS = 100_000
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -174,17 +176,24 @@ class Automaton:
         return total
 
 
-def automaton(chunk: Chunk, words: np.ndarray, pairs: np.ndarray, tokens: int, types: int, prior: float) -> Automaton:
-    """The part of the model that the chunk's texts can reach, from the total counts of its words and bigrams."""
-    width = len(words)
-    p = (words + 1.0) / (tokens + types + 1.0)
-    share = words / (words + prior)
-    at = np.zeros(len(pairs), dtype=np.int64)
-    at[chunk.pair] = np.arange(len(chunk.pair))
-    seen = np.flatnonzero(pairs)
-    h, w = chunk.before[at[seen]].astype(np.int64), chunk.stream[at[seen]].astype(np.int64)
-    weight = np.log10(share[h] * pairs[seen] / words[h] + (1 - share[h]) * p[w])
-    return Automaton(dict(zip((h * width + w).tolist(), weight.tolist(), strict=True)), np.log10(1 - share).tolist(), np.log10(p).tolist(), width)
+class Model:
+    """What a chunk's automata are made of: the log-probabilities of its words, failure arcs and seen bigrams."""
+
+    def __init__(self, chunk: Chunk, words: np.ndarray, pairs: np.ndarray, tokens: int, types: int, prior: float):
+        self.chunk, self.words, self.pairs = chunk, words, pairs
+        self.p = (words + 1.0) / (tokens + types + 1.0)
+        self.share = words / (words + prior)
+        self.fail, self.root = np.log10(1 - self.share).tolist(), np.log10(self.p).tolist()
+
+    def automaton(self, first: int, last: int) -> Automaton:
+        """The part of the model that the tokens from ``first`` to ``last`` can reach."""
+        chunk, width = self.chunk, len(self.words)
+        own, at = np.unique(chunk.pair[first:last], return_index=True)
+        seen = self.pairs[own] > 0
+        at = at[seen] + first
+        h, w = chunk.before[at].astype(np.int64), chunk.stream[at].astype(np.int64)
+        weight = np.log10(self.share[h] * self.pairs[own[seen]] / self.words[h] + (1 - self.share[h]) * self.p[w])
+        return Automaton(dict(zip((h * width + w).tolist(), weight.tolist(), strict=True)), self.fail, self.root, width)
 
 
 def _score(tokens: int, types: int, prior: float):
@@ -194,12 +203,17 @@ def _score(tokens: int, types: int, prior: float):
         for row in left.to_pylist():
             chunk = Chunk(row)
             words, pairs = (np.concatenate([_unpack(a[2], np.uint64) for a in answers if a[0] == kind]).astype(np.float64) for kind in (0, 1))
-            model = automaton(chunk, words, pairs, tokens, types, prior)
-            known = words[chunk.stream] > 0
-            base = np.array(model.root)[chunk.stream]
+            model = Model(chunk, words, pairs, tokens, types, prior)
+            known = words > 0
+            base = np.log10(model.p)
+            reader, reach = None, 0
             for i, doc in enumerate(chunk.docs):
-                a, b = chunk.first[i], chunk.first[i + 1]
-                out.append((doc, not row["train"][i], int(b - a), int(known[a:b].sum()), math.fsum(base[a:b]), model.read(chunk.stream[a:b].tolist(), chunk.end)))
+                a, b = int(chunk.first[i]), int(chunk.first[i + 1])
+                if b > reach:  # an automaton serves some texts, so that it stays small
+                    reach = max(b, int(chunk.first[np.searchsorted(chunk.first, a + READ_TOKENS, side="right") - 1]))
+                    reader = model.automaton(a, reach)
+                own = chunk.stream[a:b]
+                out.append((doc, not row["train"][i], b - a, int(known[own].sum()), math.fsum(base[own]), reader.read(own.tolist(), chunk.end)))
         types_ = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
         columns = zip(*out, strict=True) if out else [[]] * 6
         return pa.Table.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types_, strict=True)], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
