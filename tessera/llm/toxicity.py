@@ -69,7 +69,7 @@ def _sample(docs: DataFrame, labels: DataFrame, sample_rows: int) -> DataFrame:
     return docs.join(F.broadcast(some), "doc_id")  # about sample_rows rows of two numbers
 
 
-def fit_words(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, least: int = 4, evidence: float = 12.0, purity: float = 0.85) -> tuple[dict[str, float], float]:
+def fit_words(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, least: int = 4, evidence: float = 12.0, purity: float = 0.9) -> tuple[dict[str, float], float]:
     """Kept words and word beginnings with their chance of a toxic text, and the base rate without them."""
     rows = _sample(docs, labels, sample_rows)
 
@@ -88,9 +88,9 @@ def fit_words(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, lea
     labelled = rows.select("text", "toxic")
     totals = dict.fromkeys((0, 1), 0) | {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     counted = labelled.mapInArrow(count, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    wanted = ((F.col("toxic") >= least) & (F.col("toxic") >= F.col("clean"))) | (F.col("clean") + F.col("toxic") >= 0.02 * sum(totals.values()))
+    wanted = ((F.col("toxic") >= least) & (F.col("toxic") >= F.col("clean"))) | (F.col("clean") >= 0.02 * totals[0])
     seen = {r["feature"]: (r["clean"], r["toxic"]) for r in counted.filter(wanted).collect()}  # of a bounded sample
-    common = {f for f, (c, t) in seen.items() if c + t >= 0.02 * sum(totals.values())}
+    common = {f for f, (c, _) in seen.items() if c >= 0.02 * totals[0]}
     pure = {f: ct for f, ct in seen.items() if ct[1] >= least and ct[1] >= ct[0]}
 
     def holders(batches):
@@ -255,9 +255,15 @@ class Scorer:
     def _plain(self, word: str) -> float:
         return max((self.kept.get(f, 0.0) for f in features(word)), default=0.0)
 
-    def restored(self, reading: str) -> float:
-        """Strongest word of the most probable restorations."""
-        return max((self._plain(w) for s in self.decoder.best(reading) for w in plain_words(s)), default=0.0)
+    def restored(self, reading: str, spaced: bool = False) -> float:
+        """Strongest word of the most probable restorations. Spaced characters may have lost their word
+        borders, so there a kept word may stand anywhere."""
+        best = self.decoder.best(reading)
+        found = max((self._plain(w) for s in best for w in plain_words(s)), default=0.0)
+        if spaced:
+            joined = [s.replace(" ", "") for s in best]
+            found = max(found, max((p for f, p in self.kept.items() if len(f) > 3 and f[-1] != "~" and any(f in s for s in joined)), default=0.0))
+        return found
 
     def word(self, raw: str) -> float:
         w = raw.strip(EDGE)
@@ -291,7 +297,7 @@ class Scorer:
                     reading = " ".join(words[at:at + n])
                     p = known.get(reading)
                     if p is None:
-                        p = self.restored(reading) if len(set(words[at:at + n])) > 1 else 0.0
+                        p = self.restored(reading, spaced=True) if len(set(words[at:at + n])) > 1 else 0.0
                         if len(known) >= self.remember:
                             known.clear()
                         known[reading] = p
