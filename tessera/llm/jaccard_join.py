@@ -13,7 +13,8 @@ are estimated on a bounded sample of sets, which changes the cost but never the
 Equal sets are one class and only its smallest id is indexed. Every signature's sets are first
 paired with the smallest one; after those pairs are verified and joined to components, only pairs
 of one signature that lie in different components are left to verify, so a group of near copies
-never yields all its pairs. Verification intersects whole sets.
+never yields all its pairs. Sizes and parity bits rule out most chance meetings (bits of parity differ
+in no more places than the sets do); the rest is verified on whole sets, made anew from the texts.
 
 Defined results: null or empty texts, and texts without words, have an empty set and no links;
 texts of fewer than ``n`` words are one n-gram; rows repeated under one id each get the component of
@@ -27,7 +28,8 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.session import materialize, ship_package
@@ -36,6 +38,9 @@ from .graph import components, free_shuffles
 from .text import BLANK_WORDS, Words, mix, pieces, ragged, runs, seeded
 
 RATIO = 1.5
+#: 64-bit words of parity bits kept for a set, at least.
+PARITY = 16
+ID_BITS = 1 << 23
 #: Sets sampled for signature frequencies, and frequent signatures kept (both only steer the cost).
 SAMPLE_SETS, FREQUENT = 20_000, 50_000
 
@@ -106,29 +111,79 @@ def _sum_by_row(x: np.ndarray, first: np.ndarray) -> np.ndarray:
     return sums[first[1:]] - sums[first[:-1]]
 
 
+def parities(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parity bits of each row's set, as 64-bit words and row offsets: bit i is the parity of the members that hash to i.
+
+    The bits in which two sets differ are no more than the members of their symmetric difference. A
+    set gets twice as many bits as members or more (a power of two); halves of a longer
+    row fold onto each other by exclusive or, which gives the bits of half the length.
+    """
+    size = np.diff(first)
+    words = np.maximum(PARITY, 1 << np.ceil(np.log2(np.maximum(size, 1) / 32)).astype(np.int64).clip(0))
+    begin = np.concatenate([[0], np.cumsum(words)])
+    row = np.repeat(np.arange(len(size)), size)
+    at = (seeded(h, 4) & (words[row].astype(np.uint64) * np.uint64(64) - np.uint64(1))).astype(np.int64)
+    odd = np.bincount(begin[row] * 64 + at, minlength=begin[-1] * 64).astype(np.uint8) & 1
+    return np.packbits(odd.reshape(-1, 64), axis=1).view(np.int64).ravel(), begin
+
+
 def describe(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, set size and a 128-bit hash of the set, for every row."""
+    """doc_id, set size, a 128-bit hash of the set and its parity bits, for every row."""
 
     def run(batches):
         for batch, raw, offs in pieces(batches, "text"):
             h, first = sets_of(raw, offs, n)
+            bits, begin = parities(h, first)
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array(np.diff(first), type=pa.int64()),
                 pa.array(_sum_by_row(seeded(h, 1), first).view(np.int64)), pa.array(_sum_by_row(seeded(h, 2), first).view(np.int64)),
-            ], names=["doc_id", "n_shingles", "h1", "h2"])
+                ragged(bits, begin, pa.int64()),
+            ], names=["doc_id", "n_shingles", "h1", "h2", "bits"])
+
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, bits array<long>")
+
+
+def possible(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose sizes and parity bits do not rule out the similarity; no linked pair is lost."""
+    side = lambda k: reps.select(F.col("doc_id").alias(k), F.col("n_shingles").alias(f"{k}_n"), F.col("bits").alias(f"{k}_bits"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    total = F.col("a_n") + F.col("b_n")
+    apart = total - 2 * F.ceil(F.lit(num) * total / F.lit(num + den) - 1e-9)
+    xor = lambda x, y: F.zip_with(x, y, lambda u, v: u.bitwiseXOR(v))
+    # linked sets differ in size by the similarity at most, so their rows of bits by one doubling
+    fold = lambda x, to: F.when(F.size(x) == 2 * to, xor(F.slice(x, F.lit(1), to), F.slice(x, to + 1, to))).otherwise(F.col(x))
+    least = F.least(F.size("a_bits"), F.size("b_bits"))
+    differ = F.aggregate(F.zip_with(fold("a_bits", least), fold("b_bits", least), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    fits = (F.col("a_n") * den >= F.col("b_n") * num) & (F.col("b_n") * den >= F.col("a_n") * num)
+    return both.filter(fits).filter(differ <= apart).select("a", "b")
+
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long")
+def id_bits(ids: DataFrame) -> np.ndarray:
+    """A bit for each hash value of ``ID_BITS`` that one of the doc_ids has: 1 MB, however many they are."""
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(ID_BITS))
+    rows = ids.select(at.alias("at")).groupBy((F.col("at") / 32768).cast("int").alias("block")).agg(F.bitmap_construct_agg(F.col("at") % 32768).alias("bits")).collect()
+    out = np.zeros((ID_BITS // 32768, 4096), dtype=np.uint8)
+    for r in rows:
+        out[r["block"]] = np.frombuffer(r["bits"], dtype=np.uint8)
+    return np.unpackbits(out.ravel(), bitorder="little").astype(bool)
 
 
-def set_rows(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id and its whole set, for the given rows."""
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id and the whole compressed text of the given ids (a set of 64-bit hashes takes three times its packed text).
+
+    The bits of the ids keep most other texts out of the shuffle of the exact join that follows.
+    """
+    wanted = np.packbits(id_bits(ids))
 
     def run(batches):
+        code, bits = zstandard.ZstdCompressor(level=1), np.unpackbits(wanted).astype(bool)
         for batch, raw, offs in pieces(batches, "text"):
-            h, first = sets_of(raw, offs, n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), ragged(h.view(np.int64), first, pa.int64())], names=["doc_id", "grams"])
+            rows = np.flatnonzero(bits[batch.column(2).to_numpy()])
+            packed = [code.compress(raw[offs[i]:offs[i + 1]].tobytes()) for i in rows]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(packed, type=pa.binary())], names=["doc_id", "packed"])
 
-    return docs.mapInArrow(run, "doc_id long, grams array<long>")
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(ID_BITS))
+    return docs.select("doc_id", "text", at.alias("at")).mapInArrow(run, "doc_id long, packed binary").join(ids, "doc_id", "left_semi")
 
 
 def _memberships(size: np.ndarray, num: int, den: int):
@@ -205,13 +260,34 @@ def signature_rows(docs: DataFrame, n: int, plan: dict, frequent: tuple, num: in
     return docs.mapInArrow(run, "doc_id long, sigs array<long>")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose whole sets reach the similarity."""
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("x")), "a")
-    both = both.join(sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("y")), "b")
-    both = both.filter((F.size("x") * den >= F.size("y") * num) & (F.size("y") * den >= F.size("x") * num))
-    shared = F.size(F.array_intersect("x", "y"))
-    return both.filter(shared * den >= (F.size("x") + F.size("y") - shared) * num).select("a", "b")
+    both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("packed").alias("x")), "a")
+    both = both.join(texts.select(F.col("doc_id").alias("b"), F.col("packed").alias("y")), "b").select("a", "b", "x", "y")
+
+    def linked(held: list[bytes]) -> list[bool]:
+        h, first = sets_of(np.frombuffer(b"".join(held), dtype=np.uint8), np.cumsum([0, *map(len, held)]), n)
+        size = np.diff(first)
+        out = []
+        for i in range(0, len(held), 2):
+            shared = len(np.intersect1d(h[first[i]:first[i + 1]], h[first[i + 1]:first[i + 2]], assume_unique=True))
+            out.append(bool(shared * den >= (size[i] + size[i + 1] - shared) * num))
+        return out
+
+    def run(batches):
+        code = zstandard.ZstdDecompressor()
+        for batch in batches:
+            held, size, answers = [], 0, []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                held += [code.decompress(x.as_py()), code.decompress(y.as_py())]
+                size += len(held[-1]) + len(held[-2])
+                if size > 1 << 20:
+                    answers += linked(held)
+                    held, size = [], 0
+            answers += linked(held)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(answers, type=pa.bool_()))
+
+    return both.mapInArrow(run, "a long, b long")
 
 
 def similar_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> DataFrame:
@@ -221,8 +297,8 @@ def similar_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     about = materialize(describe(docs, n), "gram-sets")
     same = ["n_shingles", "h1", "h2"]
-    classes = materialize(about.filter("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "set-classes")
-    reps = classes.filter("rep is not null").select(F.col("rep").alias("doc_id"), "n_shingles").dropDuplicates(["doc_id"])
+    classes = materialize(about.filter("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.first("bits").alias("bits")), "set-classes")
+    reps = classes.filter("rep is not null").select(F.col("rep").alias("doc_id"), "n_shingles", "bits").dropDuplicates(["doc_id"])
 
     band = F.lit(-1)
     for i, e in enumerate(BANDS[:-1].tolist()):
@@ -244,17 +320,22 @@ def similar_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
     frequent = (np.array([t[0] for t in top], dtype=np.uint64), np.array([t[1] for t in top], dtype=np.int64))
 
     sigs = signature_rows(docs, n, plan, frequent, num, den).join(reps.select("doc_id"), "doc_id").select(F.explode("sigs").alias("s"), "doc_id")
-    from pyspark.sql import Window
     w = Window.partitionBy("s")
     met = sigs.select("s", "doc_id", F.min("doc_id").over(w).alias("low"), F.max("doc_id").over(w).alias("high")).filter("low < high").select("s", "doc_id", "low")
     met = materialize(met, "met")
+    del sigs, sample
     free_shuffles(docs)
 
+    def linked(pairs: DataFrame, name: str) -> DataFrame:
+        """The linked pairs among candidates, verified on the texts of those that size and parity leave."""
+        left = materialize(possible(pairs, reps, num, den), f"{name}-possible")
+        ends = left.select("a").union(left.select("b")).distinct().select(F.col("a").alias("doc_id"))
+        texts = materialize(texts_of(docs, ends), f"{name}-texts")
+        free_shuffles(docs)
+        return materialize(_verified(left, texts, n, num, den), f"{name}-links")
+
     stars = materialize(met.filter("doc_id != low").select(F.col("low").alias("a"), F.col("doc_id").alias("b")).distinct(), "stars")
-    ends = stars.select("a").union(stars.select("b")).distinct().select(F.col("a").alias("doc_id"))
-    sets = materialize(set_rows(docs.join(ends, "doc_id", "left_semi").select("doc_id", "text"), n), "candidate-sets")
-    free_shuffles(docs)
-    links = materialize(_verified(stars, sets, num, den), "star-links")
+    links = linked(stars, "star")
     roots = materialize(components(links), "star-roots")
 
     member = met.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("s", "doc_id", F.coalesce("root", "doc_id").alias("root"))
@@ -263,8 +344,7 @@ def similar_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
     x, y = open_.alias("x"), open_.alias("y")
     rest = x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.root") < F.col("y.root")))
     rest = rest.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
-    rest = rest.join(stars, ["a", "b"], "left_anti")
-    more = materialize(_verified(rest, sets, num, den), "rest-links")
+    more = linked(rest.join(stars, ["a", "b"], "left_anti"), "rest")
     roots = components(links.unionByName(more))
 
     named = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(*same, F.coalesce("root", "rep").alias("component_id"))
