@@ -180,3 +180,16 @@ def test_leaks_near_and_empty(spark):
     assert {r["doc_id"]: (r["n_hit"], r["n_near"]) for r in find_leaks(docs, bench).collect()} == {0: (0, 1), 1: (0, 0), 2: (0, 0)}
     assert find_leaks(docs.limit(0), bench).count() == 0
     assert {r["n_hit"] for r in find_leaks(docs, bench.limit(0)).collect()} == {0}
+
+
+def test_passages_from_frequent_lines(spark):
+    """Every line of the equal passages also stands in a document of its own, so no hash function gives them the same first document."""
+    rows, want = [], []
+    for k in range(10):
+        lines = [some_words(10, 900 + 10 * k + j, 10**6) for j in range(6)]
+        alone = lambda n, s, k=k: some_words(n, 5000 + 100 * k + s, 10**7)
+        rows += [(100 * k + j, alone(60, j) + line + alone(60, 20 + j)) for j, line in enumerate(lines)]
+        rows += [(100 * k + 50, alone(80, 40) + sum(lines, []) + alone(70, 41)), (100 * k + 51, alone(90, 42) + sum(lines, []))]
+        want += [(100 * k + 50, 80, 140), (100 * k + 51, 90, 150)]
+    got = {(r["doc_id"], r["start_word"], r["stop_word"]) for r in repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")).collect()}
+    assert got == set(want)
