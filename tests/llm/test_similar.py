@@ -193,3 +193,16 @@ def test_passages_from_frequent_lines(spark):
         want += [(100 * k + 50, 80, 140), (100 * k + 51, 90, 150)]
     got = {(r["doc_id"], r["start_word"], r["stop_word"]) for r in repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")).collect()}
     assert got == set(want)
+
+
+def test_passages_of_edited_copies(spark):
+    """Chains a ~ b ~ c in which a and c are not similar are one class."""
+    rows = []
+    for k in range(12):
+        a = some_words(60, 300 + k, 10**6)
+        b = [*a[:20], f"x{k}", *a[21:]]
+        rows += [(10 * k, a), (10 * k + 1, b), (10 * k + 2, [*b[:40], f"y{k}", *b[41:]])]
+    got = {}
+    for r in repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")).collect():
+        got.setdefault(r["class_id"].split(":")[0], set()).add(r["doc_id"])
+    assert got == {str(10 * k): {10 * k, 10 * k + 1, 10 * k + 2} for k in range(12)}
