@@ -2,12 +2,13 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from tessera.llm.decontaminate import find_leaks, leak_digest
 from tessera.llm.graph import components
 from tessera.llm.jaccard_join import allocate, most_apart, similar_components
-from tessera.llm.substrings import repeated_passages
+from tessera.llm.substrings import _token_list, common_passages, repeated_passages
 
 from .common import SF, alnum_words, blank_words, groups, some_words
 
@@ -206,3 +207,12 @@ def test_passages_of_edited_copies(spark):
     for r in repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")).collect():
         got.setdefault(r["class_id"].split(":")[0], set()).add(r["doc_id"])
     assert got == {str(10 * k): {10 * k, 10 * k + 1, 10 * k + 2} for k in range(12)}
+
+
+def test_passage_beside_repeated_lines():
+    passage, line = some_words(60, 1, 10**6), some_words(10, 2, 10**6)
+    x, y = (_token_list(" ".join(passage + some_words(40, s, 10**7) + line * 60).encode()) for s in (3, 4))
+    found = common_passages(x, y, [(20, np.array([20]))], 46, 0.8)
+    assert len(found) == 1 and found[0][0] == found[0][2] == 0 and found[0][1] == found[0][3] >= 56
+    sx, sy = set(x[:found[0][1]].tolist()), set(y[:found[0][3]].tolist())
+    assert len(sx & sy) >= 0.8 * len(sx | sy)
