@@ -5,9 +5,9 @@ and word beginnings that stand in toxic texts mostly; near copies among the toxi
 min-hashes and count once, so the other words of a copied toxic text get no weight. The
 character trigram model is counted over all texts and mixed with one of the kept words.
 
-Scoring: a word written plainly is its own restoration. A word with look-alike signs, inner
-separators or letters thrice in a row, and a run of single spaced characters, is a noisy reading: its
-lattice offers for every character the letters it may stand for, or nothing for a separator or a
+Scoring: a word written plainly is its own restoration. A word that holds a letter together with a
+look-alike, an inner separator or a repeated character, and a run of single spaced characters, is a
+noisy reading: its lattice is decoded if a path through it spells a kept word. The lattice offers for every character the letters it may stand for, or nothing for a separator or a
 repetition, and the most probable paths under the character model are the restorations. A text's
 score is one minus the product of its words' chances to be harmless.
 
@@ -39,7 +39,8 @@ EDGE = " \t\n.,;:!?\"'()[]{}<>|/\\#*&%~`^=+-_"
 # Signs and the letters they stand for.
 LOOKALIKES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i"}
 SEPARATORS = set(" .-_*'`~/\\,")
-_NOISY = re.compile(r"[^\W\d_][0-9@$!|+(€£¡.\-_*'`~/\\,][^\W\d_]|[0-9@$!|+(€£¡]+[^\W\d_]{2}|[^\W\d_]{2}[0-9@$|+(€£¡]|([^\W\d_])\1\1")
+_LETTER = re.compile(r"[^\W\d_]")
+_NOISY = re.compile(r"[0-9@$!|+(€£¡]|[^\s.\-_*'`~/\\,][.\-_*'`~/\\,]+[^\s.\-_*'`~/\\,]|(.)\1")
 #: Classes of the character model: blank and signs, a-z, one for digits, and 32 for the bytes of other characters.
 CLASSES = 60
 _CLASS = np.zeros(256, dtype=np.int64)
@@ -244,12 +245,43 @@ class Decoder:
         return out
 
 
+class Spelled:
+    """Whether some path through a reading's lattice spells a kept word or word beginning, from a tree of their letters."""
+
+    def __init__(self, kept: dict[str, float], readings):
+        self.readings = readings
+        self.root: dict = {}
+        for f in kept:
+            node = self.root
+            for c in f.rstrip("~"):
+                node = node.setdefault(c, {})
+            node[""] = {}
+
+    def __call__(self, s: str) -> bool:
+        nodes: dict[int, dict] = {}
+        for i in range(len(s)):
+            after: dict[int, dict] = {}
+            for x, _ in self.readings(s, i):
+                if not x:
+                    after |= nodes
+                elif x != " ":
+                    for node in (self.root, *nodes.values()):
+                        to = node.get(x)
+                        if to is not None:
+                            if "" in to:
+                                return True
+                            after[id(to)] = to
+            nodes = after
+        return False
+
+
 class Scorer:
     """Chance of toxicity of whole texts; word results are remembered up to a fixed number."""
 
     def __init__(self, kept: dict[str, float], base: float, counts: np.ndarray, remember: int = 1 << 17):
         self.kept, self.base, self.remember = kept, base, remember
         self.decoder = Decoder(counts, kept) if kept else None
+        self.spelled = Spelled(kept, self.decoder.readings) if kept else None
         self.known: dict[str, float] = {}
 
     def _plain(self, word: str) -> float:
@@ -268,8 +300,10 @@ class Scorer:
     def word(self, raw: str) -> float:
         w = raw.strip(EDGE)
         p = self._plain(w) if w else 0.0
-        if not p and len(raw) > 2 and _NOISY.search(raw):
-            p = self.restored(raw.strip(" \t\n\"()[]{}<>"))
+        if not p and len(raw) > 2 and _LETTER.search(raw) and _NOISY.search(raw):
+            inner = raw.strip(" \t\n\"()[]{}<>")
+            opened = f"({inner}" if raw.lstrip(" \t\n\"[]{}<>").startswith("(") else ""  # it may stand for a letter
+            p = max((self.restored(x) for x in (inner, opened) if x and self.spelled(x)), default=0.0)
         if len(self.known) >= self.remember:
             self.known.clear()
         self.known[raw] = p

@@ -38,6 +38,19 @@ def test_toxicity_words_and_obfuscation(spark, labelled):
         assert s.text(text) < 0.3, (text or "")[:20]
 
 
+def test_toxicity_dense_obfuscation(spark, labelled):
+    docs, labels = labelled
+    kept, base = toxicity.fit_words(docs, labels)
+    s = toxicity.Scorer(kept, base, toxicity.char_counts(docs))
+    dense = ("v1l35t", "v!1e$t", "5cum8@9", "$(um64g", "m-o-r-o-n", "m-0-r-0-n", "m--o--r--o--n", "m..o..r..o..n", "mmoorroonn", "vviilleesstt", "$.c.u.m.b.@.g", "m_0_r_0_n!", "m00rr00nn", "v||3st")
+    for word in dense:
+        assert s.text(f"such a {word} here") >= 0.3, word
+    for text in ("hello letter coffee well-known it's 1st 2nd b2b", "moral-on 12-30 a1 v1 r2d2", "a!b", "mm.oo", "call me at 0800-1234 or x1"):
+        assert s.text(text) < 0.3, text
+    long = "w1-l0" * 2000
+    assert s.text(long) < 0.3
+
+
 def test_toxicity_held_out(spark):
     docs, labels = spark.read.parquet(f"{SF[:-5]}0.1/documents.parquet"), spark.read.parquet(f"{SF[:-5]}0.1/labels.parquet")
     out = toxicity.score_texts(docs.select("doc_id", "text"), labels.filter(toxicity.crc_rest("doc_id", 4) != 2))
