@@ -37,9 +37,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of similar documents, the one with the smallest id (rows without an id last)."""
+    """Of every group of documents similar by 0.8 in runs of five words, the one with the smallest id (rows without an id last)."""
     keyed, own = _keyed(docs)
-    groups = similar_components(own).select(F.col("doc_id").alias("_key"), "component_id")
+    groups = similar_components(own, n=5, num=8, den=10).select(F.col("doc_id").alias("_key"), "component_id")
     ids = keyed.select("_key", "doc_id").join(groups, "_key")
     stay = ids.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_key")).alias("m")).select(F.col("m._key").alias("_key"))
     return keyed.join(stay, "_key", "left_semi").select(*docs.columns)

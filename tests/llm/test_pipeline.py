@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 
-from .common import SF, alnum_words, blank_words
+from .common import SF, alnum_words, blank_words, some_words
 from .test_native import base_spans
 from .test_similar import brute_components, brute_leaks
 
@@ -49,6 +49,14 @@ def test_near_duplicate_stage(run):
     assert len(set(left)) + sum(not blank_words(r[1]) for r in after) >= len(after)
 
 
+def test_near_duplicate_stage_threshold(spark):
+    """A copy with a fifth of new text (similarity 0.827 in runs of five words) goes, one with a third (0.744) stays."""
+    base, other = some_words(100, 1, 10**6), some_words(100, 2, 10**6)
+    texts = [(1, base), (2, base + some_words(20, 3, 10**7)), (3, other), (4, other + some_words(33, 4, 10**7))]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in texts], "doc_id long, text string")
+    assert {r["doc_id"] for r in P.near_duplicates(spark, docs, SF).collect()} == {1, 3, 4}
+
+
 def test_leak_stage(spark, run):
     bench = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     found = brute_leaks([(i, r[1]) for i, r in enumerate(rows(run[2]))], bench)
