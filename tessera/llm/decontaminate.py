@@ -7,8 +7,10 @@ summed over the shards; a test window is searched from its rarest term on, each
 by its offset in the window and intersected with the starts that are left. Proximity matches ask the
 rarest terms of a whole item to stand within a span of words, in any order.
 
-The test set is the stated query set. It is cut into blocks of items of at most ``block_bytes`` of
-text, so what is shipped to the tasks is bounded; each block is searched over the whole corpus.
+The test set is the stated query set. Items of equal text are one item with several ids, and these
+are cut into blocks of about ``block_bytes``, so what is shipped to the tasks is bounded; each block
+is searched over the whole corpus. With several blocks the document rows are keyed and written first,
+and the blocks' rows are merged on that key.
 
 Defined results: a null or empty text has no words and no hits; an item without words matches
 nothing; an item of fewer than ``n`` words is one window; repeated items and repeated document rows
@@ -35,8 +37,8 @@ MATCH_SCHEMA = ("doc_id long, n_words long, n_hit long, n_near long, items array
 SHARD_BYTES = 2 << 20
 
 
-def _item_blocks(bench: DataFrame, block_bytes: int) -> int:
-    size = bench.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+def _item_blocks(items: DataFrame, block_bytes: int) -> int:
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text") + F.aggregate("ids", F.lit(0), lambda n, x: n + F.octet_length(x))), F.lit(0))).first()[0]
     return max(1, -(-int(size) // block_bytes))
 
 
@@ -48,7 +50,7 @@ class Windows:
         raw, offs = column_bytes(text)
         words = Words(raw, offs, ALNUM_WORDS, True)
         self.vocabulary, term = np.unique(words.hash, return_inverse=True)
-        self.names: list[str | None] = [None if r["item_id"] is None else str(r["item_id"]) for r in rows]
+        self.names: list[list[str]] = [r["ids"] for r in rows]
         seen: dict[bytes, int] = {}
         self.windows: list[np.ndarray] = []
         self.owners: list[set[int]] = []
@@ -154,7 +156,7 @@ def _search(win: Windows, frequency: np.ndarray, near_terms: int, near_span: int
                     for d in set(row[ok].tolist()):
                         near[d].add(i)
                 merged = [merge_spans(s) for s in spans]
-                names = lambda s: sorted({win.names[i] for i in s if win.names[i] is not None})
+                names = lambda s: sorted({x for i in s for x in win.names[i]})
                 yield pa.RecordBatch.from_arrays([
                     pa.array(r["docs"], type=pa.int64()),
                     pa.array(n_words, type=pa.int64()),
@@ -187,12 +189,17 @@ def find_leaks(docs: DataFrame, bench: DataFrame, n: int = 10, near_terms: int =
     """
     spark = docs.sparkSession
     ship_package(spark)
-    bench = bench.select("item_id", F.col("text").cast("string").alias("text"))
-    blocks = _item_blocks(bench, block_bytes)
+    bench = bench.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
+    items = materialize(bench.groupBy("text").agg(F.collect_set("item_id").alias("ids")), "leak-items")
+    blocks = _item_blocks(items, block_bytes)
+    if blocks > 1:
+        docs = materialize(docs.select(F.monotonically_increasing_id().alias("_row"), F.col("doc_id").cast("long").alias("own_id"), "text"), "leak-rows")
+        names = docs.select(F.col("_row").alias("doc_id"), "own_id")
+        docs = docs.select(F.col("_row").alias("doc_id"), "text")
     found = []
     for b in range(blocks):
-        part = bench if blocks == 1 else bench.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b)
-        win = Windows(part.collect(), n)  # at most about block_bytes of text
+        part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b)
+        win = Windows(part.collect(), n)  # about block_bytes of text and ids
         index = materialize(build_index(docs, win.vocabulary), "leak-index")
         frequency = np.zeros(len(win.vocabulary), dtype=np.int64)
         for t, c in index.select(F.explode(F.map_from_arrays("terms", "counts")).alias("t", "c")).groupBy("t").agg(F.sum("c")).collect():
@@ -210,7 +217,8 @@ def find_leaks(docs: DataFrame, bench: DataFrame, n: int = 10, near_terms: int =
     start = F.struct(F.lit(0).cast("int").alias("hit"), F.lit(0).cast("int").alias("end"))
     step = lambda a, s: F.struct((a["hit"] + F.greatest(F.lit(0), s["stop"] - F.greatest(s["start"], a["end"]))).alias("hit"),
                                  F.greatest(a["end"], s["stop"]).alias("end"))
-    return every.select("doc_id", "n_words", F.aggregate("spans", start, step, lambda a: a["hit"]).cast("long").alias("n_hit"),
+    every = every.join(names, "doc_id")
+    return every.select(F.col("own_id").alias("doc_id"), "n_words", F.aggregate("spans", start, step, lambda a: a["hit"]).cast("long").alias("n_hit"),
                         F.size("near_items").cast("long").alias("n_near"), "items", "near_items", "spans")
 
 

@@ -175,6 +175,18 @@ def test_leaks_brute_force(spark, block_bytes):
     assert sorted(rows, key=str) == sorted(brute_leaks(docs, bench), key=str)
 
 
+def test_leaks_by_row_in_blocks(spark):
+    """Rows with a null or repeated id are kept apart in every number of blocks, and item texts repeat within one."""
+    items = [some_words(30, 50 + i, 60) for i in range(5)]
+    bench = [(i, " ".join(w)) for i, w in enumerate(items)] + [(100 + i, " ".join(items[0])) for i in range(60)] + [(None, " ".join(items[0])), (9, None)]
+    docs = [(8, " ".join(items[4])), (8, " ".join(items[2][3:])), (8, " ".join(items[2][3:])), (None, " ".join(items[1])), (None, None), (None, " ".join(items[0])), (1, "clean")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    test = spark.createDataFrame(bench, "item_id long, text string")
+    for block_bytes in (1 << 20, 300, 100):
+        rows = [tuple(r)[:6] for r in leak_digest(find_leaks(df, test, block_bytes=block_bytes)).collect()]
+        assert sorted(rows, key=str) == sorted(brute_leaks(docs, bench), key=str)
+
+
 def test_leaks_near_and_empty(spark):
     bench = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta")], "item_id long, text string")
     docs = spark.createDataFrame([(0, "beta alpha x delta y gamma epsilon zeta"), (1, "alpha beta"), (2, "alpha " + "w " * 200 + "beta gamma delta")], "doc_id long, text string")
@@ -183,14 +195,14 @@ def test_leaks_near_and_empty(spark):
     assert {r["n_hit"] for r in find_leaks(docs, bench.limit(0)).collect()} == {0}
 
 
-def test_passages_from_frequent_lines(spark):
-    """Every line of the equal passages also stands in a document of its own, so no hash function gives them the same first document."""
+def test_passages_from_frequent_phrases(spark):
+    """Every shingle of the equal passages also stands in an earlier document, so no hash function pairs the two with each other at first."""
     rows, want = [], []
-    for k in range(10):
-        lines = [some_words(10, 900 + 10 * k + j, 10**6) for j in range(6)]
+    for k in range(4):
+        passage = some_words(60, 900 + k, 10**6)
         alone = lambda n, s, k=k: some_words(n, 5000 + 100 * k + s, 10**7)
-        rows += [(100 * k + j, alone(60, j) + line + alone(60, 20 + j)) for j, line in enumerate(lines)]
-        rows += [(100 * k + 50, alone(80, 40) + sum(lines, []) + alone(70, 41)), (100 * k + 51, alone(90, 42) + sum(lines, []))]
+        rows += [(100 * k + j, alone(60, j) + passage[10 * j:10 * j + 14] + alone(60, 20 + j)) for j in range(6)]
+        rows += [(100 * k + 50, alone(80, 40) + passage + alone(70, 41)), (100 * k + 51, alone(90, 42) + passage)]
         want += [(100 * k + 50, 80, 140), (100 * k + 51, 90, 150)]
     got = {(r["doc_id"], r["start_word"], r["stop_word"]) for r in repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")).collect()}
     assert got == set(want)
