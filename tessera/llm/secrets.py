@@ -11,7 +11,8 @@ other token runs of those documents (``sample_docs``, a documented bound: only t
 it; every whole text is scanned).
 
 Defined results: null and empty texts have no spans; spans are in code points, end exclusive, ordered
-by start and kind; repeated rows repeat their result; other columns are not read. Only ASCII
+by start and kind; repeated rows repeat their result; other columns are not read (names that start
+with an underscore and ``found`` and ``base`` are the operator's own). Only ASCII
 characters take part in token runs.
 """
 
@@ -22,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .native import let, match_spans
+from .native import bound, highest_before, let, match_spans
 
 ASSIGN = ("([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
           "[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
@@ -98,17 +99,17 @@ def scan(docs: DataFrame, samples: DataFrame | None = None, sample_docs: int = 2
 
     span = lambda k: lambda m: F.struct(m["start"].alias("start"), F.lit(k).alias("kind_no"), m["end"].alias("end"))
     empty = F.array().cast("array<struct<start:bigint,end:bigint,match:string>>")
-    low = F.lower(text)
+    low = F.lower("_t")
     named = low.contains("passw") | low.contains("secret") | low.contains("token") | low.contains("api")
     value = lambda m: F.regexp_extract(m["match"], ASSIGN, 2)
-    assign = F.when(named, F.filter(match_spans(text, ASSIGN), lambda m: F.length(value(m)) >= 8)).otherwise(empty)
-    access = F.when(text.contains("AKIA"), match_spans(text, ACCESS)).otherwise(empty)
-    out = docs.withColumns({"_a": F.transform(assign, span(0)), "_k": F.transform(access, span(1)), "_h": F.transform(match_spans(text, HEX), span(2))})
-    out = out.withColumn("base", F.array_sort(F.concat("_a", "_k", "_h"))).drop("_a", "_k", "_h")
+    assign = F.when(named, F.filter(match_spans(F.col("_t"), ASSIGN), lambda m: F.length(value(m)) >= 8)).otherwise(empty)
+    access = F.when(F.col("_t").contains("AKIA"), match_spans(F.col("_t"), ACCESS)).otherwise(empty)
+    fixed = F.concat(F.transform(assign, span(0)), F.transform(access, span(1)), F.transform(match_spans(F.col("_t"), HEX), span(2)))
+    out = bound(docs.withColumn("_t", text), base=F.array_sort(fixed))
     apart = lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
     likely = lambda m: let(_ratio(m["match"], table), lambda s: (s >= least) & (s >= least_each * F.length(m["match"])))
-    extra = F.filter(match_spans(text, RUN), lambda m: apart(m) & likely(m))
-    return out.withColumn("found", F.array_sort(F.concat("base", F.transform(extra, span(3)))))
+    extra = F.filter(match_spans(F.col("_t"), RUN), lambda m: apart(m) & likely(m))
+    return bound(out, found=F.array_sort(F.concat("base", F.transform(extra, span(3))))).drop("_t")
 
 
 def spans_text(spans: str) -> Column:
@@ -126,17 +127,14 @@ def secret_digest(found: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, mark: str = "[removed]", **options) -> DataFrame:
     """``docs`` with every span of a text replaced by ``mark`` (overlapping spans by one); texts without spans are untouched.
 
-    ``n_chars`` follows the new text where the table has that column.
+    ``n_chars`` follows the new text where the table has that column. The new text is computed once a
+    row, whatever is planned on top of the result (another scan included).
     """
-    found = scan(docs, **options)
-    start = F.struct(F.lit(0).cast("long").alias("end"), F.array().cast("array<string>").alias("out"))
-
-    def step(a: Column, s: Column) -> Column:
-        piece = F.concat(F.substr("text", (a["end"] + 1).cast("int"), F.greatest(F.lit(0), s["start"] - a["end"]).cast("int")), F.when((s["start"] >= a["end"]), F.lit(mark)).otherwise(""))
-        return F.struct(F.greatest(a["end"], s["end"]).alias("end"), F.concat(a["out"], F.array(piece)).alias("out"))
-
-    tail = lambda a: F.concat(F.concat_ws("", a["out"]), F.substr("text", (a["end"] + 1).cast("int"), F.length("text")))
-    clean = found.withColumn("_clean", F.when(F.size("found") > 0, F.aggregate("found", start, step, tail)).otherwise(F.col("text")))
+    found = scan(docs, **options).withColumnRenamed("text", "_old")
+    pieces = let(highest_before(F.transform("found", lambda s: s["end"])), lambda before: F.transform("found", lambda s, i: F.when(
+        s["start"] >= F.get(before, i), F.concat(F.substr("_old", (F.get(before, i) + 1).cast("int"), (s["start"] - F.get(before, i)).cast("int")), F.lit(mark))).otherwise("")))
+    tail = F.substr("_old", (F.array_max(F.transform("found", lambda s: s["end"])) + 1).cast("int"), F.length("_old"))
+    clean = bound(found, text=F.when(F.size("found") > 0, F.concat(F.concat_ws("", pieces), tail)).otherwise(F.col("_old")))
     if "n_chars" in docs.columns:
-        clean = clean.withColumn("n_chars", F.when(F.size("found") > 0, F.length("_clean")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return clean.withColumn("text", F.col("_clean")).select(*docs.columns)
+        clean = clean.withColumn("n_chars", F.when(F.size("found") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return clean.select(*docs.columns)

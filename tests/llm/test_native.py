@@ -69,6 +69,33 @@ def test_redact(spark, edge):
     assert again.filter("n_assign + n_access + n_hex > 0").count() == 0
 
 
+def test_plan_size(spark, edge):
+    """Texts and spans are planned once, also for a scan of what was redacted with a filter on top."""
+    digest = secrets.secret_digest(secrets.scan(secrets.redact(edge))).filter("n_assign + n_access + n_hex > 0")
+    plan = digest._jdf.queryExecution().optimizedPlan()
+    assert plan.collectLeaves().size() == 1 and plan.toString().count("regexp_extract_all") <= 12
+
+
+def test_highest_before(spark):
+    import random
+
+    from tessera.llm.native import highest_before
+    r = random.Random(5)
+    lists = [[], [4], [0, 0], [5, 3, 9, 1]] + [[r.randrange(10**6) for _ in range(n)] for n in (127, 128, 129, 500)]
+    df = spark.createDataFrame([(x,) for x in lists], "v array<long>")
+    got = [x[0] for x in df.select(highest_before(df.v)).collect()]
+    assert got == [[max([0, *x[:i]]) for i in range(len(x))] for x in lists]
+
+
+def test_redact_overlapping_spans(spark):
+    """Spans inside or across others are one mark; long texts with many spans keep every character outside them."""
+    inside = "token=" + "a1" * 20 + " end"
+    many = "x é token=abcdefgh12 " * 400
+    df = spark.createDataFrame([(1, inside), (2, many)], "doc_id long, text string")
+    got = dict(secrets.redact(df).collect())
+    assert got == {1: "[removed] end", 2: "x é [removed] " * 400}
+
+
 def test_secrets_empty_table(spark):
     assert secrets.secret_digest(secrets.scan(spark.createDataFrame([], "doc_id long, text string"))).count() == 0
 
