@@ -128,3 +128,11 @@ def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substrings import repeated_passages
     return repeated_passages(table(spark, sf_dir, "documents"), words=50, similarity=0.8)
+
+
+@query
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .packing import pack
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), size=2048, end_id=1)
