@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from tessera.session import materialize, ship_package
 
-from .text import BLANK_WORDS, Words, pieces
+from .text import BLANK_WORDS, Words, pieces, ragged_index
 
 TOKEN_SCHEMA = "part int, doc_id long, ids binary, tokens long, rest int, place long, whole long, whole_place long"
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -75,12 +75,7 @@ class Encoder:
             self.ids = np.concatenate([self.ids, np.array([x for e in found for x in e.ids], dtype=np.uint32)])
         at = np.array([self.known[h] for h in keys], dtype=np.int64)[back] if keys else np.zeros(0, dtype=np.int64)
         n = self.first[at + 1] - self.first[at]
-        return n, self.ids[_ragged(self.first[at], n)]
-
-
-def _ragged(start: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """start[0], start[0] + 1, ... (n[0] of them), start[1], ..."""
-    return np.repeat(start - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        return n, self.ids[ragged_index(self.first[at], n)]
 
 
 def id_kind(tokenizer: str, end_id: int) -> str:
@@ -103,7 +98,7 @@ def tokenised(docs: DataFrame, tokenizer: str, size: int, end_id: int) -> DataFr
             rows = batch.num_rows
             ends = upto + np.arange(rows + 1)
             flat = np.full(len(ids) + rows, end_id, dtype=kind)
-            flat[_ragged(ends[:-1], np.diff(upto))] = ids
+            flat[ragged_index(ends[:-1], np.diff(upto))] = ids
             tokens = np.diff(ends)
             rest, whole = tokens % size, tokens // size
             order = np.argsort(rest, kind="stable")
@@ -313,7 +308,7 @@ class Places:
             return (np.zeros(0, dtype=np.int64),) * 5
         at = np.searchsorted(self.keys, length.astype(np.int64) << _RANKS | rank, side="right") - 1
         n = self.counts[at]
-        lo, _, times, start, size, base, off = self.slots[_ragged(self.first[at], n)].T
+        lo, _, times, start, size, base, off = self.slots[ragged_index(self.first[at], n)].T
         doc = np.repeat(np.arange(len(length)), n)
         k = rank[doc] - lo
         return doc, start, size, base + k // times, off + k % times * size
@@ -354,7 +349,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 1) ->
             doc = left[doc] if len(doc) else doc
             start = start + whole[doc] * size
             long = np.repeat(np.arange(len(whole)), whole)
-            k = _ragged(np.zeros(len(whole), dtype=np.int64), whole)
+            k = ragged_index(np.zeros(len(whole), dtype=np.int64), whole)
             doc, start = np.concatenate([doc, long]), np.concatenate([start, k * size])
             length = np.concatenate([length, np.full(len(long), size)])
             sequence = np.concatenate([sequence, found.sequences + col("whole_rank")[long] + k])

@@ -156,6 +156,11 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = _CHU
             lo = hi
 
 
+def ragged_index(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... (n[0] of them), start[1], ..."""
+    return np.repeat(start - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+
+
 def ragged(values: np.ndarray, first: np.ndarray, kind: pa.DataType) -> pa.ListArray:
     """List column from flat values and row offsets."""
     return pa.ListArray.from_arrays(pa.array(first, type=pa.int32()), pa.array(values, type=kind))
