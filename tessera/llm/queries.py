@@ -157,3 +157,9 @@ s AS (SELECT i.q, f.r, CAST(sum(i.k * v.weight * ((1000000000 * f.tf) // (1000 *
 o AS (SELECT q, doc_id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s JOIN m USING (r) WHERE score > 0)
 SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM o JOIN b USING (q) WHERE rank <= 10
 """
+
+
+@query
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spelling import variants
+    return variants(table(spark, sf_dir, "documents"))

@@ -8,7 +8,7 @@ finished with a mixing step; equal hashes are taken as equal words.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -64,9 +64,14 @@ def seeded(h: np.ndarray, seed: int) -> np.ndarray:
 
 
 class Words:
-    """The words of some rows: ``row`` (non-decreasing), byte ``start`` and ``end``, ``hash``, and ``first`` (word offsets by row)."""
+    """The words of some rows: ``row`` (non-decreasing), byte ``start`` and ``end``, ``hash``, and ``first`` (word offsets by row).
 
-    def __init__(self, buf: np.ndarray, offsets: np.ndarray, classes: np.ndarray, fold: bool):
+    ``classes`` says of every byte value, or as a function of all bytes, which belong to words; ``cuts``
+    says of all bytes before which ones a word ends though the next one follows at once.
+    """
+
+    def __init__(self, buf: np.ndarray, offsets: np.ndarray, classes: np.ndarray | Callable[[np.ndarray], np.ndarray], fold: bool,
+                 cuts: Callable[[np.ndarray], np.ndarray] | None = None):
         self.rows = len(offsets) - 1
         self.raw = buf
         b = _FOLD[buf] if fold else buf
@@ -76,18 +81,23 @@ class Words:
             self.hash = np.zeros(0, dtype=np.uint64)
             self.first = np.zeros(self.rows + 1, dtype=np.int64)
             return
-        word = classes[b]
+        word = classes(b) if callable(classes) else classes[b]
         before = np.empty_like(word)
         before[0] = False
         before[1:] = word[:-1]
         edges = offsets[:-1][offsets[:-1] < len(b)]
         before[edges] = False
+        cut = None if cuts is None else cuts(b)
+        if cut is not None:
+            before &= ~cut
         self.start = np.flatnonzero(word & ~before)
         after = np.empty_like(word)
         after[-1] = False
         after[:-1] = word[1:]
         edges = offsets[1:][offsets[1:] > 0]
         after[edges - 1] = False
+        if cut is not None:
+            after[:-1] &= ~cut[1:]
         self.end = np.flatnonzero(word & ~after) + 1
         self.first = np.searchsorted(self.start, offsets, side="left")
         up, down = _powers(1 << max(20, int(len(b)).bit_length()))
