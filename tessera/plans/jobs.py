@@ -54,17 +54,15 @@ REGISTRY_EXTRA = ["REGIME_COMPENSAZIONE", "DISALIMENTABILITA", "DATA_INIZIO_BONU
 POD_LEN = 14
 
 
-def registry_header_keys(header: Column) -> Column:
-    """Per-file header → canonical keys: positions 4 and 5 are the treatments, band/month titles
+def registry_header_keys(titles: list[str]) -> list[str]:
+    """A file's titles → canonical keys: positions 4 and 5 are the treatments, band/month titles
     become ``Fn_mm``; the rest keep their titles."""
-    def key(t, i):
-        band = (F.when(t.contains("CONSUMO"), t)
-                .when(t.contains("F1"), F.concat(F.lit("F1_"), F.right(t, F.lit(2))))
-                .when(t.contains("F2"), F.concat(F.lit("F2_"), F.right(t, F.lit(2))))
-                .when(t.contains("F3"), F.concat(F.lit("F3_"), F.right(t, F.lit(2))))
-                .otherwise(t))
-        return F.when(i == 4, F.lit("Trattamento_m1")).when(i == 5, F.lit("Trattamento_m")).otherwise(band)
-    return F.transform(header, key)
+    fixed = {4: "Trattamento_m1", 5: "Trattamento_m"}
+
+    def key(i: int, t: str) -> str:
+        band = next((b for b in ("F1", "F2", "F3") if b in t), None)
+        return fixed.get(i) or (t if band is None or "CONSUMO" in t else f"{band}_{t[-2:]}")
+    return [key(i, t) for i, t in enumerate(titles)]
 
 
 def registry_import(spark: SparkSession, folder, load_ts: str = LOAD_TS, long_rows: str = "raise") -> DataFrame:

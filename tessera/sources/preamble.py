@@ -1,96 +1,146 @@
 """Registry files with a preamble line: ``company;zone;…;vat``, then the real header, then rows.
 
-One pass opens every file for its first two lines only; this gives one row a file (preamble values and
-titles). The bodies are one text scan (splittable: a large file is spread over many tasks), joined to
-the file rows by path; a file's preamble and header lines are recognised by their text. Rows are parsed as quoted CSV and read by
-their own file's titles, so files whose columns move between months load by name. Quoted line
-breaks are not supported. A row with more fields than its header raises or is dropped, never cut.
+A Python data source reads byte ranges: a large file is spread over many tasks, small ones are read
+together, and every task reads the first two lines of the files it has ranges of. So preamble and
+titles come with the rows, known by their position, and no row is joined to its file or compared
+with a title. Rows are parsed as quoted CSV and read by their own file's titles: files whose columns
+move between months load by name. Quoted line breaks are not supported. A row with more fields than
+its header raises or is dropped, never cut; a shorter one has nulls at its end.
 """
 
 from __future__ import annotations
 
-import re
+import csv
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-
-from ..session import materialize
-from .csv import LONG_ROWS, separators
-from .listing import first_lines
-
-
-def _lines(spark: SparkSession, path, encoding: str) -> DataFrame:
-    if encoding.upper().replace("-", "") == "UTF8":
-        raw = spark.read.option("recursiveFileLookup", "true").text(path)
-    else:  # one string column per line in another encoding (no quoting, no field splitting)
-        raw = (spark.read.schema("value string").option("sep", "\u0001").option("quote", "").option("recursiveFileLookup", "true")
-               .option("encoding", encoding).option("header", "false").csv(path))
-    return raw.select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_name").alias("file_name"),
-                      F.monotonically_increasing_id().alias("line_no"), F.col("value").alias("line"))
-
-
-def _fields(line, sep: str, n: int) -> Column:
-    """The first n fields of a line (null where the line is shorter). Only lines with quotes need the CSV parser."""
-    schema = ", ".join(f"c{i} string" for i in range(n))
-    parsed = F.from_csv(line, F.lit(schema), {"sep": sep, "mode": "PERMISSIVE", "nullValue": "\u0001"})
-    # bound once by the lambda: a struct's fields taken one by one would parse the line n times
-    quoted = F.element_at(F.transform(F.array(parsed), lambda p: F.array(*[p[f"c{i}"] for i in range(n)])), 1)
-    plain = F.slice(F.concat(F.split(line, re.escape(sep), -1), F.array_repeat(F.lit(None).cast("string"), n)), 1, n)
-    return F.when(line.contains('"'), quoted).otherwise(plain)
-
-
-def file_heads(spark: SparkSession, path, sep: str, encoding: str, header_keys=None) -> DataFrame:
-    """One written row a file: its path, first two lines, preamble values and titles. A title that stands
-    twice in a file raises and names the file."""
-    heads = first_lines(spark, path, 2, encoding).where(F.size("lines") == 2)
-    heads = heads.select(F.col("path").alias("file"), F.regexp_replace(F.col("lines")[0], "^﻿", "").alias("first"), F.col("lines")[1].alias("second"))
-    widest = materialize(heads, "registry-heads")
-    n = widest.agg(F.max(F.greatest(separators(F.col("first"), sep), separators(F.col("second"), sep)))).first()[0]
-    n = int(n or 0) + 1
-    cut = lambda c: F.slice(_fields(F.col(c), sep, n), F.lit(1), (separators(F.col(c), sep) + 1).cast("int"))
-    header = cut("second") if header_keys is None else header_keys(cut("second"))
-    out = widest.select("file", "first", "second", cut("first").alias("pre"), header.alias("header"))
-    twice = F.size(F.array_distinct("header")) < F.size("header")
-    error = F.raise_error(F.concat(F.lit("titles that stand twice in "), F.col("file"))).cast("array<string>")
-    return materialize(out.withColumn("header", F.when(twice, error).otherwise(F.col("header"))), "registry-files")
-
-
-def scan_preamble_rows(spark: SparkSession, path, sep: str = ";", encoding: str = "UTF-8", header_keys=None,
-                       long_rows: str = "raise", wanted: list[str] | None = None) -> DataFrame:
+from pyspark.sql.datasource import DataSource, DataSourceReader
+
+from ..session import arrow_fs, ship_package
+from .csv import LONG_ROWS
+from .ranges import FileRange, Ranges, partitions_of, range_lines, scan_options
+
+ROWS_SCHEMA = "file_name string, company string, zone string, vat string, line_no long, header array<string>, values array<string>"
+_BATCH = 4096
+
+
+def split_fields(line: str, sep: str) -> list[str]:
+    return next(csv.reader([line], delimiter=sep), []) if '"' in line else line.split(sep)
+
+
+class Head:
+    """The preamble and the titles of a file, and where its rows begin (None for a file without two lines)."""
+
+    def __init__(self, f, path: str, sep: str, encoding: str, keys: Callable[[list[str]], list[str]] | None):
+        lines = range_lines(f, 0, 1 << 62, 1 << 16)
+        first, second = next(lines, None), next(lines, None)
+        self.body = None
+        if second is None:
+            return
+        f.seek(second[0] + len(second[1]))
+        self.body = second[0] + len(second[1]) + (2 if f.read(1) == b"\r" else 1)
+        self.preamble = split_fields(first[1].decode(encoding).lstrip("﻿"), sep)
+        titles = split_fields(second[1].decode(encoding), sep)
+        self.titles = keys(titles) if keys else titles
+        if len(set(self.titles)) < len(self.titles):
+            raise ValueError(f"titles that stand twice in {path}")
+
+
+class PreambleReader(DataSourceReader):
+    def __init__(self, options: dict, keys: Callable[[list[str]], list[str]] | None):
+        self.options, self.keys = dict(options), keys
+
+    def partitions(self) -> list[Ranges]:
+        return partitions_of(self.options)
+
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
+        for r in partition.ranges:
+            yield from self.read_range(r)
+
+    def read_range(self, r: FileRange) -> Iterator[pa.RecordBatch]:
+        sep, encoding = self.options["sep"], self.options["encoding"]
+        wanted = self.options["wanted"].split("\n") if self.options.get("wanted") else None
+        fs, local = arrow_fs(r.path)
+        with fs.open_input_file(local) as f:
+            head = Head(f, r.path, sep, encoding, self.keys)
+            if head.body is None or head.body >= r.stop:
+                return
+            n = len(head.titles)
+            where = {t: i for i, t in enumerate(head.titles)}
+            places = None if wanted is None else [where.get(w, n) for w in wanted]  # the n-th field is null
+
+            def rows() -> Iterator[tuple[int, list]]:
+                for at, raw in range_lines(f, max(r.start, head.body), r.stop):
+                    if not raw:
+                        continue
+                    fields = split_fields(raw.decode(encoding), sep)
+                    if len(fields) > n:
+                        if self.options["longrows"] == "raise":
+                            raise ValueError(f"row with more fields than its header in {r.path}: {raw.decode(encoding)}")
+                        continue
+                    fields += [None] * (n + 1 - len(fields))
+                    yield at, fields[:n] if places is None else [fields[i] for i in places]
+
+            pre = [*head.preamble, None]
+            constant = [r.path.rsplit("/", 1)[-1], pre[0], pre[1], head.preamble[-1]]
+            held: list[tuple[int, list]] = []
+            for row in rows():
+                held.append(row)
+                if len(held) == _BATCH:
+                    yield self._batch(constant, head.titles, held)
+                    held = []
+            if held:
+                yield self._batch(constant, head.titles, held)
+
+    def _batch(self, constant: list, titles: list[str], rows: list[tuple[int, list]]) -> pa.RecordBatch:
+        n, names = len(rows), ["file_name", "company", "zone", "vat", "line_no", "header", "values"]
+        strings = pa.list_(pa.string())
+        same = lambda v, t: pa.repeat(pa.scalar(v, type=t), n)
+        return pa.RecordBatch.from_arrays([
+            *[same(c, pa.string()) for c in constant], pa.array([at for at, _ in rows], type=pa.int64()),
+            same(titles, strings), pa.array([v for _, v in rows], type=strings)], names=names)
+
+
+def _source(keys: Callable[[list[str]], list[str]] | None) -> type[DataSource]:
+    class PreambleCsv(DataSource):
+        @classmethod
+        def name(cls) -> str:
+            return "preamble_csv" if keys is None else f"preamble_csv_{keys.__name__}"
+
+        def schema(self) -> str:
+            return ROWS_SCHEMA
+
+        def reader(self, schema) -> DataSourceReader:
+            return PreambleReader(self.options, keys)
+
+    return PreambleCsv
+
+
+def scan_preamble_rows(spark: SparkSession, path, sep: str = ";", encoding: str = "UTF-8",
+                       header_keys: Callable[[list[str]], list[str]] | None = None, long_rows: str = "raise",
+                       wanted: list[str] | None = None) -> DataFrame:
     """``(file_name, company, zone, vat, line_no, header, values)`` for every body row.
 
-    With ``wanted`` titles, ``values`` has one entry for each of them in that order (their positions
-    are found once a file); else the fields in file order, as many as titles.
+    ``header_keys`` may rewrite a file's titles. With ``wanted`` titles, ``values`` has one entry for
+    each of them in that order (their positions are found once a file range, null where the file lacks
+    the title); else the fields in file order, as many as titles. ``line_no`` is the row's byte
+    position: it orders the rows of a file.
     """
     if long_rows not in LONG_ROWS[:2]:
         raise ValueError("long_rows is 'raise' or 'drop' for registry files")
-    heads = file_heads(spark, path, sep, encoding, header_keys)
-    widest = heads.agg(F.max(F.size("header"))).first()[0] or 1
-    if wanted is not None:
-        places = F.array(*[F.array_position("header", w).cast("int") for w in wanted])
-        heads = heads.withColumn("places", places)
-    body = _lines(spark, path, encoding).where(F.length("line") > 0).join(heads, F.col("file_path") == F.col("file"))
-    body = body.where(~F.col("line").isin(F.col("first"), F.col("second")) & (F.regexp_replace("line", "^﻿", "") != F.col("first")))
-    long = separators(F.col("line"), sep) >= F.size("header")
-    if long_rows == "raise":
-        error = F.raise_error(F.concat(F.lit("row with more fields than its header in "), F.col("file"), F.lit(": "), F.col("line"))).cast("boolean")
-        body = body.where(F.when(long, error).otherwise(True))
-    else:
-        body = body.where(~long)
-    body = body.withColumn("fields_read", _fields(F.col("line"), sep, widest))
-    if wanted is not None:
-        values = F.transform("places", lambda i: F.when(i > 0, F.get("fields_read", i - 1)))
-    else:
-        values = F.slice("fields_read", F.lit(1), F.size("header"))
-    return body.select("file_name", F.element_at("pre", 1).alias("company"), F.element_at("pre", 2).alias("zone"),
-                       F.element_at("pre", -1).alias("vat"), "line_no", "header", values.alias("values"))
+    ship_package(spark)
+    source = _source(header_keys)
+    spark.dataSource.register(source)
+    options = {**scan_options(spark, path), "sep": sep, "encoding": encoding, "longrows": long_rows, "wanted": "\n".join(wanted or [])}
+    return spark.read.format(source.name()).options(**options).load()
 
 
 def scan_preamble_csv(spark: SparkSession, path, sep: str = ";", encoding: str = "UTF-8",
-                      header_keys=None, long_rows: str = "raise") -> DataFrame:
-    """Rows ``(file_name, company, zone, vat, line_no, fields map)``; ``header_keys`` may rewrite the
-    header array (a function Column → Column applied per file) before it becomes the map keys.
-    ``line_no`` orders the rows of a file (not a dense line number). A header-only file gives no rows."""
+                      header_keys: Callable[[list[str]], list[str]] | None = None, long_rows: str = "raise") -> DataFrame:
+    """Rows ``(file_name, company, zone, vat, line_no, fields map)``; ``header_keys`` may rewrite a file's
+    titles before they become the map keys. A header-only file gives no rows."""
     rows = scan_preamble_rows(spark, path, sep, encoding, header_keys, long_rows)
     return rows.select("file_name", "company", "zone", "vat", "line_no", F.map_from_arrays("header", "values").alias("fields"))
 

@@ -188,6 +188,46 @@ def test_registry_quotes_empty_cells_and_long_rows(spark, tmp_dir):
     assert JB.registry_import(spark, f"{tmp_dir}/reg", long_rows="drop").count() == 1
 
 
+def test_preamble_rows_equal_to_titles_are_kept(spark, tmp_dir):
+    """Rows are told from titles by their place: a body row may repeat the preamble, the titles or both; no join in the plan."""
+    write(f"{tmp_dir}/p/202401_a.csv", "\ufeffCo;Z;V\r\nA;B;C\r\nA;B;C\r\nCo;Z;V\r\n\r\n1;2;3")
+    write(f"{tmp_dir}/p/202402_b.csv", "A;B\nA;B\nA;B\n")
+    write(f"{tmp_dir}/p/_202402_c.csv", "no;file\nA;B\n1;2\n")
+    write(f"{tmp_dir}/p/202403_empty.csv", "")
+    write(f"{tmp_dir}/p/202403_short.csv", "one line")
+    df = P.scan_preamble_csv(spark, f"{tmp_dir}/p")
+    got = sorted((r.file_name, r.company, r.vat, r.line_no, r.fields) for r in df.collect())
+    assert [(f, c, v, sorted(m.items())) for f, c, v, _, m in got] == [
+        ("202401_a.csv", "Co", "V", [("A", "A"), ("B", "B"), ("C", "C")]), ("202401_a.csv", "Co", "V", [("A", "Co"), ("B", "Z"), ("C", "V")]),
+        ("202401_a.csv", "Co", "V", [("A", "1"), ("B", "2"), ("C", "3")]), ("202402_b.csv", "A", "B", [("A", "A"), ("B", "B")])]
+    assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_ranges_cover_every_line_once(tmp_dir):
+    """All ways to cut a file, with lines longer than a block, empty lines and a last line without an end."""
+    import random
+
+    from tessera.sources import ranges as R
+    r = random.Random(2)
+    for _ in range(30):
+        data = b"".join(b"x" * r.choice([0, 1, 3, 40]) + r.choice([b"\n", b"\r\n"]) for _ in range(r.randrange(12))) + b"y" * r.randrange(3)
+        want, at = [], 0
+        for line in data.split(b"\n"):
+            if at < len(data):
+                want.append((at, line.removesuffix(b"\r")))
+            at += len(line) + 1
+        size = r.randrange(1, 20)
+        got = [x for a in range(0, len(data), size) for x in R.range_lines(io.BytesIO(data), a, a + size, block=r.randrange(1, 9))]
+        assert got == want
+    files = [("a", 1000), ("b", 10), ("c", 0), ("d", 90)]
+    for target, cost, n in ((100, 5, 4), (10**6, 5, 1), (7, 0, 3)):
+        parts = R.packed_ranges(files, target, cost, n)
+        for path, size in files:
+            own = sorted((x.start, x.stop) for p in parts for x in p.ranges if x.path == path)
+            assert [b - a for a, b in own if b <= a] == [] and sum(b - a for a, b in own) == size
+            assert all(x[1] == y[0] for x, y in zip(own, own[1:], strict=False))
+
+
 def test_registry_titles_twice_name_the_file(spark, tmp_dir):
     write(f"{tmp_dir}/p/202401_a.csv", "Co;Z;V\nB;A;A\n2;1;3\n")
     with pytest.raises(Exception, match="202401_a.csv"):
