@@ -13,9 +13,10 @@ A slot of a pattern is a range of ranks among the documents of one length. Ranks
 a document had in its own task and the counts of the tasks before it, so a length that a third of
 all documents share is ranked by all tasks. The patterns are joined back to the documents by rank.
 
-Words between blanks are encoded once a task and looked up by their 64-bit hash (equal hashes are
-taken as equal words). The tokenizer must not let tokens cross blanks, as those that drop white
-space; ``test_packing`` holds the ids against whole-text encoding.
+Words are encoded once a task and looked up by their 64-bit hash (equal hashes are taken as equal
+words); a word ends at a blank and between an ASCII letter or digit and a sign. The tokenizer must
+ignore case and white space and let no token cross these places, as ``word_bpe_49k`` does;
+``test_packing`` holds the ids against whole-text encoding.
 
 Defined results: a null text counts as empty, and an empty text is the end id alone; repeated rows
 and rows without an id are packed each for itself; an empty table gives no rows; other columns are
@@ -43,9 +44,21 @@ from .text import BLANK_WORDS, Words, pieces, ragged_index
 TOKEN_SCHEMA = "part int, doc_id long, ids binary, tokens long, rest int, place long, whole long, whole_place long"
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 CACHED_WORDS = 1 << 19
+LINE = 200
+PIECE_BYTES = 2 << 20
 _RANKS = 44
 
 
+def _cuts(b: np.ndarray) -> np.ndarray:
+    """Bytes before which a token always starts: an ASCII sign other than the apostrophe after a letter or digit, and the other way round."""
+    low = b | 0x20
+    plain = (low >= 97) & (low <= 122) | (b >= 48) & (b <= 57)
+    sign = (b > 32) & (b < 127) & ~plain & (b != 39)
+    out = np.zeros(len(b), dtype=bool)
+    out[1:] = plain[1:] & sign[:-1] | sign[1:] & plain[:-1]
+    return out
+
+
 class Encoder:
     """Token ids of words, each distinct word encoded once (the memory of words starts anew when it is full)."""
 
@@ -53,29 +66,50 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[int, int] = {}
+        self.hashes, self.numbers = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
         self.first, self.ids = np.zeros(1, dtype=np.int64), np.zeros(0, dtype=np.uint32)
 
+    def words(self, raw: np.ndarray, offs: np.ndarray) -> Words:
+        """What is looked up: pieces of words in lower case; whole words as written where the text spells a special token."""
+        data = raw.tobytes()
+        if any(t in data for t in self.special):
+            return Words(raw, offs, BLANK_WORDS, False)
+        return Words(raw, offs, BLANK_WORDS, True, _cuts)
+
     def encode(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """(number of ids of each word, all ids in order)."""
-        if len(self.known) > CACHED_WORDS:
+        if len(self.hashes) > CACHED_WORDS:
             self._clear()
         hashes, where, back = np.unique(words.hash, return_index=True, return_inverse=True)
-        keys = hashes.tolist()
-        new = [i for i, h in enumerate(keys) if h not in self.known]
-        if new:
-            found = self.tokenizer.encode_batch([words.text(where[i]) for i in new], add_special_tokens=False)
-            for i in new:
-                self.known[keys[i]] = len(self.known)
-            sizes = np.array([len(e.ids) for e in found], dtype=np.int64)
+        at = np.searchsorted(self.hashes, hashes)
+        known = np.zeros(len(hashes), dtype=bool)
+        inside = at < len(self.hashes)
+        known[inside] = self.hashes[at[inside]] == hashes[inside]
+        new = np.flatnonzero(~known)
+        if len(new):
+            sizes, ids = self._encode([words.text(i) for i in where[new].tolist()])
+            numbers = len(self.first) - 1 + np.arange(len(new))
             self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(sizes)])
-            self.ids = np.concatenate([self.ids, np.array([x for e in found for x in e.ids], dtype=np.uint32)])
-        at = np.array([self.known[h] for h in keys], dtype=np.int64)[back] if keys else np.zeros(0, dtype=np.int64)
-        n = self.first[at + 1] - self.first[at]
-        return n, self.ids[ragged_index(self.first[at], n)]
+            self.ids = np.concatenate([self.ids, ids])
+            self.hashes, self.numbers = np.insert(self.hashes, at[new], hashes[new]), np.insert(self.numbers, at[new], numbers)
+        number = self.numbers[np.searchsorted(self.hashes, hashes)][back]
+        n = self.first[number + 1] - self.first[number]
+        return n, self.ids[ragged_index(self.first[number], n)]
+
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each word, all ids); words are encoded some at a time, with blanks between them."""
+        sizes, ids = [], []
+        lines = [words[i:i + LINE] for i in range(0, len(words), LINE)]
+        for line, found in zip(lines, self.tokenizer.encode_batch([" ".join(x) for x in lines], add_special_tokens=False), strict=True):
+            starts = np.cumsum([0] + [len(w) + 1 for w in line])
+            tokens = np.array([a for a, _ in found.offsets], dtype=np.int64)
+            sizes.append(np.bincount(np.searchsorted(starts, tokens, side="right") - 1, minlength=len(line)))
+            ids.append(np.array(found.ids, dtype=np.uint32))
+        return np.concatenate(sizes), np.concatenate(ids)
 
 
 def id_kind(tokenizer: str, end_id: int) -> str:
@@ -91,8 +125,8 @@ def tokenised(docs: DataFrame, tokenizer: str, size: int, end_id: int) -> DataFr
     def encode(batches):
         encoder, part = Encoder(tokenizer), TaskContext.get().partitionId()
         places, wholes = np.zeros(size, dtype=np.int64), 0
-        for batch, raw, offs in pieces(batches, "text"):
-            words = Words(raw, offs, BLANK_WORDS, False)
+        for batch, raw, offs in pieces(batches, "text", PIECE_BYTES):
+            words = encoder.words(raw, offs)
             n, ids = encoder.encode(words)
             upto = np.concatenate([[0], np.cumsum(n)])[words.first]
             rows = batch.num_rows

@@ -109,6 +109,24 @@ def test_table(spark):
     check_pieces(Q.QUERIES["op11_packing"](spark, SF).collect(), docs, 2048)
 
 
+def test_encoder_against_whole_texts():
+    """Random strings of letters, signs, apostrophes, marks and special tokens, whole and cut into words."""
+    from tessera.llm.packing import Encoder
+    from tessera.llm.text import column_bytes
+    r = random.Random(3)
+    pieces = [*"aAbBzZ019 \t\n.,;:!?'\"-_/#<|>", "'s", "'LL", "don't", "É", "é", "\u0301", "\u0338", "ß", "Σ", "ς", "\u200d", "\U0001f600", "１", "\u00a0", "\u0085", "\x1c", "İ", "ﬁ"]
+    for special in (False, True):
+        texts = ["".join(r.choice(pieces + ["<|endoftext|>", "<|ENDOFTEXT|>"] * special) for _ in range(r.randrange(60))) for _ in range(800)]
+        encoder = Encoder(PATH)
+        import pyarrow as pa
+        for part in (texts[:300], texts[300:]):
+            raw, offs = column_bytes(pa.array(part, type=pa.string()))
+            words = encoder.words(raw, offs)
+            n, ids = encoder.encode(words)
+            ends = np.concatenate([[0], np.cumsum(n)])[words.first]
+            assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:], strict=False)] == [x[:-1] for x in whole_ids(part)]
+
+
 def test_wide_ids(spark):
     """A vocabulary of more than 65,536 ids is stored wide: the end id alone can ask for it."""
     rows = pack(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), PATH, size=8, end_id=70_000).collect()
