@@ -247,3 +247,60 @@ def test_archives_keep_equal_names(spark, tmp_dir):
     assert sorted(r.line for r in lines) == ["1", "11", "12", "2"]
     plan = A.archive_lines(spark, f"{tmp_dir}/zips")._jdf.queryExecution().executedPlan().toString()
     assert "content" not in plan
+
+
+def test_one_archive_read_by_many_tasks(spark, tmp_dir):
+    """200 members of one archive, some in a stored and some in a compressed nested archive, two levels deep."""
+    want, files = {}, {}
+    for i in range(200):
+        files[f"d{i % 7}/m{i}.csv"] = f"A;B\n{i};é{i}\n" * (1 + i % 5)
+
+    def packed(names, how):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", how) as z:
+            for n in names:
+                z.writestr(n, files[n].encode("latin-1"))
+        return out
+    names = sorted(files)
+    deep = io.BytesIO()
+    with zipfile.ZipFile(deep, "w") as z:
+        z.writestr(zipfile.ZipInfo("empty/"), b"")
+        z.writestr("deepest.zip", packed(names[:30], zipfile.ZIP_DEFLATED).getvalue(), zipfile.ZIP_STORED)
+        z.writestr("after.csv", "x", zipfile.ZIP_DEFLATED)
+    os.makedirs(f"{tmp_dir}/zips")
+    with zipfile.ZipFile(f"{tmp_dir}/zips/all.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        for n in names[60:130]:
+            z.writestr(n, files[n].encode("latin-1"))
+        z.writestr("deep.zip", deep.getvalue(), zipfile.ZIP_STORED)
+        z.writestr("squeezed.ZIP", packed(names[30:60], zipfile.ZIP_STORED).getvalue(), zipfile.ZIP_DEFLATED)
+        for n in names[130:]:
+            z.writestr(n, files[n].encode("latin-1"))
+    want = {f"deep.zip!/deepest.zip!/{n}": files[n] for n in names[:30]} | {f"squeezed.ZIP!/{n}": files[n] for n in names[30:60]} | {n: files[n] for n in names[60:]}
+    want["deep.zip!/after.csv"] = "x"
+    key = "spark.sql.files.maxPartitionBytes"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "64m")
+    try:
+        ranges = A.member_ranges(spark, f"{tmp_dir}/zips")
+        tasks = ranges.select(F.spark_partition_id().alias("p"), F.col("last") - F.col("first")).collect()
+        got = A.expand_archives(spark, f"{tmp_dir}/zips").collect()
+        lines = A.archive_lines(spark, f"{tmp_dir}/zips").groupBy("member").agg(F.count("*").alias("n")).collect()
+    finally:
+        spark.conf.set(key, old)
+    assert len(tasks) > 10 and len({r.p for r in tasks}) > 5 and max(r[1] for r in tasks) <= 16
+    assert {r.member: bytes(r.content).decode("latin-1") for r in got} == want and len(got) == len(want)
+    assert {r.member: r.n for r in lines} == {m: len(t.splitlines()) for m, t in want.items()}
+    again = A.extract_archives(spark, f"{tmp_dir}/zips", f"{tmp_dir}/out").collect()
+    assert {r.member: open(r.path, encoding="latin-1", newline="").read() for r in again} == want
+
+
+def test_damaged_archive_names_no_rows_silently(spark, tmp_dir):
+    os.makedirs(f"{tmp_dir}/zips")
+    with open(f"{tmp_dir}/zips/bad.zip", "wb") as fh:
+        fh.write(b"no archive at all")
+    with pytest.raises(Exception, match="zip"):
+        A.expand_archives(spark, f"{tmp_dir}/zips").collect()
+    os.remove(f"{tmp_dir}/zips/bad.zip")
+    with zipfile.ZipFile(f"{tmp_dir}/zips/none.zip", "w"):
+        pass
+    assert A.expand_archives(spark, f"{tmp_dir}/zips").count() == 0
