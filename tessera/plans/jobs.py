@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,12 +19,14 @@ from ..functions.dates import filename_period_fixed, filename_period_next, parse
 from ..functions.numbers import comma_decimal, round_3
 from ..functions.text import pad_left, truncate_id
 from ..operators.reshape import SUPPLY_POINT_RULES, apply_by_name_pattern, pad_id_columns, unpivot_zones
+from ..session import arrow_fs, ship_package
 from ..sinks import tables as SK
 from ..sources import archives as A
 from ..sources import csv as CSV
 from ..sources import listing as LS
 from ..sources import preamble as P
 from ..sources import xml as XML
+from ..sources.ranges import range_lines
 from . import fixtures as X
 from . import oracle as O
 from . import staging as S
@@ -242,15 +245,19 @@ def supply_point_import(spark: SparkSession, archive_folder: str, extract_to: st
                         long_rows: str = "drop") -> DataFrame:
     """Nested zips → extracted register files → 73-column table.
 
-    One action extracts every member to shared storage (in the tasks) and finds the batch's period:
-    that of the last ``REP_ELE`` name ((0, 0) without one). The register files are then read in
-    parallel, each by its own header; rows with too many fields are dropped (or raise), short rows are
-    null-padded.
+    One action extracts every member to shared storage (in the tasks) and finds the distinct header
+    lines and the batch's period: that of the last ``REP_ELE`` name ((0, 0) without one). The register
+    files are then read in one scan, each by its own header; rows with too many fields are dropped (or
+    raise), short rows are null-padded.
     """
-    members = A.extract_archives(spark, archive_folder, extract_to).select(F.element_at(F.split("member", "/"), -1).alias("name"))
-    y, m = filename_period_fixed(F.max(F.when(F.col("name").contains(LS.SUPPLY_POINT_MARK), F.col("name"))))
-    batch = members.agg(F.coalesce(y, F.lit(0)).alias("Anno"), F.coalesce(m, F.lit(0)).alias("Mese")).first()
-    raw = CSV.scan_csv_text(spark, extract_to, sep=";", encoding=CSV.LATIN1, long_rows=long_rows)
+    name = F.element_at(F.split("member", "/"), -1)
+    members = A.extract_archives(spark, archive_folder, extract_to).where("size > 0")
+    members = members.groupBy(F.decode("head", CSV.LATIN1).alias("head")).agg(F.count("*").alias("files"), F.max(F.when(name.contains(LS.SUPPLY_POINT_MARK), name)).alias("name"))
+    heads = members.orderBy(F.desc("files"), "head").select("head", "name").collect()  # one row a distinct header
+    last = spark.createDataFrame([(max((r.name for r in heads if r.name), default=None),)], "name string")
+    y, m = filename_period_fixed(F.col("name"))
+    batch = last.select(F.coalesce(y, F.lit(0)).alias("Anno"), F.coalesce(m, F.lit(0)).alias("Mese")).first()
+    raw = CSV.scan_csv_text(spark, extract_to, sep=";", encoding=CSV.LATIN1, long_rows=long_rows, headers=[r.head for r in heads])
     raw = raw.withColumns({"COD_POD": truncate_id("COD_POD", POD_LEN), "Anno": F.lit(batch.Anno).cast("int"),
                            "Mese": F.lit(batch.Mese).cast("int"), "DateUp": F.lit(load_ts).cast("timestamp_ntz")})
     return supply_point_cast(raw.select(*SUPPLY_POINT_COLUMNS))
@@ -391,23 +398,47 @@ def offer_libraries(spark: SparkSession, folder: str, gas_target: str, electrici
                     as_table: bool = False) -> dict[str, int]:
     """Route every file of a folder by its name and replace the gas and the electricity table; files a table got.
 
-    Sheets arrive as delimited files (or Parquet, by their suffix). Several files of one kind are appended by name; a kind without a file
-    leaves its table as it is.
+    Sheets arrive as delimited files (or Parquet, by their suffix). Files of one kind and layout are one scan, and the layouts are appended
+    by name; a kind without a file leaves its table as it is.
     """
-    # a sheet is a delimited file, or a folder ending in .parquet; one row each
-    sheet = F.coalesce(F.nullif(F.regexp_extract("path", r"^(.*?\.parquet)(/|$)", 1), F.lit("")), F.col("path"))
-    files = LS.list_folder(spark, folder).select(sheet.alias("path")).distinct().withColumn("name", F.element_at(F.split("path", "/"), -1))
-    files = files.select("path", "name", LS.route(F.col("name")).alias("kind")).collect()
+    sheets = sheet_heads(spark, folder).groupBy("kind", "parquet", "head").agg(F.collect_list("path").alias("paths")).collect()  # one row a layout
     out = {}
     for kind, target in (("gas_library", gas_target), ("electricity_library", electricity_target)):
-        own = sorted((f.path, f.name) for f in files if f.kind == kind)
-        sheets = [offer_library(spark.read.parquet(p) if p.endswith(".parquet") else CSV.scan_csv_text(spark, p, sep=sep, encoding="UTF-8"), n) for p, n in own]
-        if sheets:
-            SK.sink_overwrite(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), sheets), target, as_table=as_table)
-        out[kind] = len(sheets)
+        own = sorted((r for r in sheets if r.kind == kind), key=lambda r: min(r.paths))
+        read = [offer_library(spark.read.parquet(*sorted(r.paths)) if r.parquet else CSV.scan_csv_text(spark, sorted(r.paths), sep=sep, encoding="UTF-8", headers=[r.head]), kind) for r in own]
+        if read:
+            SK.sink_overwrite(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), read), target, as_table=as_table)
+        out[kind] = sum(len(r.paths) for r in own)
     return out
 
 
+def sheet_heads(spark: SparkSession, folder: str) -> DataFrame:
+    """``(path, kind, parquet, head)`` of every sheet of a folder: its job by its name and its titles as one
+    text (the first line, or the columns and types of a Parquet file), read by the tasks."""
+    ship_package(spark)
+    # a sheet is a delimited file, or a folder ending in .parquet; one row each
+    sheet = F.coalesce(F.nullif(F.regexp_extract("path", r"^(.*?\.parquet)(/|$)", 1), F.lit("")), F.col("path"))
+    files = LS.list_folder(spark, folder).select(sheet.alias("sheet"), "path").groupBy("sheet").agg(F.min("path").alias("file"))
+    files = files.select("sheet", "file", LS.route(F.element_at(F.split("sheet", "/"), -1)).alias("kind"))
+
+    def heads(batches):
+        import pyarrow.parquet as pq
+        for pdf in batches:
+            out = []
+            for sheet, file, kind in pdf.itertuples(index=False):
+                fs, local = arrow_fs(file)
+                parquet = sheet.endswith(".parquet")
+                with fs.open_input_file(local) as f:
+                    if parquet:
+                        head = "\n".join(f"{x.name} {x.type}" for x in pq.read_schema(f))
+                    else:
+                        head = next((line.decode() for _, line in range_lines(f, 0, 1 << 62)), "")
+                out.append((sheet, kind, parquet, head))
+            yield pd.DataFrame(out, columns=["path", "kind", "parquet", "head"])
+
+    return files.mapInPandas(heads, "path string, kind string, parquet boolean, head string")
+
+
 def gas_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = X.read_table(spark, sf_dir, "orders")
     cols = [F.col("o_orderkey"), F.col("o_custkey"), F.col("o_orderstatus"), F.col("o_orderpriority"),

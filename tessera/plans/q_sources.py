@@ -83,6 +83,50 @@ def scan_csv_bad_rows(spark, sf):
     return CSV.scan_csv_bad_rows(spark, dest)
 
 
+@register("scan_csv_line_breaks", """SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderstatus || chr(10) || '"' || o_orderpriority || '";' AS note,
+       CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderpriority END AS o_orderpriority FROM orders""")
+def scan_csv_line_breaks(spark, sf):
+    """Fields with line breaks, quotes and separators, in files cut into ranges of 64 KB."""
+    o = _t(spark, sf, "orders")
+    note = F.concat("o_orderstatus", F.lit("\n\""), "o_orderpriority", F.lit('";'))
+    text = o.select(F.col("o_orderkey").cast("string").alias("o_orderkey"), note.alias("note"),
+                    F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderpriority")).alias("o_orderpriority"))
+    dest = S.stage_csv(text, S.fresh(spark, "orders-notes"))
+    return CSV.scan_csv_text(spark, dest, range_bytes=64 << 10)
+
+
+@register("scan_csv_many_headers", """SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, c_mktsegment, CAST(c_nationkey AS VARCHAR) AS c_nationkey,
+       CASE WHEN c_nationkey % 2 = 0 THEN 'n' || CAST(c_custkey AS VARCHAR) END AS even FROM customer""")
+def scan_csv_many_headers(spark, sf):
+    """One file a nation and partition, each nation with its columns in another order and every other one with a column more; one scan."""
+    from itertools import permutations
+
+    c = _t(spark, sf, "customer")
+    names = ["c_custkey", "c_name", "c_mktsegment", "c_nationkey"]
+    orders = [list(p) for p in permutations(names)]
+    key = F.col("c_nationkey") % 24
+    even = F.col("c_nationkey") % 2 == 0
+    more = F.concat(F.lit(";n"), F.col("c_custkey").cast("string"))
+    pick = lambda build: F.element_at(F.array(*[build(o) for o in orders]), (key + 1).cast("int"))
+    head = F.concat(pick(lambda o: F.lit(";".join(o))), F.when(even, ";even").otherwise(""))
+    line = F.concat(pick(lambda o: F.concat_ws(";", *[F.col(n).cast("string") for n in o])), F.when(even, more).otherwise(""))
+    dest = S.fresh(spark, "customer-orders")
+    S.write_text_files(c.select(F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("k"), head.alias("h"), line.alias("t")), dest, "k", "h", "t", encoding="ISO-8859-1")
+    return CSV.scan_csv_text(spark, dest)
+
+
+@register("split_long_rows", """SELECT CASE WHEN l_linenumber = 7 THEN 'long' ELSE 'good' END AS rows, count(*) AS n, count(*) AS observed,
+       count(CASE WHEN l_linenumber <> 7 THEN 1 END) AS keys, count(CASE WHEN l_linenumber NOT IN (1, 7) THEN 1 END) AS statuses FROM lineitem GROUP BY 1""")
+def split_long_rows(spark, sf):
+    """Good and long rows apart, written in one pass: rows in each output, and the counts observed by the write."""
+    dest, out = S.fresh(spark, "ragged"), S.fresh(spark, "split")
+    S.write_text_files(ragged_lines(spark, sf), dest, "k", "h", "t", encoding="ISO-8859-1")
+    seen = CSV.split_long_rows(spark, dest, out)
+    observed = F.when(F.col("rows") == "good", F.lit(seen["good"])).otherwise(F.lit(seen["long"])).cast("long")
+    written = spark.read.parquet(out).groupBy("rows").agg(F.count(F.lit(1)).alias("n"), F.count("l_orderkey").alias("keys"), F.count("l_linestatus").alias("statuses"))
+    return written.select(F.col("rows").cast("string").alias("rows"), "n", observed.alias("observed"), "keys", "statuses")
+
+
 @register("null_tokens", """SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, p_name,
        CASE WHEN p_size IN (1, 2, 3, 4) THEN NULL ELSE p_brand END AS p_brand, p_type FROM part""")
 def null_tokens(spark, sf):

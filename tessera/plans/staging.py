@@ -59,5 +59,5 @@ def fresh(spark: SparkSession, name: str) -> str:
 
 def stage_csv(df: DataFrame, dest: str, sep: str = ";", encoding: str = "ISO-8859-1", header: bool = True) -> str:
     (df.write.mode("overwrite").option("sep", sep).option("header", str(header).lower())
-     .option("encoding", encoding).option("emptyValue", "").csv(dest))
+     .option("encoding", encoding).option("emptyValue", "").option("escape", '"').csv(dest))
     return dest

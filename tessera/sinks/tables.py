@@ -72,9 +72,9 @@ def sink_chunked(df: DataFrame, target: str, chunk_rows: int = LOAD_CHUNK_ROWS,
 
 def sink_csv(df: DataFrame, target: str, sep: str = ";", header: bool = True, encoding: str = "UTF-8",
              mode: str = "overwrite") -> None:
-    """Delimited text: separator, header on/off (prices are written without header), encoding."""
+    """Delimited text: separator, header on/off (prices are written without header), encoding. Quotes inside a value are doubled."""
     (df.write.mode(mode).option("sep", sep).option("header", str(header).lower()).option("encoding", encoding)
-     .option("emptyValue", "").csv(target))
+     .option("emptyValue", "").option("escape", '"').csv(target))
 
 
 def load_with_metrics(spark: SparkSession, df: DataFrame, target: str, mode: str = "append",

@@ -1,20 +1,19 @@
 """Delimited-file scans: all-string reads, declared types, the long-row policy and null tokens.
 
-Files are read by Spark's CSV source (splittable, parallel); no inference unless asked for
-(``sink_schema_mode``). Every file is read by its own header: one pass over the first lines finds
-the distinct headers, each group of files is one scan, and the scans are joined by column name. A row with more
-fields than its header (separators outside quotes are counted) is never cut: ``long_rows`` says
-whether it raises, is dropped, or is kept apart (``scan_long_rows``). A shorter row has nulls at its end.
+Files are read by the ranged source of ``delimited``, in one scan: every file by its own header,
+columns joined by name, fields with line breaks whole. No inference unless asked for
+(``sink_schema_mode``). A row with more fields than its header is never cut: ``long_rows`` says
+whether it raises, is dropped, or is kept apart (``scan_long_rows``, ``split_long_rows``). A shorter
+row has nulls at its end.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .delimited import FILE, LONG, scan_ranges, split_header
 from .listing import first_lines
 
 LATIN1 = "ISO-8859-1"
@@ -24,31 +23,26 @@ DEFAULT_NULL_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-N
                        "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 
 LONG_ROWS = ("raise", "drop", "quarantine")
-_RAW = "__raw_row"
+_RAW = LONG
 _NO_NULL = "\u0001"  # so that empty fields stay empty strings until null_tokens runs
 
 
-def _reader(spark: SparkSession, sep: str, encoding: str, header: bool = True):
-    return (spark.read.option("sep", sep).option("header", str(header).lower()).option("encoding", encoding)
-            .option("nullValue", _NO_NULL).option("mode", "PERMISSIVE"))
-
+def header_titles(lines: list[str], sep: str) -> list[str]:
+    """All titles of some header lines, in the order they first stand in."""
+    titles: dict[str, None] = {}
+    for line in lines:
+        own = split_header(line, sep)
+        twice = sorted({t for t in own if own.count(t) > 1})
+        if twice:
+            raise ValueError(f"titles that stand twice in a header: {twice}")
+        titles |= dict.fromkeys(own)
+    return list(titles)
 
-def split_header(line: str, sep: str) -> list[str]:
-    """Titles of a header line (quotes respected)."""
-    import csv
-    return next(csv.reader([line.lstrip("\ufeff")], delimiter=sep), [])
 
-
-def headers_of(spark: SparkSession, path, sep: str = ";", encoding: str = LATIN1) -> list[tuple[list[str], list[str] | None]]:
-    """``(titles, paths)`` of each distinct header, the most frequent first. With a single header, the
-    usual case, paths is None and no file name passes the driver."""
-    heads = first_lines(spark, path, 1, encoding).where(F.size("lines") > 0).select("path", F.col("lines")[0].alias("line"))
-    distinct = heads.groupBy("line").count().orderBy(F.desc("count"), "line").collect()
-    if len(distinct) <= 1:
-        return [(split_header(r["line"], sep), None) for r in distinct]
-    heads = heads.groupBy("line").agg(F.collect_list("path").alias("paths")).collect()
-    by_line = {r["line"]: sorted(r["paths"]) for r in heads}
-    return [(split_header(r["line"], sep), by_line[r["line"]]) for r in distinct]
+def headers_of(spark: SparkSession, path, encoding: str = LATIN1) -> list[str]:
+    """The distinct header lines of the files, the most frequent first (file names stay in the tasks)."""
+    heads = first_lines(spark, path, 1, encoding).where(F.size("lines") > 0).select(F.col("lines")[0].alias("line"))
+    return [r["line"] for r in heads.groupBy("line").count().orderBy(F.desc("count"), "line").collect()]
 
 
 def separators(line, sep: str):
@@ -66,19 +60,6 @@ def is_long(titles: list[str], sep: str):
     return F.col(_RAW).isNotNull() & (separators(F.col(_RAW), sep) >= len(titles)) & read
 
 
-def with_raw(titles: list[str]) -> T.StructType:
-    twice = sorted({t for t in titles if titles.count(t) > 1})
-    if twice:
-        raise ValueError(f"titles that stand twice in a header: {twice}")
-    return T.StructType([T.StructField(t, T.StringType()) for t in [*titles, _RAW]])
-
-
-def _raw_scan(spark: SparkSession, titles: list[str], paths, sep: str, encoding: str) -> DataFrame:
-    # the raw row is kept for rows whose field count differs; without pruning the parser sees every field
-    return (_reader(spark, sep, encoding).option("recursiveFileLookup", "true").option("columnNameOfCorruptRecord", _RAW).option("columnPruning", "false")
-            .option("enforceSchema", "true").schema(with_raw(titles)).csv(paths))
-
-
 def apply_long_rows(df: DataFrame, titles: list[str], sep: str, long_rows: str) -> DataFrame:
     """Rows of a scan with ``__raw_row`` under the policy; the column is gone afterwards."""
     if long_rows not in LONG_ROWS:
@@ -98,24 +79,44 @@ def null_tokens(df: DataFrame, tokens: list[str] | None = None, columns: list[st
                            .otherwise(F.col(f"`{c}`")) for c in cols})
 
 
-def scan_csv_text(spark: SparkSession, path, sep: str = ";", encoding: str = LATIN1,
-                  tokens: list[str] | None = None, long_rows: str = "raise") -> DataFrame:
+def scan_csv_text(spark: SparkSession, path, sep: str = ";", encoding: str = LATIN1, tokens: list[str] | None = None,
+                  long_rows: str = "raise", headers: list[str] | None = None, range_bytes: int | None = None) -> DataFrame:
     """Header row, every column a string, separator chosen by the caller, null tokens applied.
 
     Columns come in the order of the most frequent header; a column a file lacks is null there.
+    ``headers`` are the files' header lines where the caller knows them; ``range_bytes`` is the
+    length at which files are cut (the session's ``spark.sql.files.maxPartitionBytes``).
     """
-    parts = [apply_long_rows(_raw_scan(spark, titles, paths or path, sep, encoding), titles, sep, long_rows)
-             for titles, paths in headers_of(spark, path, sep, encoding)]
-    if not parts:
-        return _reader(spark, sep, encoding).csv(path)
-    return null_tokens(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts), tokens)
+    if long_rows not in LONG_ROWS:
+        raise ValueError(f"long_rows is one of {LONG_ROWS}")
+    titles = header_titles(headers_of(spark, path, encoding) if headers is None else headers, sep)
+    if not titles:
+        return spark.createDataFrame([], T.StructType([]))
+    tokens = DEFAULT_NULL_TOKENS if tokens is None else tokens
+    return scan_ranges(spark, path, titles, sep, encoding, tokens, "raise" if long_rows == "raise" else "drop", range_bytes=range_bytes)
 
 
 def scan_long_rows(spark: SparkSession, path, sep: str = ";", encoding: str = LATIN1) -> DataFrame:
     """``(file_name, row)``: the raw rows that have more fields than their file's header (to count or to keep apart)."""
-    parts = [_raw_scan(spark, titles, paths or path, sep, encoding).where(is_long(titles, sep))
-             .select(F.col("_metadata.file_name").alias("file_name"), F.col(_RAW).alias("row")) for titles, paths in headers_of(spark, path, sep, encoding)]
-    return reduce(lambda a, b: a.unionByName(b), parts) if parts else spark.createDataFrame([], "file_name string, row string")
+    titles = header_titles(headers_of(spark, path, encoding), sep)
+    rows = scan_ranges(spark, path, titles, sep, encoding, [], "mark")
+    return rows.where(F.col(LONG).isNotNull()).select(F.col(FILE).alias("file_name"), F.col(LONG).alias("row"))
+
+
+def split_long_rows(spark: SparkSession, path, target: str, sep: str = ";", encoding: str = LATIN1,
+                    tokens: list[str] | None = None) -> dict[str, int]:
+    """Good and long rows written apart in one pass over the files; how many there were of each.
+
+    ``target/rows=good`` has the scan's columns; ``target/rows=long`` the file name and the text of each
+    row that has too many fields (``__file_name``, ``__raw_row``). The counts are observed by the write itself.
+    """
+    titles = header_titles(headers_of(spark, path, encoding), sep)
+    rows = scan_ranges(spark, path, titles, sep, encoding, DEFAULT_NULL_TOKENS if tokens is None else tokens, "mark")
+    seen = Observation()
+    long = F.col(LONG).isNotNull()
+    rows = rows.observe(seen, F.count_if(~long).alias("good"), F.count_if(long).alias("long"))
+    rows.withColumn("rows", F.when(long, "long").otherwise("good")).write.mode("overwrite").partitionBy("rows").parquet(target)
+    return {k: int(v) for k, v in seen.get.items()}
 
 
 def scan_csv_bad_rows(spark: SparkSession, path, sep: str = ";", encoding: str = LATIN1,

@@ -22,6 +22,7 @@ class FileRange:
     path: str
     start: int
     stop: int
+    inside: bool = False  # whether the first line that starts here begins inside quotes
 
 
 @dataclass(frozen=True)
@@ -100,3 +101,27 @@ def range_lines(f, start: int, stop: int, block: int = BLOCK) -> Iterator[tuple[
         base, tail = base + at, data[at:]
     if tail and not skipping and base < stop:
         yield base, tail.removesuffix(b"\r")
+
+
+def line_blocks(f, start: int, stop: int, block: int = BLOCK) -> Iterator[bytes]:
+    """The bytes of the lines of an open file that start in the range, some whole lines at a time."""
+    first = next(range_lines(f, start, stop, block), None)
+    if first is None:
+        return
+    base = first[0]
+    f.seek(base)
+    data = b""
+    while more := f.read(block):
+        data += more
+        last = stop - 1 - base  # the line that holds this place is the last one
+        end = data.find(b"\n", last) + 1 if last < len(data) else 0
+        if end:
+            yield data[:end]
+            return
+        if last >= len(data):
+            end = data.rfind(b"\n") + 1
+            if end:
+                yield data[:end]
+                base, data = base + end, data[end:]
+    if data:
+        yield data

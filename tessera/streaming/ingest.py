@@ -25,7 +25,7 @@ def csv_stream(spark: SparkSession, folder: str, schema: T.StructType, sep: str
     titles in their order raises; ``long_rows`` is the policy of the batch scans for rows with too many fields."""
     r = (spark.readStream.schema(T.StructType([*schema.fields, T.StructField(_RAW, T.StringType())])).option("sep", sep).option("header", "true").option("encoding", encoding)
          .option("nullValue", "\u0001").option("columnNameOfCorruptRecord", _RAW).option("columnPruning", "false")
-         .option("enforceSchema", "false"))
+         .option("escape", '"').option("enforceSchema", "false"))
     if pattern:
         r = r.option("pathGlobFilter", pattern)
     if max_files_per_trigger:

@@ -304,3 +304,107 @@ def test_damaged_archive_names_no_rows_silently(spark, tmp_dir):
     with zipfile.ZipFile(f"{tmp_dir}/zips/none.zip", "w"):
         pass
     assert A.expand_archives(spark, f"{tmp_dir}/zips").count() == 0
+
+
+def fields(r, rows, n):
+    """Random delimited text with quoted separators, quotes and line breaks."""
+    def one():
+        k = r.random()
+        if k < 0.3:
+            return '"' + "".join(r.choice(["a", '""', "\n", ";", "\r\n", "é"]) for _ in range(r.randrange(6))) + '"'
+        return r.choice(['a"b', 'x""y', "NA", "", " "]) if k < 0.5 else "".join(r.choice("abcé") for _ in range(1 + r.randrange(5)))
+    return "\n".join(";".join(one() for _ in range(n)) for _ in range(rows))
+
+
+def test_records_of_ranges(tmp_dir):
+    """Quoted line breaks at every place of a range: records of all ranges are those of the whole file, each once."""
+    import csv
+    import random
+
+    from tessera.sources import delimited as D
+    from tessera.sources.ranges import line_blocks
+    r = random.Random(6)
+    parse = lambda b: list(csv.reader(io.StringIO(b.decode(), newline=""), delimiter=";"))
+    for _ in range(400):
+        data = (fields(r, r.randrange(1, 8), r.randrange(1, 4)) + r.choice(["", "\n"])).encode()
+        size, block, inside, got = r.randrange(1, 30), r.randrange(1, 20), False, []
+        for at in range(0, len(data), size):
+            for part in D.record_blocks(io.BytesIO(data), at, at + size, inside, b";", block):
+                got += parse(part)
+            state = [False, True]
+            for part in line_blocks(io.BytesIO(data), at, at + size, block):
+                state = [D.quoted_spans(part, s, b";")[1] for s in state]
+            inside = state[inside]
+        assert got == parse(data)
+
+
+def test_inside_ranges_compose(spark):
+    """The window over two-valued functions gives the state that going through the ranges gives."""
+    import random
+
+    from tessera.sources import delimited as D
+    r = random.Random(7)
+    rows = [(f"f{p}", k * 10, r.randrange(2), r.randrange(2)) for p in range(12) for k in range(r.randrange(1, 25))]
+    want = set()
+    for p in {x[0] for x in rows}:
+        state = 0
+        for path, start, outside, inside in sorted(x for x in rows if x[0] == p):
+            if state:
+                want.add((path, start))
+            state = inside if state else outside
+    assert {tuple(x) for x in D.inside_ranges(spark.createDataFrame(rows, D.STATES_SCHEMA)).collect()} == want
+
+
+@pytest.mark.parametrize("encoding", ["utf-8", "latin-1"])
+def test_line_breaks_in_fields_of_a_cut_file(spark, tmp_dir, encoding):
+    import csv
+    import random
+    r = random.Random(8)
+    rows = [f"{i};" + fields(r, 1, 2) for i in range(1500)]
+    write(f"{tmp_dir}/in/a.csv", "i;x;y\n" + "\n".join(rows) + "\n", encoding)
+    write(f"{tmp_dir}/in/b.csv", "y;i\n\"two\nlines\";b\n", encoding)
+    want = [x + [None] * (3 - len(x)) for x in csv.reader(io.StringIO("\n".join(rows) + "\n", newline=""), delimiter=";")]
+    df = CSV.scan_csv_text(spark, f"{tmp_dir}/in", encoding=encoding, tokens=[], range_bytes=2000)
+    assert df.rdd.getNumPartitions() > 5 and df.columns == ["i", "x", "y"]
+    got = {x.i: (x.x, x.y) for x in df.collect()}
+    assert got == {x[0]: (x[1], x[2]) for x in want} | {"b": (None, "two\nlines")}
+
+
+def test_quote_never_closed_raises(spark, tmp_dir):
+    write(f"{tmp_dir}/in/a.csv", 'a;b\n1;2\n3;"4\n5;6\n')
+    with pytest.raises(Exception, match="never closed"):
+        CSV.scan_csv_text(spark, f"{tmp_dir}/in").collect()
+
+
+def test_many_headers_one_scan(spark, tmp_dir):
+    """200 files of 200 column orders: one scan in the plan, rows by name."""
+    import random
+    r = random.Random(9)
+    names = [f"c{i}" for i in range(12)]
+    for k in range(200):
+        own = r.sample(names, r.randrange(8, 13))
+        write(f"{tmp_dir}/in/f{k:03d}.csv", ";".join(["k", *own]) + "\n" + ";".join([str(k), *[f"{k}-{c}" for c in own]]) + "\n", "latin-1")
+    df = CSV.scan_csv_text(spark, f"{tmp_dir}/in")
+    assert sorted(df.columns) == sorted(["k", *names])
+    assert df._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 1
+    rows = df.collect()
+    assert len(rows) == 200 and all(x[c] in (None, f"{x.k}-{c}") for x in rows for c in names)
+    assert sum(x[c] is not None for x in rows for c in names) > 200 * 8
+
+
+def test_split_long_rows_in_one_pass(spark, tmp_dir):
+    write(f"{tmp_dir}/in/a.csv", 'a;b\n1;2\n3;4;5\n4;NA;\n"x;\ny";"q""z"\n9\n', "latin-1")
+    write(f"{tmp_dir}/in/b.csv", "b\n7\n8;9\n", "latin-1")
+    assert CSV.split_long_rows(spark, f"{tmp_dir}/in", f"{tmp_dir}/out") == {"good": 4, "long": 3}
+    good = spark.read.parquet(f"{tmp_dir}/out/rows=good").select("a", "b").collect()
+    assert sorted(map(tuple, good), key=str) == sorted([("1", "2"), ("x;\ny", 'q"z'), ("9", None), (None, "7")], key=str)
+    long = spark.read.parquet(f"{tmp_dir}/out/rows=long").select(CSV.FILE, CSV.LONG).collect()
+    assert sorted(map(tuple, long)) == [("a.csv", "3;4;5"), ("a.csv", "4;NA;"), ("b.csv", "8;9")]
+
+
+def test_csv_sink_round_trip(spark, tmp_dir):
+    from tessera.sinks import tables as SK
+    rows = [("1", 'say "hi"'), ("2", "two\nlines"), ("3", "a;b"), ("4", "back\\slash"), ("5", '"')]
+    SK.sink_csv(spark.createDataFrame(rows, "k string, v string"), f"{tmp_dir}/out")
+    got = CSV.scan_csv_text(spark, f"{tmp_dir}/out", encoding="UTF-8", tokens=[]).collect()
+    assert sorted(map(tuple, got)) == rows
