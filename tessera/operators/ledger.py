@@ -67,6 +67,36 @@ def ledger_summary(entry_amts: DataFrame, documents: bool = True, open_documents
     return summary
 
 
+SUMMARY_KEYS = ["CustomerNo", "CustomerAccountNo", "DocumentNo"]
+SUMMARY_SCHEMA = ("CustomerNo string, CustomerAccountNo string, DocumentNo string, "
+                  "detail_sum decimal(38,2), detail_sum_open decimal(38,2)")
+
+
+def combine_summaries(rows: DataFrame) -> DataFrame:
+    """Rows of several summaries as one: sums of sums, null only where all are null."""
+    cents = lambda c: F.sum(c).cast("decimal(38,2)").alias(c)
+    return rows.groupBy(*SUMMARY_KEYS).agg(cents("detail_sum"), cents("detail_sum_open"))
+
+
+def summary_table(spark, path: str, buckets: int = 64):
+    """The ledger summary as a table that is kept up to date by ``update_summary``."""
+    from ..sinks.keyed import KeyedTable
+    return KeyedTable(spark, path, SUMMARY_SCHEMA, SUMMARY_KEYS, combine_summaries, buckets)
+
+
+def update_summary(table, batch: int, entries: DataFrame, new_entries: DataFrame, new_details: DataFrame) -> int:
+    """Bring a ``summary_table`` up to date with what came in since the batch before; buckets rewritten.
+
+    ``new_details`` may belong to old entries or to new ones; ``entries`` are all old ones (read for
+    the new details' keys only, never their old details), and new entries without details count too.
+    A batch that is run again changes nothing: it starts from the state before it.
+    """
+    old = entries.join(new_details.select(F.col("CustLedgerEntryNo").alias("EntryNo")).distinct(), "EntryNo", "left_semi")
+    columns = ["EntryNo", *SUMMARY_KEYS]
+    touched = old.select(*columns).unionByName(new_entries.select(*columns))
+    return table.merge(batch, combine_summaries(entry_amounts(touched, new_details)))
+
+
 def balance_by_customer(entry_amts: DataFrame, exclude_documents: bool = True) -> DataFrame:
     """``SaldoCliente`` per customer; null when no entry contributes."""
     return (entry_amts.groupBy(F.col("CustomerNo").alias("Nrcliente"))

@@ -21,6 +21,7 @@ from ..functions.text import pad_left, truncate_id
 from ..operators.reshape import SUPPLY_POINT_RULES, apply_by_name_pattern, pad_id_columns, unpivot_zones
 from ..session import arrow_fs, ship_package
 from ..sinks import tables as SK
+from ..sinks.assemble import assemble_parts
 from ..sources import archives as A
 from ..sources import csv as CSV
 from ..sources import listing as LS
@@ -490,13 +491,12 @@ def share_export(spark: SparkSession, target: str, sql: str | None = None, table
     """Table or SQL result → identifiers of ``PDR`` columns zero-padded to 14 → ``;`` CSV with header.
 
     ``target`` receives the part files (each with the header). With ``single_file`` the parts are
-    written without header and streamed into that one file behind a single header line.
+    written without header and put into that one file behind a single header line, by the tasks.
     """
-    from ..sinks.fixed_width import merge_parts
     df = pad_id_columns(spark.sql(sql) if sql else spark.table(table), "PDR", 14)
     if single_file is None:
         SK.sink_csv(df, target, sep=";", header=True, encoding="UTF-8")
         return target
     SK.sink_csv(df, target, sep=";", header=False, encoding="UTF-8")
-    merge_parts(target, single_file, drop_final_newline=False, header=";".join(df.columns))
+    assemble_parts(spark, target, single_file, drop_final_newline=False, header=";".join(df.columns))
     return single_file

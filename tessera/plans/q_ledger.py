@@ -12,6 +12,7 @@ from ..operators.numbering import number_dense
 from . import fixtures as X
 from . import oracle as O
 from . import refunds as J
+from . import staging as S
 from .registry import register
 
 W = O.with_ledger
@@ -37,6 +38,17 @@ def residual_by_document(spark, sf):
     return L.residual_by_document(ea)
 
 
+@register("balance_by_customer_updated", W("SELECT CustomerNo AS Nrcliente, counted AS SaldoCliente FROM by_customer"), double=('SaldoCliente',))
+def balance_by_customer_updated(spark, sf):
+    """The balances of a summary that was brought up to date batch by batch."""
+    return L.balance_by_customer(J.summary_in_batches(spark, sf, S.fresh(spark, "summary"))[1].read())
+
+
+@register("residual_by_document_updated", W("SELECT CustomerNo, DocumentNo AS Nrdocumento, counted AS ImportoResiduoCompleto FROM by_document WHERE counted <> 0"), double=('ImportoResiduoCompleto',))
+def residual_by_document_updated(spark, sf):
+    return L.residual_by_document(J.summary_in_batches(spark, sf, S.fresh(spark, "summary"))[1].read())
+
+
 @register("credits_by_code", W("SELECT Codice_Cliente, Avere FROM credit_sums"), double=('Avere',))
 def credits_by_code(spark, sf):
     return L.credits_by_code(X.credits(spark, sf))

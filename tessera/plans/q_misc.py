@@ -11,6 +11,7 @@ from ..operators.joins import semi_listing
 from ..sources import listing as LS
 from . import fixtures as X
 from . import oracle as O
+from . import staging as STG
 from .registry import register
 
 
@@ -62,6 +63,24 @@ def job_pipeline_status(spark, sf):
     return per.unionByName(grp)
 
 
+@register("stream_pipeline_status", f"""WITH {RUNS_SQL},
+latest AS (SELECT day, user_id, status FROM runs
+           QUALIFY row_number() OVER (PARTITION BY day, user_id ORDER BY ts DESC, event_id DESC) = 1)
+SELECT day, CAST(user_id AS VARCHAR) AS name, status FROM latest
+UNION ALL
+SELECT day, 'GROUP' AS name, {ROLLUP_CASE} AS status FROM latest GROUP BY day""")
+def stream_pipeline_status(spark, sf):
+    """The same from a stream: run events arrive newest first, in three runs of the stream over one checkpoint."""
+    from ..streaming import status as ST
+    r = runs(spark, sf).select("day", "user_id", "status", F.col("ts").cast("timestamp_ntz").alias("ts"), F.col("event_id").cast("long").alias("run_id"))
+    landing, root = STG.fresh(spark, "runs"), STG.fresh(spark, "status")
+    table = ST.status_table(spark, root, {"day": "date", "user_id": r.schema["user_id"].dataType.simpleString()})
+    for wave in (2, 1, 0):
+        r.where(F.pmod(F.dayofyear("day"), F.lit(3)) == wave).write.mode("append").parquet(landing)
+        ST.follow_status(spark.readStream.schema(r.schema).parquet(landing), table, f"{root}-checkpoint")
+    return ST.pipeline_status(table, "user_id", ["day"])
+
+
 @register("validate_range", f"""WITH {RUNS_SQL},
 req AS (SELECT event_id, CASE WHEN event_type = 'signup' THEN NULL ELSE day END AS d_start,
         CASE WHEN event_type = 'view' AND value < 5 THEN NULL ELSE day + CAST(floor(value) - 10 AS INTEGER) END AS d_end FROM runs)

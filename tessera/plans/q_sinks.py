@@ -209,3 +209,25 @@ def ingest_stream_q(spark, sf):
     S.stage_csv(o.where(F.col("o_orderstatus") != "F"), folder + "/wave2")
     ingest_stream(spark, folder + "/*", ORDERS_TEXT_SCHEMA, target, ckpt)
     return spark.read.parquet(target).drop("file_name")
+
+
+@register("ingest_table", ORDERS_TEXT_SQL)
+def ingest_table_q(spark, sf):
+    """Files dropped in two waves, loaded into a catalog table; the last batch of each wave fails after its write and is run again."""
+    import uuid
+
+    from ..streaming.ingest import ingest_table
+    folder, ckpt, table = S.fresh(spark, "landing"), S.fresh(spark, "landing-ckpt"), f"landed_{uuid.uuid4().hex[:8]}"
+    o = orders_text(spark, sf)
+
+    def fail(batch):
+        raise RuntimeError("stopped after the write")
+    for wave, rows in enumerate((o.where(F.col("o_orderstatus") == "F"), o.where(F.col("o_orderstatus") != "F"))):
+        S.stage_csv(rows, f"{folder}/wave{wave}")
+        try:
+            ingest_table(spark, folder + "/*", ORDERS_TEXT_SCHEMA, table, ckpt, after_batch=fail)
+        except Exception as e:  # noqa: BLE001 - the failure is the point
+            if "stopped after the write" not in str(e):
+                raise
+        ingest_table(spark, folder + "/*", ORDERS_TEXT_SCHEMA, table, ckpt)
+    return spark.table(table).drop("file_name", "source_id", "batch_id")

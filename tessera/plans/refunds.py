@@ -28,11 +28,12 @@ def ledger_entry_amounts(spark: SparkSession, sf_dir: str):
 
 class DomiciledRun:
     """One domiciled refund run. Candidates need balances by (customer, account) only; a run that also
-    gives movements (``documents``) summarises by document, once for both."""
+    gives movements (``documents``) summarises by document, once for both. A run that is handed a
+    ``summary`` (that of ``ledger.summary_table``) reads no entries and no details."""
 
-    def __init__(self, ledger, run: FileParams, documents: bool = False):
+    def __init__(self, ledger, run: FileParams, documents: bool = False, summary: DataFrame | None = None):
         self.ledger, self.run = ledger, run
-        self.summary = L.ledger_summary(L.entry_amounts(ledger.entries, ledger.details), documents=documents)
+        self.summary = L.ledger_summary(L.entry_amounts(ledger.entries, ledger.details), documents=documents) if summary is None else summary
         self._candidates = None
         self._numbered = None
 
@@ -80,8 +81,9 @@ def attach_codes(movs: DataFrame, run: FileParams, lines: DataFrame | None = Non
     return lookup_fallback(movs, "Cliente", keys, "k", "CodiceUnivoco", "CodiceUnivoco")
 
 
-def ordinary_candidates(ledger) -> DataFrame:
-    summary = L.ledger_summary(L.entry_amounts(ledger.entries, ledger.details), documents=False, open_documents=False)
+def ordinary_candidates(ledger, summary: DataFrame | None = None) -> DataFrame:
+    if summary is None:
+        summary = L.ledger_summary(L.entry_amounts(ledger.entries, ledger.details), documents=False, open_documents=False)
     return L.refund_candidates_ordinary(ledger.accounts, ledger.customers, summary)
 
 
@@ -151,3 +153,16 @@ def lines_ordinary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lines_unallocated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return payment_lines(candidates_unallocated(spark, sf_dir), params("unallocated"), **unallocated_layout())
+
+
+def summary_in_batches(spark: SparkSession, sf_dir: str, path: str, batches: int = 3):
+    """The summary of the driver tables' ledger, brought up to date batch by batch: entries come in by their
+    number, and a fifth of the details a batch later than their entry. The last batch runs twice."""
+    led = X.ledger(spark, sf_dir)
+    table = L.summary_table(spark, path)
+    of_entry = lambda c: F.pmod(F.xxhash64(c), F.lit(batches))
+    late = (F.pmod(F.xxhash64("CustLedgerEntryNo", "Amount"), F.lit(5)) == 0).cast("int")
+    for batch in [*range(batches), batches, batches]:
+        due = of_entry("CustLedgerEntryNo") + late
+        L.update_summary(table, batch, led.entries.where(of_entry("EntryNo") < batch), led.entries.where(of_entry("EntryNo") == batch), led.details.where(due == batch))
+    return led, table

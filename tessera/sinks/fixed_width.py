@@ -4,7 +4,8 @@ The write range-partitions on the file order and sorts inside each partition, so
 ``part-00000…`` are in file order and no single task holds the file. Whole payments are shuffled and
 become their lines in the write task. The number of parts follows the data (adaptive coalescing)
 unless it is given. ``merge_parts`` concatenates the parts into one file outside Spark (streamed,
-never loaded whole; one process, so its time grows with the file).
+never loaded whole; one process, so its time grows with the file); ``assemble.assemble_parts`` lets the
+tasks write it where the file system has offsets.
 """
 
 from __future__ import annotations
@@ -43,6 +44,23 @@ def part_number(name: str) -> tuple[int, str]:
     return (int(found[1]) if found else -1, name)
 
 
+def list_parts(folder: str) -> list[tuple[str, int]]:
+    """(path, size) of a folder's ``part-*`` files in the order of their numbers."""
+    from pyarrow import fs as pafs
+
+    from ..session import arrow_fs, qualified
+    whole = qualified(folder).rstrip("/")
+    fs, root = arrow_fs(whole)
+    found = [i for i in fs.get_file_info(pafs.FileSelector(root)) if i.type == pafs.FileType.File and i.base_name.startswith("part-")]
+    return [(f"{whole}/{i.base_name}", i.size) for i in sorted(found, key=lambda i: part_number(i.base_name))]
+
+
+def same_encoding(encoding: str) -> bool:
+    """Whether text parts (UTF-8) keep their bytes."""
+    import codecs
+    return codecs.lookup(encoding).name == "utf-8"
+
+
 def merge_parts(folder: str, dest: str, drop_final_newline: bool = True, chunk: int = 8 << 20,
                 header: str | None = None, encoding: str = "utf-8") -> None:
     """Concatenate the ``part-*`` files of ``folder`` in the order of their numbers into the single file ``dest``
@@ -53,14 +71,10 @@ def merge_parts(folder: str, dest: str, drop_final_newline: bool = True, chunk:
     """
     import codecs
 
-    from pyarrow import fs as pafs
-
     from ..session import arrow_fs, qualified
-    src_fs, src = arrow_fs(qualified(folder))
     dst_fs, dst = arrow_fs(qualified(dest))
-    found = [i for i in src_fs.get_file_info(pafs.FileSelector(src)) if i.type == pafs.FileType.File and i.base_name.startswith("part-")]
-    parts = [i.path for i in sorted(found, key=lambda i: part_number(i.base_name))]
-    same = codecs.lookup(encoding).name == "utf-8"
+    parts = [arrow_fs(p) for p, _ in list_parts(folder)]
+    same = same_encoding(encoding)
     decoder = codecs.getincrementaldecoder("utf-8")()
 
     def recode(block: bytes, final: bool = False) -> bytes:
@@ -70,7 +84,7 @@ def merge_parts(folder: str, dest: str, drop_final_newline: bool = True, chunk:
     with dst_fs.open_output_stream(dst, compression=None) as out:
         if header is not None:
             out.write((header + "\n").encode(encoding))
-        for p in parts:
+        for src_fs, p in parts:
             with src_fs.open_input_stream(p, compression=None) as fh:
                 while True:
                     block = fh.read(chunk)

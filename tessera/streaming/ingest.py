@@ -67,7 +67,7 @@ def ingest_files(spark: SparkSession, folder: str, job: Callable[[SparkSession,
     if pattern:
         r = r.option("pathGlobFilter", pattern)
     listing = r.load(folder).select("path")
-    source_id = hashlib.sha256(qualified(checkpoint).rstrip("/").encode()).hexdigest()[:16]
+    source_id = _source_id(checkpoint)
 
     def run_batch(batch: DataFrame, batch_id: int) -> None:
         paths = [row.path for row in batch.collect()]
@@ -77,3 +77,55 @@ def ingest_files(spark: SparkSession, folder: str, job: Callable[[SparkSession,
     q = (listing.writeStream.foreachBatch(run_batch).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
+
+
+SOURCE, BATCH = "source_id", "batch_id"
+
+
+def _source_id(checkpoint: str) -> str:
+    return hashlib.sha256(qualified(checkpoint).rstrip("/").encode()).hexdigest()[:16]
+
+
+def write_batch(rows: DataFrame, table: str, source: str, batch: int) -> None:
+    """Make ``rows`` the rows of one source's batch in a catalog table, whatever a run before left there.
+
+    The table is partitioned by source and batch (it is created so when it is not there), and the write
+    overwrites that one partition, also with no rows at all.
+    """
+    spark = rows.sparkSession
+    if not spark.catalog.tableExists(table):
+        empty = rows.limit(0).withColumns({SOURCE: F.lit(source), BATCH: F.lit(batch).cast("long")})
+        empty.write.format("parquet").partitionBy(SOURCE, BATCH).mode("ignore").saveAsTable(table)
+    columns = spark.table(table).columns
+    if columns[-2:] != [SOURCE, BATCH]:
+        raise ValueError(f"{table} is not partitioned by {SOURCE} and {BATCH}")
+    lacking = sorted(set(rows.columns) - set(columns))
+    if lacking:
+        raise ValueError(f"{table} has no columns {lacking}")
+    view = f"batch_{source}_{batch}"
+    rows.select(*[F.col(f"`{c}`") if c in rows.columns else F.lit(None).alias(c) for c in columns[:-2]]).createOrReplaceTempView(view)
+    try:
+        spark.sql(f"INSERT OVERWRITE TABLE {table} PARTITION ({SOURCE} = '{source}', {BATCH} = {batch}) SELECT * FROM {view}")
+    finally:
+        spark.catalog.dropTempView(view)
+
+
+def ingest_table(spark: SparkSession, folder: str, schema: T.StructType, table: str, checkpoint: str,
+                 transform: Callable[[DataFrame], DataFrame] | None = None, sep: str = ";", encoding: str = LATIN1,
+                 pattern: str | None = None, max_files_per_trigger: int | None = None, long_rows: str = "raise",
+                 after_batch: Callable[[int], None] | None = None) -> None:
+    """Load every new file of ``folder`` into a catalog table and stop; each file's rows stand there once.
+
+    A batch that failed after its rows were written (or while they were) is run again by the next call
+    and replaces them. Several sources may share a table. ``after_batch`` is called with the number of each written batch.
+    """
+    source = _source_id(checkpoint)
+    df = csv_stream(spark, folder, T.StructType(list(schema.fields)), sep, encoding, pattern, max_files_per_trigger, long_rows)
+
+    def load(rows: DataFrame, batch: int) -> None:
+        write_batch(rows if transform is None else transform(rows), table, source, batch)
+        if after_batch is not None:
+            after_batch(batch)
+
+    query = df.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
