@@ -12,8 +12,12 @@ are estimated on a bounded sample of sets, which changes the cost but never the
 
 Equal sets are one class and only its smallest id is indexed. Every signature's sets are first
 paired with the smallest one; after those pairs are verified and joined to components, only pairs
-of one signature that lie in different components are left to verify, so a group of near copies
-never yields all its pairs. Sizes and parity bits rule out most chance meetings (bits of parity differ
+of one signature that lie in different components are left to verify. Sets that descend from one text
+or hold one long passage, but are not similar, meet in many signatures all the same. So where a signature would still
+make more pairs than it costs to index its sets once more, they are, by
+themselves, in the finest partition: every n-gram is a segment, and of those a set can afford to lose, plus
+one, the rarest are its signatures. A linked pair that no other signature shows has both its sets in this second index, so
+nothing is lost. Sizes and parity bits rule out most chance meetings (bits of parity differ
 in no more places than the sets do); the rest is verified on whole sets, made anew from the texts.
 
 Defined results: null or empty texts, and texts without words, have an empty set and no links;
@@ -41,6 +45,8 @@ RATIO = 1.5
 #: 64-bit words of parity bits kept for a set, at least.
 PARITY = 16
 ID_BITS = 1 << 23
+#: Pairs a signature may make for each n-gram of a second index of its sets; sets sampled to order n-grams (steers the cost only).
+PAIRS_A_GRAM, GRAM_SETS = 1.0, 2_000
 #: Sets sampled for signature frequencies, and frequent signatures kept (both only steer the cost).
 SAMPLE_SETS, FREQUENT = 20_000, 50_000
 
@@ -260,6 +266,85 @@ def signature_rows(docs: DataFrame, n: int, plan: dict, frequent: tuple, num: in
     return docs.mapInArrow(run, "doc_id long, sigs array<long>")
 
 
+def unpacked_sets(batches, n: int):
+    """(ids, n-gram hashes by row, row offsets) of packed texts, about a megabyte of text at a time."""
+    code = zstandard.ZstdDecompressor()
+    for batch in batches:
+        packed, lo = batch.column(1).to_pylist(), 0
+        while lo < len(packed):
+            held, size = [], 0
+            while lo + len(held) < len(packed) and size < 1 << 20:
+                held.append(code.decompress(packed[lo + len(held)]))
+                size += len(held[-1])
+            yield batch.column(0).slice(lo, len(held)), *sets_of(np.frombuffer(b"".join(held), dtype=np.uint8), np.cumsum([0, *map(len, held)]), n)
+            lo += len(held)
+
+
+def crowded_rows(texts: DataFrame, n: int, frequent: tuple[np.ndarray, np.ndarray], num: int, den: int) -> DataFrame:
+    """The second index, (doc_id, grams): the rarest n-grams of each packed text's set, rarest first.
+
+    A set shares num / den of its n-grams' number or more with any linked one, so of one more than it
+    can afford to lose, the rarest, one at least is shared.
+    """
+    listed, often = frequent
+
+    def run(batches):
+        for ids, h, first in unpacked_sets(batches, n):
+            size = np.diff(first)
+            f = np.zeros(len(h), dtype=np.int64)
+            if len(listed):
+                where = np.searchsorted(listed, h)
+                where[where == len(listed)] = 0
+                f = np.where(listed[where] == h, often[where], 0)
+            row = np.repeat(np.arange(len(size)), size)
+            order = np.lexsort((h, f, row))
+            rank = np.arange(len(h)) - first[row]
+            most = size + (-num * size) // den + 1
+            stay = rank < most[row]
+            yield pa.RecordBatch.from_arrays([ids, ragged(h[order][stay].view(np.int64), np.concatenate([[0], np.cumsum(most)]), pa.int64())], names=["doc_id", "grams"])
+
+    return texts.select("doc_id", "packed").mapInArrow(run, "doc_id long, grams array<long>")
+
+
+def frequent_grams(texts: DataFrame, n: int, share) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent n-grams of a sample of the texts, sorted, and their counts; they order n-grams and never change a result."""
+
+    def run(batches):
+        for _, h, _ in unpacked_sets(batches, n):
+            grams, count = np.unique(h, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(count, type=pa.int64())], names=["gram", "n"])
+
+    counted = texts.filter(share).select("doc_id", "packed").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    top = materialize(counted.filter("n > 1").orderBy(F.desc("n"), "gram").limit(FREQUENT), "frequent-grams").collect()
+    return _sorted_counts([(r["gram"], r["n"]) for r in top])
+
+
+def _sorted_counts(rows: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    rows = sorted((v & ((1 << 64) - 1), n) for v, n in rows)
+    return np.array([v for v, _ in rows], dtype=np.uint64), np.array([n for _, n in rows], dtype=np.int64)
+
+
+def _share(rows: int, wanted: int = SAMPLE_SETS):
+    """A condition on doc_id that about ``wanted`` of so many rows meet."""
+    return F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, wanted / max(1, rows)))
+
+
+def crossing(member: DataFrame) -> DataFrame:
+    """Of each signature whose sets lie in several components: how many sets, and how many pairs of different components."""
+    roots = member.groupBy("s", "root").agg(F.count(F.lit(1)).alias("n"))
+    both = ((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs")
+    return roots.groupBy("s").agg(F.sum("n").alias("n"), both).filter("pairs > 0")
+
+
+def cross_pairs(member: DataFrame, fits=None) -> DataFrame:
+    """Pairs (a, b), a < b, of one signature's sets that lie in different components; ``fits`` is a further condition on both."""
+    other = [c for c in member.columns if c != "s"]
+    x, y = (member.select("s", *[F.col(c).alias(f"{k}_{c}") for c in other]) for k in ("x", "y"))
+    both = x.join(y, "s").filter("x_root < y_root")
+    both = both if fits is None else both.filter(fits)
+    return both.select(F.least("x_doc_id", "y_doc_id").alias("a"), F.greatest("x_doc_id", "y_doc_id").alias("b")).distinct()
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose whole sets reach the similarity."""
     both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("packed").alias("x")), "a")
@@ -312,12 +397,10 @@ def similar_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
     plan = {b: p for b, p in plan.items() if p[0] + p[1]}
 
     total = sum(sizes.values())
-    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, SAMPLE_SETS / max(1, total)))
     none = (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))
-    sample = signature_rows(docs.filter(share), n, {b: (p[0], p[1], 0) for b, p in plan.items()}, none, num, den)
+    sample = signature_rows(docs.filter(_share(total)), n, {b: (p[0], p[1], 0) for b, p in plan.items()}, none, num, den)
     top = sample.select(F.explode("sigs").alias("s")).groupBy("s").count().filter("count >= 3").orderBy(F.desc("count"), "s").limit(FREQUENT).collect()
-    top = sorted((r["s"] & ((1 << 64) - 1), r["count"]) for r in top)
-    frequent = (np.array([t[0] for t in top], dtype=np.uint64), np.array([t[1] for t in top], dtype=np.int64))
+    frequent = _sorted_counts([(r["s"], r["count"]) for r in top])
 
     sigs = signature_rows(docs, n, plan, frequent, num, den).join(reps.select("doc_id"), "doc_id").select(F.explode("sigs").alias("s"), "doc_id")
     w = Window.partitionBy("s")
@@ -338,12 +421,27 @@ def similar_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
     links = linked(stars, "star")
     roots = materialize(components(links), "star-roots")
 
-    member = met.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("s", "doc_id", F.coalesce("root", "doc_id").alias("root"))
-    open_ = member.select("s", "doc_id", "root", F.min("root").over(w).alias("lo"), F.max("root").over(w).alias("hi")).filter("lo < hi").select("s", "doc_id", "root")
-    open_ = materialize(open_, "open")
-    x, y = open_.alias("x"), open_.alias("y")
-    rest = x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.root") < F.col("y.root")))
-    rest = rest.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
+    root = F.coalesce("root", "doc_id").alias("root")
+    member = materialize(met.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("s", "doc_id", root), "members")
+    across = materialize(crossing(member), "crossing")
+    # the n-grams a second index has of a set, and of all sets of a signature that makes more pairs than it has sets
+    again = F.col("n_shingles") - F.ceil(num * F.col("n_shingles") / den) + 1
+    busy = member.join(across.filter(F.col("pairs") > PAIRS_A_GRAM * F.col("n")).select("s", "pairs"), "s").join(reps.select("doc_id", "n_shingles"), "doc_id")
+    large = busy.groupBy("s", "pairs").agg(F.sum(again).alias("grams")).filter(F.col("pairs") > PAIRS_A_GRAM * F.col("grams")).select("s")
+    large = materialize(large, "crowded-signatures")
+    rest = cross_pairs(member.join(across.select("s"), "s").join(large, "s", "left_anti"))
+    crowd = member.join(large, "s", "left_semi").select("doc_id", "root").distinct()
+    crowd = materialize(crowd.join(reps.select("doc_id", "n_shingles"), "doc_id"), "crowded")
+    crowded = crowd.count()
+    if crowded:
+        texts = materialize(texts_of(docs, crowd.select("doc_id")), "crowded-texts")
+        grams = crowded_rows(texts, n, frequent_grams(texts, n, _share(crowded, GRAM_SETS)), num, den).join(crowd, "doc_id")
+        grams = grams.select("doc_id", "root", F.col("n_shingles").alias("n"), F.posexplode("grams").alias("at", "s"))
+        member = materialize(grams.select("s", "doc_id", "root", "n", "at"), "crowded-members")
+        # linked sets share so many n-grams; the rarest of these stands in front of the others in both sets
+        shared = f"(({num} * (x_n + y_n) + {num + den - 1}) div {num + den})"
+        fits = F.expr(f"x_at <= x_n - {shared} and y_at <= y_n - {shared}")
+        rest = rest.unionByName(cross_pairs(member.join(crossing(member).select("s"), "s"), fits)).distinct()
     more = linked(rest.join(stars, ["a", "b"], "left_anti"), "rest")
     roots = components(links.unionByName(more))
 

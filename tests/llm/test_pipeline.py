@@ -40,7 +40,7 @@ def test_toxicity_stage(spark, run):
 
 def test_near_duplicate_stage(run):
     before, after = rows(run[1]), rows(run[2])
-    _, comp = brute_components([(i, r[1]) for i, r in enumerate(before)])
+    _, comp = brute_components([(i, r[1]) for i, r in enumerate(before)], 5, 8, 10)
     assert len(after) == len(set(comp.values()))
     group = {}
     for i, r in enumerate(before):
