@@ -1,5 +1,6 @@
 """Toxicity, language model, quality rules and mixing against brute force, held-out accuracy and edge cases."""
 import math
+import random
 from collections import Counter
 
 import numpy as np
@@ -175,7 +176,86 @@ def test_quality_keeps_good_rows(spark):
 def test_quality_small_groups_use_larger_ones(spark):
     rows = [(i, " ".join(some_words(50, i)), "en", f"s{i % 3}") for i in range(90)] + [(500, "#a b# " * 30 + " ".join(some_words(200, 3)), "xx", "rare")]
     got = {r["doc_id"]: r["failed"] for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), group_rows=50).collect()}
-    assert got[500] == ["signs"] and not any(got[i] for i in range(90))
+    # a third of its words repeat, which no text of the larger groups shows
+    assert got[500] == ["signs", "repeats"] and not any(got[i] for i in range(90))
+
+
+def exact_fence(values, step, up, width=2.0):
+    """The fence of a group from its sorted values: quantile q is the smallest value with a share of q at or below it."""
+    values, sign = sorted(values), 1 if up else -1
+    at = lambda q: values[max(0, math.ceil(round(q * len(values), 6)) - 1)]
+    mid = at(0.5)
+    fence = mid + sign * width * step
+    for q in quality.LADDER:
+        rung = at(q if up else 1 - q)
+        if sign * (rung - fence) > 0:
+            break
+        fence = rung + sign * width * max(sign * (rung - mid), step)
+    return fence
+
+
+def signals_of(spark, docs):
+    rows = [r.asDict() for r in quality.measure(docs).collect()]
+    rows = [r for r in rows if r["n_words"] >= 10 and 100 * r["n_repeat_words"] <= 20 * r["n_words"]]
+    value = {"mean_word": lambda r: r["word_chars"] / r["n_words"], "signs": lambda r: r["n_symbols"] / r["n_words"],
+             "dup_lines": lambda r: r["n_dup_lines"] / max(r["n_lines"], 1), "repeats": lambda r: r["n_repeat_words"] / r["n_words"]}
+    return [(r["lang"], r["source"], *[f(r) for f in value.values()]) for r in rows], list(value)
+
+
+def test_quality_fences_brute_force(spark):
+    """Fences equal those of exact quantiles for groups, languages and the corpus (sketches of so few rows are exact)."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", F.when(F.col("lang") != "fr", F.col("lang")).alias("lang"), "source")
+    rows, names = signals_of(spark, docs)
+    df = spark.createDataFrame(rows, "lang string, source string, " + ", ".join(f"{s} double" for s in names))
+    sources = {r[:2] for r in rows}
+    for group_rows in (5, 40, 10**9):
+        got = {(r["f_lang"], r["f_source"]): r for r in quality.fences(df, group_rows, 2.0).collect()}
+        assert set(got) == sources
+        for (lang, source), r in got.items():
+            own = [x for x in rows if x[:2] == (lang, source)]
+            if len(own) < group_rows:
+                own = [x for x in rows if x[0] == lang]
+            if len(own) < group_rows:
+                own = rows
+            for i, s in enumerate(names):
+                assert r[f"{s}_high"] == pytest.approx(exact_fence([x[2 + i] for x in own], quality.SIGNALS[s][1], True)), (group_rows, lang, source, s)
+            assert r["mean_word_low"] == pytest.approx(exact_fence([x[2] for x in own], quality.SIGNALS["mean_word"][1], False))
+
+
+def test_quality_sketch_ranks(spark):
+    """Quantiles of a large group, merged from many partitions, stay within one rank in a hundred."""
+    n = 60_000
+    df = spark.range(n).repartition(16).select(F.col("id").cast("double").alias("x"))
+    at = [0.5, *quality.LADDER]
+    sketch = df.groupBy((F.col("x") % 9).alias("g")).agg(F.kll_sketch_agg_double("x", F.lit(quality.SKETCH_K)).alias("x"))
+    got = sketch.agg(F.kll_merge_agg_double("x", F.lit(quality.SKETCH_K)).alias("x")).select(F.kll_sketch_get_quantile_double("x", F.array(*map(F.lit, at)))).first()[0]
+    assert all(abs(v / n - q) <= 0.01 for v, q in zip(got, at, strict=True))
+
+
+def test_quality_adapts(spark):
+    """Each signal rejects rows that the base rule keeps, and a habit of one source is kept there and rejected in another."""
+    r = random.Random(3)
+    line = lambda: " ".join(f"word{r.randrange(10**6)}" for _ in range(12))
+
+    def text(signs=0, dup=0, repeat=0, long=False):
+        lines = [line() for _ in range(20)]
+        if repeat:  # a line's words come again within a longer line
+            lines[10] = "x " + lines[0]
+        if long:
+            lines = [x.replace("word", "w" * 14) for x in lines]
+        lines = [y for i, x in enumerate(lines) for y in ([x, "word777777"] if i <= dup > 0 else [x])]
+        return "\n".join(lines) + "".join(f" #sign{i + 10000}" for i in range(signs))
+
+    rows = [(i, text(), "en", "plain") for i in range(300)]
+    rows += [(1000 + i, text(signs=5 + i % 60, dup=i % 15), "en", "code") for i in range(300)]
+    cases = {"signs": text(signs=60), "dup_lines": text(dup=14), "repeats": text(repeat=1), "mean_word": text(long=True)}
+    rows += [(5000 + i, t, "en", "plain") for i, t in enumerate(cases.values())]
+    rows += [(6000 + i, t, "en", "code") for i, t in enumerate(cases.values())]
+    got = {r["doc_id"]: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    for i, s in enumerate(cases):
+        assert got[5000 + i]["failed"] == [s] and not got[5000 + i]["base_failed"] and not got[5000 + i]["kept"]
+    assert got[6000]["kept"] and got[6001]["kept"]
+    assert all(got[i]["kept"] and got[1000 + i]["kept"] for i in range(300))
 
 
 def targets(sizes, weights=(5, 2, 1), share=1.5, most=2):
