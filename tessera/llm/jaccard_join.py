@@ -18,7 +18,9 @@ make more pairs than it costs to index its sets once more, they are, by
 themselves, in the finest partition: every n-gram is a segment, and of those a set can afford to lose, plus
 one, the rarest are its signatures. A linked pair that no other signature shows has both its sets in this second index, so
 nothing is lost. Sizes and parity bits rule out most chance meetings (bits of parity differ
-in no more places than the sets do); the rest is verified on whole sets, made anew from the texts.
+in no more places than the sets do): a signature's sets carry folded bits, which the join of the signature
+compares before a pair becomes a row. A set is compared with as many others a signature as it has
+n-grams in a second index, about, and not with its whole group. The rest is verified on whole sets, made anew from the texts.
 
 Defined results: null or empty texts, and texts without words, have an empty set and no links;
 texts of fewer than ``n`` words are one n-gram; rows repeated under one id each get the component of
@@ -33,7 +35,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.session import materialize, ship_package
@@ -149,19 +151,30 @@ def describe(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, bits array<long>")
 
 
+def alike(x: str, y: str, num: int, den: int) -> Column:
+    """Whether the sizes and parity bits of x and y (columns x_n, x_bits, …) leave the similarity possible; true for every linked pair."""
+    total = F.col(f"{x}_n") + F.col(f"{y}_n")
+    apart = total - 2 * F.ceil(F.lit(num) * total / F.lit(num + den) - 1e-9)
+    xor = lambda u, v: F.zip_with(u, v, lambda i, j: i.bitwiseXOR(j))
+    # linked sets differ in size by the similarity at most, so their rows of bits by one doubling
+    fold = lambda c, to: F.when(F.size(c) == 2 * to, xor(F.slice(c, F.lit(1), to), F.slice(c, to + 1, to))).otherwise(F.col(c))
+    least = F.least(F.size(f"{x}_bits"), F.size(f"{y}_bits"))
+    differ = F.aggregate(F.zip_with(fold(f"{x}_bits", least), fold(f"{y}_bits", least), lambda i, j: F.bit_count(i.bitwiseXOR(j))), F.lit(0), lambda n, i: n + i)
+    return (F.col(f"{x}_n") * den >= F.col(f"{y}_n") * num) & (F.col(f"{y}_n") * den >= F.col(f"{x}_n") * num) & (differ <= apart)
+
+
 def possible(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose sizes and parity bits do not rule out the similarity; no linked pair is lost."""
     side = lambda k: reps.select(F.col("doc_id").alias(k), F.col("n_shingles").alias(f"{k}_n"), F.col("bits").alias(f"{k}_bits"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    total = F.col("a_n") + F.col("b_n")
-    apart = total - 2 * F.ceil(F.lit(num) * total / F.lit(num + den) - 1e-9)
-    xor = lambda x, y: F.zip_with(x, y, lambda u, v: u.bitwiseXOR(v))
-    # linked sets differ in size by the similarity at most, so their rows of bits by one doubling
-    fold = lambda x, to: F.when(F.size(x) == 2 * to, xor(F.slice(x, F.lit(1), to), F.slice(x, to + 1, to))).otherwise(F.col(x))
-    least = F.least(F.size("a_bits"), F.size("b_bits"))
-    differ = F.aggregate(F.zip_with(fold("a_bits", least), fold("b_bits", least), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    fits = (F.col("a_n") * den >= F.col("b_n") * num) & (F.col("b_n") * den >= F.col("a_n") * num)
-    return both.filter(fits).filter(differ <= apart).select("a", "b")
+    return pairs.join(side("a"), "a").join(side("b"), "b").filter(alike("a", "b", num, den)).select("a", "b")
+
+
+def faces(reps: DataFrame) -> DataFrame:
+    """doc_id, n and the parity bits folded to between half a bit and one bit a member, to be carried by every signature of a set."""
+    words = F.pow(F.lit(2), F.floor(F.log2(F.greatest(F.col("n_shingles"), F.lit(64)) / 64))).cast("int")
+    folded = F.transform(F.sequence(F.lit(0), F.col("words") - 1), lambda i: F.aggregate(
+        F.sequence(F.lit(0), (F.size("bits") / F.col("words")).cast("int") - 1), F.lit(0).cast("long"), lambda x, j: x.bitwiseXOR(F.get("bits", i + j * F.col("words")))))
+    return reps.withColumn("words", words).select("doc_id", F.col("n_shingles").alias("n"), folded.alias("bits"))
 
 
 def id_bits(ids: DataFrame) -> np.ndarray:
@@ -337,7 +350,10 @@ def crossing(member: DataFrame) -> DataFrame:
 
 
 def cross_pairs(member: DataFrame, fits=None) -> DataFrame:
-    """Pairs (a, b), a < b, of one signature's sets that lie in different components; ``fits`` is a further condition on both."""
+    """Pairs (a, b), a < b, of one signature's sets that lie in different components; ``fits`` is a further condition on both.
+
+    Spark takes the conditions into the join, so only pairs that meet them become rows.
+    """
     other = [c for c in member.columns if c != "s"]
     x, y = (member.select("s", *[F.col(c).alias(f"{k}_{c}") for c in other]) for k in ("x", "y"))
     both = x.join(y, "s").filter("x_root < y_root")
@@ -429,7 +445,8 @@ def similar_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
     busy = member.join(across.filter(F.col("pairs") > PAIRS_A_GRAM * F.col("n")).select("s", "pairs"), "s").join(reps.select("doc_id", "n_shingles"), "doc_id")
     large = busy.groupBy("s", "pairs").agg(F.sum(again).alias("grams")).filter(F.col("pairs") > PAIRS_A_GRAM * F.col("grams")).select("s")
     large = materialize(large, "crowded-signatures")
-    rest = cross_pairs(member.join(across.select("s"), "s").join(large, "s", "left_anti"))
+    few = member.join(across.select("s"), "s").join(large, "s", "left_anti").join(faces(reps), "doc_id")
+    rest = cross_pairs(materialize(few, "rest-members"), alike("x", "y", num, den))
     crowd = member.join(large, "s", "left_semi").select("doc_id", "root").distinct()
     crowd = materialize(crowd.join(reps.select("doc_id", "n_shingles"), "doc_id"), "crowded")
     crowded = crowd.count()

@@ -4,10 +4,11 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm.decontaminate import find_leaks, leak_digest
 from tessera.llm.graph import components
-from tessera.llm.jaccard_join import allocate, most_apart, similar_components
+from tessera.llm.jaccard_join import alike, allocate, describe, faces, most_apart, similar_components
 from tessera.llm.substrings import _token_list, common_passages, repeated_passages
 
 from .common import SF, alnum_words, blank_words, groups, some_words
@@ -106,6 +107,25 @@ def test_jaccard_other_threshold(spark, corpus):
     assert got == groups(ids, links)
 
 
+def test_jaccard_faces_keep_linked_pairs(spark):
+    """Folded parity bits and sizes leave every pair that reaches the similarity, also where rows of bits differ in length; most others go."""
+    r = random.Random(11)
+    base = {k: [f"v{r.randrange(10**9)}" for _ in range(k)] for k in (5, 40, 70, 130, 260, 530, 2100)}
+    texts = []
+    for k, words in base.items():
+        texts += [words, words[:-max(1, k // 50)], words + [f"n{i}" for i in range(k // 9)], words[: k // 2] + [f"o{k}{i}" for i in range(k // 2)]]
+        texts.append([f"p{k}{i}" for i in range(k)])
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    sets = [{tuple(t[i:i + 4]) for i in range(len(t) - 3)} for t in texts]
+    face = faces(describe(docs, 4)).cache()
+    assert all(64 * len(x["bits"]) <= max(64, x["n"]) < 128 * len(x["bits"]) for x in face.collect() if x["n"] >= 64)
+    x, y = (face.select(*[F.col(c).alias(f"{k}_{c}") for c in face.columns]) for k in ("x", "y"))
+    left = {(p[0], p[1]) for p in x.crossJoin(y).filter("x_doc_id < y_doc_id").filter(alike("x", "y", 85, 100)).select("x_doc_id", "y_doc_id").collect()}
+    every = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets))}
+    linked = {(i, j) for i, j in every if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])}
+    assert len(linked) >= 12 and linked <= left and len(left - linked) < 0.1 * len(every - linked)
+
+
 def test_jaccard_nulls_repeats_empty(spark):
     rows = [(None, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (None, "lonely words here now"), (7, None)]
     got = sorted((str(r[0]), r[1], str(r[2])) for r in similar_components(spark.createDataFrame(rows, "doc_id long, text string")).collect())
