@@ -18,9 +18,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader
 
-from ..session import arrow_fs, ship_package
+from ..session import ship_package
 from .csv import LONG_ROWS
-from .ranges import FileRange, Ranges, partitions_of, range_lines, scan_options
+from .ranges import FileRange, Ranges, open_data, partitions_of, range_lines, scan_options
 
 ROWS_SCHEMA = "file_name string, company string, zone string, vat string, line_no long, header array<string>, values array<string>"
 _BATCH = 4096
@@ -62,8 +62,7 @@ class PreambleReader(DataSourceReader):
     def read_range(self, r: FileRange) -> Iterator[pa.RecordBatch]:
         sep, encoding = self.options["sep"], self.options["encoding"]
         wanted = self.options["wanted"].split("\n") if self.options.get("wanted") else None
-        fs, local = arrow_fs(r.path)
-        with fs.open_input_file(local) as f:
+        with open_data(r.path) as f:
             head = Head(f, r.path, sep, encoding, self.keys)
             if head.body is None or head.body >= r.stop:
                 return

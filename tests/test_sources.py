@@ -15,6 +15,8 @@ from tessera.sources import listing as LS
 from tessera.sources import preamble as P
 from tessera.sources import xml as XML
 
+SF_SMALL = "/root/testdata/sf0.001"
+
 
 def write(path, text, encoding="utf-8"):
     os.makedirs(os.path.dirname(path), exist_ok=True)
@@ -408,3 +410,55 @@ def test_csv_sink_round_trip(spark, tmp_dir):
     SK.sink_csv(spark.createDataFrame(rows, "k string, v string"), f"{tmp_dir}/out")
     got = CSV.scan_csv_text(spark, f"{tmp_dir}/out", encoding="UTF-8", tokens=[]).collect()
     assert sorted(map(tuple, got)) == rows
+
+
+# ---- extracted files that stay compressed -------------------------------------------------------
+
+def test_framed_file_reads_from_any_place():
+    import random
+
+    from tessera.sources.frames import FramedFile, FrameWriter
+    r = random.Random(12)
+    for n in (0, 1, 99, 100, 1234):
+        data, out = bytes(r.randrange(256) for _ in range(n)), io.BytesIO()
+        w, at = FrameWriter(out, frame=100), 0
+        while at < n:
+            step = r.randrange(1, 300)
+            w.write(data[at:at + step])
+            at += step
+        w.finish()
+        f = FramedFile(out, len(out.getvalue()), "x.zst")
+        assert f.size == n and f.read() == data and f.read(5) == b""
+        for _ in range(50):
+            a, k = r.randrange(n + 2), r.randrange(400)
+            f.seek(a)
+            assert f.read(k) == data[a:a + k]
+    with pytest.raises(ValueError, match="list of its frames: y.zst"):
+        FramedFile(io.BytesIO(b"no frames at all"), 16, "y.zst")
+
+
+def test_packed_extraction_is_small_and_read_in_ranges(spark, tmp_dir):
+    """Members stay compressed on disk, and are still cut into ranges and read by their own headers."""
+    os.makedirs(f"{tmp_dir}/zips")
+    rows = [f"{i};\"città\n{i % 7}\"" for i in range(60_000)]
+    with zipfile.ZipFile(f"{tmp_dir}/zips/a.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("x.csv", ("k;v\n" + "\n".join(rows) + "\n").encode("latin-1"))
+        z.writestr("y.csv", "v;k\nb;a\n")
+        z.writestr("empty.csv", "")
+    listing = A.extract_archives(spark, f"{tmp_dir}/zips", f"{tmp_dir}/out", packed=True).collect()
+    sizes = {r.member: (r.size, os.path.getsize(r.path), bytes(r.head)) for r in listing}
+    whole = len("k;v\n") + sum(len(x) + 1 for x in rows)
+    assert sizes["x.csv"][0] == whole and sizes["x.csv"][1] < whole / 3 and sizes["x.csv"][2] == b"k;v" and sizes["empty.csv"][0] == 0
+    df = CSV.scan_csv_text(spark, f"{tmp_dir}/out", range_bytes=50_000)
+    assert df.rdd.getNumPartitions() > 5
+    got = {x.k: x.v for x in df.collect()}
+    assert len(got) == 60_001 and got["a"] == "b" and all(got[str(i)] == f"città\n{i % 7}" for i in range(60_000))
+
+
+def test_supply_point_job_keeps_extracted_text_compressed(spark, tmp_dir):
+    """The job's disk: what it extracts takes a third of the text at most, and staging deals out table rows, not texts."""
+    from tessera.plans import jobs as JB
+    dest = JB.stage_supply_point_archives(spark, SF_SMALL)
+    assert JB.supply_point_import(spark, dest, f"{tmp_dir}/out").count() > 0
+    text = sum(r.size for r in A.extract_archives(spark, dest, f"{tmp_dir}/plain").select("size").collect())
+    assert 0 < sum(e.stat().st_size for e in os.scandir(f"{tmp_dir}/out")) < text / 3
