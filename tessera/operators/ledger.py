@@ -85,7 +85,7 @@ def summary_table(spark, path: str, buckets: int = 64):
 
 
 def update_summary(table, batch: int, entries: DataFrame, new_entries: DataFrame, new_details: DataFrame) -> int:
-    """Bring a ``summary_table`` up to date with what came in since the batch before; buckets rewritten.
+    """Bring a ``summary_table`` up to date with what came in since the batch before; buckets touched.
 
     ``new_details`` may belong to old entries or to new ones; ``entries`` are all old ones (read for
     the new details' keys only, never their old details), and new entries without details count too.
@@ -94,7 +94,7 @@ def update_summary(table, batch: int, entries: DataFrame, new_entries: DataFrame
     old = entries.join(new_details.select(F.col("CustLedgerEntryNo").alias("EntryNo")).distinct(), "EntryNo", "left_semi")
     columns = ["EntryNo", *SUMMARY_KEYS]
     touched = old.select(*columns).unionByName(new_entries.select(*columns))
-    return table.merge(batch, combine_summaries(entry_amounts(touched, new_details)))
+    return table.merge(batch, entry_amounts(touched, new_details))
 
 
 def balance_by_customer(entry_amts: DataFrame, exclude_documents: bool = True) -> DataFrame:

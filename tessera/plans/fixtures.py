@@ -83,17 +83,22 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cached("view:entries", spark, sf_dir, lambda: _entries(spark, sf_dir))
 
 
-def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+def entries_of(spark: SparkSession, sf_dir: str, numbers: DataFrame) -> DataFrame:
+    """The entries whose number is among ``numbers`` (EntryNo), told apart before orders and texts are joined to them."""
+    return _entries(spark, sf_dir, numbers.select(F.col("EntryNo").alias("__no")))
+
+
+def _entries(spark: SparkSession, sf_dir: str, numbers: DataFrame | None = None) -> DataFrame:
     """One entry per distinct (order, line); customer from the order; document kind by line number."""
     li = read_table(spark, sf_dir, "lineitem")
+    if numbers is not None:
+        li = li.select("l_orderkey", "l_linenumber").join(numbers, entry_no() == F.col("__no"), "left_semi")
     o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    # Distinct entries keyed by EntryNo (which determines the order and line), so the entries are
-    # hash-partitioned like the per-entry detail sums they are joined to.
-    pairs = (li.groupBy(entry_no().alias("EntryNo"))
-             .agg(F.max("l_orderkey").alias("l_orderkey"), F.max("l_linenumber").alias("l_linenumber")))
+    # Dealt out by order once: for the distinct lines and for the join, whatever the size of orders.
+    pairs = li.select("l_orderkey", "l_linenumber").repartition("l_orderkey").distinct()
     doc_kind = (F.when(F.col("l_linenumber") == 7, "CRP").when(F.col("l_linenumber") == 6, "CRN").otherwise("FT"))
     return (pairs.join(o, pairs.l_orderkey == o.o_orderkey, "inner")
-            .select("EntryNo",
+            .select(entry_no().alias("EntryNo"),
                     customer_code("o_custkey").alias("CustomerNo"),
                     F.col("l_orderkey").cast("string").alias("CustomerAccountNo"),
                     F.concat(doc_kind, F.col("l_orderkey").cast("string")).alias("DocumentNo")))

@@ -41,12 +41,12 @@ def residual_by_document(spark, sf):
 @register("balance_by_customer_updated", W("SELECT CustomerNo AS Nrcliente, counted AS SaldoCliente FROM by_customer"), double=('SaldoCliente',))
 def balance_by_customer_updated(spark, sf):
     """The balances of a summary that was brought up to date batch by batch."""
-    return L.balance_by_customer(J.summary_in_batches(spark, sf, S.fresh(spark, "summary"))[1].read())
+    return L.balance_by_customer(J.summary_in_batches(spark, sf, S.fresh(spark, "summary"))[1].read(combined=False))
 
 
 @register("residual_by_document_updated", W("SELECT CustomerNo, DocumentNo AS Nrdocumento, counted AS ImportoResiduoCompleto FROM by_document WHERE counted <> 0"), double=('ImportoResiduoCompleto',))
 def residual_by_document_updated(spark, sf):
-    return L.residual_by_document(J.summary_in_batches(spark, sf, S.fresh(spark, "summary"))[1].read())
+    return L.residual_by_document(J.summary_in_batches(spark, sf, S.fresh(spark, "summary"))[1].read(combined=False))
 
 
 @register("credits_by_code", W("SELECT Codice_Cliente, Avere FROM credit_sums"), double=('Avere',))

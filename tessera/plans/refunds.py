@@ -157,12 +157,16 @@ def lines_unallocated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def summary_in_batches(spark: SparkSession, sf_dir: str, path: str, batches: int = 3):
     """The summary of the driver tables' ledger, brought up to date batch by batch: entries come in by their
-    number, and a fifth of the details a batch later than their entry. The last batch runs twice."""
+    number, and a fifth of the details a batch later than their entry. Of the old entries, an update is handed
+    those its details name. The last batch runs twice."""
     led = X.ledger(spark, sf_dir)
     table = L.summary_table(spark, path)
     of_entry = lambda c: F.pmod(F.xxhash64(c), F.lit(batches))
     late = (F.pmod(F.xxhash64("CustLedgerEntryNo", "Amount"), F.lit(5)) == 0).cast("int")
     for batch in [*range(batches), batches, batches]:
         due = of_entry("CustLedgerEntryNo") + late
-        L.update_summary(table, batch, led.entries.where(of_entry("EntryNo") < batch), led.entries.where(of_entry("EntryNo") == batch), led.details.where(due == batch))
+        due_now = led.details.where(due == batch)
+        numbers = due_now.select(F.col("CustLedgerEntryNo").alias("EntryNo")).where(of_entry("EntryNo") < batch).distinct()
+        old = X.entries_of(spark, sf_dir, numbers).where(of_entry("EntryNo") < batch)
+        L.update_summary(table, batch, old, led.entries.where(of_entry("EntryNo") == batch), due_now)
     return led, table

@@ -85,6 +85,26 @@ def test_only_touched_buckets_are_rewritten(spark, tmp_dir):
     assert table.read().agg(F.sum("n")).first()[0] == 1005
 
 
+def test_a_batch_writes_its_own_rows(spark, tmp_dir):
+    """A batch that touches every bucket writes what it brings, not the table; many versions are written whole at last."""
+    table = KeyedTable(spark, f"{tmp_dir}/t", "k long, n long", ["k"], lambda d: d.groupBy("k").agg(F.sum("n").alias("n")), buckets=2, versions=3)
+    written = lambda b: spark.read.parquet(f"{tmp_dir}/t/rows/batch={b}").count()
+    ones = lambda n: spark.range(n).select(F.col("id").alias("k"), F.lit(1).cast("long").alias("n"))
+    table.merge(0, ones(1000).unionByName(ones(1000)))
+    assert written(0) == 1000
+    for batch in range(1, 9):
+        for _ in range(2):
+            assert table.merge(batch, ones(10)) == 2
+        assert written(batch) == (1000 if batch in (3, 6) else 10)
+        assert table.read().agg(F.count("*"), F.sum("n")).first() == (1000, 2000 + 10 * batch)
+        assert table.read(combined=False).agg(F.sum("n")).first()[0] == 2000 + 10 * batch
+        assert table.read(before=batch).agg(F.count("*"), F.sum("n")).first() == (1000, 2000 + 10 * (batch - 1))
+    # versions of a list without marks are whole
+    spark.createDataFrame([(7, 5)], "k long, n long").withColumn("bucket", F.lit(0)).write.partitionBy("bucket").parquet(f"{tmp_dir}/t/rows/batch=9")
+    spark.createDataFrame([(0,), (1,)], "bucket int").write.parquet(f"{tmp_dir}/t/commits/batch=9")
+    assert [tuple(x) for x in table.read().collect()] == [(7, 5)]
+
+
 # ---- ledger summaries ---------------------------------------------------------------------------
 
 @pytest.mark.parametrize("seed", [3, 4, 5])
@@ -114,6 +134,19 @@ def test_summary_and_deltas_equal_the_recount(spark, tmp_dir, seed):
     assert as_sets(got.collect()) == as_sets(ordinary)
 
 
+def test_entries_of_some_numbers(spark):
+    """Of the old entries an update is handed those of its details; they are told apart before orders are joined to them."""
+    from tessera.plans import fixtures as X
+    sf = "/root/testdata/sf0.001"
+    numbers = spark.range(3000).select((F.col("id") * 7).alias("EntryNo"))
+    some = X.entries_of(spark, sf, numbers.union(numbers))
+    want = X.entries(spark, sf).where("EntryNo % 7 = 0 and EntryNo < 21000")
+    assert as_sets(some.collect()) == as_sets(want.collect()) and want.count() > 100
+    assert some.count() == want.count()
+    plan = some._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Inner") < plan.index("LeftSemi")
+
+
 def test_an_update_reads_no_old_details(spark, tmp_dir):
     """A detail for an old entry adds to its sums; a document note counts in one of them only."""
     table = L.summary_table(spark, f"{tmp_dir}/s", buckets=2)
