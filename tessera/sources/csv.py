@@ -85,7 +85,8 @@ def scan_csv_text(spark: SparkSession, path, sep: str = ";", encoding: str = LAT
 
     Columns come in the order of the most frequent header; a column a file lacks is null there.
     ``headers`` are the files' header lines where the caller knows them; ``range_bytes`` is the
-    length at which files are cut (the session's ``spark.sql.files.maxPartitionBytes``).
+    length at which files are cut (the session's ``spark.sql.files.maxPartitionBytes``); tasks read
+    many ranges of that length.
     """
     if long_rows not in LONG_ROWS:
         raise ValueError(f"long_rows is one of {LONG_ROWS}")

@@ -18,9 +18,10 @@ from __future__ import annotations
 import csv
 import dataclasses
 import io
+import itertools
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -32,7 +33,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader
 
 from ..session import arrow_fs, materialize, ship_package
-from .ranges import BLOCK, FileRange, Ranges, line_blocks, list_files, open_data, partitions_of, range_lines, scan_options
+from .ranges import BLOCK, FileRange, Ranges, line_blocks, list_files, open_data, partitions_of, range_lines, scan_options, step_size
 
 FILE, LONG = "__file_name", "__raw_row"
 STATES_SCHEMA = "path string, start long, after_outside int, after_inside int"
@@ -84,7 +85,7 @@ def record_blocks(f, start: int, stop: int, inside: bool, sep: bytes, block: int
         return
     base, data = first[0], b""
     f.seek(base)
-    while more := f.read(block):
+    while more := f.read(step_size(base + len(data), stop, len(data), block)):
         data += more
         ends = breaks(data, inside, sep)
         if not len(ends):
@@ -176,25 +177,28 @@ class DelimitedReader(DataSourceReader):
         return [Ranges(tuple(dataclasses.replace(r, inside=(r.path, r.start) in inside) for r in p.ranges)) for p in parts]
 
     def read(self, partition: Ranges | None) -> Iterator[pa.RecordBatch]:
-        for r in partition.ranges if partition else ():
-            yield from self.read_range(r)
+        for path, ranges in itertools.groupby(partition.ranges if partition else (), key=lambda r: r.path):
+            yield from self.read_ranges(path, ranges)
 
-    def read_range(self, r: FileRange) -> Iterator[pa.RecordBatch]:
+    def read_ranges(self, path: str, ranges: Iterable[FileRange]) -> Iterator[pa.RecordBatch]:
+        """Some ranges of one file."""
         sep, encoding = self.options["sep"], self.options["encoding"]
-        with open_data(r.path) as f:
+        with open_data(path) as f:
             head = next(range_lines(f, 0, 1 << 62, 1 << 16), None)
             if head is None:
                 return
             f.seek(len(head[1]))
             body = len(head[1]) + (2 if f.read(1) == b"\r" else 1)
             titles = split_header(head[1].decode(encoding), sep)
-            if body >= r.stop or not titles:
+            if not titles:
                 return
             try:
-                for block in record_blocks(f, max(r.start, body), r.stop, r.inside, sep.encode()):
-                    yield from self.parse(block, titles, r.path)
+                for r in ranges:
+                    if body < r.stop:
+                        for block in record_blocks(f, max(r.start, body), r.stop, r.inside, sep.encode()):
+                            yield from self.parse(block, titles, path)
             except ValueError as e:
-                raise ValueError(f"{e} in {r.path}") from e
+                raise ValueError(f"{e} in {path}") from e
 
     def parse(self, block: bytes, titles: list[str], path: str) -> Iterator[pa.RecordBatch]:
         sep, encoding, policy = self.options["sep"], self.options["encoding"], self.options["longrows"]
@@ -272,7 +276,7 @@ def scan_ranges(spark: SparkSession, path, titles: list[str], sep: str, encoding
     ship_package(spark)
     options = {**scan_options(spark, path), "titles": json.dumps(titles), "tokens": json.dumps(tokens), "sep": sep, "encoding": encoding, "longrows": long_rows}
     if range_bytes:
-        options["maxpartitionbytes"] = str(range_bytes)
+        options["rangebytes"] = str(range_bytes)
     if line_breaks and any(r.start for p in partitions_of(options) for r in p.ranges):
         spark.dataSource.register(QuoteStates)
         inside = materialize(inside_ranges(spark.read.format("quote_states").options(**options).load()), "quote-states")

@@ -76,31 +76,47 @@ def list_files(paths: list[str]) -> list[tuple[str, int]]:
     return sorted(out)
 
 
-def packed_ranges(files: list[tuple[str, int]], max_bytes: int, open_cost: int, parallelism: int) -> list[Ranges]:
-    """Partitions of about equal work: long files cut, short ones together (a file's opening counts as ``open_cost`` bytes)."""
-    work = sum(size + open_cost for _, size in files)
-    target = min(max_bytes, max(open_cost, work // max(1, parallelism)))
-    cut = [FileRange(path, at, min(at + target, size)) for path, size in files for at in range(0, size, target)]
+def packed_ranges(files: list[tuple[str, int]], max_bytes: int, open_cost: int, parallelism: int, range_bytes: int | None = None) -> list[Ranges]:
+    """Partitions of about equal work: long files cut, short ones together (a file's opening counts as ``open_cost`` bytes).
+
+    ``range_bytes`` is the length at which files are cut where the caller fixes it. Then a task reads
+    many ranges, four tasks a core at least, so tasks grow with the data and do not only get more.
+    """
+    if range_bytes is None:
+        work = sum(size + open_cost for _, size in files)
+        target = length = min(max_bytes, max(open_cost, work // max(1, parallelism)))
+        again = open_cost  # what a further range of the same file costs
+    else:
+        length, again, open_cost = range_bytes, 0, min(open_cost, range_bytes)
+        target = max(length, min(max_bytes, sum(size for _, size in files) // (4 * max(1, parallelism))))
+    cut = [FileRange(path, at, min(at + length, size)) for path, size in files for at in range(0, size, length)]
     out, held, weight = [], [], 0
     for r in sorted(cut, key=lambda r: (r.start - r.stop, r.path, r.start)):
+        cost = again if held and held[-1].path == r.path else open_cost
         if held and weight + r.stop - r.start > target:
             out.append(Ranges(tuple(held)))
             held, weight = [], 0
         held.append(r)
-        weight += r.stop - r.start + open_cost
+        weight += r.stop - r.start + cost
     return out + ([Ranges(tuple(held))] if held else [])
 
 
 def partitions_of(options: dict) -> list[Ranges]:
-    """The partitions of a data source with ``scan_options``."""
-    return packed_ranges(list_files(options["paths"].split("\n")), int(options["maxpartitionbytes"]), int(options["opencost"]), int(options["parallelism"]))
+    """The partitions of a data source with ``scan_options`` (and ``rangebytes``, where files are cut at a given length)."""
+    fixed = int(options["rangebytes"]) if options.get("rangebytes") else None
+    return packed_ranges(list_files(options["paths"].split("\n")), int(options["maxpartitionbytes"]), int(options["opencost"]), int(options["parallelism"]), fixed)
+
+
+def step_size(at: int, stop: int, held: int, block: int) -> int:
+    """How much to read next from place ``at`` of a range: what is left of it, or as much again as is held of a record that goes on."""
+    return min(block, max(stop - at, held, _STEP))
 
 
 def range_lines(f, start: int, stop: int, block: int = BLOCK) -> Iterator[tuple[int, bytes]]:
     """(position, line without its end) of the lines of an open file that start at ``start`` or later and before ``stop``."""
     base, tail, skipping = max(0, start - 1), b"", start > 0
     f.seek(base)
-    while data := f.read(block):
+    while data := f.read(step_size(base + len(tail), stop, len(tail), block)):
         data = tail + data
         at = 0
         if skipping:  # the line that began before the range belongs to the range before
@@ -129,7 +145,7 @@ def line_blocks(f, start: int, stop: int, block: int = BLOCK) -> Iterator[bytes]
     base = first[0]
     f.seek(base)
     data = b""
-    while more := f.read(block):
+    while more := f.read(step_size(base + len(data), stop, len(data), block)):
         data += more
         last = stop - 1 - base  # the line that holds this place is the last one
         end = data.find(b"\n", last) + 1 if last < len(data) else 0

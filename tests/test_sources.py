@@ -462,3 +462,41 @@ def test_supply_point_job_keeps_extracted_text_compressed(spark, tmp_dir):
     assert JB.supply_point_import(spark, dest, f"{tmp_dir}/out").count() > 0
     text = sum(r.size for r in A.extract_archives(spark, dest, f"{tmp_dir}/plain").select("size").collect())
     assert 0 < sum(e.stat().st_size for e in os.scandir(f"{tmp_dir}/out")) < text / 3
+
+
+# ---- short ranges of large files ----------------------------------------------------------------
+
+def test_tasks_do_not_get_more_with_the_data():
+    """Files cut at a fixed length: every byte in one range, and no more tasks for ten times the data."""
+    from tessera.sources import ranges as R
+    counts = []
+    for n in (1, 10):
+        files = [(f"f{k}", n * (20 << 20) + k) for k in range(5)]
+        parts = R.packed_ranges(files, 128 << 20, 4 << 20, 12, 64 << 10)
+        own = sorted((r.path, r.start, r.stop) for p in parts for r in p.ranges)
+        assert max(b - a for _, a, b in own) == 64 << 10 and sum(b - a for _, a, b in own) == sum(s for _, s in files)
+        assert all(x[0] != y[0] or x[2] == y[1] for x, y in zip(own, own[1:], strict=False))
+        counts.append(len(parts))
+    assert 48 <= counts[1] <= counts[0] + 5 <= 70
+
+
+def test_a_short_range_reads_little_of_its_file():
+    """What a range of 64 KB reads is bounded by its length, not by the size of a block."""
+    from tessera.sources import delimited as D
+    from tessera.sources.ranges import line_blocks
+
+    class Counted(io.BytesIO):
+        n = 0
+
+        def read(self, size=-1):
+            data = super().read(size)
+            self.n += len(data)
+            return data
+
+    data = b'1;"x\ny"\n' * 2_000_000
+    f, at = Counted(data), 8 * 300_000
+    assert b"".join(D.record_blocks(f, at, at + (64 << 10), False, b";")).count(b"x") == 8192
+    assert f.n < 5 * (64 << 10)
+    f = Counted(data)
+    assert sum(map(len, line_blocks(f, at, at + (64 << 10)))) >= 64 << 10
+    assert f.n < 5 * (64 << 10)
