@@ -274,3 +274,28 @@ def test_passage_beside_repeated_lines():
     assert len(found) == 1 and found[0][0] == found[0][2] == 0 and found[0][1] == found[0][3] >= 56
     sx, sy = set(x[:found[0][1]].tolist()), set(y[:found[0][3]].tolist())
     assert len(sx & sy) >= 0.8 * len(sx | sy)
+
+
+def test_jaccard_centre_pairs_in_proportion(spark):
+    """A crowded signature's near copies are first paired with a few of them: pairs in proportion to its sets, each set of another component tried."""
+    from tessera.llm.jaccard_join import CENTRES, centre_pairs, cross_pairs
+    base = some_words(150, 71, 10**6)
+    rows = [(i, " ".join([*base[:i % 150], f"new{i}", *base[i % 150 + 1:]])) for i in range(200)]
+    rows.append((500, " ".join(some_words(150, 72, 10**6))))
+    face = faces(describe(spark.createDataFrame(rows, "doc_id long, text string"), 5))
+    member = face.select(F.lit(1).alias("s"), "doc_id", F.col("doc_id").alias("root"), "n", "bits").cache()
+    pairs = [(x["a"], x["b"]) for x in centre_pairs(member, 0, 8, 10).collect()]
+    assert len(pairs) == len(set(pairs)) <= CENTRES * 200 and all(a < b < 500 for a, b in pairs)
+    assert {i for p in pairs for i in p} == set(range(200))
+    assert cross_pairs(member, alike("x", "y", 8, 10)).count() == 200 * 199 // 2
+    assert centre_pairs(member.withColumn("root", F.lit(0)), 0, 8, 10).count() == 0
+
+
+def test_jaccard_faces_fine_enough(spark):
+    """At a similarity of 0.8 unrelated sets are told apart by the bits that signatures carry, also just below a doubling of their size."""
+    from tessera.llm.jaccard_join import fineness
+    rows = [(i, " ".join(some_words(131, 100 + i, 10**9))) for i in range(60)]
+    face = faces(describe(spark.createDataFrame(rows, "doc_id long, text string"), 5), fineness(8, 10)).cache()
+    x, y = (face.select(*[F.col(c).alias(f"{k}_{c}") for c in face.columns]) for k in ("x", "y"))
+    assert x.crossJoin(y).filter("x_doc_id < y_doc_id").filter(alike("x", "y", 8, 10)).count() <= 5
+    assert fineness(85, 100) == 1
