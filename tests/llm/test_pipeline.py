@@ -98,3 +98,23 @@ def test_empty_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in P.STAGES:
         assert stage(spark, docs, SF).count() == 0
+
+
+def test_tasks_hold_few_rows_at_a_time(spark):
+    """A whole partition in one Arrow batch took an executor over its memory."""
+    import pyarrow as pa
+
+    from tessera.session import BATCH_ROWS, ship_package
+
+    def largest(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([max(b.num_rows for b in batches)], type=pa.int64())], names=["n"])
+
+    key, rows = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.range(0, 5_000, 1, 1)
+    before = spark.conf.get(key)
+    try:
+        for given, most in (("10000", BATCH_ROWS), ("0", BATCH_ROWS), ("10", 10)):
+            spark.conf.set(key, given)
+            ship_package(spark)
+            assert rows.mapInArrow(largest, "n long").first()["n"] == most
+    finally:
+        spark.conf.set(key, before)
