@@ -299,3 +299,47 @@ def test_jaccard_faces_fine_enough(spark):
     x, y = (face.select(*[F.col(c).alias(f"{k}_{c}") for c in face.columns]) for k in ("x", "y"))
     assert x.crossJoin(y).filter("x_doc_id < y_doc_id").filter(alike("x", "y", 8, 10)).count() <= 5
     assert fineness(85, 100) == 1
+
+
+def test_passage_pairs_beside_a_common_line(spark, monkeypatch):
+    """Texts that share one line alone, and a single repeated word too short for a passage, are never paired; edited copies among them are found."""
+    from tessera.llm import substrings
+    line = some_words(12, 31, 10**6)
+    rows = [(i, line + some_words(90, 7000 + i, 10**7)) for i in range(60)]
+    rows += [(100 + i, some_words(20, 8000 + i, 10**7) + ["again"] * 40 + some_words(60, 8100 + i, 10**7)) for i in range(20)]
+    for k in range(4):
+        copy = line + some_words(80, 9000 + k, 10**7)
+        rows += [(200 + 10 * k + j, [*copy[:40 + j], f"new{j}", *copy[41 + j:]]) for j in range(3)]
+    tried, write = {}, substrings.materialize
+
+    def watched(df, name):
+        out = write(df, name)
+        if name.endswith("-pairs"):
+            tried[name] = {(r["a"], r["b"]) for r in out.select("a", "b").collect()}
+        return out
+
+    monkeypatch.setattr(substrings, "materialize", watched)
+    got = {}
+    for r in repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")).collect():
+        got.setdefault(r["class_id"].split(":")[0], set()).add(r["doc_id"])
+    assert got == {str(200 + 10 * k): {200 + 10 * k + j for j in range(3)} for k in range(4)}
+    assert sum(map(len, tried.values())) < 100  # 60 * 59 / 2 pairs share the line
+
+
+def test_similar_stretches_keep_every_passage():
+    """No stretch of a text whose set is similar to one of another's is left out, with few distinct tokens and runs of one too."""
+    from tessera.llm.substrings import _again, _shares, similar_stretches
+    r = random.Random(5)
+    for _ in range(20):
+        x, y = ([w for _ in range(r.randrange(1, 9)) for w in [r.randrange(6)] * r.randrange(1, 6)] for _ in range(2))
+        u, held = np.array(x, dtype=np.uint64), np.isin(x, y)
+        starts, stops = similar_stretches(np.append(_shares(u, _again(u), held), 0), np.append(_again(u), False), np.array([len(u)]), 5, 0.8)
+        inside = np.zeros(len(x), dtype=bool)
+        for a, b in zip(starts, stops, strict=True):
+            inside[a:b] = True
+        sets = {frozenset(y[c:d]) for c in range(len(y)) for d in range(c + 5, len(y) + 1)}
+        for a in range(len(x)):
+            for b in range(a + 5, len(x) + 1):
+                s = set(x[a:b])
+                if any(len(s & q) >= 0.8 * len(s | q) for q in sets):
+                    assert inside[a:b].all()
