@@ -326,6 +326,31 @@ def test_passage_pairs_beside_a_common_line(spark, monkeypatch):
     assert sum(map(len, tried.values())) < 100  # 60 * 59 / 2 pairs share the line
 
 
+def test_passages_of_repeated_lines(monkeypatch):
+    """Texts that repeat a line differing in one word meet at every pair of repetitions; few are counted, and none that is similar is lost."""
+    from tessera.llm import substrings
+    line, calls, earlier = np.arange(1, 32, dtype=np.uint64), [], substrings._earlier
+    x, y = np.tile(line, 30), np.tile(np.concatenate([line[:26], line[26:] + np.uint64(100)]), 30)
+    meets = [(int(c), np.flatnonzero(y == x[c])) for c in np.flatnonzero(x == 7)]
+    monkeypatch.setattr(substrings, "_earlier", lambda v: calls.append(1) or earlier(v))
+    assert common_passages(x, y, meets, 46, 0.8) == []
+    assert len(calls) < 20
+    monkeypatch.undo()
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        lines = [rng.integers(1, 400, rng.integers(8, 60), dtype=np.uint64) for _ in range(3)]
+        x = np.concatenate([lines[k] for k in rng.integers(0, 3, 12)])
+        y = np.where(rng.random(len(x)) < rng.choice([0.02, 0.1, 0.3]), rng.integers(1, 400, len(x), dtype=np.uint64), x)
+        if rng.random() < 0.5:
+            y = np.concatenate([lines[0], y])
+        meets = [(int(c), np.flatnonzero(y == x[c])) for c in rng.choice(len(x), 15, replace=False)]
+        found = common_passages(x, y, meets, 46, 0.8)
+        with monkeypatch.context() as m:
+            m.setattr(substrings._Around, "may", lambda self, cx, cy: True)
+            m.setattr(substrings, "CHAIN_PLACES", 0)
+            assert common_passages(x, y, meets, 46, 0.8) == found
+
+
 def test_similar_stretches_keep_every_passage():
     """No stretch of a text whose set is similar to one of another's is left out, with few distinct tokens and runs of one too."""
     from tessera.llm.substrings import _again, _shares, similar_stretches
