@@ -326,6 +326,38 @@ def test_passage_pairs_beside_a_common_line(spark, monkeypatch):
     assert sum(map(len, tried.values())) < 100  # 60 * 59 / 2 pairs share the line
 
 
+def test_passages_in_rounds(spark, monkeypatch):
+    """A text is sent once to every part that has a pair of it, and pairs verified in rounds, whose tables are dropped, give the same rows."""
+    import os
+
+    from tessera.llm import substrings
+    met = "array(struct(1 as hash, array(0) as xs, array(struct(0 as c, 0 as l, 50 as r)) as ys))"
+    pairs = spark.range(30).crossJoin(spark.range(100, 130).toDF("b")).selectExpr("id as a", "b", f"{met} as met")
+    texts = spark.createDataFrame([(i, b"text") for i in [*range(30), *range(100, 130)]], "doc_id long, packed binary")
+    rows = substrings._to_verify(pairs, texts, 4).collect()
+    assert len(rows) <= 30 + 30 * 4  # 900 pairs
+    assert sorted((p["a"], r["doc"]) for r in rows for p in r["pairs"] or []) == [(a, b) for a in range(30) for b in range(100, 130)]
+
+    text = []
+    for k in range(3):
+        copy = some_words(140, 9100 + k, 10**7)
+        text += [(10 * k + j, " ".join([*copy[:12 * j], *some_words(14, 9200 + 10 * k + j, 10**7), *copy[12 * j + 14:]])) for j in range(9)]
+    docs = spark.createDataFrame(text, "doc_id long, text string")
+    want = sorted(map(tuple, repeated_passages(docs).collect()))
+    folders, write = [], substrings.materialize
+
+    def watched(df, name):
+        out = write(df, name)
+        folders.extend(f.removeprefix("file:").replace("///", "/") for f in out.inputFiles() if name == "rest-pairs")
+        return out
+
+    monkeypatch.setattr(substrings, "materialize", watched)
+    monkeypatch.setattr(substrings, "_rounds", lambda held: 3)
+    assert sorted(map(tuple, repeated_passages(docs).collect())) == want
+    assert len({os.path.dirname(f) for f in folders}) == 3
+    assert not any(map(os.path.exists, folders))
+
+
 def test_passages_of_repeated_lines(monkeypatch):
     """Texts that repeat a line differing in one word meet at every pair of repetitions; few are counted, and none that is similar is lost."""
     from tessera.llm import substrings
@@ -337,7 +369,7 @@ def test_passages_of_repeated_lines(monkeypatch):
     assert len(calls) < 20
     monkeypatch.undo()
     rng = np.random.default_rng(5)
-    for _ in range(60):
+    for _ in range(150):
         lines = [rng.integers(1, 400, rng.integers(8, 60), dtype=np.uint64) for _ in range(3)]
         x = np.concatenate([lines[k] for k in rng.integers(0, 3, 12)])
         y = np.where(rng.random(len(x)) < rng.choice([0.02, 0.1, 0.3]), rng.integers(1, 400, len(x), dtype=np.uint64), x)
@@ -347,6 +379,7 @@ def test_passages_of_repeated_lines(monkeypatch):
         found = common_passages(x, y, meets, 46, 0.8)
         with monkeypatch.context() as m:
             m.setattr(substrings._Around, "may", lambda self, cx, cy: True)
+            m.setattr(substrings._Around, "reach", lambda self, a, c, least, most: most)
             m.setattr(substrings, "CHAIN_PLACES", 0)
             assert common_passages(x, y, meets, 46, 0.8) == found
 
