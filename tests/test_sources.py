@@ -464,6 +464,41 @@ def test_supply_point_job_keeps_extracted_text_compressed(spark, tmp_dir):
     assert 0 < sum(e.stat().st_size for e in os.scandir(f"{tmp_dir}/out")) < text / 3
 
 
+def test_short_rows_are_read_together(monkeypatch):
+    """Rows with too few fields go through the reader of all rows, some at a time, and keep their places, nulls and line breaks."""
+    import json
+    import types
+
+    from tessera.sources import delimited as D
+
+    def one_by_one(*_, **__):
+        raise AssertionError("a row was parsed by itself")
+
+    monkeypatch.setattr(D, "csv", types.SimpleNamespace(reader=one_by_one))
+    titles = ["a", "b", "c"]
+    reader = D.DelimitedReader({"sep": ";", "encoding": "ISO-8859-1", "longrows": "drop", "tokens": json.dumps(["", "NA"]), "titles": json.dumps(titles)})
+    lines = ["0;x;y", "1", '2;"p;\nq"', "3;NA", "4;città;z", "5;x;y;z", '6;"a ""b"" c"', "7;;", "8"]
+    got = [tuple(r.values()) for b in reader.parse("".join(f"{x}\n" for x in lines).encode("latin-1"), titles, "f.csv") for r in b.to_pylist()]
+    assert got == [("0", "x", "y"), ("1", None, None), ("2", "p;\nq", None), ("3", None, None), ("4", "città", "z"), ("6", 'a "b" c', None), ("7", None, None), ("8", None, None)]
+
+
+def test_supply_point_job_compiles_its_projections(spark, tmp_dir):
+    """In a session with Spark's own limit of method sizes too; a smaller one stays."""
+    from tessera.plans import jobs as JB
+    key = "spark.sql.codegen.hugeMethodLimit"
+    old = spark.conf.get(key)
+    try:
+        for before, after in (("65535", "8000"), ("4000", "4000")):
+            spark.conf.set(key, before)
+            dest = JB.stage_supply_point_archives(spark, SF_SMALL)
+            assert spark.conf.get(key) == after
+            spark.conf.set(key, before)
+            assert JB.supply_point_import(spark, dest, f"{tmp_dir}/{before}").count() > 0
+            assert spark.conf.get(key) == after
+    finally:
+        spark.conf.set(key, old)
+
+
 # ---- short ranges of large files ----------------------------------------------------------------
 
 def test_tasks_do_not_get_more_with_the_data():
