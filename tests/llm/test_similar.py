@@ -384,6 +384,13 @@ def test_passages_of_repeated_lines(monkeypatch):
             assert common_passages(x, y, meets, 46, 0.8) == found
 
 
+def test_meetings_come_in_order_and_once():
+    """However the rows of a pair's meetings come in, the same meetings are tried in the same order."""
+    from tessera.llm.substrings import _untried
+    meets = [(5, np.array([9, 2])), (5, np.array([4, 2])), (3, np.array([7])), (5, np.array([4]))]
+    assert list(_untried(meets, [])) == list(_untried(meets[::-1], [])) == [(3, 7), (5, 2), (5, 4), (5, 9)]
+
+
 def test_similar_stretches_keep_every_passage():
     """No stretch of a text whose set is similar to one of another's is left out, with few distinct tokens and runs of one too."""
     from tessera.llm.substrings import _again, _shares, similar_stretches
